@@ -154,7 +154,7 @@ def sql_strip(x: str) -> str:
 def sql_canon(x: str) -> str:
     """Canonical text of a parsable number through DECIMAL: an independent route to the same text."""
     return (f"(SELECT CASE WHEN d = 0 THEN '0' ELSE regexp_replace(regexp_replace(d::VARCHAR, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') END "
-            f"FROM (SELECT CAST({x} AS DECIMAL(38,10)) AS d))")
+            f"FROM (SELECT try_cast({x} AS DECIMAL(38,10)) AS d))")
 
 
 SQL_PARSABLE = r"'^[-+]?(?:\d+\.?\d*|\.\d+)$'"

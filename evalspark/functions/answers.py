@@ -51,30 +51,27 @@ def extract_first_marker(df: DataFrame, response: str, out: str = "extracted", f
     ``full_separators`` maps the Arabic separators before matching; by default only digits are mapped.
     """
     marker = rf"(?iu)({ENGLISH_MARKER}|{ARABIC_MARKER})\s*:\s*({GROUPED_NUMBER})"
-    staged = (
-        _prepared(df, response, full_separators)
-        .withColumn("_m", F.transform(_all(F.col("_t"), marker, 2), normalize_decimal))
-        .withColumn("_k", F.try_element_at(_all(F.col("_t"), marker, 1), F.lit(1)))
-        .withColumn("_b", _last(F.col("_t"), rf"\\boxed\s*\{{\s*({GROUPED_NUMBER})\s*\}}"))
-        .withColumn("_n", _last(F.col("_t"), f"({GROUPED_NUMBER})"))
-    )
-    explicit = F.size("_m") > 0
+    t, explicit = F.col("_t"), F.size("_m") > 0
+    # The fallbacks run only where no marker was found.
+    staged = _prepared(df, response, full_separators) \
+        .withColumn("_m", F.transform(_all(t, marker, 2), lambda v: normalize_decimal(v))) \
+        .withColumn("_k", F.when(explicit, F.regexp_extract(t, marker, 1))) \
+        .withColumn("_b", F.when(~explicit & t.contains("\\boxed"), _last(t, rf"\\boxed\s*\{{\s*({GROUPED_NUMBER})\s*\}}"))) \
+        .withColumn("_n", F.when(~explicit & F.col("_b").isNull(), _last(t, f"({GROUPED_NUMBER})"))) \
+        .withColumn("_f", normalize_decimal(F.coalesce("_b", "_n")))
     conflict = F.size(F.array_distinct("_m")) > 1
-    english = F.col("_k").rlike("(?i)^final")
     boxed, number = F.col("_b").isNotNull(), F.col("_n").isNotNull()
     verdict = F.struct(
-        F.when(explicit, F.try_element_at("_m", F.lit(1)))
-        .when(boxed, normalize_decimal(F.col("_b"))).when(number, normalize_decimal(F.col("_n"))).alias("answer"),
-        F.when(explicit & english, "english_final_marker").when(explicit, "arabic_final_marker")
+        F.coalesce(F.try_element_at("_m", F.lit(1)), F.col("_f")).alias("answer"),
+        F.when(explicit, F.when(F.lower("_k").startswith("final"), "english_final_marker").otherwise("arabic_final_marker"))
         .when(boxed, "boxed").when(number, "last_number_fallback").otherwise("no_number").alias("method"),
         F.when(explicit, conflict.cast("int")).otherwise(F.lit(1)).alias("needs_review"),
-        F.when(explicit & conflict, "conflicting_explicit_final_answers").when(explicit, "")
+        F.when(explicit, F.when(conflict, "conflicting_explicit_final_answers").otherwise(""))
         .when(boxed, "no_requested_final_marker").when(number, "fallback_extraction")
         .otherwise("no_numeric_answer").alias("reason"),
-        F.when(explicit, F.array_join("_m", "|")).when(boxed, normalize_decimal(F.col("_b")))
-        .otherwise("").alias("all_answers"),
+        F.when(explicit, F.array_join("_m", "|")).when(boxed, F.col("_f")).otherwise("").alias("all_answers"),
     )
-    return staged.withColumn(out, verdict).drop("_t", "_m", "_k", "_b", "_n")
+    return staged.withColumn(out, verdict).drop("_t", "_m", "_k", "_b", "_n", "_f")
 
 
 def extract_last_marker(df: DataFrame, response: str, out: str = "extracted") -> DataFrame:
@@ -110,9 +107,10 @@ def extract_dotted(df: DataFrame, response: str, out: str = "extracted") -> Data
 
 
 def _pick_first(df: DataFrame, picks, none_name: str, clean, out: str) -> DataFrame:
+    """First non-null pick in order; a later pattern runs only where the earlier ones found nothing."""
     names = [f"_p{i}" for i in range(len(picks))]
-    for name, (_, expr) in zip(names, picks):
-        df = df.withColumn(name, expr)
+    for i, (name, (_, expr)) in enumerate(zip(names, picks)):
+        df = df.withColumn(name, expr if i == 0 else F.when(F.coalesce(*names[:i], F.lit(None)).isNull(), expr))
     method = F.lit(none_name)
     for name, (label, _) in reversed(list(zip(names, picks))):
         method = F.when(F.col(name).isNotNull(), F.lit(label)).otherwise(method)
@@ -120,20 +118,21 @@ def _pick_first(df: DataFrame, picks, none_name: str, clean, out: str) -> DataFr
         .drop("_t", *names)
 
 
-def located_matches(text: Column, pattern: str, label: str) -> Column:
-    """Matches of ``pattern`` with their character position: array of (pos, value, label).
+def located_matches(text: Column, pieces: Column, pattern: str, label: str, rank: int) -> Column:
+    """Matches of ``pattern`` with their character position: array of (pos, rank, value, label).
 
-    Java's ``extract_all`` gives no offsets; they follow from the lengths of the pieces between matches.
+    Java's ``extract_all`` gives no offsets; they follow from the lengths of the pieces between matches
+    (``pieces`` = the text split by the pattern). Without a match the pattern is not run again.
     """
-    whole, value = _all(text, pattern, 0), _all(text, pattern, 1)
-    pieces = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.transform(pieces, F.length), F.transform(whole, F.length),
+    lengths = F.zip_with(F.transform(pieces, lambda x: F.length(x)), F.transform(_all(text, pattern, 0), lambda x: F.length(x)),
                          lambda p, m: F.struct(p.alias("p"), F.coalesce(m, F.lit(0)).alias("m")))
     def before(i):
         return F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda acc, x: acc + x["p"] + x["m"]) \
             + F.element_at(lengths, i + 1)["p"]
-    return F.transform(value, lambda v, i: F.struct(
-        before(i).alias("pos"), normalize_decimal(v, drop_percent=True).alias("value"), F.lit(label).alias("label")))
+    found = F.transform(_all(text, pattern, 1), lambda v, i: F.struct(
+        before(i).alias("pos"), F.lit(rank).alias("k"), normalize_decimal(v, drop_percent=True).alias("value"), F.lit(label).alias("label")))
+    return F.when(F.size(pieces) > 1, found).otherwise(
+        F.array().cast("array<struct<pos:int,k:int,value:string,label:string>>"))
 
 
 def extract_reparsed(df: DataFrame, response: str, out: str = "extracted") -> DataFrame:
@@ -141,32 +140,29 @@ def extract_reparsed(df: DataFrame, response: str, out: str = "extracted") -> Da
 
     Candidates equal in position and value count once; the first wins; different values are flagged.
     """
+    cuts = [f"_s{i}" for i in range(len(REPARSE_PATTERNS))]
     names = [f"_c{i}" for i in range(len(REPARSE_PATTERNS))]
     df = _prepared(df, response, False)
-    for name, (label, pattern) in zip(names, REPARSE_PATTERNS):
-        df = df.withColumn(name, located_matches(F.col("_t"), pattern, label))
-    ranked = F.array_sort(F.flatten(F.array(*[
-        F.transform(name, lambda x, k=k: F.struct(x["pos"].alias("pos"), F.lit(k).alias("k"),
-                                                  x["value"].alias("value"), x["label"].alias("label")))
-        for k, name in enumerate(names)])))
-    df = df.withColumn("_r", ranked).withColumn(
+    df = df.withColumns({cut: F.split("_t", pattern, -1) for cut, (_, pattern) in zip(cuts, REPARSE_PATTERNS)})
+    df = df.withColumns({name: located_matches(F.col("_t"), F.col(cut), pattern, label, k)
+                         for k, (name, cut, (label, pattern)) in enumerate(zip(names, cuts, REPARSE_PATTERNS))})
+    df = df.withColumn("_r", F.array_sort(F.flatten(F.array(*names)))).withColumn(
         "_u", F.filter("_r", lambda x, i: ~F.exists(
             F.slice("_r", 1, i), lambda y: (y["pos"] == x["pos"]) & (y["value"] == x["value"]))))
-    df = df.withColumn("_n", _last(F.col("_t"), f"({GROUPED_NUMBER})"))
-    values = F.transform("_u", lambda x: x["value"])
-    explicit, conflict = F.size("_u") > 0, F.size(F.array_distinct(values)) > 1
-    number = F.col("_n").isNotNull()
+    explicit = F.size("_u") > 0
+    df = df.withColumn("_v", F.transform("_u", lambda x: x["value"])).withColumn(
+        "_n", F.when(~explicit, normalize_decimal(_last(F.col("_t"), f"({GROUPED_NUMBER})"), drop_percent=True)))
+    conflict, number = F.size(F.array_distinct("_v")) > 1, F.col("_n").isNotNull()
     verdict = F.struct(
-        F.when(explicit, F.try_element_at(values, F.lit(1)))
-        .when(number, normalize_decimal(F.col("_n"), drop_percent=True)).alias("answer"),
+        F.coalesce(F.try_element_at("_v", F.lit(1)), F.col("_n")).alias("answer"),
         F.when(explicit, F.try_element_at("_u", F.lit(1))["label"])
         .when(number, "last_number_fallback").otherwise("no_number").alias("method"),
         F.when(explicit, conflict.cast("int")).otherwise(F.lit(1)).alias("needs_review"),
-        F.when(explicit & conflict, "conflicting_explicit_answers").when(explicit, "")
+        F.when(explicit, F.when(conflict, "conflicting_explicit_answers").otherwise(""))
         .when(number, "fallback_extraction").otherwise("no_numeric_answer").alias("reason"),
-        F.when(explicit, F.array_join(values, "|")).otherwise("").alias("all_answers"),
+        F.when(explicit, F.array_join("_v", "|")).otherwise("").alias("all_answers"),
     )
-    return df.withColumn(out, verdict).drop("_t", "_r", "_u", "_n", *names)
+    return df.withColumn(out, verdict).drop("_t", "_r", "_u", "_v", "_n", *names, *cuts)
 
 
 def flag_truncated(needs_review: Column, reason: Column, finish: Column) -> tuple[Column, Column]:

@@ -24,7 +24,7 @@ def ascii_digits(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of ASCII white space, not blanks only."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\f\x0b"))
 
 
 def drop_chars(c: Column, chars: str) -> Column:
@@ -36,55 +36,60 @@ def is_number(c: Column) -> Column:
 
 
 def canonical_number(c: Column) -> Column:
-    """Canonical decimal text of a parsable number: no sign for zero, no padding zeros.
+    """Canonical decimal text: no plus sign, no padding zeros, no sign for zero; other text is unchanged.
 
-    Works on the text, so there is no precision limit. Undefined for unparsable input.
+    Works on the text, so there is no precision limit. Every step reads its input once and leaves text that
+    is no number alone, so there is no CASE that repeats the input: nested uses stay small in generated code.
     """
-    whole = F.regexp_extract(c, r"^[-+]?0*(\d*)", 1)
-    fraction = F.regexp_extract(c, r"\.(\d*?)0*$", 1)
-    magnitude = F.concat(
-        F.when(whole == "", F.lit("0")).otherwise(whole),
-        F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
-    )
-    return F.when(magnitude == "0", F.lit("0")).otherwise(
-        F.concat(F.when(c.startswith("-"), F.lit("-")).otherwise(F.lit("")), magnitude))
+    t = F.regexp_replace(c, r"^(?=[-+]?(?:\d+\.?\d*|\.\d+)$)\+?(-?)0*(?=\d|\.\d)", "$1")
+    t = F.regexp_replace(t, r"^(-?)(?=\.\d+$)", "$10")                      # ".5" to "0.5"
+    t = F.regexp_replace(t, r"^(-?\d+)(?:\.0*|(\.\d*?)0*)$", "$1$2")       # "1.50" to "1.5", "1.00" to "1"
+    return F.regexp_replace(t, "^-0$", "0")
+
+
+def canonical_integral(c: Column) -> Column:
+    """The same for integral numbers only; ``3.50`` and ``n/a`` stay as they are."""
+    t = F.regexp_replace(c, r"^(?=[-+]?(?:\d+(?:\.0*)?|\.0+)$)\+?(-?)0*(?=\d|\.\d)", "$1")
+    t = F.regexp_replace(t, r"^(-?)(?=\.0+$)", "$10")
+    return F.regexp_replace(F.regexp_replace(t, r"^(-?\d+)\.0*$", "$1"), "^-0$", "0")
 
 
 def clean_decimal(c: Column, drop_percent: bool = False) -> Column:
-    """Digits mapped, grouping and currency marks dropped, Arabic decimal sign replaced."""
+    """Digits mapped, grouping and currency marks dropped, Arabic decimal sign replaced: one pass, one trim."""
     marks = "," + ARABIC_THOUSANDS + "$" + ("%" if drop_percent else "")
-    return strip(F.translate(strip(ascii_digits(c)), ARABIC_DECIMAL + marks, "."))
+    return strip(F.translate(c, ARABIC_INDIC_DIGITS + PERSIAN_DIGITS + ARABIC_DECIMAL + marks, ASCII_DIGITS * 2 + "."))
 
 
 def normalize_decimal(c: Column, drop_percent: bool = False) -> Column:
     """Decimal variant (F-02): canonical number text, or the cleaned text when it is no number."""
-    t = clean_decimal(c, drop_percent)
-    return F.when(is_number(t), canonical_number(t)).otherwise(t)
+    return canonical_number(clean_decimal(c, drop_percent))
 
 
 def normalize_integral(c: Column) -> Column:
     """Float variant (F-03): integral values become integer text, other text is kept (``3.50`` stays)."""
-    t = F.translate(strip(ascii_digits(c)), ARABIC_DECIMAL + "," + ARABIC_THOUSANDS + "$ ", ".")
-    return F.when(t.rlike(r"^[-+]?(?:\d+(?:\.0*)?|\.0+)$"), canonical_number(t)).otherwise(t)
+    marks = "," + ARABIC_THOUSANDS + "$ "
+    return canonical_integral(strip(F.translate(c, ARABIC_INDIC_DIGITS + PERSIAN_DIGITS + ARABIC_DECIMAL + marks, ASCII_DIGITS * 2 + ".")))
 
 
 def normalize_float_text(c: Column) -> Column:
     """Float variant that also canonicalises fractions (``3.50`` becomes ``3.5``)."""
-    t = F.translate(strip(c), ",", "")
-    return F.when(is_number(t), canonical_number(t)).otherwise(t)
+    return canonical_number(F.translate(strip(c), ",", ""))
+
+
+def number_or_null(c: Column) -> Column:
+    """Canonical number text, null for other text."""
+    return F.nullif(F.regexp_extract(canonical_number(c), r"^-?\d+(?:\.\d+)?$", 0), F.lit(""))
 
 
 def normalize_currency(c: Column) -> Column:
     """Currency variant (F-04): marks dropped; null when the rest is no number."""
-    t = strip(drop_chars(strip(c), ",$€£%"))
-    return F.when(is_number(t), canonical_number(t))
+    return number_or_null(strip(drop_chars(c, ",$€£%")))
 
 
 def marked_answer(c: Column) -> Column:
     """Last number after the last ``####`` marker, currency marks dropped; null when there is none."""
     t = F.element_at(F.split(drop_chars(c, ",$£€"), "####"), -1)
-    last = F.try_element_at(F.regexp_extract_all(t, F.lit(f"({MARKED_NUMBER})"), F.lit(1)), F.lit(-1))
-    return F.when(last.isNotNull(), canonical_number(last))
+    return canonical_number(F.try_element_at(F.regexp_extract_all(t, F.lit(f"({MARKED_NUMBER})"), F.lit(1)), F.lit(-1)))
 
 
 def numeric_equal(predicted: Column, expected: Column, mode: str = "decimal_text") -> Column:
@@ -98,11 +103,10 @@ def numeric_equal(predicted: Column, expected: Column, mode: str = "decimal_text
     if mode == "decimal_text":
         same = normalize_decimal(predicted) == normalize_decimal(expected)
     elif mode == "decimal_strict":
-        p, e = strip(predicted), strip(expected)
-        same = F.when(is_number(p) & is_number(e), canonical_number(p) == canonical_number(e))
+        same = number_or_null(strip(predicted)) == number_or_null(strip(expected))
     elif mode == "float_text":
         p, e = strip(predicted), strip(expected)
-        same = F.when(is_number(p) & is_number(e), p.try_cast("double") == e.try_cast("double")).otherwise(p == e)
+        same = F.coalesce(number_or_null(p).try_cast("double") == number_or_null(e).try_cast("double"), p == e)
     elif mode == "currency":
         same = normalize_currency(predicted) == normalize_currency(expected)
     else:
@@ -113,7 +117,7 @@ def numeric_equal(predicted: Column, expected: Column, mode: str = "decimal_text
 def numbers_in(c: Column) -> Column:
     """All numbers in a text, normalised (F-11). Arabic separators are mapped before matching."""
     t = F.translate(ascii_digits(c), ARABIC_THOUSANDS + ARABIC_DECIMAL, ",.")
-    return F.transform(F.regexp_extract_all(t, F.lit(f"({LOOSE_NUMBER})"), F.lit(1)), normalize_integral)
+    return F.transform(F.regexp_extract_all(t, F.lit(f"({LOOSE_NUMBER})"), F.lit(1)), lambda v: normalize_integral(v))
 
 
 def same_numbers(a: Column, b: Column) -> Column:

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions import answers
-from evalspark.functions.numbers import numeric_equal
+from evalspark.functions.numbers import normalize_decimal, numeric_equal
 from evalspark.operators.checks import CheckFailed, key_set_differences, require_empty
 from evalspark.operators.pairs import latest_per_key, overlay, paired_outcomes, paired_summary, unmatched_decisions
 from evalspark.operators.resample import paired_bootstrap
@@ -16,10 +16,13 @@ def score_responses(df: DataFrame, response: str = "generated_response", gold: s
     review, reason = F.col("_x.needs_review"), F.col("_x.reason")
     if finish:
         review, reason = answers.flag_truncated(review, reason, F.col(finish))
+    # The extractor's answer is normalised already; normalising it again would change nothing.
+    same = F.coalesce(F.col("_x.answer") == normalize_decimal(F.col(gold)), F.lit(False)) if mode == "decimal_text" \
+        else numeric_equal(F.col("_x.answer"), F.col(gold), mode)
     return out.withColumn("extracted_answer", F.col("_x.answer")).withColumn("extraction_method", F.col("_x.method")) \
         .withColumn("needs_manual_review", review).withColumn("review_reason", reason) \
         .withColumn("all_explicit_answers", F.col("_x.all_answers")) \
-        .withColumn("is_correct", numeric_equal(F.col("extracted_answer"), F.col(gold), mode).cast("int")).drop("_x")
+        .withColumn("is_correct", same.cast("int")).drop("_x")
 
 
 def reparse(df: DataFrame, response: str, gold: str, old_correct: str = "is_correct", old_answer: str = "extracted_answer") -> DataFrame:
@@ -29,7 +32,7 @@ def reparse(df: DataFrame, response: str, gold: str, old_correct: str = "is_corr
     return out.withColumn("extracted_answer", F.col("_x.answer")).withColumn("extraction_method", F.col("_x.method")) \
         .withColumn("needs_manual_review", F.col("_x.needs_review")).withColumn("review_reason", F.col("_x.reason")) \
         .withColumn("all_candidates", F.col("_x.all_answers")) \
-        .withColumn("is_correct", numeric_equal(F.col("extracted_answer"), F.col(gold)).cast("int")) \
+        .withColumn("is_correct", F.coalesce(F.col("extracted_answer") == normalize_decimal(F.col(gold)), F.lit(False)).cast("int")) \
         .withColumn("score_changed", (F.coalesce(F.col("old_is_correct"), F.lit(0)) != F.col("is_correct")).cast("int")).drop("_x")
 
 
