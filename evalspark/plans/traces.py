@@ -53,7 +53,7 @@ def parse_traces(lines: DataFrame, line: str = "line") -> DataFrame:
     steps: array of (chosen, choice_given, human, completions: array of (text, rating, flagged)).
     """
     t = F.from_json(F.col(line), TRACE_SCHEMA)
-    parsed = lines.withColumn("_t", t)
+    parsed = _computed_once(lines, _t=t)
     steps = F.transform("_t.label.steps", lambda s: F.struct(
         (~_absent(s["chosen_completion"])).alias("choice_given"),
         _whole(s["chosen_completion"]).alias("chosen"),
@@ -80,42 +80,70 @@ def malformed_traces(parsed: DataFrame) -> DataFrame:
         "rated_steps", lambda s: s["completions"].isNull())))
 
 
-def _judge_step(step: Column, i: Column, generated: Column) -> Column:
-    """One step: (reason, chosen index, rating, text, matching indices)."""
-    completions = step["completions"]
-    wanted = F.try_element_at(generated, (i + 1).cast("int"))
-    matches = F.filter(F.transform(completions, lambda c, j: F.when(c["text"] == wanted, j)), lambda j: j.isNotNull())
-    matched = F.filter(completions, lambda c: F.coalesce(c["text"] == wanted, F.lit(False)))
-    repeated = F.size(matches) > 1
-    index = F.when(step["choice_given"], step["chosen"]).otherwise(F.try_element_at(matches, F.lit(1)).cast("bigint"))
-    in_range = F.coalesce((index >= 0) & (index < F.size(completions)), F.lit(False))
+def _extend(x: Column, names: tuple[str, ...], **more: Column) -> Column:
+    return F.struct(*[x[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
+
+
+def _judged(generated: Column) -> Column:
+    """Steps with (reason, chosen, rating, text, matching), built in layers.
+
+    Every layer is a transform over the one before it, so a value used by several rules is computed once per
+    step and not once per use.
+    """
+    given = ("choice_given", "chosen", "human", "completions")
+    wanted = F.transform("rated_steps", lambda s, i: _extend(s, given, wanted=F.try_element_at(generated, (i + 1).cast("int"))))
+    matched = F.transform(wanted, lambda x: _extend(x, given + ("wanted",), matches=F.filter(F.transform(
+        x["completions"], lambda c, j: F.when(c["text"] == x["wanted"], j)), lambda j: j.isNotNull())))
+    indexed = F.transform(matched, lambda x: _extend(
+        x, given + ("wanted", "matches"),
+        index=F.when(x["choice_given"], x["chosen"]).otherwise(F.try_element_at(x["matches"], F.lit(1)).cast("bigint")),
+        copies=F.transform(x["matches"], lambda j: F.element_at(x["completions"], j + 1))))
+    placed = F.transform(indexed, lambda x: _extend(
+        x, ("choice_given", "human", "completions", "wanted", "matches", "index", "copies"),
+        in_range=F.coalesce((x["index"] >= 0) & (x["index"] < F.size(x["completions"])), F.lit(False))))
     # The guarded position keeps the lookup valid when the index is not.
-    picked = F.try_element_at(completions, F.when(in_range, (index + 1).cast("int")).otherwise(F.lit(1)))
-    valid = F.coalesce(picked["rating"].isin(-1, 0, 1), F.lit(False))
-    no_choice = ~step["choice_given"]
-    reason = first_reason([
-        (no_choice & step["human"], "human_completion_requires_separate_policy"),
-        (no_choice & (F.size(matches) == 0), "ambiguous_original_completion"),
-        (no_choice & repeated & F.exists(matched, lambda c: ~F.coalesce(c["rating"].isin(-1, 0, 1), F.lit(False))),
-         "missing_or_invalid_rating"),
-        (no_choice & repeated & (F.size(F.array_distinct(F.transform(matched, lambda c: c["rating"]))) > 1),
-         "conflicting_duplicate_ratings"),
-        (no_choice & repeated & F.exists(matched, lambda c: c["flagged"]), "flagged_duplicate_step"),
-        (~in_range, "invalid_completion_index"),
-        (~F.coalesce(picked["text"] == wanted, F.lit(False)), "selected_path_differs_from_generated"),
-        (~valid, "missing_or_invalid_rating"),
-        (picked["flagged"], "flagged_step"),
-        (~F.coalesce(picked["text"].rlike(r"\S"), F.lit(False)), "empty_step"),
-    ])
-    return F.struct(reason.alias("reason"), index.cast("int").alias("chosen"), picked["rating"].cast("int").alias("rating"),
-                    picked["text"].alias("text"),
-                    F.when(step["choice_given"], F.array(index.cast("int"))).otherwise(
-                        F.transform(matches, lambda j: j.cast("int"))).alias("matching"))
+    picked = F.transform(placed, lambda x: _extend(
+        x, ("choice_given", "human", "wanted", "matches", "index", "copies", "in_range"),
+        picked=F.try_element_at(x["completions"], F.when(x["in_range"], (x["index"] + 1).cast("int")).otherwise(F.lit(1)))))
+
+    def known(rating):
+        return F.coalesce(rating.isin(-1, 0, 1), F.lit(False))
+
+    def rules(x):
+        no_choice = ~x["choice_given"]
+        repeated = no_choice & (F.size(x["matches"]) > 1)
+        return first_reason([
+            (no_choice & x["human"], "human_completion_requires_separate_policy"),
+            (no_choice & (F.size(x["matches"]) == 0), "ambiguous_original_completion"),
+            (repeated & F.exists(x["copies"], lambda c: ~known(c["rating"])), "missing_or_invalid_rating"),
+            (repeated & (F.size(F.array_distinct(F.transform(x["copies"], lambda c: c["rating"]))) > 1), "conflicting_duplicate_ratings"),
+            (repeated & F.exists(x["copies"], lambda c: c["flagged"]), "flagged_duplicate_step"),
+            (~x["in_range"], "invalid_completion_index"),
+            (~F.coalesce(x["picked"]["text"] == x["wanted"], F.lit(False)), "selected_path_differs_from_generated"),
+            (~known(x["picked"]["rating"]), "missing_or_invalid_rating"),
+            (x["picked"]["flagged"], "flagged_step"),
+            (~F.coalesce(x["picked"]["text"].rlike(r"\S"), F.lit(False)), "empty_step"),
+        ])
+    return F.transform(picked, lambda x: F.struct(
+        rules(x).alias("reason"), x["index"].cast("int").alias("chosen"), x["picked"]["rating"].cast("int").alias("rating"),
+        x["picked"]["text"].alias("text"),
+        F.when(x["choice_given"], F.array(x["index"].cast("int"))).otherwise(
+            F.transform(x["matches"], lambda j: j.cast("int"))).alias("matching")))
+
+
+def _computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that filters and projections above must not inline.
+
+    A filter on a projected column is pushed below the projection together with the whole expression, which
+    would parse and judge every line again per use. A generator with exactly one output row stops that.
+    """
+    cell = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(cell))
 
 
 def classify(parsed: DataFrame) -> DataFrame:
     """Add ``reason`` (null when eligible), the judged steps and the derived arrays (P-14)."""
-    judged = parsed.withColumn("judged", F.transform("rated_steps", lambda s, i: _judge_step(s, i, F.col("generated"))))
+    judged = _computed_once(parsed, judged=_judged(F.col("generated")))
     judged = judged.withColumn("ratings", F.transform("judged", lambda j: j["rating"])) \
         .withColumn("first_error_step", first_position(F.col("ratings"), F.lit(-1)))
     step_reason = F.try_element_at(F.filter(F.transform("judged", lambda j: j["reason"]), lambda r: r.isNotNull()), F.lit(1))

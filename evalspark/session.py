@@ -11,6 +11,8 @@ def build_session(app: str = "evalspark", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Methods beyond this size are not compiled by the JVM; wide regular-expression projections run faster split up.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
