@@ -164,12 +164,14 @@ def queue_docs(spark, d):
     return queue.withColumn("source_record_sha256", canonical_digest(queue, "source_record"))
 
 
-def drafted(spark, d):
-    """Translations with a few planted faults; status as the draft step would set it."""
+def drafted(spark, d, faults=True):
+    """Translations, with planted faults on request; status as the draft step would set it."""
     q = queue_docs(spark, d)
     i = F.col("source_record.id").cast("bigint")
     def arabic(x):
         return F.concat(F.lit("ترجمة "), x)
+    if not faults:
+        i = F.lit(1)
     problem = F.when(i % 29 == 0, arabic(F.replace("source_record.problem", F.lit("\\[x_"), F.lit("\\[y_")))).when(i % 31 == 0, arabic(F.concat("source_record.problem", F.lit(" 7")))) \
         .when(i % 37 == 0, F.col("source_record.problem")).otherwise(arabic(F.col("source_record.problem")))
     steps = F.when(i % 41 == 0, F.slice("source_record.steps", 2, F.size("source_record.steps"))).otherwise(F.transform("source_record.steps", arabic))
@@ -191,18 +193,18 @@ def decided(queue, faults=True):
 @query("c07_review_gate", f"""WITH {TRAJ}, q AS (SELECT doc_id AS i, split, text, steps FROM traj), g AS (SELECT i, CASE WHEN i % 11 = 0 THEN 'reject' WHEN i % 13 = 0 THEN 'revise' ELSE 'accept' END AS decision,
   CASE WHEN i % 19 = 0 THEN NULL WHEN i % 22 = 0 THEN '' ELSE 'looked at' END AS notes, i % 17 = 0 AS bad_date, split, len(list_filter(steps, lambda s: NOT regexp_matches(s, '\\S'))) AS blank, text FROM q)
 SELECT i::VARCHAR AS id, decision, CASE WHEN decision = 'revise' THEN 'undecided' WHEN bad_date THEN 'bad_review_date' WHEN notes IS NULL THEN 'notes_missing' WHEN decision = 'reject' AND notes = '' THEN 'reject_without_reason'
-  WHEN decision = 'accept' AND i % 10 = 3 THEN 'accepted_but_quarantined' WHEN decision = 'accept' AND i % 43 = 0 THEN 'draft_checks_not_passed' WHEN decision = 'accept' AND i % 41 = 0 THEN 'incomplete_steps'
+  WHEN decision = 'accept' AND i IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'accepted_but_quarantined' WHEN decision = 'accept' AND i % 43 = 0 THEN 'draft_checks_not_passed' WHEN decision = 'accept' AND i % 41 = 0 THEN 'incomplete_steps'
   WHEN decision = 'accept' AND i % 29 = 0 THEN 'protected_spans_changed' WHEN decision = 'accept' AND i % 31 = 0 THEN 'numeric_sequence_changed' WHEN decision = 'accept' AND i % 37 = 0 THEN 'no_arabic_text' END AS blocked FROM g""")
 def c07(spark, d):
     q = drafted(spark, d)
-    barred = table(spark, d, "documents", ["doc_id"]).where("doc_id % 10 = 3").select(F.col("doc_id").cast("string").alias("id"))
+    barred = table(spark, d, "labels", ["doc_id", "toxic"]).where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
     return review.gate(q, decided(q), barred).select(F.col("source_record.id").alias("id"), "decision", "blocked")
 
 
 @query("c07_accepted_rows", f"""WITH {TRAJ} SELECT doc_id::VARCHAR AS id, 'ar' AS language, 'human_qc_accepted' AS stage, len(steps)::INT AS n_steps, array_to_string(list_transform(steps, lambda s: 'ترجمة ' || s), chr(10)) AS response, split, 'reviewer one' AS reviewer
- FROM traj WHERE doc_id % 11 <> 0 AND doc_id % 41 <> 0""")
+ FROM traj WHERE doc_id % 11 <> 0""")
 def c07b(spark, d):
-    q = drafted(spark, d).where("cast(source_record.id AS bigint) % 41 <> 0")
+    q = drafted(spark, d, faults=False)
     none = spark.createDataFrame([], "id STRING")
     gated = review.gate(q, decided(q, faults=False), none)
     return review.accepted_rows(gated).select("id", "language", "stage", F.size("steps").alias("n_steps"), "response", "split", F.col("qc.reviewer").alias("reviewer"))
@@ -210,11 +212,10 @@ def c07b(spark, d):
 
 @query("c03_work_queue")
 def c03(spark, d):
-    rows = trajectories(spark, d).where("doc_id % 7 > 0")
-    staged = staged_docs(spark, d)
-    from evalspark.operators.sampling import greedy_coverage
-    chosen = greedy_coverage(staged, {"train": 8, "dev": 4}, SEED, rows.where("lang = 'fr'").select(F.col("doc_id").cast("string").alias("id")), max_steps=40)
-    return queue_docs(spark, d).join(chosen.select("id"), F.col("source_record.id") == F.col("id"), "left_semi").select(
+    from evalspark.operators.sampling import threshold_split
+    staged = staged_docs(spark, d).withColumn("split", threshold_split(F.col("problem_id"), SEED, 0.2))
+    used = table(spark, d, "documents", ["doc_id", "lang"]).where("lang = 'fr'").select(F.col("doc_id").cast("string").alias("id"))
+    return review.build_queue(staged, {"train": 8, "dev": 4}, SEED, used, max_steps=40).select(
         F.col("source_record.id").alias("id"), "split", F.col("source_record.variant").alias("variant"), "source_record_sha256")
 
 
@@ -250,12 +251,10 @@ def c04c(spark, d):
     return review.draft_report(review.materialize(*draft_payload(spark, d)))
 
 
-@query("c05_review_sheet", f"""WITH {TRAJ}, u AS (SELECT doc_id, split, unnest(range(0, len(steps) + 1)) AS step, text, steps, ratings FROM traj WHERE doc_id % 41 <> 0)
-SELECT doc_id::VARCHAR AS id, split, step::INT AS step, CASE WHEN step = 0 THEN text || ' costs \\[x_' || doc_id || '\\]' ELSE steps[step] END AS source_text, CASE WHEN step > 0 THEN 'ترجمة ' || steps[step]
-  WHEN doc_id % 29 = 0 THEN 'ترجمة ' || replace(text || ' costs \\[x_' || doc_id || '\\]', '\\[x_', '\\[y_') WHEN doc_id % 31 = 0 THEN 'ترجمة ' || text || ' costs \\[x_' || doc_id || '\\] 7' WHEN doc_id % 37 = 0 THEN text || ' costs \\[x_' || doc_id || '\\]'
-  ELSE 'ترجمة ' || text || ' costs \\[x_' || doc_id || '\\]' END AS draft_text, CASE WHEN step > 0 THEN ratings[step] END AS rating FROM u""")
+@query("c05_review_sheet", f"""WITH {TRAJ}, u AS (SELECT doc_id, split, unnest(range(0, len(steps) + 1)) AS step, text, steps, ratings FROM traj)
+SELECT doc_id::VARCHAR AS id, split, step::INT AS step, CASE WHEN step = 0 THEN text || ' costs \\[x_' || doc_id || '\\]' ELSE steps[step] END AS source_text, CASE WHEN step > 0 THEN 'ترجمة ' || steps[step] ELSE 'ترجمة ' || text || ' costs \\[x_' || doc_id || '\\]' END AS draft_text, CASE WHEN step > 0 THEN ratings[step] END AS rating FROM u""")
 def c05(spark, d):
-    return review.review_sheet(drafted(spark, d).where("cast(source_record.id AS bigint) % 41 <> 0")).drop("review_notes")
+    return review.review_sheet(drafted(spark, d, faults=False)).drop("review_notes")
 
 
 @query("c06_decision_template", f"""WITH {TRAJ} SELECT row_number() OVER (ORDER BY doc_id::VARCHAR) AS record_number, doc_id::VARCHAR AS id, split, false AS human_review, 'pending' AS decision, '' AS notes FROM traj""")
@@ -287,10 +286,10 @@ MERGED = f"""{TRAJ}, rows0 AS (SELECT doc_id, lang, split, n, text || ' costs \\
  keyed AS (SELECT *, sha256(regexp_replace(regexp_replace(source_problem, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS k FROM merged)"""
 
 
-@query("c08_merge_gates", f"""WITH {MERGED} SELECT id AS key, 'duplicate_id' AS problem FROM merged GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'quarantined' FROM merged WHERE id::BIGINT % 97 = 5
+@query("c08_merge_gates", f"""WITH {MERGED} SELECT id AS key, 'duplicate_id' AS problem FROM merged GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'quarantined' FROM merged WHERE id::BIGINT IN (SELECT doc_id FROM labels WHERE toxic = 1)
  UNION ALL SELECT k, 'group_leak' FROM keyed GROUP BY k HAVING min(split) <> max(split) UNION ALL SELECT k, 'text_leak' FROM keyed GROUP BY k HAVING min(split) <> max(split)""")
 def c08(spark, d):
-    barred = table(spark, d, "documents", ["doc_id"]).where("doc_id % 97 = 5").select(F.col("doc_id").cast("string").alias("id"))
+    barred = table(spark, d, "labels", ["doc_id", "toxic"]).where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
     return review.merge_problems(merged_docs(spark, d), barred)
 
 
@@ -332,10 +331,10 @@ def c22(spark, d):
     return review.revision_diff(old, new, "doc_id", ["lang", "source"])
 
 
-@query("c22_revision_summary", """SELECT count_if(doc_id % 25 <> 0 AND doc_id % 30 <> 0)::BIGINT AS unchanged, count_if(doc_id % 25 = 0 AND doc_id % 30 <> 0)::BIGINT AS changed, 0::BIGINT AS added, count_if(doc_id % 30 = 0)::BIGINT AS removed FROM documents""")
+@query("c22_revision_summary", """SELECT count_if(doc_id % 25 <> 0 AND source <> 'src3')::BIGINT AS unchanged, count_if(doc_id % 25 = 0 AND source <> 'src3')::BIGINT AS changed, 0::BIGINT AS added, count_if(source = 'src3')::BIGINT AS removed FROM documents""")
 def c22b(spark, d):
     old = table(spark, d, "documents", ["doc_id", "lang", "source"])
-    new = old.where("doc_id % 30 <> 0").withColumn("lang", F.when(F.col("doc_id") % 25 == 0, F.concat("lang", F.lit("x"))).otherwise(F.col("lang")))
+    new = old.where("source <> 'src3'").withColumn("lang", F.when(F.col("doc_id") % 25 == 0, F.concat("lang", F.lit("x"))).otherwise(F.col("lang")))
     return review.revision_summary(old, new, "doc_id", ["lang", "source"])
 
 

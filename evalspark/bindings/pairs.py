@@ -109,7 +109,7 @@ def j08(spark, d):
     return P.work_queue(log.select("problem_id").distinct(), "problem_id", ["english", "arabic"], log)
 
 
-DECISIONS = """decisions AS (SELECT doc_id AS problem_id, 'arabic' AS language, quality AS manual_correct FROM labels WHERE doc_id % 3 = 0),
+DECISIONS = """decisions AS (SELECT doc_id AS problem_id, 'arabic' AS language, quality AS manual_correct FROM labels WHERE quality = 0),
  auto AS (SELECT doc_id AS problem_id, 'arabic' AS language, toxic AS is_correct, (toxic = 1 OR doc_id % 4 = 0)::INT AS flagged FROM labels
   UNION ALL SELECT doc_id, 'english', quality, (doc_id % 6 = 0)::INT FROM labels)"""
 
@@ -119,7 +119,7 @@ def overlay_input(spark, d):
     auto = labels.select(F.col("doc_id").alias("problem_id"), F.inline(F.array(
         F.struct(F.lit("arabic").alias("language"), F.col("toxic").alias("is_correct"), ((F.col("toxic") == 1) | (F.col("doc_id") % 4 == 0)).cast("int").alias("flagged")),
         F.struct(F.lit("english").alias("language"), F.col("quality").alias("is_correct"), (F.col("doc_id") % 6 == 0).cast("int").alias("flagged")))))
-    decisions = labels.where("doc_id % 3 = 0").select(F.col("doc_id").alias("problem_id"), F.lit("arabic").alias("language"), F.col("quality").alias("manual_correct"))
+    decisions = labels.where("quality = 0").select(F.col("doc_id").alias("problem_id"), F.lit("arabic").alias("language"), F.col("quality").alias("manual_correct"))
     return auto, decisions
 
 
@@ -131,11 +131,11 @@ def j09(spark, d):
         "problem_id", "language", "is_correct", "final_correct", "reviewed", "changed")
 
 
-@query("j09_unmatched_decisions", """WITH dec AS (SELECT doc_id % 500 AS doc_id FROM documents WHERE doc_id % 2 = 0)
+@query("j09_unmatched_decisions", """WITH dec AS (SELECT conv_id AS doc_id FROM conversations)
 SELECT doc_id, count(*) AS n_decisions, (SELECT count(*) FROM labels l WHERE l.doc_id = dec.doc_id) AS n_rows FROM dec GROUP BY doc_id
 HAVING count(*) <> 1 OR n_rows <> 1""")
 def j09b(spark, d):
-    decisions = table(spark, d, "documents", ["doc_id"]).where("doc_id % 2 = 0").select((F.col("doc_id") % 500).alias("doc_id"))
+    decisions = table(spark, d, "conversations", ["conv_id"]).select(F.col("conv_id").alias("doc_id"))
     return P.unmatched_decisions(table(spark, d, "labels"), decisions, ["doc_id"])
 
 
@@ -185,12 +185,12 @@ def j14(spark, d):
     return checks.row_differences(a, b)
 
 
-@query("j15_anchor_check", """WITH now AS (SELECT doc_id, sha256(text || lang) AS h FROM documents WHERE doc_id % 20 <> 7),
+@query("j15_anchor_check", """WITH now AS (SELECT doc_id, sha256(text || lang) AS h FROM documents WHERE source <> 'src7'),
  old AS (SELECT doc_id, sha256(text || CASE WHEN doc_id % 20 = 3 THEN 'xx' ELSE lang END) AS h FROM documents)
 SELECT old.doc_id, CASE WHEN now.h IS NULL THEN 'missing' ELSE 'changed' END AS problem FROM old LEFT JOIN now USING (doc_id) WHERE now.h IS DISTINCT FROM old.h""")
 def j15(spark, d):
-    docs = table(spark, d, "documents", ["doc_id", "text", "lang"])
-    now = docs.where("doc_id % 20 <> 7").select("doc_id", F.sha2(F.concat("text", "lang"), 256).alias("h"))
+    docs = table(spark, d, "documents", ["doc_id", "text", "lang", "source"])
+    now = docs.where("source <> 'src7'").select("doc_id", F.sha2(F.concat("text", "lang"), 256).alias("h"))
     old = docs.select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 20 == 3, "xx").otherwise(F.col("lang"))), 256).alias("h"))
     return checks.changed_rows(now, old, "doc_id", "h").select("doc_id", "problem")
 

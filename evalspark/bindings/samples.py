@@ -19,11 +19,11 @@ def w06(spark, d):
     return S.group_reservoir(keyed(spark, d), "problem_id", 100, SEED).select("problem_id", "priority")
 
 
-@query("w06_anchored_reservoir", f"""WITH {KEYS}, anchors AS (SELECT DISTINCT problem_id FROM keys WHERE doc_id % 50 = 0), g AS (SELECT DISTINCT problem_id FROM keys)
+@query("w06_anchored_reservoir", f"""WITH {KEYS}, anchors AS (SELECT DISTINCT problem_id FROM keys WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), g AS (SELECT DISTINCT problem_id FROM keys)
 SELECT problem_id, problem_id IN (SELECT problem_id FROM anchors) AS anchored FROM g ORDER BY 2 DESC, sha256('{SEED}:reservoir:' || problem_id) LIMIT 2100""")
 def w06b(spark, d):
     rows = keyed(spark, d)
-    anchors = rows.where("doc_id % 50 = 0").select("problem_id", F.lit("dev").alias("split")).distinct()
+    anchors = rows.join(table(spark, d, "labels", ["doc_id", "toxic"]).where("toxic = 1"), "doc_id", "left_semi").select("problem_id", F.lit("dev").alias("split")).distinct()
     return S.group_reservoir(rows, "problem_id", 2100, SEED, anchors).select("problem_id", "anchored")
 
 

@@ -32,11 +32,11 @@ def a06(spark, d):
     return shown(with_score_summary(rows).drop("step_scores"))
 
 
-@query("a07_retention", f"""WITH {SCORES}, g AS (SELECT avg(score) FILTER (category='click') - avg(score) FILTER (category<>'click') AS gap, avg(score) FILTER (category='click' AND event_id%2=0) - avg(score) FILTER (category<>'click' AND event_id%2=0) AS baseline_gap FROM scores)
+@query("a07_retention", f"""WITH {SCORES}, g AS (SELECT avg(score) FILTER (category='click') - avg(score) FILTER (category<>'click') AS gap, avg(score*score) FILTER (category='click') - avg(score*score) FILTER (category<>'click') AS baseline_gap FROM scores)
 SELECT round(gap,6) AS gap, round(baseline_gap,6) AS baseline_gap, round(gap-baseline_gap,6) AS change, round(gap/baseline_gap,4) AS retained FROM g""")
 def a07(spark, d):
     rows = scores(spark, d)
-    return shown(A.retention(rows, "category", "score", "click", rows.where("event_id % 2 = 0"))).withColumn("retained", F.round("retained", 4))
+    return shown(A.retention(rows, "category", "score", "click", rows.withColumn("score", F.col("score") * F.col("score")))).withColumn("retained", F.round("retained", 4))
 
 
 @query("a08_problem_gaps", f"""WITH {SCORES} SELECT problem_id, round(avg(score) FILTER (category='click'),6) AS correct_score, round(avg(score) FILTER (category<>'click'),6) AS incorrect_mean, round(avg(score) FILTER (category='click') - avg(score) FILTER (category<>'click'),6) AS gap FROM scores GROUP BY 1""")

@@ -52,10 +52,10 @@ def c11(spark, d):
     return benchmark.clean_sample(matched, "doc_id", 50, SEED).select("doc_id", F.col("problem_id").cast("bigint").alias("problem_id"))
 
 
-@query("c21_audit_overlay", """WITH a AS (SELECT item_id AS doc_id, CASE WHEN item_id % 2 = 0 THEN 'AMBIGUOUS' ELSE 'WRONG_GOLD' END AS s FROM benchmark WHERE item_id % 4 < 2)
+@query("c21_audit_overlay", """WITH a AS (SELECT item_id AS doc_id, CASE WHEN item_id % 2 = 0 THEN 'AMBIGUOUS' ELSE 'WRONG_GOLD' END AS s FROM benchmark WHERE length(text) > 150)
 SELECT coalesce(s, 'OK') AS audit_status, count(*) AS n_rows FROM documents LEFT JOIN a USING (doc_id) GROUP BY 1""")
 def c21(spark, d):
-    audit = table(spark, d, "benchmark", ["item_id"]).where("item_id % 4 < 2").select(F.col("item_id").alias("doc_id"), F.when(F.col("item_id") % 2 == 0, "AMBIGUOUS").otherwise("WRONG_GOLD").alias("audit_status"), F.lit("see note").alias("audit_note"))
+    audit = table(spark, d, "benchmark", ["item_id", "text"]).where("length(text) > 150").select(F.col("item_id").alias("doc_id"), F.when(F.col("item_id") % 2 == 0, "AMBIGUOUS").otherwise("WRONG_GOLD").alias("audit_status"), F.lit("see note").alias("audit_note"))
     return A.value_counts(benchmark.audit_overlay(table(spark, d, "documents", ["doc_id"]), audit, "doc_id"), "audit_status")
 
 
@@ -68,13 +68,13 @@ def c14(spark, d):
 
 
 POLICIES = ("corrections", "whitelist", "flagged_wrong", "semantic")
-DEC = f"{FLAGS}, dec AS (SELECT problem_id, language, (o_custkey % 2)::INT AS manual FROM scored WHERE problem_id % 10 = 3 OR problem_id % 9 = 0), j AS (SELECT s.*, manual FROM scored s LEFT JOIN dec USING (problem_id, language))"
+DEC = f"{FLAGS}, dec AS (SELECT problem_id, language, (o_custkey % 2)::INT AS manual FROM scored WHERE status = 'error'), j AS (SELECT s.*, manual FROM scored s LEFT JOIN dec USING (problem_id, language))"
 FINAL = {"corrections": "coalesce(manual, is_correct)", "whitelist": "CASE WHEN needs_manual_review = 1 THEN coalesce(manual, 0) ELSE is_correct END",
          "flagged_wrong": "CASE WHEN needs_manual_review = 1 THEN 0 ELSE is_correct END", "semantic": "coalesce(manual, CASE WHEN needs_manual_review = 1 THEN 0 ELSE is_correct END)"}
 
 
 def decisions(spark, d):
-    return flagged(spark, d).where("problem_id % 10 = 3 OR problem_id % 9 = 0").select("problem_id", "language", (F.col("o_custkey") % 2).cast("int").alias("manual_correct"))
+    return flagged(spark, d).where("status = 'error'").select("problem_id", "language", (F.col("o_custkey") % 2).cast("int").alias("manual_correct"))
 
 
 @query("c15_adjudication_policies", f"WITH {DEC} SELECT problem_id, language, " + ", ".join(f"({FINAL[p]})::INT AS {p}" for p in POLICIES) + " FROM j")
@@ -145,13 +145,13 @@ def a09b(spark, d):
     return shown(A.trajectory_gap(step_records(spark, d), "variant", "trajectory_score"))
 
 
-@query("a10_metric_deltas", f"""WITH {STEPS}, m AS (SELECT doc_id % 2 AS h, avg(p) FILTER (r = 1) AS v, avg(p) FILTER (r = -1) AS i FROM pr WHERE r <> 0 GROUP BY 1), x AS (SELECT 'mean_valid' AS metric, max(v) FILTER (h=0) AS baseline, max(v) FILTER (h=1) AS current FROM m UNION ALL SELECT 'mean_invalid', max(i) FILTER (h=0), max(i) FILTER (h=1) FROM m)
+@query("a10_metric_deltas", f"""WITH {STEPS}, m AS (SELECT (doc_id % 5 = 0)::INT AS h, avg(p) FILTER (r = 1) AS v, avg(p) FILTER (r = -1) AS i FROM pr WHERE r <> 0 GROUP BY 1), x AS (SELECT 'mean_valid' AS metric, max(v) FILTER (h=0) AS baseline, max(v) FILTER (h=1) AS current FROM m UNION ALL SELECT 'mean_invalid', max(i) FILTER (h=0), max(i) FILTER (h=1) FROM m)
 SELECT metric, round(baseline,6) AS baseline, round(current,6) AS current, round(current-baseline,6) AS difference, abs(current-baseline) < 0.02 AS within_tolerance FROM x""")
 def a10(spark, d):
     rows = step_records(spark, d)
-    def metrics(half):
-        return A.metric_rows(A.step_metrics(rows.where(F.col("doc_id") % 2 == half), "step_probs", "step_labels").select("mean_valid", "mean_invalid"))
-    return shown(A.metric_deltas(metrics(1), metrics(0), 0.02))
+    def metrics(split):
+        return A.metric_rows(A.step_metrics(rows.where(F.col("split") == split), "step_probs", "step_labels").select("mean_valid", "mean_invalid"))
+    return shown(A.metric_deltas(metrics("dev"), metrics("train"), 0.02))
 
 
 @query("a11_best_run", """WITH h AS (SELECT event_type, (user_id % 10)::INT AS epoch, max(value) AS metric FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY metric DESC, epoch) AS rk FROM h) SELECT event_type, epoch, round(metric,6) AS metric FROM r WHERE rk = 1""")
@@ -182,10 +182,10 @@ def c18b(spark, d):
 
 
 @query("c24_row_replacement", f"""WITH {RESPONSES}, k AS (SELECT problem_id, language, coalesce(generated_response, '') AS response FROM responses)
-SELECT problem_id, language, CASE WHEN problem_id % 500 = 7 THEN 'FINAL ANSWER: 1' ELSE response END AS response FROM k""")
+SELECT problem_id, language, CASE WHEN response = '' THEN 'FINAL ANSWER: 1' ELSE response END AS response FROM k""")
 def c24(spark, d):
     rows = responses(spark, d).select("problem_id", "language", F.coalesce("generated_response", F.lit("")).alias("response"))
-    repaired = rows.where("problem_id % 500 = 7").select("problem_id", "language", F.lit("FINAL ANSWER: 1").alias("response"))
+    repaired = rows.where("response = ''").select("problem_id", "language", F.lit("FINAL ANSWER: 1").alias("response"))
     return scoring.replace_rows(rows, repaired, ["problem_id", "language"], "response")
 
 

@@ -203,11 +203,11 @@ def p21(spark, d):
 
 
 @query("p22_exact_set_gate", f"""WITH {FLAGS}, s AS (SELECT DISTINCT problem_id, language FROM scored WHERE needs_manual_review = 1 AND is_correct = 1),
- e AS (SELECT DISTINCT problem_id, language FROM scored WHERE problem_id % 3 = 0 AND o_custkey % 8 > 0)
+ e AS (SELECT DISTINCT problem_id, language FROM scored WHERE needs_manual_review = 1 AND status = 'success')
 SELECT problem_id, language, CASE WHEN l IS NULL THEN 'only_expected' ELSE 'only_scored' END AS side FROM (SELECT *, 1 AS l FROM s) FULL JOIN (SELECT *, 1 AS r FROM e) USING (problem_id, language) WHERE l IS NULL OR r IS NULL""")
 def p22(spark, d):
     rows = flagged(spark, d)
-    return scoring.flagged_correct_problems(rows, rows.where("problem_id % 3 = 0 AND o_custkey % 8 > 0"), ["problem_id", "language"])
+    return scoring.flagged_correct_problems(rows, rows.where("needs_manual_review = 1 AND status = 'success'"), ["problem_id", "language"])
 
 
 # ------------------------------------------------------------------ sets
@@ -235,11 +235,11 @@ def u04(spark, d):
     return P.compose_exclusions(exclusion_sets(spark, d), SCENARIOS).select("scenario", "id")
 
 
-@query("u06_snapshot_comparison", """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 997 <> 0)
+@query("u06_snapshot_comparison", """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderstatus <> 'P')
 SELECT *, 'only_left' AS side FROM (SELECT o_orderkey, o_orderstatus FROM orders EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'only_right' FROM (SELECT * FROM b EXCEPT ALL SELECT o_orderkey, o_orderstatus FROM orders)""")
 def u06(spark, d):
     a = table(spark, d, "orders", ["o_orderkey", "o_orderstatus"])
-    b = a.where("o_orderkey % 997 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 1000 == 1, "X").otherwise(F.col("o_orderstatus")))
+    b = a.where("o_orderstatus <> 'P'").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 1000 == 1, "X").otherwise(F.col("o_orderstatus")))
     return checks.row_differences(a, b)
 
 

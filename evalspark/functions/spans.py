@@ -11,7 +11,9 @@ ARABIC_BLOCK = r"[\x{0600}-\x{06FF}]"
 
 
 def protected_spans(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(PROTECTED), F.lit(1))
+    """Spans in order. Every kind of span holds a dollar sign or a bracket, so most texts skip the pattern."""
+    return F.when(c.contains("$") | c.contains("["), F.regexp_extract_all(c, F.lit(PROTECTED), F.lit(1))) \
+        .when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def has_arabic(c: Column) -> Column:
@@ -47,7 +49,11 @@ def fill_template(draft: Column, spans: Column) -> Column:
 def restore_problem(source: Column, draft: Column) -> Column:
     """Name of the first broken preservation rule, null when the draft restores cleanly (F-14)."""
     spans = protected_spans(source)
-    restored = fill_template(draft, spans)
+    return placed_problem(source, draft, spans, fill_template(draft, spans))
+
+
+def placed_problem(source: Column, draft: Column, spans: Column, restored: Column) -> Column:
+    """The same with the spans and the restored text already at hand."""
     return F.when(draft.isNull() | ~draft.rlike(r"\S"), "empty_translation") \
         .when(~tokens_in_order(draft, spans), "protected_tokens_mismatch") \
         .when(protected_spans(restored) != spans, "protected_spans_changed") \

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.operators.ranges import with_scalars
+from evalspark.session import shuffle_width
 
 DRAW_HEX = 12       # hex digits of the digest used for one draw: 48 bits
 REPLICATES_PER_TASK = 2048
@@ -26,7 +27,8 @@ def _draw(seed: int, replicate: Column, slot: Column) -> Column:
 
 
 def _replicates(df: DataFrame, count: int) -> DataFrame:
-    return df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    """Every slot times every replicate. The narrow slots are spread first: the expansion is count times larger."""
+    return df.repartition(shuffle_width(df.sparkSession)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
 
 
 def value_counts_row(df: DataFrame, value: str, limit: int = 100_000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.digests import canonical_digest, normalized_text, table_digest
-from evalspark.functions.spans import apply_rules, recheck_problem, restore_problem, restored_text
+from evalspark.functions.spans import apply_rules, fill_template, placed_problem, protected_spans, recheck_problem
 from evalspark.functions.steps import reviewed_steps_to_text, supervision_valid
 from evalspark.functions.text import is_digest, is_filled, is_iso_date
 from evalspark.operators.checks import (
@@ -19,6 +19,7 @@ from evalspark.operators.checks import (
 from evalspark.operators.ranges import digest_ranks, with_scalars
 from evalspark.operators.sampling import greedy_coverage
 from evalspark.operators.scores import supervision_summary
+from evalspark.session import computed_once
 
 RULES_TYPE = "array<struct<find:string,repl:string>>"
 
@@ -116,23 +117,26 @@ def materialize(queue: DataFrame, lock: DataFrame, drafts: DataFrame, rules: Dat
     placed = drafts.join(keyed, ["split", "index"]).select(
         F.col("id").alias("_id"), F.col("problem").alias("_dp"), F.col("steps").alias("_ds"), F.col("review_notes").alias("_dn"))
     rows = _with_rules(queue.join(placed, F.col("source_record.id") == F.col("_id")), rules, "source_record.id")
-    rows = rows.withColumn("_sp", _comparison_copy(F.col("source_record.problem"), 0)).withColumn(
-        "_ss", F.transform("source_record.steps", lambda s, i: _comparison_copy(s, i + 1)))
-    pairs = F.arrays_zip(F.col("_ss").alias("s"), F.col("_ds").alias("d"))
-    step_problem = F.try_element_at(F.filter(F.transform(pairs, lambda p: restore_problem(p["s"], p["d"])),
-                                             lambda x: x.isNotNull()), F.lit(1))
-    problem = F.when(F.size("_ds") != F.size("_ss"), F.lit("step_count_changed")).otherwise(
-        F.coalesce(restore_problem(F.col("_sp"), F.col("_dp")), step_problem))
-    return rows.withColumn("draft_problem", problem).withColumn("translation", F.struct(
-        F.col("translation.target_language").alias("target_language"),
-        F.when(F.col("draft_problem").isNull(), "draft_automated_checks_passed").otherwise("pending").alias("status"),
-        restored_text(F.col("_sp"), F.col("_dp")).alias("problem"),
-        F.transform(pairs, lambda p: restored_text(p["s"], p["d"])).alias("steps"), F.col("_dn").alias("review_notes"))) \
+    # Entry 0 is the problem text; every layer reads the one before it, so each text is restored once.
+    sources = F.concat(F.array(F.col("source_record.problem")), F.col("source_record.steps"))
+    compared = F.transform(sources, lambda s, i: _comparison_copy(s, i))
+    paired = F.zip_with(compared, F.concat(F.array("_dp"), F.col("_ds")), lambda s, d: F.struct(s.alias("s"), d.alias("d"), protected_spans(s).alias("spans")))
+    filled = F.transform(paired, lambda x: F.struct(x["s"].alias("s"), x["d"].alias("d"), x["spans"].alias("spans"),
+                                                    fill_template(x["d"], x["spans"]).alias("text")))
+    judged = F.transform(filled, lambda x: F.struct(x["text"].alias("text"), x["s"].alias("s"), placed_problem(x["s"], x["d"], x["spans"], x["text"]).alias("problem")))
+    rows = computed_once(rows.withColumn("_sources", sources), _j=judged)
+    first = F.try_element_at(F.filter(F.transform("_j", lambda x: x["problem"]), lambda x: x.isNotNull()), F.lit(1))
+    problem = F.when(F.size("_ds") != F.size("source_record.steps"), F.lit("step_count_changed")).otherwise(first)
+    texts = F.transform("_j", lambda x: x["text"])
+    changed = F.zip_with("_j", "_sources", lambda x, s: x["s"] != s)
+    return rows.withColumn("draft_problem", problem).withColumn("normalized_steps", F.size(F.filter(changed, lambda x: x))) \
+        .withColumn("translation", F.struct(
+            F.col("translation.target_language").alias("target_language"),
+            F.when(F.col("draft_problem").isNull(), "draft_automated_checks_passed").otherwise("pending").alias("status"),
+            F.element_at(texts, 1).alias("problem"), F.slice(texts, 2, F.size("_ds")).alias("steps"), F.col("_dn").alias("review_notes"))) \
         .withColumn("qc", F.struct(F.lit("pending_human_review").alias("status"), F.lit(None).cast("string").alias("reviewer"),
                                    F.lit(None).cast("string").alias("decision"), F.lit(None).cast("string").alias("notes"))) \
-        .withColumn("normalized_steps", F.size(F.filter(F.arrays_zip(F.col("_ss").alias("a"), F.col("source_record.steps").alias("b")),
-                                                        lambda c: c["a"] != c["b"]))) \
-        .drop("_id", "_dp", "_ds", "_dn", "_rules", "_sp", "_ss")
+        .drop("_id", "_dp", "_ds", "_dn", "_rules", "_sources", "_j")
 
 
 def draft_report(materialized: DataFrame) -> DataFrame:
@@ -183,9 +187,9 @@ def gate(queue: DataFrame, decisions: DataFrame, quarantined: DataFrame, rules:
     rows = with_scalars(_with_rules(rows, rules, "source_record.id"), actual)
     s, t = F.col("source_record"), F.col("translation")
     accept = F.col("decision") == "accept"
-    pairs = F.arrays_zip(F.transform(s["steps"], lambda x, i: _comparison_copy(x, i + 1)).alias("s"), t["steps"].alias("d"))
-    text_problem = F.coalesce(recheck_problem(_comparison_copy(s["problem"], 0), t["problem"]), F.try_element_at(
-        F.filter(F.transform(pairs, lambda p: recheck_problem(p["s"], p["d"])), lambda x: x.isNotNull()), F.lit(1)))
+    compared = F.transform(F.concat(F.array(s["problem"]), s["steps"]), lambda x, i: _comparison_copy(x, i))
+    checked = F.zip_with(compared, F.concat(F.array(t["problem"]), t["steps"]), lambda x, y: recheck_problem(x, y))
+    rows = computed_once(rows, _text_problem=F.try_element_at(F.filter(checked, lambda x: x.isNotNull()), F.lit(1)))
     blocked = first_reason([
         (F.col("_did").isNull() | (F.col("_n") != 1), "not_exactly_one_decision"),
         (~F.col("_bound").eqNullSafe(F.col("_actual")), "other_review_queue"),
@@ -201,8 +205,8 @@ def gate(queue: DataFrame, decisions: DataFrame, quarantined: DataFrame, rules:
         (accept & ~F.coalesce(t["status"] == "draft_automated_checks_passed", F.lit(False)), "draft_checks_not_passed"),
         (accept & ((F.size(t["steps"]) != F.size(s["steps"])) | F.exists(t["steps"], lambda x: ~is_filled(x))), "incomplete_steps"),
     ])
-    return rows.withColumn("blocked", F.coalesce(blocked, F.when(accept, text_problem))) \
-        .drop("_did", "_n", "_bound", "_actual", "_now", "_qid", "_rules")
+    return rows.withColumn("blocked", F.coalesce(blocked, F.when(accept, F.col("_text_problem")))) \
+        .drop("_did", "_n", "_bound", "_actual", "_now", "_qid", "_rules", "_text_problem")
 
 
 def unknown_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from evalspark.functions.steps import first_position, labels_from_ratings, mask_
 from evalspark.operators.checks import CheckFailed, changed_rows, first_reason, leaking_groups, require_empty, staged_problem
 from evalspark.operators.pairs import first_per_key
 from evalspark.operators.sampling import check_reservoir, collect_groups, group_reservoir, ranked_group_sample
-from evalspark.session import ensure_checkpoint_dir
+from evalspark.session import computed_once, cut_lineage
 
 # Leaves whose JSON type matters (1, 1.0, true and "1" are different ratings) stay VARIANT.
 TRACE_SCHEMA = """STRUCT<
@@ -53,7 +53,7 @@ def parse_traces(lines: DataFrame, line: str = "line") -> DataFrame:
     steps: array of (chosen, choice_given, human, completions: array of (text, rating, flagged)).
     """
     t = F.from_json(F.col(line), TRACE_SCHEMA)
-    parsed = _computed_once(lines, _t=t)
+    parsed = computed_once(lines, _t=t)
     steps = F.transform("_t.label.steps", lambda s: F.struct(
         (~_absent(s["chosen_completion"])).alias("choice_given"),
         _whole(s["chosen_completion"]).alias("chosen"),
@@ -71,13 +71,12 @@ def parse_traces(lines: DataFrame, line: str = "line") -> DataFrame:
                F.try_variant_get(generated, "$", "array<string>")).alias("generated"),
         steps.alias("rated_steps"),
         _whole(F.col("_t.generation")).alias("generation"),
-        F.col("_t.label.steps").isNull().alias("_no_steps"))
+        (F.col("_t.label.steps").isNull() | F.exists("_t.label.steps", lambda s: s["completions"].isNull())).alias("misshapen"))
 
 
 def malformed_traces(parsed: DataFrame) -> DataFrame:
     """Lines whose structure is not a trace at all; these stop a run instead of being counted."""
-    return parsed.where(~F.col("screening") & (F.col("_no_steps") | F.exists(
-        "rated_steps", lambda s: s["completions"].isNull())))
+    return parsed.where(~F.col("screening") & F.coalesce(F.col("misshapen"), F.lit(True)))
 
 
 def _extend(x: Column, names: tuple[str, ...], **more: Column) -> Column:
@@ -131,19 +130,9 @@ def _judged(generated: Column) -> Column:
             F.transform(x["matches"], lambda j: j.cast("int"))).alias("matching")))
 
 
-def _computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Columns that filters and projections above must not inline.
-
-    A filter on a projected column is pushed below the projection together with the whole expression, which
-    would parse and judge every line again per use. A generator with exactly one output row stops that.
-    """
-    cell = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
-    return df.select("*", F.inline(cell))
-
-
 def classify(parsed: DataFrame) -> DataFrame:
     """Add ``reason`` (null when eligible), the judged steps and the derived arrays (P-14)."""
-    judged = _computed_once(parsed, judged=_judged(F.col("generated")))
+    judged = computed_once(parsed, judged=_judged(F.col("generated")))
     judged = judged.withColumn("ratings", F.transform("judged", lambda j: j["rating"])) \
         .withColumn("first_error_step", first_position(F.col("ratings"), F.lit(-1)))
     step_reason = F.try_element_at(F.filter(F.transform("judged", lambda j: j["reason"]), lambda r: r.isNotNull()), F.lit(1))
@@ -188,26 +177,15 @@ def stage(classified: DataFrame, row_id: Column, revision: str, source_file: str
             (F.size("generated") - F.size("judged")).alias("unlabeled_tail_steps")).alias("source_metadata"))
 
 
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    """Keep the converted rows in the cluster's shared checkpoint folder: parsed once, survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        return df
-    return df.checkpoint(eager=True)
-
-
 def ingest(lines: DataFrame, groups: int, seed: int, dev_fraction: float, revision: str, source_file: str,
-           source: str = "step_rated_traces", keep: bool = True) -> dict[str, DataFrame]:
+           source: str = "step_rated_traces") -> dict[str, DataFrame]:
     """Bounded ingestion (C-01): staged rows with split, exclusion counts, selection.
 
     ``lines`` has (line, line_number), usually from ``bounded_prefix``. Duplicate row ids keep the first line.
     """
-    parsed = parse_traces(lines)
-    require_empty(malformed_traces(parsed).select("line_number"), "unexpected trace structure")
-    classified = classify(parsed)
+    classified = cut_lineage(classify(parse_traces(lines)).drop("rated_steps"))
+    require_empty(malformed_traces(classified).select("line_number"), "unexpected trace structure")
     converted = stage(classified, raw_row_id(F.col("line")), revision, source_file, source)
-    if keep:
-        converted = _cut_lineage(converted)
     selected = ranked_group_sample(converted, "problem_id", groups, seed, dev_fraction)
     rows = first_per_key(converted.join(selected.select("problem_id", "split"), "problem_id"), ["id"],
                          [F.col("source_metadata.line")]).drop("n_versions")
@@ -239,16 +217,15 @@ def split_lock_table(lock: DataFrame, revision: str) -> DataFrame:
 def sample_groups(lines: DataFrame, groups: int, seed: int, dev_fraction: float, revision: str, source_file: str,
                   source: str = "step_rated_traces", prior: DataFrame | None = None, lock: DataFrame | None = None,
                   unicode_form: bool = True) -> dict[str, DataFrame]:
-    """Full-source group sample (C-02): one parse, kept; selection and collection read the kept rows.
+    """Full-source group sample (C-02): one parse, kept; gates, selection and collection read the kept rows.
 
     ``prior`` (staged rows with split) or ``lock`` (problem_id, split) anchors earlier assignments.
     """
     if prior is not None and lock is not None:
         raise CheckFailed("use either prior records or a split lock")
-    parsed = parse_traces(lines)
-    require_empty(malformed_traces(parsed).select("line_number"), "unexpected trace structure")
-    classified = classify(parsed)
-    converted = _cut_lineage(first_per_key(
+    classified = cut_lineage(classify(parse_traces(lines)).drop("rated_steps"))
+    require_empty(malformed_traces(classified).select("line_number"), "unexpected trace structure")
+    converted = cut_lineage(first_per_key(
         stage(classified, raw_row_id(F.col("line")), revision, source_file, source, unicode_form), ["id"],
         [F.col("source_metadata.line")]))
     unique = converted.drop("n_versions")

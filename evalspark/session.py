@@ -1,5 +1,8 @@
-"""Session settings the library is designed for."""
-from pyspark.sql import SparkSession
+"""Session settings the library is designed for, and plan helpers that depend on them."""
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "evalspark", master: str | None = None, shuffle_partitions: int | None = None,
@@ -30,15 +33,37 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir.
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names in spark.checkpoint.dir.
 
-    ``fallback`` is taken only when the cluster names none (tests on one machine).
+    Only a local master without that setting (tests on one machine) gets a folder of its own; a cluster that
+    names none gets none.
     """
-    current = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted and context.master.startswith("local"):
+        wanted = tempfile.mkdtemp(prefix="evalspark-checkpoints-")
     if wanted:
-        spark.sparkContext.setCheckpointDir(wanted)
+        context.setCheckpointDir(wanted)
     return wanted
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Rows kept in the shared checkpoint folder: computed once, and a lost executor costs a re-read only.
+
+    Without such a folder the plan stays as it is and is recomputed per use.
+    """
+    return df.checkpoint(eager=True) if ensure_checkpoint_dir(df.sparkSession) else df
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that filters and projections above must not inline.
+
+    A filter on a projected column is pushed below the projection together with the whole expression, which
+    would evaluate it again per use. A generator with exactly one output row stops that.
+    """
+    cell = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(cell))
