@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.sources.readers import table
+from evalspark.sources.readers import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,7 +92,7 @@ SCORES = """scores AS (SELECT event_id, user_id AS problem_id, event_type AS cat
 # ---------------------------------------------------------------- stored responses
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """Response texts of twelve shapes derived from orders: one row per (problem, language)."""
-    o = table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+    o = spread(table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]), "o_orderkey")
     base = o.selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "o_orderkey div 2 AS problem_id",
                         "CASE WHEN o_orderkey % 2 = 0 THEN 'english' ELSE 'arabic' END AS language",
                         "cast((o_orderkey div 2 + 5 * (o_orderkey % 2)) % 12 AS int) AS shape",
@@ -170,7 +170,7 @@ def sql_norm(x: str, percent: bool = False) -> str:
 # ---------------------------------------------------------------- trajectories from documents
 def trajectories(spark: SparkSession, d: str) -> DataFrame:
     """Documents as staged trajectories: lines are steps, ratings from line lengths, cut after the first -1."""
-    docs = table(spark, d, "documents", ["doc_id", "text", "lang", "source"])
+    docs = spread(table(spark, d, "documents", ["doc_id", "text", "lang", "source"]), "doc_id")
     lines = F.split("text", "\n", -1)
     rated = docs.withColumn("_all", lines).withColumn("_r", F.transform("_all", lambda s: (F.length(s) % 3 - 1).cast("int")))
     first = F.array_position("_r", F.lit(-1)).cast("int")

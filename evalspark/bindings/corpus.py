@@ -1,7 +1,7 @@
 """Trace ingestion, review gate, merge and audits on documents."""
 from pyspark.sql import functions as F
 
-from evalspark.bindings.base import TRAJ, query, shown, table, trajectories
+from evalspark.bindings.base import TRAJ, query, shown, spread, table, trajectories
 from evalspark.bindings.samples import SEED, SIG, SPLIT
 from evalspark.functions.digests import canonical_digest, group_key, table_digest
 from evalspark.functions.spans import to_template
@@ -15,7 +15,7 @@ from evalspark.plans import pilot, review, traces
 
 
 def trace_lines(spark, d):
-    docs = table(spark, d, "documents", ["doc_id", "text"])
+    docs = spread(table(spark, d, "documents", ["doc_id", "text"]), "doc_id")
     lines = F.split("text", "\n", -1)
     i = F.col("doc_id")
     base = docs.withColumn("all_steps", lines).withColumn("r", F.transform("all_steps", lambda s: (F.length(s) % 3 - 1).cast("int"))) \
@@ -352,7 +352,7 @@ def c23(spark, d):
 
 def pilot_records(spark, d):
     """One pair per conversation turn of a user, numbered by the event of the same rank."""
-    return pilot.generate_pairs(table(spark, d, "events", ["event_id"]).select((F.col("event_id") + 1).alias("pair_number")), SEED)
+    return pilot.generate_pairs(spread(table(spark, d, "events", ["event_id"]), "event_id").select((F.col("event_id") + 1).alias("pair_number")), SEED)
 
 
 KINDS = "['arithmetic', 'operation_substitution', 'operand_substitution', 'intermediate_corruption', 'unit_conversion', 'premature_conclusion', 'semantic_logical']"

@@ -1,7 +1,7 @@
 """Numbers, answers, spans, digests, step functions on orders, pages and documents."""
 from pyspark.sql import functions as F
 
-from evalspark.bindings.base import RESPONSES, TRAJ, query, responses, shown, sql_canon, sql_digits, sql_norm, sql_strip, table, trajectories
+from evalspark.bindings.base import RESPONSES, TRAJ, query, responses, shown, spread, sql_canon, sql_digits, sql_norm, sql_strip, table, trajectories
 from evalspark.functions import answers, digests, numbers as N, spans, steps as S, text as X
 from evalspark.plans import scoring
 
@@ -186,7 +186,7 @@ TEMPLATE = "(SELECT string_agg(coalesce(p[i], '') || CASE WHEN i <= len(f) THEN
 
 
 def spanned(spark, d):
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.concat(
+    return spread(table(spark, d, "documents", ["doc_id", "text"]), "doc_id").select("doc_id", F.concat(
         F.lit("Step "), "text", F.lit(" costs $x_"), F.col("doc_id").cast("string"), F.lit("\\$^2$ and \\[y="), (F.col("doc_id") % 7).cast("string"),
         F.lit("\\] then $$z\n$$ [* { id: \"5\" }] end")).alias("src"))
 
@@ -243,13 +243,13 @@ def f17(spark, d):
 
 @query("f18_group_key", "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS group_key FROM documents")
 def f18(spark, d):
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", digests.group_key(F.col("text"), unicode_form=False).alias("group_key"))
+    return spread(table(spark, d, "documents", ["doc_id", "text"]), "doc_id").select("doc_id", digests.group_key(F.col("text"), unicode_form=False).alias("group_key"))
 
 
 @query("f18_group_key_nfkc", "SELECT doc_id, sha256(nfc_normalize(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))) AS group_key FROM documents")
 def f18b(spark, d):
     # The texts hold no compatibility characters, so NFC gives the same text as NFKC here.
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", digests.group_key(F.col("text")).alias("group_key"))
+    return spread(table(spark, d, "documents", ["doc_id", "text"]), "doc_id").select("doc_id", digests.group_key(F.col("text")).alias("group_key"))
 
 
 @query("f19_canonical_digest", """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"labels":[' || (doc_id % 3) || ',null],"meta":{"lang":' || to_json(lang)::VARCHAR || ',"none":null},"text":' || to_json(text)::VARCHAR || '}') AS digest FROM documents""")

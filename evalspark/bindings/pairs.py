@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from evalspark.bindings.base import (
-    LONG, MODELS, PAIRS, RESPONSES, SCENARIOS, SETS, SIDES, WIDE, exclusion_sets, query, responses, results_long, shown, table,
+    LONG, MODELS, PAIRS, RESPONSES, SCENARIOS, SETS, SIDES, WIDE, exclusion_sets, query, responses, results_long, shown, spread, table,
 )
 from evalspark.operators import checks, pairs as P, resample, stats
 from evalspark.plans import study
@@ -164,7 +164,7 @@ SPACE = "regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', '
 SELECT problem_id, min(split) AS first_split, max(split) AS last_split, count(*) AS n_rows FROM t GROUP BY 1 HAVING min(split) <> max(split)""")
 def j12(spark, d):
     from evalspark.functions.digests import group_key
-    docs = table(spark, d, "documents", ["doc_id", "text"]).select(
+    docs = spread(table(spark, d, "documents", ["doc_id", "text"]), "doc_id").select(
         group_key(F.col("text"), unicode_form=False).alias("problem_id"), F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train").alias("split"))
     return checks.leaking_groups(docs, "problem_id", "split")
 

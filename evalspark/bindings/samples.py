@@ -1,7 +1,7 @@
 """Sampling and splitting on documents and conversations."""
 from pyspark.sql import functions as F
 
-from evalspark.bindings.base import TRAJ, query, table, trajectories
+from evalspark.bindings.base import TRAJ, query, spread, table, trajectories
 from evalspark.functions.digests import group_key, seeded
 from evalspark.operators import ranges, sampling as S
 
@@ -11,7 +11,7 @@ SPLIT = f"CASE WHEN sha256('{SEED}:split:' || problem_id) < '33333333333334' ||
 
 
 def keyed(spark, d):
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", group_key(F.col("text"), unicode_form=False).alias("problem_id"))
+    return spread(table(spark, d, "documents", ["doc_id", "text"]), "doc_id").select("doc_id", group_key(F.col("text"), unicode_form=False).alias("problem_id"))
 
 
 @query("w06_group_reservoir", f"""WITH {KEYS} SELECT problem_id, sha256('{SEED}:reservoir:' || problem_id) AS priority FROM (SELECT DISTINCT problem_id FROM keys) ORDER BY priority LIMIT 100""")

@@ -1,7 +1,7 @@
 """Sources, predicates, sets and ordering on the driver's tables."""
 from pyspark.sql import functions as F
 
-from evalspark.bindings.base import LONG, PAIRS, RESPONSES, SETS, exclusion_sets, query, responses, results_long, shown, table
+from evalspark.bindings.base import LONG, PAIRS, RESPONSES, SETS, exclusion_sets, query, responses, results_long, shown, spread, table
 from evalspark.bindings.pairs import m1_pairs
 from evalspark.operators import checks, pairs as P, sampling, scores as A
 from evalspark.plans import scoring
@@ -50,7 +50,7 @@ def s05(spark, d):
     i = F.col("event_id") % 6
     line = F.when(i == 1, F.concat("props", F.lit(" trailing"))).when(i == 2, F.lit('{"k": 1, "k": 2}')).when(i == 3, F.concat(F.lit("["), "props", F.lit("]"))) \
         .when(i == 4, F.lit('{"k": NaN}')).when(i == 5, F.concat(F.lit("  "), "props", F.lit("\n"))).otherwise(F.col("props"))
-    rows = table(spark, d, "events", ["event_id", "props"]).select("event_id", line.alias("line"))
+    rows = spread(table(spark, d, "events", ["event_id", "props"]), "event_id").select("event_id", line.alias("line"))
     return rows.select("event_id", strict_json.strict_object(F.col("line")).isNotNull().alias("accepted"), strict_json.strict_problem(F.col("line")).alias("problem"))
 
 

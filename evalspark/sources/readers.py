@@ -17,6 +17,17 @@ def table(spark: SparkSession, folder: str, name: str, columns: Iterable[str] |
     return df.select(*columns) if columns else df
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer partitions than cores (one row group, one compressed file), spread by a unique key.
+
+    Work per row that costs more than moving the row once should not run on one core. A scan that already has
+    enough partitions is returned as it is, so large inputs never pay a shuffle. For scans only: asking a plan
+    with exchanges for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def read_jsonl(spark: SparkSession, paths, schema) -> DataFrame:
     """JSON lines with an explicit schema; blank lines are skipped, a malformed line stops the job (S-01)."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
