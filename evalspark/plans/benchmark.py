@@ -6,8 +6,9 @@ from evalspark.functions.digests import seeded
 from evalspark.functions.numbers import marked_answer, normalize_integral, numbers_in
 from evalspark.operators.checks import CheckFailed, require_empty, row_differences
 from evalspark.operators.pairs import position_join
-from evalspark.operators.ranges import numbered
+from evalspark.operators.ranges import digest_ranks, numbered
 from evalspark.operators.sampling import sample_unused
+from evalspark.session import cut_lineage
 
 
 def answer_mismatches(aligned: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def extend(aligned: DataFrame, existing: DataFrame, size: int, seed: int) -> Dat
     require_empty(answer_mismatches(aligned), "answers do not align")
     chosen = sample_unused(aligned, "source_index", size, seed, existing.select("source_index"))
     start = existing.agg(F.max("id")).first()[0] + 1
-    fresh = matched_rows(numbered(aligned.join(chosen, "source_index", "left_semi"), "source_index", "id", start))
+    fresh = cut_lineage(matched_rows(numbered(aligned.join(chosen, "source_index", "left_semi"), "source_index", "id", start)))
     combined = existing.unionByName(fresh.select(*existing.columns))
     require_empty(row_differences(existing, combined.where(F.col("id") < start)).select("id", "side"), "existing rows changed")
     return combined
@@ -53,7 +54,6 @@ def clean_sample(matched: DataFrame, index: str, size: int, seed: int) -> DataFr
     clean = matched.where("status = 'clean'")
     chosen = sample_unused(clean, index, size, seed)
     picked = clean.join(chosen, index, "left_semi").withColumn("_d", seeded(seed, "sample", F.col(index)))
-    from evalspark.operators.ranges import digest_ranks
     return digest_ranks(picked, "_d", out="problem_id", hex_chars=1).drop("_d")
 
 

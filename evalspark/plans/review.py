@@ -19,7 +19,7 @@ from evalspark.operators.checks import (
 from evalspark.operators.ranges import digest_ranks, with_scalars
 from evalspark.operators.sampling import greedy_coverage
 from evalspark.operators.scores import supervision_summary
-from evalspark.session import computed_once
+from evalspark.session import computed_once, cut_lineage
 
 RULES_TYPE = "array<struct<find:string,repl:string>>"
 
@@ -217,7 +217,7 @@ def unknown_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
 def export(queue: DataFrame, decisions: DataFrame, quarantined: DataFrame, rules: DataFrame | None = None) -> dict[str, DataFrame]:
     """Reviewed export (C-07): accepted and rejected rows, after every gate is empty."""
     require_empty(unknown_decisions(queue, decisions), "every record needs exactly one decision")
-    gated = gate(queue, decisions, quarantined, rules)
+    gated = cut_lineage(gate(queue, decisions, quarantined, rules))  # judged once; the gates below read the kept rows
     require_empty(gated.select(F.col("source_record.id").alias("id"), "blocked").where("blocked IS NOT NULL"), "export blocked")
     sources = gated.select("source_record.*", "split")
     require_empty(sources.select("id", staged_problem().alias("problem")).where("problem IS NOT NULL"), "source row failed validation")
@@ -285,7 +285,7 @@ def merge(batches: dict[str, dict[str, DataFrame]], quarantined: DataFrame, rule
         require_empty(row_differences(fresh["accepted"], batch["exported"]).select("id", "side"), f"{batch_id}: stored export differs")
         parts.append(fresh["accepted"].withColumn("batch_id", F.lit(batch_id)))
         rejected.append(fresh["rejected"].withColumn("batch_id", F.lit(batch_id)))
-    merged = reduce(DataFrame.unionByName, parts)
+    merged = cut_lineage(reduce(DataFrame.unionByName, parts))
     require_empty(merge_problems(merged, quarantined), "merge blocked")
     if merged.select("split").distinct().count() < 2:
         raise CheckFailed("merged corpus needs both splits")
