@@ -92,7 +92,11 @@ SCORES = """scores AS (SELECT event_id, user_id AS problem_id, event_type AS cat
 # ---------------------------------------------------------------- stored responses
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """Response texts of twelve shapes derived from orders: one row per (problem, language)."""
-    o = spread(table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]), "o_orderkey")
+    return responses_of(spread(table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]), "o_orderkey"))
+
+
+def responses_of(o: DataFrame) -> DataFrame:
+    """Row-local, so it also runs on a stream of orders."""
     base = o.selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "o_orderkey div 2 AS problem_id",
                         "CASE WHEN o_orderkey % 2 = 0 THEN 'english' ELSE 'arabic' END AS language",
                         "cast((o_orderkey div 2 + 5 * (o_orderkey % 2)) % 12 AS int) AS shape",

@@ -8,6 +8,7 @@ from evalspark.functions.spans import to_template
 from evalspark.functions.steps import steps_to_text
 from evalspark.operators import checks, scores as A
 from evalspark.plans import pilot, review, traces
+from evalspark.session import cut_lineage
 
 # ------------------------------------------------------------------ raw traces
 # Every document becomes one JSON line. Lines of the text are steps; choices, repeats, flags and ratings
@@ -396,4 +397,4 @@ def p12(spark, d):
 SELECT 'ar_pilot_' || lpad(i::VARCHAR, 4, '0') AS pair_id, v AS variant, CASE WHEN rk <= quota THEN 'dev' ELSE 'train' END AS split FROM r JOIN q USING (kind), (VALUES ('correct'), ('incorrect')) x(v)""")
 def c20(spark, d):
     numbers = table(spark, d, "conversations", ["conv_id"]).distinct().select((F.col("conv_id") + 1).alias("pair_number"))
-    return pilot.split_pairs(pilot.generate_pairs(numbers, SEED), 20, SEED).select("pair_id", "variant", "split")
+    return pilot.split_pairs(cut_lineage(pilot.generate_pairs(numbers, SEED)), 20, SEED).select("pair_id", "variant", "split")

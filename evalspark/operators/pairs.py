@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.operators.checks import CheckFailed, duplicate_keys, require_empty
+from evalspark.operators.ranges import with_scalars
 from evalspark.operators.stats import mcnemar_p
 
 
@@ -216,4 +217,5 @@ def joined_ids(df: DataFrame, by: list[str], key: str, limit: int = 10_000) -> D
 
 def attach_to_one(df: DataFrame, extra: DataFrame, column: str, value) -> DataFrame:
     """Columns of a one-row table attached to the rows with ``column = value`` only, null elsewhere (A-27)."""
-    return df.join(extra.withColumn(column, F.lit(value)), column, "left")
+    return with_scalars(df, extra).select(*df.columns, *[
+        F.when(F.col(column) == value, F.col(c)).alias(c) for c in extra.columns])
