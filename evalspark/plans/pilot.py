@@ -93,19 +93,16 @@ def generate_pairs(pairs: DataFrame, seed: int, pair_number: str = "pair_number"
     kind = F.element_at(F.array(*[F.lit(t) for t in PILOT_ERROR_TYPES]),
                         (F.pmod(number - 1, F.lit(len(PILOT_ERROR_TYPES))) + 1).cast("int"))
     base = pairs.select(number.alias("_n"), F.concat(F.lit("ar_pilot_"), F.lpad(number.cast("string"), 4, "0")).alias("pair_id"), kind.alias("_kind"))
+    columns = {name: {x: f"_{name}_{x}" for x in (*spec["operands"], *spec["derived"])} for name, spec in TEMPLATES.items()}
+    base = base.withColumns({columns[name][x]: F.when(F.col("_kind") == name, _operand(seed, F.col("_n"), x, low, high))
+                             for name, spec in TEMPLATES.items() for x, (low, high) in spec["operands"].items()})
+    base = base.withColumns({columns[name][x]: F.expr(" ".join(columns[name].get(token, token) for token in rule.split()))
+                             for name, spec in TEMPLATES.items() for x, rule in spec["derived"].items()})
     problem = correct = wrong = labels = None
     for name, spec in TEMPLATES.items():
-        columns = {}
-        for operand, (low, high) in spec["operands"].items():
-            columns[operand] = f"_{name}_{operand}"
-            base = base.withColumn(columns[operand], F.when(F.col("_kind") == name, _operand(seed, F.col("_n"), operand, low, high)))
-        for derived, rule in spec["derived"].items():
-            expression = " ".join(columns.get(token, token) for token in rule.split())
-            columns[derived] = f"_{name}_{derived}"
-            base = base.withColumn(columns[derived], F.expr(expression))
         here = F.col("_kind") == name
-        cells = (_filled(spec["problem"], columns), F.array(*[_filled(t, columns) for t in spec["correct"]]),
-                 F.array(*[_filled(t, columns) for t in spec["wrong"]]), F.array(*[F.lit(v) for v in spec["labels"]]))
+        cells = (_filled(spec["problem"], columns[name]), F.array(*[_filled(t, columns[name]) for t in spec["correct"]]),
+                 F.array(*[_filled(t, columns[name]) for t in spec["wrong"]]), F.array(*[F.lit(v) for v in spec["labels"]]))
         problem, correct, wrong, labels = (
             F.when(here, cell) if before is None else before.when(here, cell)
             for before, cell in zip((problem, correct, wrong, labels), cells))
