@@ -29,10 +29,10 @@ def wide(spark, d):
 
 @query("paired_comparison", f"""WITH {PAIRS}, t AS (SELECT model, {COUNTS} FROM pairs GROUP BY model)
 SELECT model, n, both_correct, both_wrong, b_only, a_only, discordant, round(accuracy_a,6) AS accuracy_a, round(accuracy_b,6) AS accuracy_b,
- round(gap,6) AS gap, round(gap*100,6) AS gap_pp, round(log10({MCNEMAR}),6) + 0.0 AS log10_mcnemar_p FROM t""")
+ round(gap,6) AS gap, round(gap*100,6) AS gap_pp, round(log10(greatest({MCNEMAR}, 1e-300)),6) + 0.0 AS log10_mcnemar_p FROM t""")
 def paired_comparison(spark, d):
     out = P.paired_summary(all_pairs(spark, d), ["model"])
-    return shown(out.withColumn("log10_mcnemar_p", F.log10("mcnemar_p")).drop("mcnemar_p"))
+    return shown(out.withColumn("log10_mcnemar_p", F.log10(F.greatest("mcnemar_p", F.lit(1e-300)))).drop("mcnemar_p"))
 
 
 @query("j01_one_to_one_join", """SELECT l.doc_id, quality, lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
@@ -239,11 +239,11 @@ def p16(spark, d):
 
 
 @query("a24_scenario_matrix", f"""{MATRIX} SELECT scenario, model, n, b_only, a_only, round(accuracy_a,6) AS accuracy_a, round(accuracy_b,6) AS accuracy_b, round(gap,6) AS gap,
- round(log10({MCNEMAR}),6) + 0.0 AS log10_mcnemar_p FROM t""")
+ round(log10(greatest({MCNEMAR}, 1e-300)),6) + 0.0 AS log10_mcnemar_p FROM t""")
 def a24(spark, d):
     excl = P.compose_exclusions(exclusion_sets(spark, d), SCENARIOS)
     m = P.scenario_matrix(results_long(spark, d), "problem_id", "model", "language", "is_correct", SIDES, list(SCENARIOS), excl)
-    return shown(m.withColumn("log10_mcnemar_p", F.log10("mcnemar_p")).select("scenario", "model", "n", "b_only", "a_only", "accuracy_a", "accuracy_b", "gap", "log10_mcnemar_p"))
+    return shown(m.withColumn("log10_mcnemar_p", F.log10(F.greatest("mcnemar_p", F.lit(1e-300)))).select("scenario", "model", "n", "b_only", "a_only", "accuracy_a", "accuracy_b", "gap", "log10_mcnemar_p"))
 
 
 @query("c16_robustness_matrix", f"""{MATRIX.replace("WITH " + LONG, "WITH " + WIDE)}, x AS (SELECT scenario, count(*) AS cross_n, avg(gap_difference) AS g FROM wide, names
@@ -279,11 +279,11 @@ def a27(spark, d):
     return shown(P.attach_to_one(full, cust.agg(F.count(F.lit(1)).alias("cross_n")), "scenario", "no_asia"))
 
 
-@query("t01_mcnemar", f"""{MATRIX} SELECT scenario, model, round(log10({MCNEMAR}),6) + 0.0 AS log10_p FROM t""")
+@query("t01_mcnemar", f"""{MATRIX} SELECT scenario, model, round(log10(greatest({MCNEMAR}, 1e-300)),6) + 0.0 AS log10_p FROM t""")
 def t01(spark, d):
     excl = P.compose_exclusions(exclusion_sets(spark, d), SCENARIOS)
     rows = P.scenario_rows(all_pairs(spark, d), "problem_id", list(SCENARIOS), excl).groupBy("scenario", "model").agg(*P.paired_counts())
-    return shown(rows.select("scenario", "model", F.log10(stats.mcnemar_p(F.col("b_only"), F.col("a_only"))).alias("log10_p")))
+    return shown(rows.select("scenario", "model", F.log10(F.greatest(stats.mcnemar_p(F.col("b_only"), F.col("a_only")), F.lit(1e-300))).alias("log10_p")))
 
 
 B, R, SEED = 200, 200, 42
