@@ -13,6 +13,8 @@ Other columns pass through untouched.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.llm.shared import kept
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -21,10 +23,9 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    trimmed = F.btrim(line, F.lit(BLANKS))
-    # lower() agrees with the A-Z rule on ASCII text, and is the faster of the two.
-    return F.when(F.octet_length(trimmed) == F.char_length(trimmed), F.lower(trimmed)).otherwise(F.translate(trimmed, UPPER, LOWER))
+def folded(text: Column) -> Column:
+    """Text with A-Z lower-cased; lower() agrees with that rule on ASCII text and is the faster of the two."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -36,11 +37,13 @@ def line_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``first_here`` marks the first place in its (hash, salt) range, ``new_doc`` the first place of a document in it.
     """
-    lines = _identified(docs, id_col, text_col).select("_id", "_row", F.posexplode(lines_of(F.col("_text"))).alias("pos", "line"))
-    keyed = lines.select("_id", "_row", "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
-    hashed = keyed.select("_id", "_row", "pos", F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), "k").alias("g"),
-                          F.pmod(F.col("_row"), F.lit(salts)).cast("int").alias("salt"))
-    ranged = hashed.repartitionByRange("h", "g", "salt")
+    lines = _identified(docs, id_col, text_col).select("_id", "_row", F.posexplode(lines_of(folded(F.col("_text")))).alias("pos", "line"))
+    key = F.btrim("line", F.lit(BLANKS))
+    hashed = lines.select("_id", "_row", "pos", F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g"),
+                          F.char_length(key).alias("n")).where(F.col("n") >= min_chars)
+    # Written, so that finding the range limits does not read the texts a second time.
+    written = kept(hashed.select("_id", "_row", "pos", "h", "g", F.pmod(F.col("_row"), F.lit(salts)).cast("int").alias("salt")), "lines")
+    ranged = written.repartitionByRange("h", "g", "salt")
     order = Window.partitionBy("h", "g", "salt").orderBy("_id", "_row", "pos")
     before = F.lag(F.struct("_id", "_row")).over(order)
     return ranged.select("*", before.alias("_before")).select(
