@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import line_dedup
+from evalspark.llm import jaccard, line_dedup, near_embeddings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,21 @@ def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
                        F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_ngram_jaccard")
+def op7_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return jaccard.similar_groups(docs, k=4, num=85, den=100).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op1_near_embeddings", """WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.seen)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT id, min(seen) AS component_id FROM reach GROUP BY id) c ON c.id = e.vec_id""")
+def op1_near_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    found = near_embeddings.embedding_links(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
