@@ -1,8 +1,8 @@
 """Hashed text features and a logistic regression trained with follow-the-regularised-leader updates, in numpy inside tasks.
 
-A text becomes a sparse vector over 2**BITS cells: word runs of 1 and 2, beginnings of words, and runs of up to 3 word shapes. A shape
-keeps only the kind of each byte (capital, small letter, digit, blank, other sign as it is) with repeats folded, and a line end is a word
-of its own there, so that layout and punctuation count as well as words. Nothing but the text is used.
+A text becomes a sparse vector over 2**BITS cells. For style it holds word runs of 1 and 2 and runs of up to 3 word shapes; a shape keeps only
+the kind of each byte (capital, small letter, digit, blank, other sign as it is) with repeats folded, and a line end is a word of its own
+there, so that layout and punctuation count as well as words. For single words it holds words and their beginnings. Nothing but the text is used.
 """
 import numpy as np
 import pyarrow as pa

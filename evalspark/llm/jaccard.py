@@ -6,10 +6,12 @@ one feature; each part is cut again into ``SECOND`` pieces, and one signature is
 share a signature. A set near the upper end of its band also signs for the next one. Signatures over no feature at all are left out of
 a set that has spare parts enough to do without, and kept otherwise; either way no link is lost.
 
-Equal sets count once (their node is a 64-bit digest of the set). Rows of equal signature are chained in sorted order, never
-paired; the chains' components are candidate groups. Each group is cut into blocks of bounded size by size band and hash, and pairs of
-blocks are compared exactly: intersections of all their sets come from one product of incidence matrices, and a task gives back
-only a spanning forest of the links found. A second pass of components gives the linked groups.
+Equal sets count once (their node is a 64-bit digest of the set). The few nodes of a short run of equal signatures (up to ``RUN``) are
+paired and screened by parity bitmaps: two bitmaps differ in at most as many bits as their sets in features, so a pair that differs in more
+than the similarity allows is none. Longer runs are chained in sorted order, never paired. The components of screened pairs and chains
+are candidate groups. Each group is cut into blocks of bounded size by size band and hash, and pairs of blocks are compared exactly:
+intersections of all their sets come from one product of incidence matrices, and a task gives back only a spanning forest of the
+links found. A second pass of components gives the linked groups.
 
 Defined results: words are runs of bytes other than ASCII blanks after lower-casing A-Z; a text of fewer than ``k`` words is one shingle; a
 null, empty or blank text has an empty set and is linked with nothing. Rows without an id are returned with their set size and no component
@@ -28,7 +30,7 @@ from evalspark.llm.shared import components, kept
 
 SECOND = 3
 BLOCK, BLOCK_SETS = 150_000, 512
-RARE = 12
+RARE, RUN = 12, 16
 
 
 class Bands:
@@ -118,13 +120,41 @@ def _pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBa
 
 
 def set_digests(docs: DataFrame, k: int) -> DataFrame:
-    """(id, node, n): digest and size of each row's set. One scan, nothing shuffled."""
+    """(id, node, n, bits): digest, size and parity bitmap of each row's set. One scan, nothing shuffled."""
     def run(batches):
         for whole in batches:
             for batch in _pieces(whole):
-                _, offs, digest = _sets(batch.column(1), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest), pa.array(np.diff(offs))], ["id", "node", "n"])
-    return docs.mapInArrow(run, "id bigint, node bigint, n bigint")
+                features, offs, digest = _sets(batch.column(1), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest), pa.array(np.diff(offs)), parities(features, offs)], ["id", "node", "n", "bits"])
+    return docs.mapInArrow(run, "id bigint, node bigint, n bigint, bits binary")
+
+
+def parities(features: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Per set, a bitmap of as many bits as the next power of two at least its size (64 at least): which bits an odd number of features hit."""
+    size = np.diff(offs)
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.cumsum(width) - width
+    at = np.repeat(base, size) + (T.mix(features ^ np.uint64(0x7A31)) & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(width.sum())) & 1).astype(np.uint8), bitorder="little")
+    ends = np.concatenate([[0], np.cumsum(width // 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+
+
+def screened(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose bitmaps do not rule them out; pairs: (a, b, n_a, n_b, bits_a, bits_b)."""
+    def run(batches):
+        for batch in batches:
+            cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            keep = []
+            for n_a, n_b, x, y in zip(cols["n_a"].to_pylist(), cols["n_b"].to_pylist(), cols["bits_a"], cols["bits_b"]):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                while len(x) > len(y):  # the parity of a folded bitmap is that of both halves
+                    x = x[:len(x) // 2] ^ x[len(x) // 2:]
+                while len(y) > len(x):
+                    y = y[:len(y) // 2] ^ y[len(y) // 2:]
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (den - num) * (n_a + n_b))
+            yield pa.RecordBatch.from_arrays([cols["a"].filter(pa.array(keep, pa.bool_())), cols["b"].filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def set_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -149,22 +179,48 @@ def set_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.where(F.col("id").isNotNull()).mapInArrow(run, "sig bigint, node bigint")
 
 
-def chains(sigs: DataFrame) -> DataFrame:
-    """Neighbours (a, b) in the sorted run of each signature: as connected as all pairs, as many as rows."""
+def runs(sigs: DataFrame) -> DataFrame:
+    """(a, b, long): all pairs of a run of up to RUN nodes with equal signature; of a longer run its neighbours in sorted order."""
     ordered = sigs.repartition("sig").sortWithinPartitions("sig", "node")
 
+    def pairs(sig, node, first_long):
+        if len(sig) > 1:
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+            sig, node = sig[new], node[new]
+        cuts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
+        long = np.repeat(np.diff(cuts) > RUN, np.diff(cuts))
+        long[:cuts[1]] |= first_long
+        out = []
+        for step in range(1, RUN):
+            at = np.flatnonzero(sig[step:] == sig[:-step])
+            at = at[~long[at]] if step > 1 else at
+            if not len(at):
+                break
+            out.append((node[at], node[at + step], long[at]))
+        return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+
     def run(batches):
-        last_sig = last_node = None
+        sig = node = np.zeros(0, np.int64)
+        long = False
         for batch in batches:
-            sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sig, node = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
             if not len(sig):
                 continue
-            before_sig = np.concatenate([[sig[0] if last_sig is None else last_sig], sig[:-1]])
-            before_node = np.concatenate([[node[0] if last_node is None else last_node], node[:-1]])
-            at = np.flatnonzero((sig == before_sig) & (node != before_node))
-            last_sig, last_node = sig[-1], node[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(before_node[at]), pa.array(node[at])], ["a", "b"])
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+            open_from = int(np.searchsorted(sig, sig[-1]))
+            parts = []
+            if open_from:
+                parts.append(pairs(sig[:open_from], node[:open_from], long))
+                long = False
+            sig, node = sig[open_from:], node[open_from:]
+            if len(np.unique(node)) > RUN or long and len(node) > 1:  # a long run is handed on as it comes; its last node stays
+                parts.append(pairs(sig, node, True))
+                sig, node, long = sig[-1:], node[-1:], True
+            for a, b, flag in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(flag)], ["a", "b", "long"])
+        if len(sig):
+            a, b, flag = pairs(sig, node, long)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(flag)], ["a", "b", "long"])
+    return ordered.mapInArrow(run, "a bigint, b bigint, long boolean").groupBy("a", "b").agg(F.max("long").alias("long"))
 
 
 def _forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]]:
@@ -300,8 +356,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = kept(set_digests(rows, k), "sets")
     with_set = sets.where("n > 0 AND id IS NOT NULL")
-    nodes = kept(with_set.groupBy("node", "n").agg(F.min("id").alias("id")), "nodes")
-    candidates = components(chains(set_signatures(rows, k, num, den)))
+    nodes = kept(with_set.groupBy("node", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "nodes")
+    found = kept(runs(set_signatures(rows, k, num, den)), "runs")
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    paired = found.where("NOT long").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    candidates = components(screened(paired, num, den).unionAll(found.where("long").select("a", "b")))
+    nodes = nodes.drop("bits")
     members = nodes.join(candidates.select("node", F.col("component").alias("grp")), "node")
     largest = nodes.agg(F.max("n")).first()[0] or 1
     tiles = kept(tiles_of(members, Bands(num, den, int(largest))), "tiles")

@@ -33,7 +33,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """Weights of the cells, then the bias."""
     def featured(batches):
         for b in batches:
-            cell, value, rows = H.features(b.column(0))
+            cell, value, rows = H.frequencies(*H.style_groups(b.column(0)))
             yield pa.RecordBatch.from_arrays([
                 b.column(2), b.column(1), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(cell, pa.int32())),
                 pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(value, pa.float32()))], ["turn", "label", "cell", "value"])
@@ -61,8 +61,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str
             scores = np.zeros(len(b))
             text = b.column(b.schema.get_field_index(text_col))
             for at, part in slices(text):
-                cell, value, rows = H.features(part)
-                scores[at:at + len(part)] = H.sigmoid(H.dots(cell, value, rows, w) + w[-1])
+                scores[at:at + len(part)] = H.sigmoid(H.frequency_dots(*H.style_groups(part), w) + w[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, out])
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 

@@ -2,7 +2,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import jaccard, line_dedup, near_embeddings
+from evalspark.llm import decontaminate, jaccard, line_dedup, near_embeddings, packing, quality, toxicity
+from evalspark.llm.shared import kept, ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
@@ -56,3 +58,37 @@ FROM embeddings e JOIN (SELECT id, min(seen) AS component_id FROM reach GROUP BY
 def op1_near_embeddings(spark: SparkSession, d: str) -> DataFrame:
     found = near_embeddings.embedding_links(table(spark, d, "embeddings").select("vec_id", "embedding"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, d: str) -> DataFrame:
+    pieces = kept(packing.token_pieces(table(spark, d, "documents").select("doc_id", "text"), vocabulary_path()), "pieces")
+    return packing.pack(pieces)
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labels = table(spark, d, "labels").select("doc_id", "quality").where(~quality.held_out(F.col("doc_id")))
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels").select("doc_id", "toxic")))
+    return scored.select("doc_id", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"), *[f"p_{c}" for c in toxicity.CATEGORIES])

@@ -1,10 +1,15 @@
 """Tables kept in the cluster's shared folder, and connected components over them."""
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import evalspark
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where it is unset, a local session sets one of its own; a cluster must name one."""
@@ -18,6 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands the package to the Python workers when neither their path nor the working folder has it. Once per session."""
+    root = Path(evalspark.__file__).resolve().parent.parent
+    known = {os.path.realpath(p or ".") for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    context = spark.sparkContext
+    if str(root) in known or getattr(context, "_evalspark_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="evalspark-code-")) / "evalspark.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "evalspark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(archive))
+    context._evalspark_shipped = True
+
+
 class Kept:
     """Rows written once below the shared folder and read from there; a lost executor costs a read, not a recomputation."""
 
