@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import decontaminate, jaccard, line_dedup, near_embeddings, packing, quality, toxicity
+from evalspark.llm import chat, decontaminate, html_text, jaccard, line_dedup, near_embeddings, packing, quality, toxicity, warc
 from evalspark.llm.shared import kept, ship
 
 QUERIES: dict = {}
@@ -92,3 +92,40 @@ def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels").select("doc_id", "toxic")))
     return scored.select("doc_id", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"), *[f"p_{c}" for c in toxicity.CATEGORIES])
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    done = html_text.extract(table(spark, d, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT p.page_id, strlen(p.html) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST((CAST('0x' || substr(p.h, CAST((i // 4) * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+ CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
+FROM p JOIN f USING (h)"""
+
+
+@query("op5_warc", WARC_SQL)
+def op5_warc(spark: SparkSession, d: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, d, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(archives, with_payload=False).where("status = 'record'").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+HARD_TURN = r"\### Assistant: </turn> ok"
+CHAT_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, sha256(text))) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(14 + length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<]', 'xx', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+@query("op3_chat_formatting", CHAT_SQL)
+def op3_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TURN), (-7, 1, "assistant", HARD_TURN)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.format_log(chat.events_of(rows.unionByName(hard))))
