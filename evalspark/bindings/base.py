@@ -4,6 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.functions.numbers import WIDE_BLANKS
 from evalspark.sources.readers import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,9 +107,9 @@ def responses_of(o: DataFrame) -> DataFrame:
         "*", "CASE WHEN whole >= 1000 THEN concat(cast(whole div 1000 AS string), ',', lpad(cast(whole % 1000 AS string), 3, '0')) ELSE cast(whole AS string) END AS grouped",
         "translate(cast(whole AS string), '0123456789', '٠١٢٣٤٥٦٧٨٩') AS eastern", "translate(cast(whole AS string), '0123456789', '۰۱۲۳۴۵۶۷۸۹') AS persian")
     s = F.col("shape")
-    text = F.when(s == 0, F.concat(F.lit("We add the items. FINAL ANSWER: "), "txt")) \
+    text = F.when(s == 0, F.concat(F.lit("We add the items. FINAL\u202fANSWER:\xa0"), "txt", F.lit(" after 5 days"))) \
         .when(s == 1, F.concat(F.lit("It takes 3 steps.\nfinal  answer :  "), "grouped")) \
-        .when(s == 2, F.concat(F.lit("الإجابة النهائية: "), "eastern")) \
+        .when(s == 2, F.concat(F.lit("الإجابة\u3000النهائية:\u2009"), "eastern")) \
         .when(s == 3, F.concat(F.lit("FINAL ANSWER: "), F.col("whole").cast("string"), F.lit(" and later FINAL ANSWER: "), (F.col("whole") + 1).cast("string"))) \
         .when(s == 4, F.concat(F.lit("so \\boxed{ "), "txt", F.lit("} is it"))) \
         .when(s == 5, F.concat(F.lit("about "), F.col("whole").cast("string"), F.lit(" of 6/25"))) \
@@ -132,9 +133,9 @@ RESPONSES = r"""resp0 AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderke
  resp2 AS (SELECT *, CASE WHEN whole >= 1000 THEN (whole // 1000)::VARCHAR || ',' || lpad((whole % 1000)::VARCHAR, 3, '0') ELSE whole::VARCHAR END AS grouped,
   translate(whole::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS eastern, translate(whole::VARCHAR, '0123456789', '۰۱۲۳۴۵۶۷۸۹') AS persian FROM resp1),
  responses AS (SELECT problem_id, language, 'm' || (problem_id % 3)::VARCHAR AS model,
-  CASE shape WHEN 0 THEN 'We add the items. FINAL ANSWER: ' || txt
+  CASE shape WHEN 0 THEN 'We add the items. FINAL' || chr(8239) || 'ANSWER:' || chr(160) || txt || ' after 5 days'
    WHEN 1 THEN 'It takes 3 steps.' || chr(10) || 'final  answer :  ' || grouped
-   WHEN 2 THEN 'الإجابة النهائية: ' || eastern
+   WHEN 2 THEN 'الإجابة' || chr(12288) || 'النهائية:' || chr(8201) || eastern
    WHEN 3 THEN 'FINAL ANSWER: ' || whole || ' and later FINAL ANSWER: ' || (whole + 1)
    WHEN 4 THEN 'so \boxed{ ' || txt || '} is it' WHEN 5 THEN 'about ' || whole || ' of 6/25' WHEN 6 THEN 'no number here'
    WHEN 7 THEN 'FINAL ANSWER: $' || grouped
@@ -151,6 +152,12 @@ def sql_digits(x: str) -> str:
     return f"translate({x}, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')"
 
 
+def sql_text(x: str) -> str:
+    """Digits and blanks of Unicode as ASCII."""
+    wide = " || ".join(f"chr({ord(c)})" for c in WIDE_BLANKS)
+    return f"translate({sql_digits(x)}, {wide}, '{' ' * len(WIDE_BLANKS)}')"
+
+
 def sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 

@@ -364,15 +364,15 @@ def _draw(name, low, high):
 
 
 @query("c19_pilot_pairs", f"""WITH k AS (SELECT event_id + 1 AS i, {KINDS}[1 + event_id % 7] AS kind FROM events),
- o AS (SELECT *, CASE kind WHEN 'arithmetic' THEN {_draw('a', 15, 40)} WHEN 'operation_substitution' THEN {_draw('a', 3, 9)} WHEN 'operand_substitution' THEN {_draw('a', 30, 70)} WHEN 'intermediate_corruption' THEN {_draw('a', 20, 50)}
-   WHEN 'unit_conversion' THEN {_draw('a', 2, 8)} WHEN 'premature_conclusion' THEN {_draw('a', 25, 60)} ELSE {_draw('a', 4, 9)} END AS a,
-  CASE kind WHEN 'arithmetic' THEN {_draw('b', 3, 10)} WHEN 'operation_substitution' THEN {_draw('b', 4, 12)} WHEN 'operand_substitution' THEN {_draw('b', 5, 15)} WHEN 'intermediate_corruption' THEN {_draw('b', 3, 10)}
-   WHEN 'unit_conversion' THEN {_draw('b', 2, 6)} WHEN 'premature_conclusion' THEN {_draw('b', 5, 15)} ELSE {_draw('b', 3, 8)} END AS b,
-  CASE kind WHEN 'arithmetic' THEN {_draw('c', 2, 8)} WHEN 'intermediate_corruption' THEN {_draw('c', 3, 10)} ELSE {_draw('c', 3, 12)} END AS c FROM k),
- r AS (SELECT *, CASE WHEN kind IN ('arithmetic', 'intermediate_corruption', 'premature_conclusion') THEN a - b + c WHEN kind IN ('operation_substitution', 'semantic_logical') THEN a * b WHEN kind = 'operand_substitution' THEN a - b ELSE a * 100 + b * 10 END AS good,
-  CASE kind WHEN 'arithmetic' THEN a - b + c + 1 WHEN 'intermediate_corruption' THEN a - b + 2 + c WHEN 'premature_conclusion' THEN a - b WHEN 'operand_substitution' THEN a - b - 2 WHEN 'unit_conversion' THEN a * 10 + b * 10 ELSE a + b END AS bad FROM o)
-SELECT 'ar_pilot_' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE left(i::VARCHAR, 4) END || '_correct' AS id, 'correct' AS variant, good::VARCHAR AS final_number, 4 AS n_steps, NULL::INT AS first_error_step, NULL AS error_type FROM r
-UNION ALL SELECT 'ar_pilot_' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE left(i::VARCHAR, 4) END || '_wrong', 'incorrect', bad::VARCHAR, CASE WHEN kind = 'premature_conclusion' THEN 3 ELSE 4 END, CASE WHEN kind = 'unit_conversion' THEN 2 ELSE 3 END, kind FROM r""")
+ o AS (SELECT *, CASE kind WHEN 'arithmetic' THEN {_draw('a', 50, 90)} WHEN 'operation_substitution' THEN {_draw('a', 6, 14)} WHEN 'operand_substitution' THEN {_draw('a', 60, 120)} WHEN 'intermediate_corruption' THEN {_draw('a', 3, 8)} WHEN 'unit_conversion' THEN {_draw('a', 2, 9)} WHEN 'premature_conclusion' THEN {_draw('a', 4, 9)} WHEN 'semantic_logical' THEN {_draw('a', 30, 60)} END AS a,
+  CASE kind WHEN 'arithmetic' THEN {_draw('b', 11, 24)} WHEN 'operation_substitution' THEN {_draw('b', 5, 11)} WHEN 'operand_substitution' THEN {_draw('b', 14, 33)} WHEN 'intermediate_corruption' THEN {_draw('b', 6, 12)} WHEN 'unit_conversion' THEN {_draw('b', 5, 50)} WHEN 'premature_conclusion' THEN {_draw('b', 12, 25)} WHEN 'semantic_logical' THEN {_draw('b', 4, 13)} END AS b,
+  CASE kind WHEN 'arithmetic' THEN {_draw('c', 6, 19)} WHEN 'intermediate_corruption' THEN {_draw('c', 10, 30)} WHEN 'premature_conclusion' THEN {_draw('c', 7, 20)} END AS c FROM k),
+ r AS (SELECT *, printf('ar_pilot_%04d', i) AS pair, CASE kind WHEN 'arithmetic' THEN a - b + c WHEN 'operation_substitution' THEN a * b WHEN 'intermediate_corruption' THEN a * b + c WHEN 'unit_conversion' THEN a * 60 + b
+   WHEN 'premature_conclusion' THEN a * b - c ELSE a - b END AS good,
+  CASE kind WHEN 'arithmetic' THEN a - b + c - 3 WHEN 'operand_substitution' THEN a - b - 5 WHEN 'intermediate_corruption' THEN a * b + 4 + c WHEN 'unit_conversion' THEN a * 100 + b WHEN 'premature_conclusion' THEN a * b ELSE a + b END AS bad FROM o)
+SELECT pair || '_correct' AS id, 'correct' AS variant, good::VARCHAR AS final_number, 4 AS n_steps, NULL::INT AS first_error_step, NULL AS error_type FROM r
+UNION ALL SELECT pair || '_wrong', 'incorrect', bad::VARCHAR, CASE WHEN kind = 'premature_conclusion' THEN 2 ELSE 4 END,
+ CASE WHEN kind IN ('arithmetic', 'operand_substitution', 'intermediate_corruption') THEN 3 ELSE 2 END, kind FROM r""")
 def c19(spark, d):
     last = F.element_at(F.split("response", "\n"), -1)
     return pilot_records(spark, d).select("id", "variant", F.regexp_extract(last, r"(\d+)", 1).alias("final_number"), F.size("step_labels").alias("n_steps"), "first_error_step", "error_type")
@@ -393,8 +393,8 @@ def p12(spark, d):
 
 @query("c20_pilot_split", f"""WITH k AS (SELECT conv_id + 1 AS i, {KINDS}[1 + conv_id % 7] AS kind FROM (SELECT DISTINCT conv_id FROM conversations)), n AS (SELECT kind, count(*) AS n FROM k GROUP BY 1), t AS (SELECT sum(n) AS t FROM n), f AS (SELECT kind, floor(n * 20 / t) AS base, (n * 20) % t AS rest FROM n, t),
  q AS (SELECT kind, base + (row_number() OVER (ORDER BY rest DESC, kind) <= 20 - (SELECT sum(base) FROM f))::INT AS quota FROM f),
- r AS (SELECT i, kind, row_number() OVER (PARTITION BY kind ORDER BY sha256('{SEED}:ar_pilot_' || lpad(i::VARCHAR, 4, '0'))) AS rk FROM k)
-SELECT 'ar_pilot_' || lpad(i::VARCHAR, 4, '0') AS pair_id, v AS variant, CASE WHEN rk <= quota THEN 'dev' ELSE 'train' END AS split FROM r JOIN q USING (kind), (VALUES ('correct'), ('incorrect')) x(v)""")
+ r AS (SELECT i, kind, row_number() OVER (PARTITION BY kind ORDER BY sha256('{SEED}:' || printf('ar_pilot_%04d', i))) AS rk FROM k)
+SELECT printf('ar_pilot_%04d', i) AS pair_id, v AS variant, CASE WHEN rk <= quota THEN 'dev' ELSE 'train' END AS split FROM r JOIN q USING (kind), (VALUES ('correct'), ('incorrect')) x(v)""")
 def c20(spark, d):
     numbers = table(spark, d, "conversations", ["conv_id"]).distinct().select((F.col("conv_id") + 1).alias("pair_number"))
     return pilot.split_pairs(cut_lineage(pilot.generate_pairs(numbers, SEED)), 20, SEED).select("pair_id", "variant", "split")

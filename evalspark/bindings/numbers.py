@@ -1,7 +1,7 @@
 """Numbers, answers, spans, digests, step functions on orders, pages and documents."""
 from pyspark.sql import functions as F
 
-from evalspark.bindings.base import RESPONSES, TRAJ, query, responses, shown, spread, sql_canon, sql_digits, sql_norm, sql_strip, table, trajectories
+from evalspark.bindings.base import RESPONSES, TRAJ, query, responses, shown, spread, sql_canon, sql_digits, sql_norm, sql_strip, sql_text, table, trajectories
 from evalspark.functions import answers, digests, numbers as N, spans, steps as S, text as X
 from evalspark.plans import scoring
 
@@ -62,7 +62,7 @@ def f05(spark, d):
                                                      for m in ("decimal_text", "decimal_strict", "float_text", "currency")])
 
 
-EXA = rf"""{RESPONSES}, ta AS (SELECT *, {sql_digits("coalesce(generated_response, '')")} AS t FROM responses),
+EXA = rf"""{RESPONSES}, ta AS (SELECT *, {sql_text("coalesce(generated_response, '')")} AS t FROM responses),
  tb AS (SELECT *, list_transform(regexp_extract_all(t, '(?i)(?:FINAL\s+ANSWER|الإجابة\s+النهائية)\s*:\s*({G})', 1), lambda x: x) AS vals,
   regexp_extract_all(t, '(?i)(FINAL\s+ANSWER|الإجابة\s+النهائية)\s*:\s*{G}', 1)[1] AS kind,
   regexp_extract_all(t, '\\boxed\s*\{{\s*({G})\s*\}}', 1)[-1] AS boxed, regexp_extract_all(t, '({G})', 1)[-1] AS num FROM ta),
@@ -82,7 +82,7 @@ def f06(spark, d):
     return answers.extract_first_marker(responses(spark, d), "generated_response", "x").select("problem_id", "language", "x.*")
 
 
-@query("f07_extract_last_marker", rf"""WITH {RESPONSES}, t AS (SELECT *, {sql_digits("coalesce(generated_response, '')")} AS t FROM responses),
+@query("f07_extract_last_marker", rf"""WITH {RESPONSES}, t AS (SELECT *, {sql_text("coalesce(generated_response, '')")} AS t FROM responses),
  u AS (SELECT *, regexp_extract_all(t, '(?i)FINAL\s+ANSWER\s*:\s*({L})', 1)[-1] AS e, regexp_extract_all(t, 'الإجابة\s+النهائية\s*:\s*({L})', 1)[-1] AS a,
   regexp_extract_all(t, '\\boxed\s*\{{\s*({L})\s*\}}', 1)[-1] AS b, regexp_extract_all(t, '({L})', 1)[-1] AS n FROM t)
 SELECT problem_id, language, CASE WHEN coalesce(e, a, b, n) IS NOT NULL THEN {sql_norm('coalesce(e, a, b, n)')} END AS answer,
@@ -99,7 +99,7 @@ def _located(k: int, label: str, pattern: str) -> str:
  FROM ta, generate_series(1, 40) g(i) WHERE i <= len(regexp_extract_all(t, '{pattern}', 0))"""
 
 
-REPARSED = rf"""{RESPONSES}, ta AS (SELECT *, {sql_digits("coalesce(generated_response, '')")} AS t FROM responses),
+REPARSED = rf"""{RESPONSES}, ta AS (SELECT *, {sql_text("coalesce(generated_response, '')")} AS t FROM responses),
  loc0 AS ({" UNION ALL ".join(_located(k, label, p.replace("(?iu)", "(?i)")) for k, (label, p) in enumerate(answers.REPARSE_PATTERNS))}),
  loc1 AS (SELECT *, {sql_norm('v', True)} AS value FROM loc0),
  loc2 AS (SELECT problem_id, language, pos, value, arg_min(label, k) AS label, min(k) AS k FROM loc1 GROUP BY ALL),
@@ -117,7 +117,7 @@ def f08(spark, d):
     return answers.extract_reparsed(responses(spark, d), "generated_response", "x").select("problem_id", "language", "x.*")
 
 
-@query("f09_extract_labelled", rf"""WITH {RESPONSES}, t AS (SELECT *, {sql_digits("coalesce(generated_response, '')")} AS t FROM responses),
+@query("f09_extract_labelled", rf"""WITH {RESPONSES}, t AS (SELECT *, {sql_text("coalesce(generated_response, '')")} AS t FROM responses),
  u AS (SELECT *, regexp_extract_all(t, '(?i)FINAL ANSWER\s*:\s*\$?\s*(-?\d[\d,]*(?:\.\d+)?)', 1)[-1] AS e, regexp_extract_all(t, '(-?\d[\d,]*(?:\.\d+)?)', 1)[-1] AS n,
   regexp_extract_all(t, '(?i)FINAL\s*ANSWER\s*:\s*([-+]?(?:\d[\d,]*\.?\d*|\.\d+))', 1)[-1] AS e2, regexp_extract_all(t, '([-+]?(?:\d[\d,]*\.?\d*|\.\d+))', 1)[-1] AS n2 FROM t)
 SELECT problem_id, language, CASE WHEN coalesce(e, n) IS NOT NULL THEN {sql_canon("replace(coalesce(e, n), ',', '')")} END AS labelled,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.numbers import (
     DOTTED_NUMBER, GROUPED_NUMBER, LOOSE_NUMBER, SIGNED_NUMBER,
-    ascii_digits, drop_chars, normalize_decimal, normalize_float_text,
+    drop_chars, normalize_decimal, normalize_float_text, plain_text,
 )
 
 # Marker phrases.
@@ -37,7 +37,7 @@ def _last(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _prepared(df: DataFrame, response: str, full_separators: bool) -> DataFrame:
-    text = ascii_digits(F.coalesce(F.col(response), F.lit("")))
+    text = plain_text(F.coalesce(F.col(response), F.lit("")))
     if full_separators:
         text = F.translate(text, "٬٫", ",.")
     return df.withColumn("_t", text)

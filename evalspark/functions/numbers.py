@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 ARABIC_INDIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 ASCII_DIGITS = "0123456789"
+# Blanks of Unicode beyond the six of ASCII.
+WIDE_BLANKS = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+#: Inside of a character class of regular expressions: every blank.
+BLANK_CLASS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ARABIC_THOUSANDS = "٬"
 ARABIC_DECIMAL = "٫"
 GROUPED_NUMBER = r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
@@ -23,8 +28,13 @@ def ascii_digits(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of ASCII white space, not blanks only."""
-    return F.btrim(c, F.lit(" \t\n\r\f\x0b"))
+    """Trim every kind of Unicode white space."""
+    return F.btrim(c, F.lit(" \t\n\r\f\x0b" + WIDE_BLANKS))
+
+
+def plain_text(c: Column) -> Column:
+    """ASCII digits and plain blanks, character by character, so that positions stay."""
+    return F.translate(c, ARABIC_INDIC_DIGITS + PERSIAN_DIGITS + WIDE_BLANKS, ASCII_DIGITS * 2 + " " * len(WIDE_BLANKS))
 
 
 def drop_chars(c: Column, chars: str) -> Column:

@@ -3,6 +3,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalspark.functions.numbers import number_sequence
+from evalspark.functions.text import is_filled
 
 # Fixed values. Display math, inline math (escaped dollars allowed), bracket math, diagram markers.
 PROTECTED = r"(?s)(\$\$.*?\$\$|\$[^$\\]*(?:\\.[^$\\]*)*\\?\$|\\\[.*?\\\]|\[\*\s*\{.*?\}\s*\])"
@@ -54,7 +55,7 @@ def restore_problem(source: Column, draft: Column) -> Column:
 
 def placed_problem(source: Column, draft: Column, spans: Column, restored: Column) -> Column:
     """The same with the spans and the restored text already at hand."""
-    return F.when(draft.isNull() | ~draft.rlike(r"\S"), "empty_translation") \
+    return F.when(~is_filled(draft), "empty_translation") \
         .when(~tokens_in_order(draft, spans), "protected_tokens_mismatch") \
         .when(protected_spans(restored) != spans, "protected_spans_changed") \
         .when(number_sequence(source) != number_sequence(restored), "numeric_sequence_changed") \
@@ -67,7 +68,7 @@ def restored_text(source: Column, draft: Column) -> Column:
 
 def recheck_problem(source: Column, translated: Column) -> Column:
     """The same rules on a text whose spans are already filled in (used again at export)."""
-    return F.when(translated.isNull() | ~translated.rlike(r"\S"), "empty_translation") \
+    return F.when(~is_filled(translated), "empty_translation") \
         .when(protected_spans(source) != protected_spans(translated), "protected_spans_changed") \
         .when(number_sequence(source) != number_sequence(translated), "numeric_sequence_changed") \
         .when(~has_arabic(translated), "no_arabic_text")

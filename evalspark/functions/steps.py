@@ -2,6 +2,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions.numbers import strip
+
 # Upper bounds of the short and medium classes, early and middle error positions.
 SHORT_STEPS, MEDIUM_STEPS = 4, 12
 EARLY_ERROR, MIDDLE_ERROR = 4, 12
@@ -37,7 +39,7 @@ def split_steps(text: Column) -> Column:
 
 def trimmed_lines(text: Column) -> Column:
     """Non-empty trimmed lines (F-23)."""
-    lines = F.transform(F.split(text, "\n", -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(text, "\n", -1), lambda s: strip(s))
     return F.filter(lines, lambda s: s != "")
 
 

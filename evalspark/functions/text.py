@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.digests import DIGEST_PATTERN
+from evalspark.functions.numbers import BLANK_CLASS
 
 
 def is_iso_date(c: Column) -> Column:
@@ -14,7 +15,8 @@ def is_digest(c: Column) -> Column:
 
 
 def is_filled(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"\S"), F.lit(False))
+    """Holds something besides white space, of Unicode as well."""
+    return F.coalesce(c.rlike(f"[^{BLANK_CLASS}]"), F.lit(False))
 
 
 def scores_to_text(scores: Column, digits: int = 4) -> Column:

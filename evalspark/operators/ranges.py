@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.session import shuffle_width
+from evalspark.session import cut_lineage, shuffle_width
 
 
 def range_bounds(df: DataFrame, order: str, ranges: int | None = None) -> list[float]:
@@ -129,6 +129,21 @@ def numbered(df: DataFrame, order: str, out: str = "position", start: int = 1, r
         .withColumn(out, F.col("_pos") + F.lit(start - 1)).drop("_pos", "_one")
 
 
+def text_ranks(df: DataFrame, text: str, by: list[str] | None = None, out: str = "text_rank") -> DataFrame:
+    """Rank of any text inside its group in whole-text order, whatever the texts' lengths and prefixes.
+
+    Spark cuts (group, text) into ranges of similar size; the cut rows are kept, so that counts and ranks see the same ranges. Equal
+    texts meet in one range and get ranks in no fixed order.
+    """
+    by = by or []
+    cut = cut_lineage(df.repartitionByRange(*by, text).withColumn("_part", F.spark_partition_id()))
+    sizes = cut.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*by, "_part").orderBy(text)
+    return attach(cut, offsets, [*by, "_part"]).withColumn(out, F.row_number().over(inside) + F.col("_off")).drop("_part", "_off")
+
+
 def digest_ranks(df: DataFrame, digest: str, by: list[str] | None = None, out: str = "digest_rank",
                  hex_chars: int = 3) -> DataFrame:
     """Rank of a hex digest inside its group, for groups of any size.

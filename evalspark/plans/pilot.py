@@ -5,68 +5,58 @@ from pyspark.sql import functions as F
 from evalspark.operators.checks import PILOT_ERROR_TYPES, leaking_groups, pilot_violations, require_empty
 from evalspark.operators.sampling import stratified_pick
 
-# Operand ranges (inclusive) per error type, and the step texts.
-# ``{x}`` is an operand or a derived number; the label list marks the first wrong step.
+# Stories of our own for the seven error types (the type names are fixed values): operand ranges (inclusive), derived numbers and step
+# texts. ``{x}`` is an operand or a derived number; the label list marks the first wrong step.
 TEMPLATES = {
     "arithmetic": {
-        "operands": {"a": (15, 40), "b": (3, 10), "c": (2, 8)},
-        "derived": {"m": "a - b", "r": "a - b + c", "w": "a - b + c + 1"},
-        "problem": "لدى أحمد {a} تفاحة. أعطى {b} تفاحات لصديقه، ثم اشترى {c} تفاحات أخرى. كم تفاحة لديه الآن؟",
-        "correct": ["لدى أحمد في البداية {a} تفاحة.", "بعد أن أعطى {b} تفاحات نحسب {a} - {b} = {m}.",
-                    "ثم اشترى {c} تفاحات فنحسب {m} + {c} = {r}.", "إذن لديه {r} تفاحة."],
-        "wrong": ["لدى أحمد في البداية {a} تفاحة.", "بعد أن أعطى {b} تفاحات نحسب {a} - {b} = {m}.",
-                  "ثم اشترى {c} تفاحات فنحسب {m} + {c} = {w}.", "إذن لديه {w} تفاحة."],
+        "operands": {"a": (50, 90), "b": (11, 24), "c": (6, 19)},
+        "derived": {"m": "a - b", "r": "a - b + c", "w": "a - b + c - 3"},
+        "problem": "ينتظر في المحطة {a} راكبًا. ركب الحافلة الأولى {b} راكبًا، ثم وصل إلى المحطة {c} راكبًا. ما عدد المنتظرين؟",
+        "correct": ["المنتظرون في البداية: {a}.", "بعد الحافلة الأولى: {a} - {b} = {m}.", "بعد وصول الجدد: {m} + {c} = {r}.", "عدد المنتظرين {r}."],
+        "wrong": ["المنتظرون في البداية: {a}.", "بعد الحافلة الأولى: {a} - {b} = {m}.", "بعد وصول الجدد: {m} + {c} = {w}.", "عدد المنتظرين {w}."],
         "labels": [1, 1, 0, 0]},
     "operation_substitution": {
-        "operands": {"a": (3, 9), "b": (4, 12)},
+        "operands": {"a": (6, 14), "b": (5, 11)},
         "derived": {"r": "a * b", "w": "a + b"},
-        "problem": "لدى خالد {a} صناديق، وفي كل صندوق {b} كرات. كم كرة لديه في المجموع؟",
-        "correct": ["عدد الصناديق هو {a}.", "في كل صندوق {b} كرات.", "نضرب {a} × {b} = {r}.", "إذن لديه {r} كرة."],
-        "wrong": ["عدد الصناديق هو {a}.", "في كل صندوق {b} كرات.", "نجمع {a} + {b} = {w}.", "إذن لديه {w} كرة."],
-        "labels": [1, 1, 0, 0]},
+        "problem": "في القاعة {a} صفوف، وفي الصف الواحد {b} مقاعد. ما عدد المقاعد كلها؟",
+        "correct": ["عدد الصفوف {a} ومقاعد الصف {b}.", "العملية المناسبة هي الضرب.", "{a} × {b} = {r}.", "في القاعة {r} مقعدًا."],
+        "wrong": ["عدد الصفوف {a} ومقاعد الصف {b}.", "العملية المناسبة هي الجمع.", "{a} + {b} = {w}.", "في القاعة {w} مقعدًا."],
+        "labels": [1, 0, 0, 0]},
     "operand_substitution": {
-        "operands": {"a": (30, 70), "b": (5, 15)},
-        "derived": {"r": "a - b", "x": "b + 2", "w": "a - b - 2"},
-        "problem": "كان في المتجر {a} زجاجة ماء. بيع منها {b} زجاجات. كم زجاجة بقيت؟",
-        "correct": ["كان في المتجر {a} زجاجة.", "تم بيع {b} زجاجات.", "نحسب {a} - {b} = {r}.", "إذن بقيت {r} زجاجة."],
-        "wrong": ["كان في المتجر {a} زجاجة.", "تم بيع {b} زجاجات.",
-                  "نستخدم بالخطأ العدد {x} ونحسب {a} - {x} = {w}.", "إذن بقيت {w} زجاجة."],
+        "operands": {"a": (60, 120), "b": (14, 33)},
+        "derived": {"r": "a - b", "x": "b + 5", "w": "a - b - 5"},
+        "problem": "يتسع الخزان لماء الري وفيه {a} لترًا، سُحب منها {b} لترًا. كم لترًا يبقى في الخزان؟",
+        "correct": ["في الخزان {a} لترًا.", "المسحوب {b} لترًا.", "الباقي: {a} - {b} = {r}.", "يبقى {r} لترًا."],
+        "wrong": ["في الخزان {a} لترًا.", "المسحوب {b} لترًا.", "الباقي: {a} - {x} = {w}.", "يبقى {w} لترًا."],
         "labels": [1, 1, 0, 0]},
     "intermediate_corruption": {
-        "operands": {"a": (20, 50), "b": (3, 10), "c": (3, 10)},
-        "derived": {"m": "a - b", "r": "a - b + c", "x": "a - b + 2", "w": "a - b + 2 + c"},
-        "problem": "لدى سارة {a} كتاباً. أعطت {b} كتب لصديقتها، ثم اشترت {c} كتب جديدة. كم كتاباً لديها الآن؟",
-        "correct": ["لدى سارة {a} كتاباً.", "بعد إعطاء {b} كتب نحسب {a} - {b} = {m}.",
-                    "ثم نضيف {c}: {m} + {c} = {r}.", "إذن لديها {r} كتاباً."],
-        "wrong": ["لدى سارة {a} كتاباً.", "بعد إعطاء {b} كتب نحسب {a} - {b} = {m}.",
-                  "نستخدم بالخطأ القيمة {x} بدلاً من {m}، ثم نحسب {x} + {c} = {w}.", "إذن لديها {w} كتاباً."],
+        "operands": {"a": (3, 8), "b": (6, 12), "c": (10, 30)},
+        "derived": {"m": "a * b", "r": "a * b + c", "x": "a * b + 4", "w": "a * b + 4 + c"},
+        "problem": "يخبز الفرن {a} صوانٍ في كل منها {b} فطيرة، وعنده {c} فطيرة من الأمس. كم فطيرة عنده؟",
+        "correct": ["خبز اليوم: {a} × {b} = {m}.", "من الأمس: {c}.", "المجموع: {m} + {c} = {r}.", "عنده {r} فطيرة."],
+        "wrong": ["خبز اليوم: {a} × {b} = {m}.", "من الأمس: {c}.", "المجموع: {x} + {c} = {w}.", "عنده {w} فطيرة."],
         "labels": [1, 1, 0, 0]},
     "unit_conversion": {
-        "operands": {"a": (2, 8), "b": (2, 6)},
-        "derived": {"t": "b * 10", "m": "a * 100", "r": "a * 100 + b * 10", "x": "a * 10", "w": "a * 10 + b * 10"},
-        "problem": "طول حبل هو {a} أمتار و{t} سنتيمتراً. كم يبلغ طوله بالسنتيمتر؟",
-        "correct": ["نعلم أن المتر الواحد يساوي 100 سنتيمتر.", "نحوّل {a} أمتار إلى سنتيمترات: {a} × 100 = {m}.",
-                    "نضيف {t} سنتيمتراً: {m} + {t} = {r}.", "إذن طول الحبل {r} سنتيمتراً."],
-        "wrong": ["نعلم أن المتر الواحد يساوي 100 سنتيمتر.", "نحوّل بالخطأ {a} أمتار إلى {x} سنتيمتراً.",
-                  "نضيف {t}: {x} + {t} = {w}.", "إذن طول الحبل {w} سنتيمتراً."],
+        "operands": {"a": (2, 9), "b": (5, 50)},
+        "derived": {"m": "a * 60", "r": "a * 60 + b", "x": "a * 100", "w": "a * 100 + b"},
+        "problem": "دامت الرحلة {a} ساعات و{b} دقيقة. كم دقيقة دامت؟",
+        "correct": ["في الساعة 60 دقيقة.", "الساعات بالدقائق: {a} × 60 = {m}.", "نزيد الدقائق: {m} + {b} = {r}.", "دامت الرحلة {r} دقيقة."],
+        "wrong": ["في الساعة 60 دقيقة.", "الساعات بالدقائق: {a} × 100 = {x}.", "نزيد الدقائق: {x} + {b} = {w}.", "دامت الرحلة {w} دقيقة."],
         "labels": [1, 0, 0, 0]},
     "premature_conclusion": {
-        "operands": {"a": (25, 60), "b": (5, 15), "c": (3, 12)},
-        "derived": {"m": "a - b", "r": "a - b + c"},
-        "problem": "كان مع يوسف {a} ريالاً. أنفق {b} ريالات، ثم حصل على {c} ريالات. كم ريالاً أصبح معه؟",
-        "correct": ["كان مع يوسف {a} ريالاً.", "بعد إنفاق {b} نحسب {a} - {b} = {m}.",
-                    "ثم حصل على {c} فنحسب {m} + {c} = {r}.", "إذن أصبح معه {r} ريالاً."],
-        "wrong": ["كان مع يوسف {a} ريالاً.", "بعد إنفاق {b} نحسب {a} - {b} = {m}.", "إذن الإجابة النهائية هي {m} ريالاً."],
-        "labels": [1, 1, 0]},
+        "operands": {"a": (4, 9), "b": (12, 25), "c": (7, 20)},
+        "derived": {"m": "a * b", "r": "a * b - c"},
+        "problem": "اشترت المدرسة {a} رزم في كل منها {b} دفترًا ووزعت {c} دفترًا. كم دفترًا لم يوزع؟",
+        "correct": ["في الرزم: {a} × {b} = {m}.", "وُزع منها {c}.", "{m} - {c} = {r}.", "لم يوزع {r} دفترًا."],
+        "wrong": ["في الرزم: {a} × {b} = {m}.", "لم يوزع {m} دفترًا."],
+        "labels": [1, 0]},
     "semantic_logical": {
-        "operands": {"a": (4, 9), "b": (3, 8)},
-        "derived": {"r": "a * b", "w": "a + b"},
-        "problem": "يوزع المعلم {b} أقلام على كل واحد من {a} طلاب. كم قلماً يحتاج المعلم؟",
-        "correct": ["عدد الطلاب هو {a}.", "كل طالب يحتاج إلى {b} أقلام.",
-                    "نحتاج إلى ضرب العددين: {a} × {b} = {r}.", "إذن يحتاج المعلم إلى {r} قلماً."],
-        "wrong": ["عدد الطلاب هو {a}.", "كل طالب يحتاج إلى {b} أقلام.",
-                  "نعتبر العددين مجموعتين منفصلتين ونجمعهما: {a} + {b} = {w}.", "إذن يحتاج المعلم إلى {w} قلماً."],
-        "labels": [1, 1, 0, 0]},
+        "operands": {"a": (30, 60), "b": (4, 13)},
+        "derived": {"r": "a - b", "w": "a + b"},
+        "problem": "عمر الأخت {a} سنة وهي أكبر من أخيها بعدد {b} من السنوات. ما عمر أخيها؟",
+        "correct": ["عمر الأخت {a}.", "الأخ أصغر منها بعدد {b}.", "{a} - {b} = {r}.", "عمره {r} سنة."],
+        "wrong": ["عمر الأخت {a}.", "الأخ أكبر منها بعدد {b}.", "{a} + {b} = {w}.", "عمره {w} سنة."],
+        "labels": [1, 0, 0, 0]},
 }
 
 
@@ -75,6 +65,12 @@ def _operand(seed: int, pair: Column, name: str, low: int, high: int) -> Column:
     return F.lit(low) + F.pmod(draw, F.lit(high - low + 1))
 
 
+def _padded(number: Column) -> Column:
+    """At least four digits; longer numbers keep all of theirs."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
+
+
 def _filled(text: str, numbers: dict[str, str]) -> Column:
     out = F.lit(text)
     for name in numbers:
@@ -92,7 +88,7 @@ def generate_pairs(pairs: DataFrame, seed: int, pair_number: str = "pair_number"
     number = F.col(pair_number)
     kind = F.element_at(F.array(*[F.lit(t) for t in PILOT_ERROR_TYPES]),
                         (F.pmod(number - 1, F.lit(len(PILOT_ERROR_TYPES))) + 1).cast("int"))
-    base = pairs.select(number.alias("_n"), F.concat(F.lit("ar_pilot_"), F.lpad(number.cast("string"), 4, "0")).alias("pair_id"), kind.alias("_kind"))
+    base = pairs.select(number.alias("_n"), F.concat(F.lit("ar_pilot_"), _padded(number)).alias("pair_id"), kind.alias("_kind"))
     columns = {name: {x: f"_{name}_{x}" for x in (*spec["operands"], *spec["derived"])} for name, spec in TEMPLATES.items()}
     base = base.withColumns({columns[name][x]: F.when(F.col("_kind") == name, _operand(seed, F.col("_n"), x, low, high))
                              for name, spec in TEMPLATES.items() for x, (low, high) in spec["operands"].items()})

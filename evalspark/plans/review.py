@@ -16,7 +16,7 @@ from evalspark.operators.checks import (
     CheckFailed, coverage_report, first_reason, leaking_groups, repeated_across_batches, require_empty,
     row_differences, staged_problem,
 )
-from evalspark.operators.ranges import digest_ranks, with_scalars
+from evalspark.operators.ranges import text_ranks, with_scalars
 from evalspark.operators.sampling import greedy_coverage
 from evalspark.operators.scores import supervision_summary
 from evalspark.session import computed_once, cut_lineage
@@ -74,14 +74,10 @@ def queue_digest(queue: DataFrame) -> DataFrame:
 
 
 def freeze(queue: DataFrame) -> DataFrame:
-    """Source lock: (split, index, id, problem_id, source_record_sha256), index in id order per split.
-
-    Ids end in a digest behind a fixed prefix, so the order of their last 64 characters is the id order.
-    """
+    """Source lock: (split, index, id, problem_id, source_record_sha256), index in id order per split."""
     flat = queue.select("split", F.col("source_record.id").alias("id"), F.col("source_record.problem_id").alias("problem_id"),
                         "source_record_sha256")
-    return digest_ranks(flat.withColumn("_d", F.right("id", F.lit(64))), "_d", ["split"], "_r") \
-        .withColumn("index", (F.col("_r") - 1).cast("int")).drop("_d", "_r")
+    return text_ranks(flat, "id", ["split"], "_r").withColumn("index", (F.col("_r") - 1).cast("int")).drop("_r")
 
 
 def materialize_problems(queue: DataFrame, lock: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -158,8 +154,7 @@ def review_sheet(queue: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 def decision_template(queue: DataFrame) -> DataFrame:
     """All decisions pending (C-06), numbered from 1 over the queue, bound to the queue digest."""
-    flat = queue.select(F.col("source_record.id").alias("id"), "split").withColumn("_d", F.right("id", F.lit(64)))
-    numbered = digest_ranks(flat, "_d", out="record_number").drop("_d")
+    numbered = text_ranks(queue.select(F.col("source_record.id").alias("id"), "split"), "id", out="record_number")
     bound = queue_digest(queue).select(F.col("table_sha256").alias("review_queue_sha256"))
     return with_scalars(numbered, bound).select(
         "review_queue_sha256", F.lit(False).alias("human_review"), F.lit(None).cast("string").alias("reviewer"), "record_number", "id",

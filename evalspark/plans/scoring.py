@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import answers
 from evalspark.functions.numbers import normalize_decimal, numeric_equal
+from evalspark.functions.text import is_filled
 from evalspark.operators.checks import CheckFailed, key_set_differences, require_empty
 from evalspark.operators.pairs import latest_per_key, overlay, paired_outcomes, paired_summary, unmatched_decisions
 from evalspark.operators.resample import paired_bootstrap
@@ -87,7 +88,7 @@ def replace_rows(results: DataFrame, repaired: DataFrame, keys: list[str], respo
 
     Refuses empty responses and keys that are not in the table. Columns missing in ``repaired`` are null there.
     """
-    require_empty(repaired.where(~F.coalesce(F.col(response).rlike(r"\S"), F.lit(False))).select(*keys), "empty repaired response")
+    require_empty(repaired.where(~is_filled(F.col(response))).select(*keys), "empty repaired response")
     require_empty(repaired.join(results.select(*keys), keys, "left_anti").select(*keys), "repaired key not in the table")
     kept = results.join(repaired.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(repaired, allowMissingColumns=True)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.digests import canonical_digest, group_key, raw_row_id
 from evalspark.functions.steps import first_position, labels_from_ratings, mask_from_ratings, steps_to_text
+from evalspark.functions.text import is_filled
 from evalspark.operators.checks import CheckFailed, changed_rows, first_reason, leaking_groups, require_empty, staged_problem
 from evalspark.operators.pairs import first_per_key
 from evalspark.operators.sampling import check_reservoir, collect_groups, group_reservoir, ranked_group_sample
@@ -121,7 +122,7 @@ def _judged(generated: Column) -> Column:
             (~F.coalesce(x["picked"]["text"] == x["wanted"], F.lit(False)), "selected_path_differs_from_generated"),
             (~known(x["picked"]["rating"]), "missing_or_invalid_rating"),
             (x["picked"]["flagged"], "flagged_step"),
-            (~F.coalesce(x["picked"]["text"].rlike(r"\S"), F.lit(False)), "empty_step"),
+            (~is_filled(x["picked"]["text"]), "empty_step"),
         ])
     return F.transform(picked, lambda x: F.struct(
         rules(x).alias("reason"), x["index"].cast("int").alias("chosen"), x["picked"]["rating"].cast("int").alias("rating"),
@@ -140,7 +141,7 @@ def classify(parsed: DataFrame) -> DataFrame:
     reason = F.coalesce(
         first_reason([
             (F.col("screening"), "quality_control_or_screening"),
-            (~F.coalesce(F.col("problem").rlike(r"\S"), F.lit(False)), "empty_problem"),
+            (~is_filled(F.col("problem")), "empty_problem"),
             (~F.coalesce(finish.isin("solution", "found_error"), F.lit(False)), "unfinished_or_bad_problem"),
             (F.col("generated").isNull(), "not_phase2")]),
         step_reason,

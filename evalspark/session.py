@@ -37,7 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
     Only a local master without that setting (tests on one machine) gets a folder of its own; a cluster that
-    names none gets none.
+    names none gets none, and jobs that keep rows stop.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -52,11 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Rows kept in the shared checkpoint folder: computed once, and a lost executor costs a re-read only.
-
-    Without such a folder the plan stays as it is and is recomputed per use.
-    """
-    return df.checkpoint(eager=True) if ensure_checkpoint_dir(df.sparkSession) else df
+    """Rows kept in the shared checkpoint folder: computed once, and a lost executor costs a re-read only."""
+    if not ensure_checkpoint_dir(df.sparkSession):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return df.checkpoint(eager=True)
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -7,6 +7,8 @@ parse of the text in brackets proves: ``[{...} x]`` is no JSON array.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.text import is_filled
+
 
 def strict_object(line: Column) -> Column:
     """VARIANT of a JSON object line, null for anything a strict reader refuses."""
@@ -29,6 +31,6 @@ def strict_problem(line: Column) -> Column:
 
 def split_strict(df: DataFrame, line: str) -> tuple[DataFrame, DataFrame]:
     """(accepted with VARIANT column ``record``, refused with ``problem``); blank lines are skipped."""
-    filled = df.where(F.col(line).rlike(r"\S"))
+    filled = df.where(is_filled(F.col(line)))
     return (filled.withColumn("record", strict_object(F.col(line))).where(F.col("record").isNotNull()),
             filled.withColumn("problem", strict_problem(F.col(line))).where(F.col("problem").isNotNull()))
