@@ -1,10 +1,12 @@
 """Registry, base frames and the matching SQL fragments."""
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.numbers import WIDE_BLANKS
+from evalspark.session import ensure_checkpoint_dir
 from evalspark.sources.readers import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,14 @@ def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for what a query writes and reads again."""
+    folder = ensure_checkpoint_dir(spark)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 # ---------------------------------------------------------------- paired outcomes
 SIDES = ("arabic", "english")
 MODELS = ("m1", "m2")

@@ -5,6 +5,7 @@ from evalspark.bindings.base import (
     LONG, MODELS, PAIRS, RESPONSES, SCENARIOS, SETS, SIDES, WIDE, exclusion_sets, query, responses, results_long, shown, spread, table,
 )
 from evalspark.operators import checks, pairs as P, resample, stats
+from evalspark.operators.ranges import attach, with_scalars
 from evalspark.plans import study
 
 COUNTS = """count(*) AS n, count_if(a=1 AND b=1)::BIGINT AS both_correct, count_if(a=0 AND b=0)::BIGINT AS both_wrong,
@@ -298,9 +299,46 @@ def t02(spark, d):
     return shown(resample.paired_bootstrap(m1_pairs(spark, d), "problem_id", "b_minus_a", B, SEED, mode="hash"))
 
 
-@query("t02_bootstrap_collapsed")
+def near_normal(df, spread):
+    """The interval holds the mean and is as wide as the normal one, within an eighth and two lattice steps: what any stream of draws gives."""
+    width = F.lit(2 * 1.959964) * F.col(spread)
+    return df.withColumn("as_expected", (F.col("ci_low") <= F.col("observed")) & (F.col("observed") <= F.col("ci_high"))
+                         & (F.abs(F.col("ci_high") - F.col("ci_low") - width) <= width / 8 + 2 / F.col("n")))
+
+
+@query("t02_bootstrap_collapsed", f"""WITH {PAIRS} SELECT round(avg(b - a),6) AS observed, 10000::BIGINT AS n_replicates, count(*) AS n, true AS as_expected FROM pairs WHERE model = 'm1'""")
 def t02b(spark, d):
-    return resample.paired_bootstrap(m1_pairs(spark, d), "problem_id", "b_minus_a", 10_000, SEED, mode="collapse")
+    rows = m1_pairs(spark, d)
+    out = with_scalars(resample.paired_bootstrap(rows, "problem_id", "b_minus_a", 10_000, SEED),
+                       rows.agg(F.count("b_minus_a").alias("n"), (F.stddev_pop("b_minus_a") / F.sqrt(F.count("b_minus_a"))).alias("se")))
+    return shown(near_normal(out, "se").select("observed", "n_replicates", "n", "as_expected"))
+
+
+@query("t02_bootstrap_by_scenario", f"""{MATRIX} SELECT scenario, model, n::BIGINT AS n, 2000::BIGINT AS n_replicates, true AS as_expected FROM t""")
+def t02c(spark, d):
+    """Interval of every scenario and model in one pass (A-24, C-16)."""
+    excl = P.compose_exclusions(exclusion_sets(spark, d), SCENARIOS)
+    rows = P.scenario_rows(all_pairs(spark, d), "problem_id", list(SCENARIOS), excl)
+    by = ["scenario", "model"]
+    out = attach(resample.paired_bootstrap(rows, "problem_id", "b_minus_a", 2_000, SEED, by=by),
+                 rows.groupBy(*by).agg(F.count("b_minus_a").alias("n"), (F.stddev_pop("b_minus_a") / F.sqrt(F.count("b_minus_a"))).alias("se")), by)
+    return near_normal(out, "se").select(*by, "n", "n_replicates", "as_expected")
+
+
+@query("t05_gap_difference_by_scenario", f"""WITH {WIDE}, {SETS}, k AS (SELECT names.scenario, w.* FROM names, wide w WHERE NOT EXISTS (SELECT 1 FROM excl WHERE excl.scenario = names.scenario AND excl.id = w.problem_id)),
+ s AS (SELECT scenario, count(*) AS n, sum(gap_difference)::BIGINT AS observed_sum, sum(gap_difference * gap_difference) AS q FROM k GROUP BY 1)
+SELECT scenario, n, observed_sum, round(observed_sum / n, 6) AS observed, true AS p_as_expected FROM s""")
+def t05c(spark, d):
+    """Interval and randomisation p of the cross-model row of every scenario (C-16); p stays near the normal one of the flipped sum."""
+    excl = P.compose_exclusions(exclusion_sets(spark, d), SCENARIOS)
+    rows = P.scenario_rows(wide(spark, d), "problem_id", list(SCENARIOS), excl)
+    study_rows = resample.gap_difference_study(rows, "problem_id", replicates=2_000, randomisations=20_000, seed=SEED, by=["scenario"])
+    size = rows.groupBy("scenario").agg(F.sqrt(F.sum(F.col("gap_difference") * F.col("gap_difference"))).alias("size"), (F.count_if(F.col("gap_difference") != 0)).alias("m"))
+    out = attach(study_rows, size, ["scenario"])
+    z = (F.abs("observed_sum") - 0.5) / F.col("size")
+    normal = stats.tail("normal", F.greatest(z, F.lit(0.0)))
+    fine = (F.abs(F.col("randomisation_p") - normal) <= 0.05 + 0.5 / F.col("m")) & (F.col("ci_low") <= F.col("observed")) & (F.col("observed") <= F.col("ci_high"))
+    return shown(out.select("scenario", "n", "observed_sum", "observed", F.coalesce(fine, F.lit(True)).alias("p_as_expected")))
 
 
 @query("t03_percentiles", """SELECT event_type AS category, round(quantile_cont(value, 0.025),6) AS p025, round(quantile_cont(value, 0.5),6) AS p50,
@@ -321,9 +359,10 @@ def t04(spark, d):
     return shown(resample.sign_flip_test(wide(spark, d), "problem_id", "gap_difference", R, SEED, mode="hash"))
 
 
-@query("t04_sign_flip_collapsed")
+@query("t04_sign_flip_collapsed", f"""WITH {WIDE} SELECT count(*) AS n, sum(gap_difference)::BIGINT AS observed_sum, round(avg(gap_difference),6) AS observed, true AS p_in_range FROM wide""")
 def t04b(spark, d):
-    return resample.sign_flip_test(wide(spark, d), "problem_id", "gap_difference", 100_000, SEED, mode="collapse")
+    out = resample.sign_flip_test(wide(spark, d), "problem_id", "gap_difference", 100_000, SEED)
+    return shown(out.select("n", "observed_sum", "observed", F.col("randomisation_p").between(1 / 100_001, 1.0).alias("p_in_range")))
 
 
 @query("t05_gap_difference", f"""WITH {WIDE}, {FLIP}, arr AS (SELECT list(v ORDER BY v) AS vs, count(*) AS n FROM fl),

@@ -20,11 +20,11 @@ def w06(spark, d):
 
 
 @query("w06_anchored_reservoir", f"""WITH {KEYS}, anchors AS (SELECT DISTINCT problem_id FROM keys WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), g AS (SELECT DISTINCT problem_id FROM keys)
-SELECT problem_id, problem_id IN (SELECT problem_id FROM anchors) AS anchored FROM g ORDER BY 2 DESC, sha256('{SEED}:reservoir:' || problem_id) LIMIT 2100""")
+SELECT problem_id, problem_id IN (SELECT problem_id FROM anchors) AS anchored FROM g ORDER BY 2 DESC, sha256('{SEED}:reservoir:' || problem_id) LIMIT (SELECT count(*) + 20 FROM anchors)""")
 def w06b(spark, d):
     rows = keyed(spark, d)
     anchors = rows.join(table(spark, d, "labels", ["doc_id", "toxic"]).where("toxic = 1"), "doc_id", "left_semi").select("problem_id", F.lit("dev").alias("split")).distinct()
-    return S.group_reservoir(rows, "problem_id", 2100, SEED, anchors).select("problem_id", "anchored")
+    return S.group_reservoir(rows, "problem_id", anchors.count() + 20, SEED, anchors).select("problem_id", "anchored")
 
 
 @query("w07_ranked_group_sample", f"""WITH {KEYS}, k AS (SELECT problem_id, sha256('{SEED}:' || problem_id) AS p FROM (SELECT DISTINCT problem_id FROM keys) ORDER BY p LIMIT 65), r AS (SELECT *, row_number() OVER (ORDER BY p) AS rank FROM k)

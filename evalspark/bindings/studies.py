@@ -1,15 +1,12 @@
 """Benchmark construction, scoring and study jobs."""
-import uuid
-
 from pyspark.sql import functions as F
 
-from evalspark.bindings.base import RESPONSES, SCORES, TRAJ, WIDE, MODELS, SIDES, query, responses, responses_of, results_long, scores, shown, sql_norm, table, trajectories
+from evalspark.bindings.base import RESPONSES, SCORES, TRAJ, WIDE, MODELS, SIDES, query, responses, responses_of, results_long, scores, scratch, shown, sql_norm, table, trajectories
 from evalspark.bindings.numbers import EXA
 from evalspark.bindings.pairs import J05_LEFT, matched_input
 from evalspark.bindings.tables import FLAGS, flagged
 from evalspark.operators import pairs as P, scores as A
 from evalspark.plans import benchmark, scoring, study
-from evalspark.session import ensure_checkpoint_dir
 from evalspark.streaming import results
 
 SEED = 42
@@ -202,14 +199,9 @@ def stream_of(spark, d, name):
     return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def run_folder(spark):
-    """A new folder below the checkpoint folder for the stream's output and progress."""
-    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-
 @query("r01_incremental_scoring", f"""WITH {EXA}, te AS (SELECT *, {sql_norm('gold_answer')} AS gn FROM td WHERE status = 'success') SELECT problem_id, language, answer AS extracted_answer, coalesce((answer = gn)::INT, 0) AS is_correct FROM te""")
 def r01(spark, d):
-    folder = run_folder(spark)
+    folder = scratch(spark, "stream")
     results.append_scored(responses_of(stream_of(spark, d, "orders")), folder + "/rows", folder + "/progress").awaitTermination()
     return spark.read.parquet(folder + "/rows").select("problem_id", "language", "extracted_answer", "is_correct")
 
@@ -217,7 +209,7 @@ def r01(spark, d):
 @query("r02_log_upsert", """WITH l AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 3 = 0 THEN 'success' ELSE 'error' END AS status FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (status = 'success') DESC, event_id DESC) AS rk FROM l)
 SELECT user_id, event_type, event_id, status FROM r WHERE rk = 1""")
 def r02_stream(spark, d):
-    folder = run_folder(spark)
+    folder = scratch(spark, "stream")
     log = stream_of(spark, d, "events").select("user_id", "event_type", "event_id", F.col("event_id").alias("timestamp_utc"),
                                               F.when(F.col("event_id") % 3 == 0, "success").otherwise("error").alias("status"))
     results.upsert_log(log, folder + "/snapshot", folder + "/progress", ["user_id", "event_type"]).awaitTermination()
@@ -231,7 +223,14 @@ def r02(spark, d):
     return scoring.resolve_log(log, ["user_id", "event_type"], "event_id")
 
 
-@query("r03_running_accuracy", """SELECT user_id::VARCHAR AS model, event_type AS language, sum((value > 50)::INT)::BIGINT AS n_correct, count(*) AS n_total, round(avg((value > 50)::INT),6) AS accuracy FROM events GROUP BY ALL""")
+@query("r03_running_accuracy", """WITH l AS (SELECT user_id, event_type, event_id, value, CASE WHEN event_id % 3 = 0 THEN 'success' ELSE 'error' END AS status FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (status = 'success') DESC, event_id DESC) AS rk FROM l)
+SELECT (user_id % 7)::VARCHAR AS model, event_type AS language, sum((value > 50)::INT)::BIGINT AS n_correct, count(*) AS n_total, round(avg((value > 50)::INT),6) AS accuracy FROM r WHERE rk = 1 GROUP BY ALL""")
 def r03(spark, d):
-    rows = table(spark, d, "events", ["user_id", "event_type", "value"]).select(F.col("user_id").cast("string").alias("model"), F.col("event_type").alias("language"), (F.col("value") > 50).cast("int").alias("is_correct"))
+    """Accuracy over the upserted log: a key that was tried again counts once."""
+    folder = scratch(spark, "stream")
+    log = stream_of(spark, d, "events").select("user_id", "event_type", "event_id", "value", F.col("event_id").alias("timestamp_utc"),
+                                              F.when(F.col("event_id") % 3 == 0, "success").otherwise("error").alias("status"))
+    results.upsert_log(log, folder + "/snapshot", folder + "/progress", ["user_id", "event_type"]).awaitTermination()
+    rows = results.read_snapshot(spark, folder + "/snapshot").select((F.col("user_id") % 7).cast("string").alias("model"), F.col("event_type").alias("language"), (F.col("value") > 50).cast("int").alias("is_correct"))
     return shown(results.running_accuracy(rows))

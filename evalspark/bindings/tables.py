@@ -1,7 +1,7 @@
 """Sources, predicates, sets and ordering on the driver's tables."""
 from pyspark.sql import functions as F
 
-from evalspark.bindings.base import LONG, PAIRS, RESPONSES, SETS, exclusion_sets, query, responses, results_long, shown, spread, table
+from evalspark.bindings.base import LONG, PAIRS, RESPONSES, SETS, exclusion_sets, query, responses, results_long, scratch, shown, spread, table
 from evalspark.bindings.pairs import m1_pairs
 from evalspark.operators import checks, pairs as P, sampling, scores as A
 from evalspark.plans import scoring
@@ -12,26 +12,40 @@ from evalspark.sources import files, readers, sinks, strict_json
 
 @query("s01_json_lines", "SELECT event_id, (props->>'k')::INT AS k, event_type FROM events")
 def s01(spark, d):
-    parsed = F.from_json("props", "k INT", {"mode": "FAILFAST"})
-    return table(spark, d, "events", ["event_id", "props", "event_type"]).select("event_id", parsed["k"].alias("k"), "event_type")
+    """Written as JSON lines with a blank line after each, read back."""
+    path = scratch(spark, "jsonl")
+    rows = table(spark, d, "events", ["event_id", "props", "event_type"]).select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type")
+    rows.select(F.concat(F.to_json(F.struct("*")), F.lit("\n  ")).alias("value")).write.text(path)
+    return readers.read_jsonl(spark, path, "event_id BIGINT, k INT, event_type STRING")
 
 
 @query("s02_csv_cells", """SELECT item_id, text, 'say "' || item_id || '"' AS quoted FROM benchmark""")
 def s02(spark, d):
-    # A CSV cell round trip inside the plan: quoted quotes and line breaks survive.
-    rows = table(spark, d, "benchmark").select("item_id", "text", F.concat(F.lit('say "'), F.col("item_id").cast("string"), F.lit('"')).alias("quoted"))
-    opts = {"escape": '"', "quote": '"', "quoteAll": "true", "lineSep": "\u0001", "multiLine": "true"}
-    line = F.to_csv(F.struct("item_id", "text", "quoted"), opts)
-    back = F.from_csv(line, F.lit("item_id BIGINT, text STRING, quoted STRING"), opts)
-    return rows.select(back.alias("r")).select("r.*")
+    """Cells with quotes and line breaks, written and read back."""
+    path = scratch(spark, "csv")
+    sinks.write_csv(table(spark, d, "benchmark").select("item_id", "text", F.concat(F.lit('say "'), F.col("item_id").cast("string"), F.lit('"')).alias("quoted")), path)
+    return readers.read_csv(spark, path, "item_id BIGINT, text STRING, quoted STRING")
 
 
-@query("s03_multi_file_union", """WITH u AS (SELECT 'labels.parquet' AS source_file, doc_id, NULL AS lang FROM labels UNION ALL SELECT 'documents.parquet', doc_id, lang FROM documents)
+@query("s03_multi_file_union", """WITH u AS (SELECT 'labels' AS source_file, doc_id, NULL AS lang FROM labels UNION ALL SELECT 'documents', doc_id, lang FROM documents)
 SELECT source_file, count(*) AS n_rows, count(lang) AS n_lang FROM u GROUP BY 1""")
 def s03(spark, d):
-    a = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("_metadata.file_name").alias("source_file"))
-    b = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", F.col("_metadata.file_name").alias("source_file"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"), F.count("lang").alias("n_lang"))
+    paths = {name: scratch(spark, name) for name in ("labels", "documents")}
+    sinks.write_csv(table(spark, d, "labels", ["doc_id"]), paths["labels"])
+    sinks.write_csv(table(spark, d, "documents", ["doc_id", "lang"]), paths["documents"])
+    return readers.read_union(spark, paths).groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"), F.count("lang").alias("n_lang"))
+
+
+@query("s04_numbered_lines", """WITH t AS (SELECT user_id % 4 AS k, event_type || ':' || event_id AS line, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS line_number,
+  sum(octet_length(encode(event_type || ':' || event_id)) + 1) OVER (PARTITION BY user_id % 4 ORDER BY event_id)::BIGINT AS bytes_through FROM events)
+SELECT k::INT AS k, line, line_number, bytes_through FROM t WHERE line_number <= 900 AND bytes_through <= 10000""")
+def s04b(spark, d):
+    """Four text files in event order; lines numbered from their file splits, cut by rows and bytes."""
+    path = scratch(spark, "lines")
+    rows = table(spark, d, "events", ["event_id", "user_id", "event_type"]).select("event_id", (F.col("user_id") % 4).alias("k"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("value"))
+    rows.repartition(4, "k").sortWithinPartitions("k", "event_id").select("k", "value").write.partitionBy("k").text(path)
+    lines = readers.bounded_prefix(readers.numbered_lines(spark, path), 900, 10_000)
+    return lines.select(F.regexp_extract("file", r"/k=(\d+)/", 1).cast("int").alias("k"), F.col("value").alias("line"), F.col("line_number").cast("bigint").alias("line_number"), "bytes_through")
 
 
 PREFIX_ROWS, PREFIX_BYTES = 4000, 200_000
@@ -69,33 +83,56 @@ def s07(spark, d):
 @query("s08_digest_changes")
 def s08(spark, d):
     before = files.file_digests(spark, d, "*.parquet")
-    after = before.where("file_name <> 'pages.parquet'")
+    after = files.file_digests(spark, d, "[!p]*.parquet")  # a second scan, without parts and pages
     return files.digest_changes(before, after, "file_name")
 
 
 @query("s09_json_line_sink", """SELECT doc_id, '{"doc_id":' || doc_id || ',"quality":' || quality || ',"reviewer":null,"toxic":' || toxic || '}' AS line FROM labels""")
 def s09(spark, d):
-    from evalspark.functions.digests import canonical_json
-    rows = table(spark, d, "labels").withColumn("reviewer", F.lit(None).cast("string"))
-    return rows.select("doc_id", canonical_json(rows).alias("line"))
+    path = scratch(spark, "jsonl")
+    sinks.write_jsonl(table(spark, d, "labels").withColumn("reviewer", F.lit(None).cast("string")), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.doc_id").cast("bigint").alias("doc_id"), F.col("value").alias("line"))
+
+
+@query("s10_refused_overwrite", """SELECT sink, true AS refused, n_rows FROM (SELECT count(*) AS n_rows FROM labels), (VALUES ('csv'), ('jsonl'), ('table')) t(sink)""")
+def s10(spark, d):
+    """Every sink twice to one path: the second write is refused and the first one's rows stay."""
+    rows, out = table(spark, d, "labels"), None
+    for sink, write, read in (("csv", sinks.write_csv, lambda p: readers.read_csv(spark, p)), ("jsonl", sinks.write_jsonl, spark.read.text), ("table", sinks.write_table, spark.read.parquet)):
+        path = scratch(spark, sink)
+        write(rows, path)
+        try:
+            write(rows.limit(1), path)
+            refused = False
+        except Exception as error:
+            if "PATH_ALREADY_EXISTS" not in str(error):
+                raise
+            refused = True
+        part = read(path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(sink).alias("sink"), F.lit(refused).alias("refused"), "n_rows")
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 @query("s11_split_counts", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split, count(*) AS n_rows FROM documents GROUP BY 1")
 def s11(spark, d):
-    return sinks.split_counts(table(spark, d, "documents", ["doc_id"]).select(F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train").alias("split")))
+    path = scratch(spark, "splits")
+    sinks.write_table(table(spark, d, "documents", ["doc_id"]).withColumn("split", F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train")), path, "split")
+    return sinks.split_counts(spark.read.parquet(path))
 
 
-@query("s12_csv_lines", "SELECT n_nationkey, n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
+@query("s12_csv_lines", "SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation UNION ALL SELECT 'n_nationkey,n_name,n_regionkey'")
 def s12(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.to_csv(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("line"))
+    path = scratch(spark, "csv")
+    sinks.write_csv(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("s13_bilingual_configs", """SELECT a.item_id AS source_index, a.text AS question_a, b.text AS question_b FROM benchmark a FULL JOIN (SELECT doc_id, text FROM documents WHERE doc_id < (SELECT max(item_id) + 1 FROM benchmark)) b ON a.item_id = b.doc_id""")
+@query("s13_bilingual_configs", """WITH a AS (SELECT doc_id, text FROM documents WHERE lang <> 'de'), b AS (SELECT doc_id, source FROM documents WHERE lang <> 'fr')
+SELECT coalesce(a.doc_id, b.doc_id) AS source_index, a.text AS question_a, b.source AS question_b FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def s13(spark, d):
-    a = table(spark, d, "benchmark").withColumn("answer", F.lit(""))
-    top = a.agg(F.max("item_id")).scalar()
-    b = table(spark, d, "documents", ["doc_id", "text"]).where(F.col("doc_id") <= top).select(F.col("doc_id").alias("item_id"), "text", F.lit("").alias("answer"))
-    return readers.bilingual_configs(a, b, "item_id", "text", "answer").select("source_index", "question_a", "question_b")
+    docs = table(spark, d, "documents", ["doc_id", "text", "source", "lang"]).withColumn("answer", F.lit(""))
+    b = docs.where("lang <> 'fr'").select("doc_id", F.col("source").alias("text"), "answer")
+    return readers.bilingual_configs(docs.where("lang <> 'de'"), b, "doc_id", "text", "answer").select("source_index", "question_a", "question_b")
 
 
 @query("s14_side_table", """SELECT e.event_id, n.note FROM events e LEFT JOIN (VALUES ('error', 'check by hand'), ('signup', 'first visit')) n(event_type, note) USING (event_type)""")
@@ -112,7 +149,7 @@ def s14(spark, d):
 def p01(spark, d):
     labels = table(spark, d, "labels")
     gone = checks.missing_columns(labels, ["doc_id", "rating", "absent"])
-    return labels.limit(1).select(F.explode(F.array(*[F.lit(c) for c in gone])).alias("missing"))
+    return labels.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.explode(F.array(*[F.lit(c) for c in gone])).alias("missing"))
 
 
 @query("p02_column_resolution", "SELECT o_orderkey AS problem_id, o_totalprice AS score FROM orders")

@@ -204,13 +204,14 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return kept.select(*keys, "_row.*", "n_versions")
 
 
-def joined_ids(df: DataFrame, by: list[str], key: str, limit: int = 10_000) -> DataFrame:
-    """Sorted id text per group (A-27), for curated id lists.
+def listed_ids(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    """The ids of every group, one row each, with their number in the group (A-27)."""
+    ids = df.select(*by, key).distinct()
+    return ids.join(ids.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ids")), by)
 
-    A list longer than ``limit`` is refused, not cut: the count is taken first by a plain aggregate.
-    """
-    sizes = df.groupBy(*by).agg(F.count_distinct(key).alias("n_ids"))
-    require_empty(sizes.where(F.col("n_ids") > limit), "id list too long for one text cell")
+
+def joined_ids(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Sorted id text per group (A-27): one text cell each, so for curated lists; ``listed_ids`` gives rows."""
     return df.select(*by, key).distinct().groupBy(*by).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("excluded_ids"))
 

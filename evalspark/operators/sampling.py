@@ -36,6 +36,8 @@ def group_reservoir(df: DataFrame, group: str, k: int, seed: int, anchors: DataF
     if anchors is None:
         return groups.withColumn("priority", priority).orderBy("priority").limit(k) \
             .withColumn("anchored", F.lit(False)).withColumn("anchored_split", F.lit(None).cast("string"))
+    if (n := anchors.select(group).distinct().count()) > k:
+        raise CheckFailed(f"a budget of {k} groups is smaller than the {n} anchored ones")
     fixed = anchors.select(group, F.col("split").alias("anchored_split"))
     marked = groups.join(fixed, group, "left").withColumn("anchored", F.col("anchored_split").isNotNull()) \
         .withColumn("priority", priority)

@@ -2,50 +2,18 @@
 
 Every test is one or two distributed aggregates followed by arithmetic on one row per group.
 """
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.operators.ranges import attach, average_ranks
 from evalspark.operators.tails import tail
 
-EXACT_TERMS = 1000          # discordant pairs up to which the plain term recurrence is used
-EXACT_SIGNED_RANKS = 50     # differences up to which the exact signed-rank distribution is used
-
-
-def _log_factorial(n: Column) -> Column:
-    """ln(n!) by Stirling's series, shifted so that the series argument is at least 11."""
-    x = n.cast("double") + 11.0
-    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1.0 / (12.0 * x) \
-        - 1.0 / (360.0 * F.pow(x, F.lit(3.0))) + 1.0 / (1260.0 * F.pow(x, F.lit(5.0))) - 1.0 / (1680.0 * F.pow(x, F.lit(7.0)))
-    shift = sum([F.ln(n.cast("double") + i) for i in range(1, 11)], F.lit(0.0))
-    return series - shift
+EXACT_SIGNED_RANKS = 50     # differences up to which method "auto" takes the exact signed-rank distribution
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
-    """Exact two-sided McNemar p (T-01); 1.0 without discordant pairs.
-
-    Up to EXACT_TERMS discordant pairs the binomial terms are summed upwards from 0.5ⁿ. Beyond that the sum
-    starts at its largest term, taken in logarithms, and runs downwards for 20 standard deviations, after
-    which the terms are below double precision.
-    """
-    b, c = b.cast("bigint"), c.cast("bigint")
-    n, k = b + c, F.least(b, c)
-    small = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), F.when(n <= EXACT_TERMS, k).otherwise(F.lit(0).cast("bigint"))),
-        F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("t"), F.lit(0.0).alias("s")),
-        lambda acc, i: F.struct((acc["t"] * (n - i) / (i + 1)).alias("t"), (acc["s"] + acc["t"]).alias("s")),
-        lambda acc: acc["s"])
-    steps = F.least(k, F.ceil(F.lit(20.0) * F.sqrt(n.cast("double"))).cast("bigint"))
-    relative = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), F.when(n > EXACT_TERMS, steps).otherwise(F.lit(0).cast("bigint"))),
-        F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
-        lambda acc, i: F.struct((acc["t"] * (k - i) / (n - k + 1 + i)).alias("t"), (acc["s"] + acc["t"]).alias("s")),
-        lambda acc: acc["s"])
-    top = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n * math.log(2.0)
-    return F.when(n == 0, F.lit(1.0)).when(n <= EXACT_TERMS, F.least(F.lit(1.0), F.lit(2.0) * small)) \
-        .otherwise(F.least(F.lit(1.0), F.lit(2.0) * F.exp(top) * relative))
+    """Exact two-sided McNemar p (T-01), for any number of discordant pairs; 1.0 without any. For result rows."""
+    return tail("binomial", F.least(b, c), b + c)
 
 
 def effect_label(d: Column) -> Column:
@@ -125,18 +93,28 @@ def signed_rank_statistics(df: DataFrame, a: str, b: str, by: list[str] | None =
     sums = ranked.groupBy(*by).agg(
         F.sum("ties").alias("n_nonzero"), F.sum(F.col("avg_rank") * F.col("_pos")).alias("w_plus"),
         F.sum(F.col("avg_rank") * F.col("_neg")).alias("w_minus"), F.sum(t * t * t - t).alias("tie_term"))
-    return sums.withColumn("wilcoxon_w", F.least("w_plus", "w_minus"))
+    zeros = df.groupBy(*by).agg(F.count_if(d == 0).alias("n_zero"))
+    return attach(sums, zeros, by).withColumn("wilcoxon_w", F.least("w_plus", "w_minus"))
+
 
+def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str] | None = None, method: str = "auto") -> DataFrame:
+    """T-09 with p and the method it was taken by.
 
-def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """T-09 with p: exact for few untied differences, else normal with tie correction."""
+    ``exact`` needs differences without ties and zeros; ``normal`` corrects for ties. ``auto`` is the published rule: exact for up to
+    EXACT_SIGNED_RANKS such differences, else normal.
+    """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method: {method}")
     s = signed_rank_statistics(df, a, b, by)
     n = F.col("n_nonzero").cast("double")
     z = (F.col("wilcoxon_w") - n * (n + 1) / 4) / F.nullif(F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48), F.lit(0.0))
-    exact = (n <= EXACT_SIGNED_RANKS) & (F.col("tie_term") == 0)
+    sound = (F.col("tie_term") == 0) & (F.col("n_zero") == 0)
+    exact = {"auto": sound & (n <= EXACT_SIGNED_RANKS), "exact": F.when(sound, F.lit(True)).otherwise(F.raise_error(F.lit("exact ranks need differences without ties and zeros")).cast("boolean")),
+             "normal": F.lit(False)}[method]
     return s.withColumn("_exact", tail("signed_rank", F.when(exact, F.col("wilcoxon_w")), n)) \
         .withColumn("_normal", tail("normal", F.when(~exact, z))) \
-        .withColumn("wilcoxon_p", F.coalesce("_exact", "_normal")).drop("_exact", "_normal")
+        .withColumn("wilcoxon_p", F.coalesce("_exact", "_normal")).withColumn("method", F.when(F.col("_exact").isNotNull(), "exact").otherwise("normal")) \
+        .drop("_exact", "_normal", "n_zero")
 
 
 def rank_sum_statistics(df: DataFrame, value: str, in_first: Column, by: list[str] | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
 """Result log as a stream (R-01..R-03)."""
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,46 +27,88 @@ def append_scored(log: DataFrame, out: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def upsert_batch(snapshot: str, keys: list[str] | None = None, buckets: int = 16):
+_COMMITS = "source string, batch_id bigint, version bigint, token string"
+
+
+def _commits(spark: SparkSession, snapshot: str) -> DataFrame | None:
+    """The commit table: which folder token holds which version, and which batch of which stream made it."""
+    try:
+        return spark.read.schema(_COMMITS).parquet(f"{snapshot}-commits")
+    except Exception as error:  # nothing committed yet
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+
+
+def _commit(rows: DataFrame, snapshot: str, source: str, batch_id: int, version: int) -> str:
+    """Writes rows (with bucket) as a new version and then its commit row; without that row nobody reads the folder."""
+    token = uuid.uuid4().hex
+    rows.withColumn("token", F.lit(token)).write.mode("append").partitionBy("token", "bucket").parquet(snapshot)
+    rows.sparkSession.createDataFrame([(source, batch_id, version, token)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{snapshot}-commits")
+    return token
+
+
+def upsert_batch(snapshot: str, keys: list[str] | None = None, buckets: int = 64, source: str = ""):
     """foreachBatch writer that keeps one row per key as versioned snapshots (R-02).
 
-    Version n+1 is written from version n and the batch, then named current by a pointer row; a batch that is
-    replayed after a failure finds its version number and writes the same content again. Only key buckets that
-    the batch touches are rewritten; the others are carried over by their folder name.
+    A version is one more than the highest committed one, whatever the batch is called, so a stream that starts again
+    with new progress goes on above what is there. A batch is known by (source, batch id); one that was committed is not written again. Only
+    key buckets that the batch touches are rewritten.
     """
     keys = keys or LOG_KEYS
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        bucketed = batch.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(buckets)))
-        before = read_snapshot(spark, snapshot, upto=batch_id - 1, keep_bucket=True)
-        # At most ``buckets`` values: a bounded driver list.
-        touched = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]
-        if before is not None:
-            bucketed = bucketed.unionByName(before.where(F.col("bucket").isin(touched)), allowMissingColumns=True)
-        merged = resolve_log(bucketed, keys + ["bucket"]).drop("n_versions").withColumn("version", F.lit(batch_id))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(snapshot)
+        done = _commits(spark, snapshot)
+        last = -1
+        if done is not None:
+            last, seen = done.agg(F.max("version"), F.count_if((F.col("source") == source) & (F.col("batch_id") == batch_id))).first()
+            if seen:
+                return
+        bucketed = batch.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(buckets))).persist()
+        try:
+            before = read_snapshot(spark, snapshot, keep_bucket=True)
+            # At most ``buckets`` values: a bounded driver list.
+            touched = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]
+            merged = bucketed
+            if before is not None:
+                merged = merged.unionByName(before.where(F.col("bucket").isin(touched)), allowMissingColumns=True)
+            _commit(resolve_log(merged, keys + ["bucket"]).drop("n_versions"), snapshot, source, batch_id, last + 1)
+        finally:
+            bucketed.unpersist()
     return write
 
 
-def read_snapshot(spark: SparkSession, snapshot: str, upto: int | None = None, keep_bucket: bool = False) -> DataFrame | None:
-    """Current rows: for every bucket the newest version (not beyond ``upto``)."""
-    try:
-        rows = spark.read.parquet(snapshot)
-    except Exception as error:  # no version written yet
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-    if upto is not None:
-        rows = rows.where(F.col("version") <= upto)
-    # Partition columns only: answered from folder names, one row per bucket.
-    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
-    current = rows.join(newest, ["bucket", "version"], "left_semi").drop("version")
+def read_snapshot(spark: SparkSession, snapshot: str, keep_bucket: bool = False) -> DataFrame | None:
+    """Current rows: for every bucket its newest committed version."""
+    done = _commits(spark, snapshot)
+    if done is None or done.isEmpty():
+        return None
+    rows = spark.read.parquet(snapshot)
+    # Partition columns only: answered from folder names, one row per version and bucket.
+    newest = rows.select("token", "bucket").distinct().join(done.select("token", "version"), "token") \
+        .groupBy("bucket").agg(F.max_by("token", "version").alias("token"))
+    current = rows.join(newest, ["bucket", "token"], "left_semi").drop("token")
     return current if keep_bucket else current.drop("bucket")
 
 
+def compact_log(spark: SparkSession, snapshot: str) -> None:
+    """All buckets as one version; the folders before it are deleted. Not while a stream writes."""
+    rows, done = read_snapshot(spark, snapshot, keep_bucket=True), _commits(spark, snapshot)
+    if rows is None:
+        return
+    last = done.agg(F.max("version")).first()[0]
+    token = _commit(rows, snapshot, "compaction", last + 1, last + 1)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(snapshot)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("token=") and name != f"token={token}":
+            store.delete(status.getPath(), True)
+
+
 def upsert_log(log: DataFrame, snapshot: str, checkpoint: str, keys: list[str] | None = None) -> StreamingQuery:
-    return log.writeStream.foreachBatch(upsert_batch(snapshot, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return log.writeStream.foreachBatch(upsert_batch(snapshot, keys, source=checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_accuracy(scored: DataFrame, model: str = "model", side: str = "language", correct: str = "is_correct") -> DataFrame:

@@ -115,6 +115,14 @@ def test_stream_equals_batch(spark, tmp_path):
     cols = sorted(latest.columns)
     assert sorted(map(str, now.select(cols).collect())) == sorted(map(str, latest.select(cols).collect()))
     assert {(r.problem_id, r.status) for r in now.collect()} == {(1, "success"), (2, "success"), (3, "success")}
+    # A stream that starts again with new progress, from batch 0, keeps what is there and adds to it; compaction changes nothing.
+    again = tmp_path / "again"
+    again.mkdir()
+    (again / "3.jsonl").write_text(json.dumps(result(9, "english", "FINAL ANSWER: 9", minute=7)) + "\n")
+    results.upsert_log(results.log_stream(spark, str(again)), snap, str(tmp_path / "c9")).awaitTermination()
+    results.compact_log(spark, snap)
+    assert {r.problem_id for r in results.read_snapshot(spark, snap).collect()} == {1, 2, 3, 9}
+    latest = latest.unionByName(resolve_log(readers.read_jsonl(spark, str(again), readers.RESULT_SCHEMA), results.LOG_KEYS).drop("n_versions"))
     # A replayed batch writes the same content again.
     results.upsert_batch(snap)(readers.read_jsonl(spark, str(log / "2.jsonl"), readers.RESULT_SCHEMA), 1)
     assert sorted(map(str, results.read_snapshot(spark, snap).select(cols).collect())) == sorted(map(str, latest.select(cols).collect()))

@@ -117,10 +117,26 @@ def test_sign_flip(spark):
     assert resample.sign_flip_test(even, "id", "d", 400, 1).first().randomisation_p > 0.8
 
 
-def test_collapse_refuses_many_values(spark):
-    df = spark.range(50).withColumn("d", F.col("id").cast("double"))
-    with pytest.raises(Exception, match="too many distinct outcomes"):
-        resample.value_counts_row(df, "d", limit=10).collect()
+def test_collapse_takes_many_values_and_groups(spark, monkeypatch):
+    """Continuous outcomes in several blocks and groups: the intervals are those of the normal approximation."""
+    df = spark.range(4000).select(F.col("id"), (F.col("id") % 2).alias("g"), (F.sin("id") + F.col("id") % 2).alias("d"))
+    monkeypatch.setattr(resample, "VALUES_PER_BLOCK", 300)
+    got = {r["g"]: r for r in resample.paired_bootstrap(df, "id", "d", 400, 7, by=["g"]).collect()}
+    for g in (0, 1):
+        mean, sd = df.where(F.col("g") == g).agg(F.avg("d"), F.stddev_pop("d")).first()
+        half = 1.96 * sd / 2000 ** 0.5
+        assert got[g]["n_replicates"] == 400 and got[g]["observed"] == pytest.approx(mean)
+        assert got[g]["ci_low"] == pytest.approx(mean - half, abs=half * 0.25) and got[g]["ci_high"] == pytest.approx(mean + half, abs=half * 0.25)
+    again = {r["g"]: r for r in resample.paired_bootstrap(df.repartition(5), "id", "d", 400, 7, by=["g"]).collect()}
+    assert all(got[g]["ci_low"] == pytest.approx(again[g]["ci_low"], abs=1e-12) for g in (0, 1))
+    flips = {r["g"]: r for r in resample.sign_flip_test(df.select("id", "g", F.when(F.col("g") == 1, 1).otherwise(F.pmod("id", F.lit(4)) - 1).alias("d")), "id", "d", 500, 7, by=["g"]).collect()}
+    assert flips[1]["n_extreme"] == 0 and flips[0]["n_extreme"] > 400
+
+
+def test_large_tails():
+    assert tails.t_two_sided(2.0, 1e12) == pytest.approx(0.045500263896, rel=1e-10)
+    assert tails.t_two_sided(2.0, 1e10) == pytest.approx(0.045500263924, rel=1e-9)
+    assert tails.binomial_two_sided(5e11 - 1e6, 1e12) == pytest.approx(0.0454998, rel=1e-4)
 
 
 def test_pairing_gates(spark):
@@ -130,5 +146,6 @@ def test_pairing_gates(spark):
         pairs.paired_outcomes(long, ["p"], "s", "c", "a", "b", on_missing="error")
     with pytest.raises(ValueError):
         pairs.one_to_one_join(long, long, ["p"])
-    with pytest.raises(ValueError):
-        pairs.joined_ids(spark.range(20).withColumn("g", F.lit("x")), ["g"], "id", limit=10)
+    ids = spark.range(20).withColumn("g", F.lit("x"))
+    assert pairs.joined_ids(ids, ["g"], "id").first()["excluded_ids"] == ",".join(map(str, range(20)))
+    assert {r["n_ids"] for r in pairs.listed_ids(ids, ["g"], "id").collect()} == {20} and pairs.listed_ids(ids, ["g"], "id").count() == 20
