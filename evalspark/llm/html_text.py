@@ -120,13 +120,13 @@ def blocks_of(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
 
 
 def scores_of(page: str) -> dict[tuple[str, ...], float]:
-    """Score of each container path: text of its own blocks fully, of blocks further down by a third a level; links count against it."""
+    """Score of each container path: text of its own blocks fully, of blocks further down less by level; links count against it."""
     out: dict[tuple[str, ...], float] = {}
     for path, text, link_chars in blocks_of(page):
         worth = float(max(len(text) - 2 * link_chars, 0))
         for depth in range(len(path), 0, -1):
             out[path[:depth]] = out.get(path[:depth], 0.0) + worth
-            worth *= 0.9 if path[depth - 1].split(".")[0] != "article" else 0.3
+            worth *= 0.7 if path[depth - 1].split(".")[0] != "article" else 0.3
     return out
 
 
@@ -162,22 +162,22 @@ def host_of(url_col: str):
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text", salts: int = SALTS) -> DataFrame:
     """pages with the main text."""
-    winners = host_votes(pages, html_col, url_col).groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("_path"))
-    spread = winners.select(F.col("host").alias("_h"), "_path", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
-    salted = pages.withColumn("_host", host_of(url_col)).withColumn("_salt", F.pmod(F.xxhash64(url_col, html_col), F.lit(salts)).cast("int"))
-    joined = salted.join(spread, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left").select(*pages.columns, "_path")
+    winners = host_votes(pages, html_col, url_col).groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("_host_path"))
+    spread = winners.select(F.col("host").alias("_path_host"), "_host_path", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_path_salt"))
+    salted = pages.withColumn("_page_host", host_of(url_col)).withColumn("_page_salt", F.pmod(F.xxhash64(url_col, html_col), F.lit(salts)).cast("int"))
+    joined = salted.join(spread, (F.col("_page_host") == F.col("_path_host")) & (F.col("_page_salt") == F.col("_path_salt")), "left").select(*pages.columns, "_host_path")
 
     def run(batches):
         for b in batches:
             names = b.schema.names
             texts = []
-            for page, path in zip(b.column(names.index(html_col)), b.column(names.index("_path")).to_pylist()):
+            for page, path in zip(b.column(names.index(html_col)), b.column(names.index("_host_path")).to_pylist()):
                 page = page.as_py() or ""
                 text = text_under(page, tuple(path.split(">"))) if path else None
                 if text is None:
                     own = best_path(page)
                     text = text_under(page, own) if own else None
                 texts.append(text or "")
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i, n in enumerate(names) if n != "_path"], pa.array(texts, pa.string())],
-                                             [*[n for n in names if n != "_path"], out])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i, n in enumerate(names) if n != "_host_path"], pa.array(texts, pa.string())],
+                                             [*[n for n in names if n != "_host_path"], out])
     return joined.mapInArrow(run, StructType([*pages.schema.fields, StructField(out, StringType())]))

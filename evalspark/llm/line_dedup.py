@@ -79,17 +79,17 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ``_kept_text``, ``_n_lines`` and ``_n_dropped``; rows without a bitmap keep their text as it is."""
-    keys = docs.withColumn("_row", F.xxhash64(id_col, text_col))
-    maps = bitmaps.select(F.col("_id").alias("_map_id"), F.col("_row").alias("_map_row"), "drops")
-    same = F.col(id_col).eqNullSafe(F.col("_map_id")) & (F.col("_row") == F.col("_map_row"))
+    keys = docs.withColumn("_own_row", F.xxhash64(id_col, text_col))
+    maps = bitmaps.select(F.col("_id").alias("_map_id"), F.col("_row").alias("_map_row"), F.col("drops").alias("_map_drops"))
+    same = F.col(id_col).eqNullSafe(F.col("_map_id")) & (F.col("_own_row") == F.col("_map_row"))
     joined = keys.join(maps, same, "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_lines = (F.regexp_count(text, F.lit("\n")) + 1).cast("long")
-    n_dropped = F.coalesce(F.aggregate("drops", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
+    n_dropped = F.coalesce(F.aggregate("_map_drops", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
     lines = lines_of(F.col(text_col))
-    after = F.concat(F.array(F.lit(-1)), F.transform("drops", lambda r: r["last"]))
-    until = F.concat(F.transform("drops", lambda r: r["first"]), F.array(n_lines.cast("int")))
+    after = F.concat(F.array(F.lit(-1)), F.transform("_map_drops", lambda r: r["last"]))
+    until = F.concat(F.transform("_map_drops", lambda r: r["first"]), F.array(n_lines.cast("int")))
     runs = F.filter(F.zip_with(after, until, lambda a, b: F.struct((a + 2).alias("at"), (b - a - 1).alias("n"))), lambda r: r["n"] > 0)
     some = F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["at"], r["n"]))), "\n")
     return joined.withColumns({"_n_lines": n_lines, "_n_dropped": n_dropped,
-                               "_kept_text": F.when(F.col("drops").isNull(), text).otherwise(some)}).drop("_row", "_map_id", "_map_row", "drops")
+                               "_kept_text": F.when(F.col("_map_drops").isNull(), text).otherwise(some)}).drop("_own_row", "_map_id", "_map_row", "_map_drops")
