@@ -8,10 +8,11 @@ a set that has spare parts enough to do without, and kept otherwise; either way
 
 Equal sets count once (their node is a 64-bit digest of the set). The few nodes of a short run of equal signatures (up to ``RUN``) are
 paired and screened by parity bitmaps: two bitmaps differ in at most as many bits as their sets in features, so a pair that differs in more
-than the similarity allows is none. Longer runs are chained in sorted order, never paired. The components of screened pairs and chains
-are candidate groups. Each group is cut into blocks of bounded size by size band and hash, and pairs of blocks are compared exactly:
-intersections of all their sets come from one product of incidence matrices, and a task gives back only a spanning forest of the
-links found. A second pass of components gives the linked groups.
+than the similarity allows is none. Longer runs are chained in sorted order, never paired; what the chains connect is cut into blocks of
+bounded size by size band and hash, and bitmaps are screened block against block, a task giving back only a spanning forest of the pairs
+left. The components of all screened pairs are candidate groups. They are cut into blocks in the same way, and pairs of blocks are compared
+exactly on the texts: intersections of all their sets come from one product of incidence matrices, again with a spanning forest of the links
+as result. A last pass of components gives the linked groups.
 
 Defined results: words are runs of bytes other than ASCII blanks after lower-casing A-Z; a text of fewer than ``k`` words is one shingle; a
 null, empty or blank text has an empty set and is linked with nothing. Rows without an id are returned with their set size and no component
@@ -22,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ from evalspark.llm import textcodes as T
 from evalspark.llm.shared import components, kept
 
 SECOND = 3
-BLOCK, BLOCK_SETS = 150_000, 512
+BLOCK, BLOCK_SETS, BITMAP_BLOCK = 150_000, 512, 10**9
 RARE, RUN = 12, 16
+#: Rows of candidates up to which they go to the texts by broadcast (some 80 bytes each); beyond, both sides are shuffled.
+SENT = 600_000
 
 
 class Bands:
@@ -179,6 +183,85 @@ def set_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.where(F.col("id").isNotNull()).mapInArrow(run, "sig bigint, node bigint")
 
 
+def _folded(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """Bitmaps as rows of ``width`` words; the parity of a folded bitmap is that of both halves."""
+    out = []
+    for x in rows:
+        while len(x) > width:
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        out.append(x)
+    return np.stack(out)
+
+
+def screened_forest(bits: list[np.ndarray], size: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs that bitmaps do not rule out; sides as for ``linked``."""
+    width = np.array([len(x) for x in bits])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    kinds = np.unique(width)
+    for k, narrow in enumerate(kinds):
+        mine = np.flatnonzero(width == narrow)
+        for wide in kinds[k:k + 2]:  # similar sets differ in width by one step at most
+            other = np.flatnonzero(width == wide)
+            x, y = _folded([bits[i] for i in mine], narrow), _folded([bits[i] for i in other], narrow)
+            for lo in range(0, len(mine), 128):
+                part = mine[lo:lo + 128]
+                apart = np.zeros((len(part), len(other)), np.int64)
+                for word in range(narrow):
+                    apart += np.bitwise_count(x[lo:lo + 128, word][:, None] ^ y[None, :, word])
+                hit = apart * (den + num) <= (den - num) * (size[part][:, None] + size[other][None, :])
+                hit &= (part[:, None] < other[None, :]) if wide == narrow else True
+                cross = (side[part][:, None] != side[other][None, :]) | (side[part][:, None] == 2)
+                i, j = np.nonzero(hit & cross)
+                found.append((part[i], other[j]))
+    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+    return _forest((a, b), len(bits))
+
+
+def by_tile(tiles: DataFrame, pairs_of) -> DataFrame:
+    """Links (a, b) that ``pairs_of(table, cuts)`` gives for tables of whole tiles; cuts: first row of each tile, and the end."""
+    def groups(table):
+        key = np.array(table.column("tile").to_pylist())
+        return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
+    def links(table):
+        out = pairs_of(table, groups(table))
+        return pa.RecordBatch.from_pylist([{"a": int(a), "b": int(b)} for a, b in out], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            cuts = groups(rest)
+            whole = int(cuts[-2]) if len(cuts) > 1 else 0
+            at = 0
+            while at < whole:  # a few megabytes of complete groups at a time
+                size = np.cumsum(np.diff(_offsets(rest.column("content")))[at:whole])
+                to = cuts[np.searchsorted(cuts, at + int(np.searchsorted(size, 4 << 20)) + 1)]
+                to = min(int(to), whole)
+                yield links(rest.slice(at, to - at))
+                at = to
+            rest = rest.slice(whole)
+        if rest is not None and len(rest):
+            yield links(rest)
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint")
+
+
+def _offsets(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())])
+
+
+def screen_blocks(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning pairs inside tiles that bitmaps do not rule out; tiles: (tile, side, node, n, content = bitmap)."""
+    def pairs_of(table, cuts):
+        node, side, size = (table.column(c).to_numpy() for c in ("node", "side", "n"))
+        bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("content")]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            for a, b in screened_forest(bits[lo:hi], size[lo:hi], side[lo:hi], num, den):
+                yield node[lo + a], node[lo + b]
+    return by_tile(tiles, pairs_of)
+
+
 def runs(sigs: DataFrame) -> DataFrame:
     """(a, b, long): all pairs of a run of up to RUN nodes with equal signature; of a longer run its neighbours in sorted order."""
     ordered = sigs.repartition("sig").sortWithinPartitions("sig", "node")
@@ -279,17 +362,11 @@ def linked(features: np.ndarray, offs: np.ndarray, side: np.ndarray, num: int, d
 
 
 def compare_blocks(tiles: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside tiles; tiles: (tile, side, node, text)."""
-    def groups(table):
-        key = np.array(table.column("tile").to_pylist())
-        return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-
-    def links(table):
-        features, offs, digest = _sets(table.column("text"), k)
+    """Links (a, b) inside tiles; tiles: (tile, side, node, content = text)."""
+    def pairs_of(table, cuts):
+        features, offs, digest = _sets(table.column("content"), k)
         node, side = (table.column(c).to_numpy() for c in ("node", "side"))
         good = digest == node  # an id may stand on several texts; only the one that made the node counts
-        out = []
-        cuts = groups(table)
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             rows = np.flatnonzero(good[lo:hi]) + lo
             rows = rows[np.sort(np.unique(node[rows], return_index=True)[1])]
@@ -298,27 +375,8 @@ def compare_blocks(tiles: DataFrame, k: int, num: int, den: int) -> DataFrame:
             part = np.concatenate([features[offs[r]:offs[r + 1]] for r in rows])
             sizes = offs[rows + 1] - offs[rows]
             for a, b in linked(part, np.concatenate([[0], np.cumsum(sizes)]), side[rows], num, den):
-                out.append((int(node[rows[a]]), int(node[rows[b]])))
-        return pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            cuts = groups(rest)
-            whole = int(cuts[-2]) if len(cuts) > 1 else 0
-            at = 0
-            while at < whole:  # a few megabytes of complete groups at a time
-                size = np.cumsum(np.diff(T.utf8(rest.column("text"))[1])[at:whole])
-                to = cuts[np.searchsorted(cuts, at + int(np.searchsorted(size, 4 << 20)) + 1)]
-                to = min(int(to), whole)
-                yield links(rest.slice(at, to - at))
-                at = to
-            rest = rest.slice(whole)
-        if rest is not None and len(rest):
-            yield links(rest)
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint")
+                yield node[rows[a]], node[rows[b]]
+    return by_tile(tiles, pairs_of)
 
 
 def tiles_of(members: DataFrame, bands: Bands, block: int = BLOCK) -> DataFrame:
@@ -348,7 +406,7 @@ def tiles_of(members: DataFrame, bands: Bands, block: int = BLOCK) -> DataFrame:
     up = F.transform(others(band + 1), lambda j: F.struct(tile(band, mine, band + 1, j).alias("tile"), F.lit(0).alias("side")))
     down = F.transform(others(band - 1), lambda j: F.struct(tile(band - 1, j, band, mine).alias("tile"), F.lit(1).alias("side")))
     single = F.array(F.struct(F.col("grp").cast("string").alias("tile"), F.lit(2).alias("side")))
-    return placed.select("id", "node", F.inline(F.when(F.col("one"), single).otherwise(F.concat(same, up, down))))
+    return placed.select("id", "node", "n", F.inline(F.when(F.col("one"), single).otherwise(F.concat(same, up, down))))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -361,12 +419,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     paired = found.where("NOT long").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    candidates = components(screened(paired, num, den).unionAll(found.where("long").select("a", "b")))
+    bands = Bands(num, den, int(nodes.agg(F.max("n")).first()[0] or 1))
+    chained = components(found.where("long").select("a", "b")).withColumnRenamed("component", "grp")
+    blocks = tiles_of(nodes.drop("bits").join(chained, "node"), bands, BITMAP_BLOCK).join(nodes.select("node", F.col("bits").alias("content")), "node")
+    candidates = components(screened(paired, num, den).unionAll(screen_blocks(blocks, num, den)))
     nodes = nodes.drop("bits")
-    members = nodes.join(candidates.select("node", F.col("component").alias("grp")), "node")
-    largest = nodes.agg(F.max("n")).first()[0] or 1
-    tiles = kept(tiles_of(members, Bands(num, den, int(largest))), "tiles")
-    texts = tiles.join(rows, "id").select("tile", "side", "node", "text")
+    tiles = kept(tiles_of(nodes.join(candidates.withColumnRenamed("component", "grp"), "node"), bands), "tiles")
+    few = tiles.count() <= SENT
+    texts = (F.broadcast(tiles) if few else tiles).join(rows, "id").select("tile", "side", "node", F.col("text").alias("content"))
     groups = kept(components(compare_blocks(texts, k, num, den)).join(nodes, "node"), "groups")
     smallest = groups.groupBy("component").agg(F.min("id").alias("first_id"))
     together = kept(groups.join(smallest, "component").select("node", "first_id"), "together")
