@@ -1,10 +1,8 @@
 """Deterministic sampling, splitting and ordering (W-06..W-15)."""
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalspark.functions.digests import seeded
 from evalspark.functions.steps import coverage_labels
@@ -131,7 +129,9 @@ def greedy_coverage(df: DataFrame, counts: dict[str, int], seed: int, excluded:
                     max_steps: int | None = None, split: str = "split") -> DataFrame:
     """Equal variant quotas per split, most new coverage labels first, digest tie-break (W-12).
 
-    Returns (split, id, variant, pick_order). The greedy part sees at most 24 × quota rows per split and variant.
+    Returns (split, id, variant, pick_order). What a row adds depends on its signature alone, and once a signature is picked it adds nothing
+    more. So the picks that add labels come from the first row of each signature (at most SIGNATURE_COUNT of a split and variant, which
+    come to the driver), and the rest of a quota is plain digest order, taken by TakeOrdered.
     """
     for name, count in counts.items():
         if count < 2 or count % 2:
@@ -141,29 +141,35 @@ def greedy_coverage(df: DataFrame, counts: dict[str, int], seed: int, excluded:
         rows = rows.where(F.size("steps") <= max_steps)
     if excluded is not None:
         rows = rows.join(excluded.select("id").distinct(), "id", "left_anti")
-    quota = F.lit(0)
+    labels = coverage_labels(F.size("steps"), F.col("first_error_step"), F.col("source_step_ratings"))
+    signed = rows.select(split, "id", "variant", labels.alias("labels"), seeded(seed, F.col("id")).alias("priority"))
+    heads: dict[tuple[str, str], list] = {}
+    for r in signed.groupBy(split, "variant", "labels").agg(F.min(F.struct("priority", "id")).alias("head"), F.count(F.lit(1)).alias("n")).collect():
+        heads.setdefault((r[split], r["variant"]), []).append(r)
+    out = None
     for name, count in counts.items():
-        quota = F.when(F.col(split) == name, F.lit(count // 2)).otherwise(quota)
-    pool = coverage_candidates(rows, quota, seed, split, max(counts.values()) // 2).select(
-        split, "id", "variant", "labels", "priority")
-    schema = T.StructType([T.StructField(split, T.StringType()), T.StructField("id", df.schema["id"].dataType),
-                           T.StructField("variant", T.StringType()), T.StructField("pick_order", T.IntegerType())])
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[split].iloc[0]
-        seen, picked = set(), []
-        for variant in ("correct", "incorrect"):
-            left = {i: (frozenset(r.labels), r.priority) for i, r in zip(pdf.index, pdf.itertuples()) if r.variant == variant}
-            for _ in range(counts[name] // 2):
-                if not left:
-                    raise CheckFailed(f"not enough {variant} trajectories in {name}")
-                best = min(left, key=lambda i: (-len(left[i][0] - seen), left[i][1]))
-                seen |= left.pop(best)[0]
-                picked.append(best)
-        out = pdf.loc[picked, [split, "id", "variant"]].reset_index(drop=True)
-        out["pick_order"] = range(1, len(out) + 1)
-        return out
-    return pool.groupBy(split).applyInPandas(choose, schema)
+        seen: set[str] = set()
+        for turn, variant in enumerate(("correct", "incorrect")):
+            quota, left = count // 2, heads.get((name, variant), [])
+            if sum(r["n"] for r in left) < quota:
+                raise CheckFailed(f"not enough {variant} trajectories in {name}")
+            picked = []
+            while left and len(picked) < quota:
+                best = min(left, key=lambda r: (-len(set(r["labels"]) - seen), r["head"]["priority"]))
+                if not set(best["labels"]) - seen:
+                    break
+                seen |= set(best["labels"])
+                left.remove(best)
+                picked.append(best["head"]["id"])
+            mine = signed.where((F.col(split) == name) & (F.col("variant") == variant))
+            place = F.array_position(F.array(*[F.lit(i) for i in picked]), F.col("id")) if picked else F.lit(0)
+            first = mine.where(F.col("id").isin(picked)).withColumn("_turn", place.cast("int"))
+            rest = mine.where(~F.col("id").isin(picked)).orderBy("priority").limit(quota - len(picked)).withColumn("_turn", F.lit(len(picked) + 1))
+            part = first.unionAll(rest).withColumn("_part", F.lit(turn))
+            out = part if out is None else out.unionAll(part)
+    # only the chosen rows, as many as the quotas ask for
+    order = Window.partitionBy(split).orderBy("_part", "_turn", "priority")
+    return out.select(split, "id", "variant", F.row_number().over(order).alias("pick_order"))
 
 
 def display_order(df: DataFrame, problem: str, side: str, first: str) -> DataFrame:
