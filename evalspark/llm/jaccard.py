@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm import textcodes as T
@@ -32,7 +32,7 @@ from evalspark.llm.shared import components, kept
 
 SECOND = 3
 BLOCK, BLOCK_SETS, BITMAP_BLOCK = 150_000, 512, 10**9
-RARE, RUN = 12, 16
+RARE, RUN, TAGS = 12, 16, 64
 #: Rows of candidates up to which they go to the texts by broadcast (some 80 bytes each); beyond, both sides are shuffled.
 SENT = 600_000
 
@@ -51,7 +51,9 @@ class Bands:
         # |a ^ b| <= (1 - t) / (1 + t) * (|a| + |b|), and |a| + |b| is at most twice the band's largest size
         self.differ = (den - num) * 2 * high // (den + num)
         need = self.differ // 2 + 1
-        self.spare = 1 + need // 20
+        self.spare = 1 + need // 10
+        #: Similar sets share at least so many signatures of a band.
+        self.common = self.spare + 1 - self.spare // 2
         self.parts = np.where(self.differ > 0, need + self.spare, 0)
 
     def of(self, size: np.ndarray) -> np.ndarray:
@@ -90,13 +92,14 @@ def signatures(features: np.ndarray, rows: np.ndarray, bands: Bands) -> tuple[np
         subsets = list(combinations(range(SECOND), SECOND - 1))
         empty = np.stack([filled[:, c].sum(1) == 0 for c in subsets])
         weak = np.bincount(whose[empty.any(0)], minlength=len(chosen))
-        sure = weak <= spare
+        sure = weak <= spare // 2
         for c, none in zip(subsets, empty):
             use = ~none | ~sure[whose]
             w = whose[use]
             mark = (tag[chosen][w].astype(np.uint64) << np.uint64(40)) + (part[use].astype(np.uint64) << np.uint64(8)) + np.uint64(c[0] * 16 + c[1])
             sums = total[use]
-            out_sig.append(T.mix(T.mix(mark) + sums[:, c[0]] + np.uint64(3) * sums[:, c[1]]))
+            whole = T.mix(T.mix(mark) + sums[:, c[0]] + np.uint64(3) * sums[:, c[1]])
+            out_sig.append(whole & ~np.uint64(TAGS - 1) | tag[chosen][w].astype(np.uint64))  # the band stays readable
             out_row.append(chosen[w])
     if not out_sig:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -263,7 +266,7 @@ def screen_blocks(tiles: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def runs(sigs: DataFrame) -> DataFrame:
-    """(a, b, long): all pairs of a run of up to RUN nodes with equal signature; of a longer run its neighbours in sorted order."""
+    """(a, b, long): all pairs of a run of up to RUN nodes with equal signature; of a longer run its rows (signature, node)."""
     ordered = sigs.repartition("sig").sortWithinPartitions("sig", "node")
 
     def pairs(sig, node, first_long):
@@ -273,14 +276,13 @@ def runs(sigs: DataFrame) -> DataFrame:
         cuts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
         long = np.repeat(np.diff(cuts) > RUN, np.diff(cuts))
         long[:cuts[1]] |= first_long
-        out = []
+        out = [(sig[long], node[long], long[long])]
         for step in range(1, RUN):
-            at = np.flatnonzero(sig[step:] == sig[:-step])
-            at = at[~long[at]] if step > 1 else at
+            at = np.flatnonzero((sig[step:] == sig[:-step]) & ~long[:-step])
             if not len(at):
                 break
             out.append((node[at], node[at + step], long[at]))
-        return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        return [np.concatenate(x) for x in zip(*out)]
 
     def run(batches):
         sig = node = np.zeros(0, np.int64)
@@ -306,6 +308,18 @@ def runs(sigs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint, long boolean").groupBy("a", "b").agg(F.max("long").alias("long"))
 
 
+def chains(found: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b): neighbours in the long runs, among nodes that have as many signatures in long runs as similar sets share.
+
+    A pair that no short run has shows in long runs only, and then in at least ``Bands.common`` of them; so a node with fewer has no such pair.
+    """
+    rows = found.where("long").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.expr(f"cast(a & {TAGS - 1} AS int)").alias("tag"))
+    least = F.element_at(F.array(*[F.lit(int(x)) for x in bands.common]), F.col("tag") + 1)
+    enough = rows.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("node", "tag")
+    order = Window.partitionBy("sig").orderBy("node")
+    return rows.join(enough, ["node", "tag"]).select(F.lag("node").over(order).alias("a"), F.col("node").alias("b")).where("a IS NOT NULL AND a <> b").distinct()
+
+
 def _forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]]:
     parent = list(range(n))
 
@@ -420,7 +434,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     paired = found.where("NOT long").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     bands = Bands(num, den, int(nodes.agg(F.max("n")).first()[0] or 1))
-    chained = components(found.where("long").select("a", "b")).withColumnRenamed("component", "grp")
+    chained = components(chains(found, bands)).withColumnRenamed("component", "grp")
     blocks = tiles_of(nodes.drop("bits").join(chained, "node"), bands, BITMAP_BLOCK).join(nodes.select("node", F.col("bits").alias("content")), "node")
     candidates = components(screened(paired, num, den).unionAll(screen_blocks(blocks, num, den)))
     nodes = nodes.drop("bits")

@@ -39,19 +39,27 @@ def ship(spark: SparkSession) -> None:
 
 
 class Kept:
-    """Rows written once below the shared folder and read from there; a lost executor costs a read, not a recomputation."""
+    """Rows written once below the shared folder and read from there; a lost executor costs a read, not a recomputation.
+
+    The files go when the application ends, or before that by ``drop``.
+    """
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        store, path = self._place()
+        store.deleteOnExit(path)
+
+    def _place(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def drop(self) -> None:
         """Once nothing reads it any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        store, path = self._place()
+        store.delete(path, True)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
