@@ -433,7 +433,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     paired = found.where("NOT long").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    bands = Bands(num, den, int(nodes.agg(F.max("n")).first()[0] or 1))
+    bands = Bands(num, den, int(nodes.agg(F.max("n")).first()[0] or 1) * 3)  # the largest sets may sign for the band above theirs
     chained = components(chains(found, bands)).withColumnRenamed("component", "grp")
     blocks = tiles_of(nodes.drop("bits").join(chained, "node"), bands, BITMAP_BLOCK).join(nodes.select("node", F.col("bits").alias("content")), "node")
     candidates = components(screened(paired, num, den).unionAll(screen_blocks(blocks, num, den)))

@@ -33,6 +33,18 @@ def test_a_large_group_of_near_copies(spark):
     assert {r["id"]: r["component"] for r in got} == want
 
 
+def test_near_copies_at_the_upper_end_of_the_top_band(spark):
+    """More than a run of near copies that also sign for the band above the table's largest set."""
+    low = jaccard.Bands(85, 100, 1000).low
+    size = int(low[low > 80][0]) - 1
+    base = [f"b{i}" for i in range(size + 3)]
+    rows = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(30)] + [(40, "one two three four five")]
+    want, sizes = jaccard_groups(rows, 4, 85, 100)
+    assert max(sizes.values()) == size and set(want.values()) == {0, 40}
+    got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS), k=4).collect()
+    assert {r["id"]: r["component"] for r in got} == want
+
+
 def test_odd_rows_of_the_join(spark):
     long = " ".join(f"v{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \t "), (4, "One two"), (5, "one  TWO"), (None, "one two"), (6, long), (7, long + " end"), (6, long), (8, "Á b c d"), (9, "á b c d")]
