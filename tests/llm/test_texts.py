@@ -216,6 +216,24 @@ def test_host_decides_against_a_misleading_page(spark):
     assert {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}[9] == "short article"
 
 
+def test_nested_split_and_minority_articles(spark):
+    """Headline and lead around the winning container stay; a template of few pages is not cut to the line it has under the host's path."""
+    words, lead = ("main words here " * 60).strip(), ("lead words here " * 15).strip()
+    cases = {
+        "nested": (f"<body><article><h1>Title</h1><p>Short lead</p><div class='content'><p>{words}</p></div></article></body>", f"Title\nShort lead\n{words}"),
+        "post": (f"<body><div class='post'><h1>Title</h1><div class='content'><p>{words}</p></div></div><div class='extra'><p>little</p></div></body>", f"Title\n{words}"),
+        "quote": (f"<body><div class='post'><p>Said:</p><blockquote>{words}</blockquote><p>End</p></div></body>", f"Said:\n{words}\nEnd"),
+        "split": (f"<body><div class='intro'><p>{lead}</p></div><div class='text'><p>{words}</p></div><ul><li><a href='/x'>a link of the page</a></ul></body>", f"{lead}\n{words}"),
+        "story": (f"<body><div class='story'><p>{words}</p></div></body>", words)}
+    rows = [(f"http://{h}.org/{i}", page) for h, (page, _) in cases.items() for i in range(4)]
+    other = f"<body><div class='story'><p>one short line</p></div><div class='column'><p>{lead * 3}</p></div></body>"
+    rows += [("http://story.org/other", other), ("http://story.org/another", other)]
+    got = {r["url"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "url string, html string")).collect()}
+    for h, (_, want) in cases.items():
+        assert [got[f"http://{h}.org/{i}"] for i in range(4)] == [want] * 4, h
+    assert got["http://story.org/other"] == got["http://story.org/another"] == lead * 3
+
+
 def archive(payloads, packed=True):
     records = [warc.record_of(i, f"http://a/{i}", p, None, False, "2000-01-01T00:00:00Z") for i, p in enumerate(payloads)]
     return [gzip.compress(r) if packed else r for r in records]
