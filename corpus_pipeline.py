@@ -37,7 +37,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ``benchmark`` within its budget of word edits."""
-    hits = kept(decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct(), "hits")
+    texts = table(spark, sf_dir, "benchmark").select(F.xxhash64("text").alias("item_id"), "text")  # every text counts, whatever its id
+    hits = kept(decontaminate.matches(docs, texts).select(F.col("id").alias("doc_id")).distinct(), "hits")
     return docs.select(*COLUMNS).join(hits, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -10,8 +10,9 @@ blocks, each a scan of its own over the documents. Documents are never shuffled.
 
 Defined results: null, empty or wordless texts hold nothing, and a test item that is null or has no word matches nothing. A document is named by
 its id; rows that share one are searched on their own and their findings come back together. Rows without id are not reported by
-``matches`` (a filter keeps them unless its rows match). Repeated items count as one by id. Several places of one item in one document give one row, that of the
-smallest distance. Other columns are ignored.
+``matches`` (a filter keeps them unless its rows match). Items that share an id are all searched, each by its own text; items without id are not
+reported. Several places or texts of one item id in one document give one row, that of the smallest distance (of equal ones, of fewest item words).
+Other columns are ignored.
 """
 import numpy as np
 import pyarrow as pa
@@ -60,15 +61,17 @@ def myers(pattern: list[int], text: list[int]) -> int:
 
 
 class Items:
-    """Pieces of test items in tables by piece length."""
+    """Pieces of test items in tables by piece length. Items are known by their place among the different (id, text); ``ids`` has the ids."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
+        self.ids: list[int] = []
         self.words: dict[int, list[int]] = {}
         self.budget: dict[int, int] = {}
         found: dict[int, list] = {}
-        for item, text in items:
+        for item, (name, text) in enumerate(dict.fromkeys(items)):
+            self.ids.append(name)
             w = word_hashes(text)
-            if not len(w) or item in self.words:
+            if not len(w):
                 continue
             self.words[item] = w.tolist()
             self.budget[item] = budget = int(len(w) * rate)
@@ -152,11 +155,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     h, _, _, starts = T.words(*T.utf8(column.slice(at, to - at)), letters_only=True)
                     got = items.search(h, starts)
                     yield pa.RecordBatch.from_pydict({
-                        "id": [ids[at + r].as_py() for r, _ in got], "item_id": [i for _, i in got], "distance": list(got.values()),
+                        "id": [ids[at + r].as_py() for r, _ in got], "item_id": [items.ids[i] for _, i in got], "distance": list(got.values()),
                         "item_words": [len(items.words[i]) for _, i in got]}, schema=pa.schema([(c, pa.int64()) for c in ("id", "item_id", "distance", "item_words")]))
                     at = to
         part = rows.mapInArrow(run, "id bigint, item_id bigint, distance bigint, item_words bigint")
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "id bigint, item_id bigint, distance bigint, item_words bigint")
-    return found.groupBy("id", "item_id").agg(F.min("distance").alias("distance"), F.max("item_words").alias("item_words"))
+    nearest = found.groupBy("id", "item_id").agg(F.min(F.struct("distance", "item_words")).alias("nearest"))
+    return nearest.select("id", "item_id", "nearest.distance", "nearest.item_words")

@@ -193,6 +193,20 @@ def test_edited_passages_are_found(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), bench).count() == 0
 
 
+def test_items_that_share_an_id_are_all_searched(spark, tmp_path):
+    import corpus_pipeline
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "pqrs"]
+    edited = texts[1].replace("q3 ", "other ")
+    docs = spark.createDataFrame([(1, "x " + texts[0]), (2, edited + " y"), (3, edited + " z " + texts[0]), (4, texts[2]), (5, texts[3]), (6, "clean text")], DOCS)
+    bench = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (0, texts[1]), (1, texts[2]), (None, texts[3])], "item_id bigint, text string")
+    for words in (decontaminate.MAX_WORDS, 1):
+        got = decontaminate.matches(docs, bench, max_words=words).collect()
+        assert sorted(tuple(r) for r in got) == [(1, 0, 0, 20), (2, 0, 1, 20), (3, 0, 0, 20), (4, 1, 0, 20)]
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    whole = docs.selectExpr("*", "'en' AS lang", "'s' AS source", "cast(length(text) AS bigint) AS n_chars")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, whole, str(tmp_path)).collect()] == [6]
+
+
 PAGE = ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class='cookie-notice'>We use cookies</div><article><h1>A &amp; B</h1>"
         "<p>One  <b>two</b>\nthree<br>four<p>&#233;t&eacute; <script>var t='</p>';</script>done</p></article><aside>side</aside><section id=comments><p>first!</p></section><footer>&copy;</footer>")
 MAIN = "A & B\nOne two three four\nété done"
