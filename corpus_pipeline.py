@@ -1,7 +1,8 @@
 """A corpus from documents to training sequences: quality, shared lines, near copies, benchmark passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents, with ``text``
-and ``n_chars`` as changed. Rows without doc_id can be neither linked nor matched: they pass through the stages and are packed.
+and ``n_chars`` as changed. Near copies and passages are told by content (64-bit hashes of id and text), so that rows without doc_id or with a shared one are
+linked and matched each by its own text.
 """
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +30,28 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similar shingle sets, the one of smallest id."""
-    groups = jaccard.similar_groups(docs.select("doc_id", "text"), k=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1])
-    others = groups.where("id <> component").select(F.col("id").alias("doc_id"))
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of rows linked by similar shingle sets, the one of smallest doc_id (rows without one come last); of equal rows one."""
+    keyed = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_key"))
+    groups = jaccard.similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), k=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1])
+    rows = kept(groups.where("n_shingles > 0").groupBy(F.col("id").alias("_key"), "component").agg(F.count(F.lit(1)).alias("n")), "groups")
+    many = rows.groupBy("component").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").select("component")
+    members = kept(keyed.select("_key", "doc_id").join(rows.join(many, "component").select("_key", "component"), "_key").distinct(), "members")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_first"))
+    others = members.join(first, "component").where("_key <> _first").select("_key")
+    left = keyed.join(others, "_key", "left_anti")
+    repeated = kept(rows.where("n > 1").select("_key"), "repeated")
+    if repeated.isEmpty():
+        return left.select(*COLUMNS)
+    one = left.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return left.join(repeated, "_key", "left_anti").select(*COLUMNS).unionAll(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of ``benchmark`` within its budget of word edits."""
+    """Rows without a passage of ``benchmark`` within its budget of word edits."""
     texts = table(spark, sf_dir, "benchmark").select(F.xxhash64("text").alias("item_id"), "text")  # every text counts, whatever its id
-    hits = kept(decontaminate.matches(docs, texts).select(F.col("id").alias("doc_id")).distinct(), "hits")
-    return docs.select(*COLUMNS).join(hits, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_key"))
+    hits = kept(decontaminate.matches(keyed, texts, id_col="_key").select(F.col("id").alias("_key")).distinct(), "hits")
+    return keyed.join(hits, "_key", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

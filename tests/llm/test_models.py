@@ -99,3 +99,20 @@ def test_pipeline_stages_take_effect(spark):
     assert not clean & dirty and len(clean) >= 0.9 * (len(texts) - len(dirty))
     packed = corpus_pipeline.run(spark, SMALL)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_filtered_by_their_own_text(spark, tmp_path):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "pqrstu"]
+    rows = [(1, texts[0]), (None, texts[0] + " end"), (None, texts[1]), (None, texts[1]), (2, texts[2]), (2, texts[2]), (2, texts[2] + " end"),
+            (3, texts[0] + " more"), (3, texts[3]), (None, texts[4]), (4, texts[4] + " end"), (4, ""), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "cast(length(text) AS bigint) AS n_chars")
+    left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert left.columns == corpus_pipeline.COLUMNS
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    two = [x for x in got if x[0] == 2]
+    assert len(two) == 1 and two[0] in rows
+    want = [(1, texts[0]), (None, texts[1]), (3, texts[3]), (4, texts[4] + " end"), (4, ""), (4, ""), (5, None)]
+    assert sorted((x for x in got if x[0] != 2), key=str) == sorted(want, key=str)
+    spark.createDataFrame([(0, texts[0]), (1, texts[1])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(clean, key=str) == sorted((x for x in rows if not x[1] or x[1][0] in "rstu"), key=str)
