@@ -214,3 +214,19 @@ TRAJ = """traj0 AS (SELECT doc_id, lang, source, text, string_split(text, chr(10
  traj AS (SELECT doc_id, lang, source, text, n, all_steps[1:n] AS steps, all_ratings[1:n] AS ratings, nullif(fe, 0) AS first_error,
   CASE WHEN fe > 0 THEN 'incorrect' ELSE 'correct' END AS variant, CAST(doc_id % 4 AS INT) AS generation,
   CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split FROM traj3)"""
+
+
+# ---------------------------------------------------------------- exact resampling
+#: From vals(g, a, c), the counted outcomes of each group: limits(g, n, ci_low, ci_high), by convolving one draw after the other.
+LIMITS = """shares AS (SELECT g, a, c / sum(c) OVER (PARTITION BY g) AS p, sum(c) OVER (PARTITION BY g) AS n FROM vals),
+ conv(g, k, s, p) AS (SELECT DISTINCT g, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM shares
+  UNION ALL SELECT conv.g, k + 1, s + a, sum(conv.p * shares.p) FROM conv JOIN shares ON conv.g = shares.g AND k < n GROUP BY conv.g, k, s + a),
+ ends AS (SELECT conv.g, n, s, sum(p) OVER (PARTITION BY conv.g ORDER BY s) AS upto FROM conv JOIN (SELECT DISTINCT g, n FROM shares) m ON m.g = conv.g AND k = n),
+ limits AS (SELECT g, any_value(n)::BIGINT AS n, min(s) FILTER (upto >= 0.025 - 1e-13) / any_value(n) AS ci_low, min(s) FILTER (upto >= 0.975 - 1e-13) / any_value(n) AS ci_high FROM ends GROUP BY g)"""
+
+#: From sizes(g, a, c) with a > 0 and seen(g, x): signs(g, sign_p), the chance that the sizes with random signs sum to |x| or more, by a full period of frequencies.
+SIGNS = """spans AS (SELECT g, sum(a * c)::BIGINT AS span FROM sizes GROUP BY g),
+ waves AS (SELECT g, k, span, 2 * pi() * k / (2 * span + 1) AS t FROM spans, unnest(range(1, span + 1)) u(k)),
+ factors AS (SELECT w.g, k, t, span, product(pow(cos(a * t), c)) AS f FROM waves w JOIN sizes ON sizes.g = w.g GROUP BY ALL),
+ inside AS (SELECT f.g, (any_value(2 * abs(x) - 1) + 2 * sum(f * sin((abs(x) - 0.5) * t) / sin(t / 2))) / any_value(2 * span + 1) AS p FROM factors f JOIN seen ON seen.g = f.g GROUP BY f.g),
+ signs AS (SELECT seen.g, CASE WHEN x = 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - p)) END AS sign_p FROM seen LEFT JOIN inside USING (g))"""

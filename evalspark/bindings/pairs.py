@@ -2,9 +2,9 @@
 from pyspark.sql import functions as F
 
 from evalspark.bindings.base import (
-    LONG, MODELS, PAIRS, RESPONSES, SCENARIOS, SETS, SIDES, WIDE, exclusion_sets, query, responses, results_long, shown, spread, table,
+    LIMITS, LONG, MODELS, PAIRS, RESPONSES, SCENARIOS, SETS, SIDES, SIGNS, WIDE, exclusion_sets, query, responses, results_long, shown, spread, table,
 )
-from evalspark.operators import checks, pairs as P, resample, stats
+from evalspark.operators import checks, lattice, pairs as P, resample, stats
 from evalspark.operators.ranges import attach, with_scalars
 from evalspark.plans import study
 
@@ -247,14 +247,21 @@ def a24(spark, d):
     return shown(m.withColumn("log10_mcnemar_p", F.log10(F.greatest("mcnemar_p", F.lit(1e-300)))).select("scenario", "model", "n", "b_only", "a_only", "accuracy_a", "accuracy_b", "gap", "log10_mcnemar_p"))
 
 
-@query("c16_robustness_matrix", f"""{MATRIX.replace("WITH " + LONG, "WITH " + WIDE)}, x AS (SELECT scenario, count(*) AS cross_n, avg(gap_difference) AS g FROM wide, names
-  WHERE NOT EXISTS (SELECT 1 FROM excl e WHERE e.scenario = names.scenario AND e.id = wide.problem_id) GROUP BY 1)
-SELECT t.scenario, model, n, round(gap,6) AS gap, CASE WHEN model = 'm2' THEN cross_n END AS cross_n, CASE WHEN model = 'm2' THEN round(g,6) END AS cross_gap_difference
- FROM t LEFT JOIN x ON x.scenario = t.scenario""")
+RECURSIVE = "WITH RECURSIVE "
+KEPT = """kept AS (SELECT names.scenario, w.* FROM names, wide w WHERE NOT EXISTS (SELECT 1 FROM excl WHERE excl.scenario = names.scenario AND excl.id = w.problem_id))"""
+
+
+@query("c16_robustness_matrix", f"""{MATRIX.replace("WITH " + LONG, RECURSIVE + WIDE)}, {KEPT},
+ vals AS (SELECT scenario || '/' || model AS g, (b - a)::BIGINT AS a, count(*) AS c FROM s GROUP BY ALL UNION ALL SELECT scenario, gap_difference::BIGINT, count(*) FROM kept GROUP BY ALL), {LIMITS},
+ sizes AS (SELECT scenario AS g, abs(gap_difference)::BIGINT AS a, count(*) AS c FROM kept WHERE gap_difference <> 0 GROUP BY ALL),
+ seen AS (SELECT scenario AS g, sum(gap_difference)::BIGINT AS x FROM kept GROUP BY 1), {SIGNS}
+SELECT t.scenario, t.model, t.n, round(gap,6) AS gap, round(own.ci_low,6) AS ci_low, round(own.ci_high,6) AS ci_high, x.n AS cross_n, round(seen.x / x.n,6) AS cross_gap_difference,
+ round(x.ci_low,6) AS cross_ci_low, round(x.ci_high,6) AS cross_ci_high, round(sign_p,6) + 0.0 AS cross_randomisation_p
+FROM t JOIN limits own ON own.g = t.scenario || '/' || t.model LEFT JOIN limits x ON x.g = t.scenario AND model = 'm2' LEFT JOIN seen ON seen.g = x.g LEFT JOIN signs ON signs.g = x.g""")
 def c16(spark, d):
     excl = P.compose_exclusions(exclusion_sets(spark, d), SCENARIOS)
     m = study.robustness_matrix(results_long(spark, d), "problem_id", "model", "language", "is_correct", MODELS, SIDES, list(SCENARIOS), excl)
-    return shown(m.select("scenario", "model", "n", "gap", "cross_n", "cross_gap_difference"))
+    return shown(m.select("scenario", "model", "n", "gap", "ci_low", "ci_high", "cross_n", "cross_gap_difference", "cross_ci_low", "cross_ci_high", "cross_randomisation_p"))
 
 
 @query("p18_half_replication", f"""WITH {PAIRS} SELECT CASE WHEN problem_id <= 200 THEN 'first' ELSE 'second' END AS half, count(*) AS n, round(avg(a),6) AS accuracy_a,
@@ -299,46 +306,37 @@ def t02(spark, d):
     return shown(resample.paired_bootstrap(m1_pairs(spark, d), "problem_id", "b_minus_a", B, SEED, mode="hash"))
 
 
-def near_normal(df, spread):
-    """The interval holds the mean and is as wide as the normal one, within an eighth and two lattice steps: what any stream of draws gives."""
-    width = F.lit(2 * 1.959964) * F.col(spread)
-    return df.withColumn("as_expected", (F.col("ci_low") <= F.col("observed")) & (F.col("observed") <= F.col("ci_high"))
-                         & (F.abs(F.col("ci_high") - F.col("ci_low") - width) <= width / 8 + 2 / F.col("n")))
+@query("t02_bootstrap_collapsed")
+def t02b(spark, d):
+    """Drawn limits; a test holds them against the exact ones."""
+    return shown(resample.paired_bootstrap(m1_pairs(spark, d), "problem_id", "b_minus_a", 10_000, SEED))
 
 
-@query("t02_bootstrap_collapsed", f"""WITH {PAIRS} SELECT round(avg(b - a),6) AS observed, 10000::BIGINT AS n_replicates, count(*) AS n, true AS as_expected FROM pairs WHERE model = 'm1'""")
-def t02b(spark, d):
-    rows = m1_pairs(spark, d)
-    out = with_scalars(resample.paired_bootstrap(rows, "problem_id", "b_minus_a", 10_000, SEED),
-                       rows.agg(F.count("b_minus_a").alias("n"), (F.stddev_pop("b_minus_a") / F.sqrt(F.count("b_minus_a"))).alias("se")))
-    return shown(near_normal(out, "se").select("observed", "n_replicates", "n", "as_expected"))
+@query("t02_exact_interval", f"""WITH RECURSIVE {PAIRS}, vals AS (SELECT model AS g, (b - a)::BIGINT AS a, count(*) AS c FROM pairs GROUP BY ALL), {LIMITS}
+SELECT g AS model, n, round((SELECT avg(b - a) FROM pairs WHERE model = g),6) AS observed, round(ci_low,6) AS ci_low, round(ci_high,6) AS ci_high FROM limits""")
+def t02x(spark, d):
+    """The interval that infinitely many draws would give."""
+    return shown(lattice.bootstrap_interval(all_pairs(spark, d), "b_minus_a", by=["model"]))
 
 
-@query("t02_bootstrap_by_scenario", f"""{MATRIX} SELECT scenario, model, n::BIGINT AS n, 2000::BIGINT AS n_replicates, true AS as_expected FROM t""")
+@query("t02_bootstrap_by_scenario", f"""{MATRIX.replace("WITH ", "WITH RECURSIVE ", 1)}, vals AS (SELECT scenario || '/' || model AS g, (b - a)::BIGINT AS a, count(*) AS c FROM s GROUP BY ALL), {LIMITS}
+SELECT scenario, model, t.n, round(gap,6) AS observed, round(ci_low,6) AS ci_low, round(ci_high,6) AS ci_high FROM t JOIN limits ON g = scenario || '/' || model""")
 def t02c(spark, d):
-    """Interval of every scenario and model in one pass (A-24, C-16)."""
+    """Interval of every scenario and model from counts per exclusion mask (A-24, C-16)."""
     excl = P.compose_exclusions(exclusion_sets(spark, d), SCENARIOS)
-    rows = P.scenario_rows(all_pairs(spark, d), "problem_id", list(SCENARIOS), excl)
-    by = ["scenario", "model"]
-    out = attach(resample.paired_bootstrap(rows, "problem_id", "b_minus_a", 2_000, SEED, by=by),
-                 rows.groupBy(*by).agg(F.count("b_minus_a").alias("n"), (F.stddev_pop("b_minus_a") / F.sqrt(F.count("b_minus_a"))).alias("se")), by)
-    return near_normal(out, "se").select(*by, "n", "n_replicates", "as_expected")
+    counted = P.scenario_value_counts(all_pairs(spark, d), "problem_id", "b_minus_a", list(SCENARIOS), excl, ["model"])
+    return shown(lattice.interval_of_counts(counted, by=["scenario", "model"]))
 
 
-@query("t05_gap_difference_by_scenario", f"""WITH {WIDE}, {SETS}, k AS (SELECT names.scenario, w.* FROM names, wide w WHERE NOT EXISTS (SELECT 1 FROM excl WHERE excl.scenario = names.scenario AND excl.id = w.problem_id)),
- s AS (SELECT scenario, count(*) AS n, sum(gap_difference)::BIGINT AS observed_sum, sum(gap_difference * gap_difference) AS q FROM k GROUP BY 1)
-SELECT scenario, n, observed_sum, round(observed_sum / n, 6) AS observed, true AS p_as_expected FROM s""")
+@query("t05_gap_difference_by_scenario", f"""WITH RECURSIVE {WIDE}, {SETS}, {KEPT}, vals AS (SELECT scenario AS g, gap_difference::BIGINT AS a, count(*) AS c FROM kept GROUP BY ALL), {LIMITS},
+ sizes AS (SELECT scenario AS g, abs(gap_difference)::BIGINT AS a, count(*) AS c FROM kept WHERE gap_difference <> 0 GROUP BY ALL),
+ seen AS (SELECT scenario AS g, sum(gap_difference)::BIGINT AS x FROM kept GROUP BY 1), {SIGNS}
+SELECT g AS scenario, n, x::DOUBLE AS observed_sum, round(x / n, 6) AS observed, round(ci_low,6) AS ci_low, round(ci_high,6) AS ci_high, round(sign_p,6) + 0.0 AS sign_flip_p FROM limits JOIN seen USING (g) JOIN signs USING (g)""")
 def t05c(spark, d):
-    """Interval and randomisation p of the cross-model row of every scenario (C-16); p stays near the normal one of the flipped sum."""
+    """Interval and randomisation p of the cross-model row of every scenario, both exact (C-16)."""
     excl = P.compose_exclusions(exclusion_sets(spark, d), SCENARIOS)
-    rows = P.scenario_rows(wide(spark, d), "problem_id", list(SCENARIOS), excl)
-    study_rows = resample.gap_difference_study(rows, "problem_id", replicates=2_000, randomisations=20_000, seed=SEED, by=["scenario"])
-    size = rows.groupBy("scenario").agg(F.sqrt(F.sum(F.col("gap_difference") * F.col("gap_difference"))).alias("size"), (F.count_if(F.col("gap_difference") != 0)).alias("m"))
-    out = attach(study_rows, size, ["scenario"])
-    z = (F.abs("observed_sum") - 0.5) / F.col("size")
-    normal = stats.tail("normal", F.greatest(z, F.lit(0.0)))
-    fine = (F.abs(F.col("randomisation_p") - normal) <= 0.05 + 0.5 / F.col("m")) & (F.col("ci_low") <= F.col("observed")) & (F.col("observed") <= F.col("ci_high"))
-    return shown(out.select("scenario", "n", "observed_sum", "observed", F.coalesce(fine, F.lit(True)).alias("p_as_expected")))
+    counted = P.scenario_value_counts(wide(spark, d), "problem_id", "gap_difference", list(SCENARIOS), excl)
+    return shown(lattice.gap_difference_of_counts(counted, by=["scenario"]).drop("log10_p"))
 
 
 @query("t03_percentiles", """SELECT event_type AS category, round(quantile_cont(value, 0.025),6) AS p025, round(quantile_cont(value, 0.5),6) AS p50,
@@ -359,10 +357,17 @@ def t04(spark, d):
     return shown(resample.sign_flip_test(wide(spark, d), "problem_id", "gap_difference", R, SEED, mode="hash"))
 
 
-@query("t04_sign_flip_collapsed", f"""WITH {WIDE} SELECT count(*) AS n, sum(gap_difference)::BIGINT AS observed_sum, round(avg(gap_difference),6) AS observed, true AS p_in_range FROM wide""")
+@query("t04_sign_flip_collapsed")
 def t04b(spark, d):
-    out = resample.sign_flip_test(wide(spark, d), "problem_id", "gap_difference", 100_000, SEED)
-    return shown(out.select("n", "observed_sum", "observed", F.col("randomisation_p").between(1 / 100_001, 1.0).alias("p_in_range")))
+    """Drawn p; a test holds it against the exact one."""
+    return shown(resample.sign_flip_test(wide(spark, d), "problem_id", "gap_difference", 100_000, SEED))
+
+
+@query("t04_exact_sign_flip", f"""WITH {WIDE}, vals AS (SELECT m1_a AS g, gap_difference::BIGINT AS v FROM wide), sizes AS (SELECT g, abs(v) AS a, count(*) AS c FROM vals WHERE v <> 0 GROUP BY ALL),
+ seen AS (SELECT g, sum(v)::BIGINT AS x, count(*) AS n FROM vals GROUP BY 1), {SIGNS} SELECT g AS m1_a, n, x::DOUBLE AS observed_sum, round(x / n,6) AS observed, round(sign_p, 6) + 0.0 AS sign_flip_p FROM seen JOIN signs USING (g)""")
+def t04x(spark, d):
+    """The p that all sign assignments give, for problems that the first model solved or not."""
+    return shown(lattice.sign_flip_exact(wide(spark, d), "gap_difference", by=["m1_a"]).drop("log10_p"))
 
 
 @query("t05_gap_difference", f"""WITH {WIDE}, {FLIP}, arr AS (SELECT list(v ORDER BY v) AS vs, count(*) AS n FROM fl),

@@ -1,7 +1,7 @@
 """Score descriptions, classification metrics and tests on events."""
 from pyspark.sql import functions as F
 
-from evalspark.bindings.base import SCORES, query, scores, shown, table
+from evalspark.bindings.base import SCORES, SIGNS, query, scores, shown, table
 from evalspark.operators import ranges, scores as A, stats as T
 
 CATS = ("click", "error", "purchase", "signup", "view")
@@ -168,9 +168,11 @@ def t09(spark, d):
     return shown(T.signed_rank_statistics(cent_pairs(spark, d), "a", "b", ["category"]).select("category", "n_nonzero", "w_plus", "w_minus", "wilcoxon_w"))
 
 
-@query("t09_signed_rank_p_values")
+@query("t09_signed_rank_p_values", f"""WITH {SR}, sizes AS (SELECT category AS g, (2 * rk)::BIGINT AS a, count(*) AS c FROM r GROUP BY ALL),
+ seen AS (SELECT category AS g, abs(sum(CASE WHEN d > 0 THEN 2 * rk ELSE -2 * rk END))::BIGINT AS x, least(sum(rk) FILTER (d>0), sum(rk) FILTER (d<0)) AS w FROM r GROUP BY 1), {SIGNS}
+SELECT g AS category, round(w,6) AS wilcoxon_w, round(sign_p, 6) + 0.0 AS wilcoxon_p, 'exact' AS method FROM signs JOIN seen USING (g)""")
 def t09p(spark, d):
-    return shown(T.signed_rank_test(cent_pairs(spark, d), "a", "b", ["category"]).select("category", "wilcoxon_w", "wilcoxon_p"))
+    return shown(T.signed_rank_test(cent_pairs(spark, d), "a", "b", ["category"], method="exact").select("category", "wilcoxon_w", "wilcoxon_p", "method"))
 
 
 @query("t10_rank_sum", f"""WITH {SCORES}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM scores)

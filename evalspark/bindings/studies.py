@@ -1,13 +1,13 @@
 """Benchmark construction, scoring and study jobs."""
 from pyspark.sql import functions as F
 
-from evalspark.bindings.base import RESPONSES, SCORES, TRAJ, WIDE, MODELS, SIDES, query, responses, responses_of, results_long, scores, scratch, shown, sql_norm, table, trajectories
+from evalspark.bindings.base import LIMITS, RESPONSES, SCORES, SIGNS, TRAJ, WIDE, MODELS, SIDES, query, responses, responses_of, results_long, scores, scratch, shown, sql_norm, table, trajectories
 from evalspark.bindings.numbers import EXA
 from evalspark.bindings.pairs import J05_LEFT, matched_input
 from evalspark.bindings.tables import FLAGS, flagged
 from evalspark.operators import pairs as P, scores as A
 from evalspark.plans import benchmark, scoring, study
-from evalspark.streaming import results
+from evalspark.streaming import results, running
 
 SEED = 42
 # ------------------------------------------------------------------ matched benchmark
@@ -101,9 +101,11 @@ def c16b(spark, d):
     return shown(study.cross_model_study(results_long(spark, d), "problem_id", "model", "language", "is_correct", MODELS, SIDES, 100, 100, SEED)["gaps"])
 
 
-@query("c16_cross_model_difference")
+@query("c16_cross_model_difference", f"""WITH RECURSIVE {WIDE}, vals AS (SELECT 0 AS g, gap_difference::BIGINT AS a, count(*) AS c FROM wide GROUP BY ALL), {LIMITS},
+ sizes AS (SELECT 0 AS g, abs(gap_difference)::BIGINT AS a, count(*) AS c FROM wide WHERE gap_difference <> 0 GROUP BY ALL), seen AS (SELECT 0 AS g, sum(gap_difference)::BIGINT AS x FROM wide), {SIGNS}
+SELECT n, x::DOUBLE AS observed_sum, round(x / n, 6) AS observed, round(ci_low,6) AS ci_low, round(ci_high,6) AS ci_high, round(sign_p,6) + 0.0 AS sign_flip_p FROM limits, seen, signs""")
 def c16c(spark, d):
-    return study.cross_model_study(results_long(spark, d), "problem_id", "model", "language", "is_correct", MODELS, SIDES, 10_000, 100_000, SEED)["difference"]
+    return shown(study.cross_model_study(results_long(spark, d), "problem_id", "model", "language", "is_correct", MODELS, SIDES, 10_000, 100_000, SEED)["exact"].drop("log10_p"))
 
 
 # ------------------------------------------------------------------ score studies
@@ -227,10 +229,20 @@ def r02(spark, d):
  r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (status = 'success') DESC, event_id DESC) AS rk FROM l)
 SELECT (user_id % 7)::VARCHAR AS model, event_type AS language, sum((value > 50)::INT)::BIGINT AS n_correct, count(*) AS n_total, round(avg((value > 50)::INT),6) AS accuracy FROM r WHERE rk = 1 GROUP BY ALL""")
 def r03(spark, d):
-    """Accuracy over the upserted log: a key that was tried again counts once."""
-    folder = scratch(spark, "stream")
-    log = stream_of(spark, d, "events").select("user_id", "event_type", "event_id", "value", F.col("event_id").alias("timestamp_utc"),
-                                              F.when(F.col("event_id") % 3 == 0, "success").otherwise("error").alias("status"))
-    results.upsert_log(log, folder + "/snapshot", folder + "/progress", ["user_id", "event_type"]).awaitTermination()
-    rows = results.read_snapshot(spark, folder + "/snapshot").select((F.col("user_id") % 7).cast("string").alias("model"), F.col("event_type").alias("language"), (F.col("value") > 50).cast("int").alias("is_correct"))
-    return shown(results.running_accuracy(rows))
+    """Accuracy over the upserted log, kept as a stream: three micro-batches, a restart after the first, keys tried again in later ones."""
+    folder = scratch(spark, "running")
+    events = table(spark, d, "events").select((F.col("user_id") % 7).cast("string").alias("model"), F.col("event_type").alias("language"), "user_id", "event_id",
+                                              F.when(F.col("event_id") % 3 == 0, "success").otherwise("error").alias("status"), (F.col("value") > 50).cast("int").alias("is_correct"))
+
+    def arrive(part):
+        events.where(F.floor(F.col("event_id") / 7) % 3 == part).write.mode("append").parquet(f"{folder}/log")
+
+    def go_on():
+        log = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+        running.running_accuracy_stream(log, folder, ["user_id", "language", "model"], ["model", "language"], written="event_id").awaitTermination()
+    arrive(0)
+    go_on()
+    arrive(2)
+    arrive(1)
+    go_on()
+    return shown(running.read_running_accuracy(spark, folder).select("model", "language", "n_correct", "n_total", "accuracy"))

@@ -105,6 +105,35 @@ def scenario_rows(df: DataFrame, key: str, scenarios: list[str], exclusions: Dat
         .drop(*[f"_s{i}" for i in range(len(scenarios))])
 
 
+def scenario_masks(df: DataFrame, key: str, scenarios: list[str], exclusions: DataFrame, out: str = "excluded_by") -> DataFrame:
+    """Rows with one bit for each scenario that drops their key (P-16); no row is repeated."""
+    if len(scenarios) > 63:
+        raise ValueError("a mask holds 63 scenarios")
+    bit = F.lit(0).cast("bigint")
+    for i, s in enumerate(scenarios):
+        bit = F.when(F.col("scenario") == s, F.lit(1 << i).cast("bigint")).otherwise(bit)
+    drops = exclusions.where(F.col("scenario").isin(scenarios)).groupBy(F.col("id").alias(key)).agg(F.bit_or(bit).alias(out))
+    return df.join(drops, key, "left").withColumn(out, F.coalesce(out, F.lit(0).cast("bigint")))
+
+
+def scenario_totals(counted: DataFrame, scenarios: list[str], by: list[str], mask: str = "excluded_by") -> DataFrame:
+    """Sums per scenario from sums per mask: a scenario holds the rows of all masks without its bit (A-24, P-16).
+
+    ``counted`` has one row a mask and group; only these few rows are repeated over the scenarios, so the number of rows shuffled does not depend on them.
+    """
+    sums = [c for c in counted.columns if c not in (*by, mask)]
+    open_to = F.filter(F.array(*[F.when(F.col(mask).bitwiseAND(F.lit(1 << i).cast("bigint")) == 0, F.lit(s)) for i, s in enumerate(scenarios)]), lambda x: x.isNotNull())
+    return counted.withColumn("scenario", F.explode(open_to)).groupBy("scenario", *by).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def scenario_value_counts(df: DataFrame, key: str, value: str, scenarios: list[str], exclusions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(scenario, by, a, c): the outcomes of every scenario, counted once per mask."""
+    by = by or []
+    masked = scenario_masks(df.where(F.col(value).isNotNull()), key, scenarios, exclusions)
+    counted = masked.groupBy("excluded_by", *by, F.col(value).cast("bigint").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+    return scenario_totals(counted, scenarios, [*by, "a"])
+
+
 def compose_exclusions(sets: DataFrame, scenarios: dict[str, list[str]]) -> DataFrame:
     """(set_name, id) to (scenario, id): a scenario drops the union of its sets (P-16, U-04)."""
     of_set: dict[str, list[str]] = {}
@@ -119,9 +148,17 @@ def compose_exclusions(sets: DataFrame, scenarios: dict[str, list[str]]) -> Data
 
 def scenario_matrix(long: DataFrame, key: str, model: str, side: str, correct: str, sides: tuple[str, str],
                     scenarios: list[str], exclusions: DataFrame) -> DataFrame:
-    """Paired summary for every (scenario, model) from one pairing shuffle (A-24)."""
+    """Paired summary for every (scenario, model) from one pairing shuffle and one count per exclusion mask (A-24)."""
     pairs = paired_outcomes(long, [key, model], side, correct, *sides)
-    return paired_summary(scenario_rows(pairs, key, scenarios, exclusions), ["scenario", model])
+    a, b = F.col("a_correct"), F.col("b_correct")
+    counted = scenario_masks(pairs, key, scenarios, exclusions).groupBy("excluded_by", model).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((a == 1) & (b == 1)).alias("both_correct"), F.count_if((a == 0) & (b == 0)).alias("both_wrong"),
+        F.count_if((a == 0) & (b == 1)).alias("b_only"), F.count_if((a == 1) & (b == 0)).alias("a_only"), F.count_if(a != b).alias("discordant"),
+        F.sum(a).alias("sum_a"), F.sum(b).alias("sum_b"))
+    t = scenario_totals(counted, scenarios, [model])
+    gap = (F.col("sum_b") - F.col("sum_a")) / F.col("n")
+    return t.select("scenario", model, "n", "both_correct", "both_wrong", "b_only", "a_only", "discordant", (F.col("sum_a") / F.col("n")).alias("accuracy_a"),
+                    (F.col("sum_b") / F.col("n")).alias("accuracy_b"), gap.alias("gap"), (gap * 100).alias("gap_pp"), mcnemar_p(F.col("b_only"), F.col("a_only")).alias("mcnemar_p"))
 
 
 def overlay(df: DataFrame, decisions: DataFrame, keys: list[str], automatic: str, decided: str,

@@ -5,10 +5,11 @@ Every test is one or two distributed aggregates followed by arithmetic on one ro
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.lattice import two_sided_signs
 from evalspark.operators.ranges import attach, average_ranks
 from evalspark.operators.tails import tail
 
-EXACT_SIGNED_RANKS = 50     # differences up to which method "auto" takes the exact signed-rank distribution
+PUBLISHED_EXACT_RANKS = 50  # differences up to which method "published" takes the exact signed-rank distribution
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
@@ -84,33 +85,49 @@ def signed_rank_statistics(df: DataFrame, a: str, b: str, by: list[str] | None =
 
     Differences are first reduced to distinct magnitudes with the number of positive and negative cases.
     """
-    by = by or []
-    d = F.col(a) - F.col(b)
-    cases = df.withColumn("_d", d).where("_d <> 0").withColumn("_size", F.abs("_d"))
-    ranked = average_ranks(cases, "_size", by, [F.count_if(F.col("_d") > 0).alias("_pos"),
-                                               F.count_if(F.col("_d") < 0).alias("_neg")])
+    return _rank_sums(df, a, b, by or [], _signed_ranks(df, a, b, by or []))
+
+
+def _signed_ranks(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    cases = df.withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0").withColumn("_size", F.abs("_d"))
+    return average_ranks(cases, "_size", by, [F.count_if(F.col("_d") > 0).alias("_pos"), F.count_if(F.col("_d") < 0).alias("_neg")])
+
+
+def _rank_sums(df: DataFrame, a: str, b: str, by: list[str], ranked: DataFrame) -> DataFrame:
     t = F.col("ties").cast("double")
     sums = ranked.groupBy(*by).agg(
         F.sum("ties").alias("n_nonzero"), F.sum(F.col("avg_rank") * F.col("_pos")).alias("w_plus"),
         F.sum(F.col("avg_rank") * F.col("_neg")).alias("w_minus"), F.sum(t * t * t - t).alias("tie_term"))
-    zeros = df.groupBy(*by).agg(F.count_if(d == 0).alias("n_zero"))
+    zeros = df.groupBy(*by).agg(F.count_if(F.col(a) == F.col(b)).alias("n_zero"))
     return attach(sums, zeros, by).withColumn("wilcoxon_w", F.least("w_plus", "w_minus"))
 
 
 def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str] | None = None, method: str = "auto") -> DataFrame:
     """T-09 with p and the method it was taken by.
 
-    ``exact`` needs differences without ties and zeros; ``normal`` corrects for ties. ``auto`` is the published rule: exact for up to
-    EXACT_SIGNED_RANKS such differences, else normal.
+    ``exact`` is the distribution of the rank sum under random signs, ties and any number of differences included (zeros are dropped): a sum of doubled average
+    ranks with random signs is a sum on a lattice. It is null for a group with more different sizes than a lattice operator holds; ``auto`` takes ``normal`` there,
+    which corrects for ties. ``published`` is the rule behind published tables: exact for up to PUBLISHED_EXACT_RANKS differences without ties and zeros, else normal.
     """
-    if method not in ("auto", "exact", "normal"):
+    if method not in ("auto", "exact", "normal", "published"):
         raise ValueError(f"unknown method: {method}")
+    by = by or []
+    if method in ("auto", "exact"):
+        ranked = _signed_ranks(df, a, b, by)
+        s = _rank_sums(df, a, b, by, ranked)
+        sizes = ranked.select(*by, (F.col("avg_rank") * 2).cast("bigint").alias("a"), F.col("ties").alias("c"))
+        seen = s.where("n_nonzero > 0").select(*by, ((F.col("w_plus") - F.col("w_minus")) * 2).cast("bigint").alias("x"))
+        s = attach(s, two_sided_signs(sizes, seen, by).select(*by, F.col("sign_p").alias("_exact")), by)
+        n = F.col("n_nonzero").cast("double")
+        z = (F.col("wilcoxon_w") - n * (n + 1) / 4) / F.nullif(F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48), F.lit(0.0))
+        other = tail("normal", F.when(F.col("_exact").isNull(), z)) if method == "auto" else F.lit(None).cast("double")
+        return s.withColumn("_normal", other).withColumn("wilcoxon_p", F.coalesce("_exact", "_normal")) \
+            .withColumn("method", F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_normal").isNotNull(), "normal")).drop("_exact", "_normal", "n_zero")
     s = signed_rank_statistics(df, a, b, by)
     n = F.col("n_nonzero").cast("double")
     z = (F.col("wilcoxon_w") - n * (n + 1) / 4) / F.nullif(F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48), F.lit(0.0))
     sound = (F.col("tie_term") == 0) & (F.col("n_zero") == 0)
-    exact = {"auto": sound & (n <= EXACT_SIGNED_RANKS), "exact": F.when(sound, F.lit(True)).otherwise(F.raise_error(F.lit("exact ranks need differences without ties and zeros")).cast("boolean")),
-             "normal": F.lit(False)}[method]
+    exact = sound & (n <= PUBLISHED_EXACT_RANKS) if method == "published" else F.lit(False)
     return s.withColumn("_exact", tail("signed_rank", F.when(exact, F.col("wilcoxon_w")), n)) \
         .withColumn("_normal", tail("normal", F.when(~exact, z))) \
         .withColumn("wilcoxon_p", F.coalesce("_exact", "_normal")).withColumn("method", F.when(F.col("_exact").isNotNull(), "exact").otherwise("normal")) \
@@ -180,7 +197,7 @@ def kruskal_test(df: DataFrame, value: str, group: str, groups: list) -> DataFra
 def category_comparison(wide: DataFrame, category: str, a: str, b: str, comparisons: int) -> DataFrame:
     """Per category: paired t, signed-rank, dz, interval and Bonferroni-corrected p (T-13, T-14)."""
     t = paired_t_test(wide, a, b, [category])
-    w = signed_rank_test(wide, a, b, [category]).select(category, "wilcoxon_w", "wilcoxon_p")
+    w = signed_rank_test(wide, a, b, [category], method="published").select(category, "wilcoxon_w", "wilcoxon_p")
     return t.join(w, category, "left").withColumn("paired_t_p_bonferroni", bonferroni(F.col("paired_t_p"), comparisons)) \
         .withColumn("wilcoxon_p_bonferroni", bonferroni(F.col("wilcoxon_p"), comparisons)) \
         .withColumn("verdict", verdict(F.col("paired_t_p_bonferroni")))

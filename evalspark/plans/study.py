@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.steps import logit_to_probability, score_summary
 from evalspark.operators import scores, stats
-from evalspark.operators.pairs import attach_to_one, cross_contingency, cross_model_outcomes, joined_ids, scenario_matrix, scenario_rows
+from evalspark.operators.lattice import gap_difference_exact, gap_difference_of_counts, interval_of_counts
+from evalspark.operators.pairs import attach_to_one, cross_contingency, cross_model_outcomes, joined_ids, paired_outcomes, scenario_matrix, scenario_value_counts
 from evalspark.operators.ranges import with_scalars
 from evalspark.operators.resample import gap_difference_study
 
@@ -15,18 +16,21 @@ def cross_model_study(long: DataFrame, key: str, model: str, side: str, correct:
     wide = cross_model_outcomes(long, key, model, side, correct, models, sides)
     gaps = wide.agg(F.avg("gap_1").alias("gap_first"), F.avg("gap_2").alias("gap_second"), F.avg("gap_difference").alias("gap_difference"))
     return {"wide": wide, "contingency": cross_contingency(wide), "gaps": gaps,
-            "difference": gap_difference_study(wide, key, "gap_difference", replicates, randomisations, seed, mode)}
+            "difference": gap_difference_study(wide, key, "gap_difference", replicates, randomisations, seed, mode),
+            "exact": gap_difference_exact(wide, "gap_difference")}
 
 
 def robustness_matrix(long: DataFrame, key: str, model: str, side: str, correct: str, models: tuple[str, str],
                       sides: tuple[str, str], scenarios: list[str], exclusions: DataFrame) -> DataFrame:
-    """Scenario × model rows plus the cross-model gap difference on one model's rows (C-16, A-24, A-27)."""
+    """Scenario × model rows with exact interval, plus the cross-model gap difference with its interval and randomisation p on one model's rows (C-16, A-24, A-27)."""
     matrix = scenario_matrix(long, key, model, side, correct, sides, scenarios, exclusions)
+    pairs = paired_outcomes(long, [key, model], side, correct, *sides)
+    interval = interval_of_counts(scenario_value_counts(pairs, key, "b_minus_a", scenarios, exclusions, [model]), by=["scenario", model]).select("scenario", model, "ci_low", "ci_high")
     wide = cross_model_outcomes(long, key, model, side, correct, models, sides)
-    cross = scenario_rows(wide, key, scenarios, exclusions).groupBy("scenario").agg(
-        F.count(F.lit(1)).alias("cross_n"), F.avg("gap_difference").alias("cross_gap_difference")) \
-        .withColumn(model, F.lit(models[1]))
-    return matrix.join(cross, ["scenario", model], "left")
+    cross = gap_difference_of_counts(scenario_value_counts(wide, key, "gap_difference", scenarios, exclusions), by=["scenario"])
+    named = cross.select("scenario", F.lit(models[1]).alias(model), F.col("n").alias("cross_n"), F.col("observed").alias("cross_gap_difference"), F.col("ci_low").alias("cross_ci_low"),
+                         F.col("ci_high").alias("cross_ci_high"), F.col("sign_flip_p").alias("cross_randomisation_p"))
+    return matrix.join(interval, ["scenario", model], "left").join(named, ["scenario", model], "left")
 
 
 def scenario_summary(matrix: DataFrame, exclusions: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def discrimination_study(rows: DataFrame, problem: str, category: str, score: st
     wide = gaps.select(problem, *[(F.col(f"_c_{s}") - F.col(f"_i_{s}")).alias(f"gap_{n}") for n, s in zip("ab", sides)]) \
         .dropna(subset=["gap_a", "gap_b"])
     labelled = rows.withColumn("label", (F.col(category) == correct).cast("int"))
-    return {"gaps": wide, "t": stats.paired_t_test(wide, "gap_b", "gap_a"), "wilcoxon": stats.signed_rank_test(wide, "gap_b", "gap_a"),
+    return {"gaps": wide, "t": stats.paired_t_test(wide, "gap_b", "gap_a"), "wilcoxon": stats.signed_rank_test(wide, "gap_b", "gap_a", method="published"),
             **{f"threshold_{n}": scores.best_threshold(labelled.where(F.col(side) == s), "label", score) for n, s in zip("ab", sides)},
             **{f"auc_{n}": scores.roc_auc(labelled.where(F.col(side) == s), "label", score) for n, s in zip("ab", sides)}}
 
