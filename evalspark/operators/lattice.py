@@ -242,7 +242,9 @@ def two_sided_signs(sizes: DataFrame, observed: DataFrame, by: list[str], max_ce
     fields = _fields(observed, by)
     pieces_of = held.select(*by, "x", "cells", "n").mapInPandas(spread, fields + f"x bigint, cells {CELLS}, first bigint, end bigint, known double")
     parts = pieces_of.repartition(*by, "first").mapInPandas(add, fields + "known double, part double, scale double")
-    total = parts.groupBy(*by).agg(F.max(F.nanvl("known", F.lit(None).cast("double"))).alias("known"), F.sum("part").alias("part"), F.max("scale").alias("scale"))
+    for c in ("known", "part", "scale"):
+        parts = parts.withColumn(c, F.nanvl(c, F.lit(None).cast("double")))
+    total = parts.groupBy(*by).agg(F.max("known").alias("known"), F.sum("part").alias("part"), F.max("scale").alias("scale"))
     # Twice the tail in logarithms, so that a p below the smallest double still has one.
     log10 = F.coalesce("known", (F.log("part") + F.col("scale") + F.log(F.lit(2.0))) / F.log(F.lit(10.0)))
     return total.withColumn("log10_p", F.when(log10 > 0, 0.0).otherwise(log10)).select(*by, F.pow(F.lit(10.0), F.col("log10_p")).alias("sign_p"), "log10_p")
