@@ -38,6 +38,7 @@ def cells(counted: DataFrame, by: list[str], max_cells: int = MAX_CELLS) -> Data
     sizes = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_d"), F.sum("c").alias("n"))
     fits = attach(counted, sizes, by).where(F.col("_d") <= max_cells)
     held = fits.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("a", "c"))).alias("cells"))
+    held = held.withColumn("cells", F.when(F.size("cells") > 0, F.col("cells")))  # without groups an aggregate of no rows is one row
     return attach(sizes, held, by).select(*by, "cells", "n")
 
 
