@@ -5,7 +5,7 @@ from evalspark.bindings.base import LONG, PAIRS, RESPONSES, SETS, exclusion_sets
 from evalspark.bindings.pairs import m1_pairs
 from evalspark.operators import checks, pairs as P, sampling, scores as A
 from evalspark.plans import scoring
-from evalspark.sources import files, readers, sinks, strict_json
+from evalspark.sources import committed, files, line_ranges, readers, sinks, strict_json
 
 # ------------------------------------------------------------------ sources
 
@@ -48,6 +48,18 @@ def s04b(spark, d):
     return lines.select(F.regexp_extract("file", r"/k=(\d+)/", 1).cast("int").alias("k"), F.col("value").alias("line"), F.col("line_number").cast("bigint").alias("line_number"), "bytes_through")
 
 
+@query("s04_file_prefix", """WITH t AS (SELECT user_id % 4 AS k, event_type || ':' || event_id AS line, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS line_number,
+  sum(octet_length(encode(event_type || ':' || event_id)) + 1) OVER (PARTITION BY user_id % 4 ORDER BY event_id)::BIGINT AS bytes_through FROM events)
+SELECT k::INT AS k, line, line_number, bytes_through - octet_length(encode(line)) - 1 AS first_byte, bytes_through FROM t WHERE line_number <= 700 AND bytes_through <= 11000""")
+def s04c(spark, d):
+    """The same files read by byte ranges: only ranges before the cut are counted and scanned."""
+    path = scratch(spark, "lines")
+    rows = table(spark, d, "events", ["event_id", "user_id", "event_type"]).select("event_id", (F.col("user_id") % 4).alias("k"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("value"))
+    rows.repartition(4, "k").sortWithinPartitions("k", "event_id").select("k", "value").write.partitionBy("k").text(path)
+    lines = line_ranges.file_prefix(spark, path, 700, 11_000, range_bytes=4096)
+    return lines.select(F.regexp_extract("file", r"/k=(\d+)/", 1).cast("int").alias("k"), F.col("value").alias("line"), "line_number", "first_byte", "bytes_through")
+
+
 PREFIX_ROWS, PREFIX_BYTES = 4000, 200_000
 
 
@@ -80,11 +92,24 @@ def s07(spark, d):
     return files.manifest_mismatches(actual, pinned)
 
 
-@query("s08_digest_changes")
+@query("s08_digest_changes", """WITH r AS (SELECT r_regionkey AS k, string_agg(n_name || chr(10), '' ORDER BY n_name) AS was FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
+ f AS (SELECT k, was, CASE WHEN k = 1 THEN NULL WHEN k % 2 = 0 THEN replace(was, 'A', 'a') ELSE was END AS now FROM r UNION ALL SELECT 9, NULL, 'late' || chr(10))
+SELECT k::INT AS k, CASE WHEN was IS NULL THEN 'appeared' WHEN now IS NULL THEN 'vanished' ELSE 'changed' END AS problem, sha256(was) AS before, sha256(now) AS after FROM f WHERE was IS DISTINCT FROM now""")
 def s08(spark, d):
-    before = files.file_digests(spark, d, "*.parquet")
-    after = files.file_digests(spark, d, "[!p]*.parquet")  # a second scan, without parts and pages
-    return files.digest_changes(before, after, "file_name")
+    """A file a region; while the job runs some are rewritten, one goes and one comes."""
+    path = scratch(spark, "inputs")
+    nations = table(spark, d, "nation", ["n_name", "n_regionkey"])
+
+    def write(rows):
+        rows.repartition(1).sortWithinPartitions("k", "value").write.mode("append").partitionBy("k").text(path)
+    write(nations.select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("value")))
+    digest = lambda: files.file_digests(spark, path, "part-*").select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("int").alias("k"), "sha256")
+    seen = scratch(spark, "digests")
+    digest().write.parquet(seen)
+    files.remove_below(path, [f"k={k}" for k in (0, 1, 2, 4)])
+    write(nations.where("n_regionkey % 2 = 0").select(F.col("n_regionkey").alias("k"), F.replace("n_name", F.lit("A"), F.lit("a")).alias("value")))
+    write(spark.range(1).select(F.lit(9).alias("k"), F.lit("late").alias("value")))
+    return files.digest_changes(spark.read.parquet(seen), digest(), "k").select("k", "problem", "before", "after")
 
 
 @query("s09_json_line_sink", """SELECT doc_id, '{"doc_id":' || doc_id || ',"quality":' || quality || ',"reviewer":null,"toxic":' || toxic || '}' AS line FROM labels""")
@@ -113,6 +138,31 @@ def s10(spark, d):
     return out
 
 
+@query("s10_committed_lines", """SELECT i AS attempt, i = 1 AS refused, n_rows, n_rows AS recorded, 0::BIGINT AS staging FROM (SELECT count(*) AS n_rows FROM labels), range(2) t(i)""")
+def s10b(spark, d):
+    """Written twice to one path: the second job is refused when it commits, leaves nothing, and the first one's rows stay."""
+    rows, path, out = table(spark, d, "labels"), scratch(spark, "committed"), None
+    for attempt in range(2):
+        try:
+            committed.write_lines(rows if attempt == 0 else rows.limit(1), path)
+            refused = False
+        except Exception as error:
+            if "PATH_ALREADY_EXISTS" not in str(error):
+                raise
+            refused = True
+        part = spark.read.text(path).agg(F.lit(attempt).cast("bigint").alias("attempt"), F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n_rows"),
+                                         F.lit(committed.committed_rows(path)).cast("bigint").alias("recorded"), F.lit(committed.clear_staging(spark, path)).cast("bigint").alias("staging"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("s11_committed_splits", """SELECT CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split, '{"doc_id":' || doc_id || ',"split":"' || CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END || '"}' AS line FROM documents""")
+def s11b(spark, d):
+    path = scratch(spark, "splits")
+    committed.write_lines(table(spark, d, "documents", ["doc_id"]).withColumn("split", F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train")), path, "split")
+    return spark.read.text(path).select("split", F.col("value").alias("line"))
+
+
 @query("s11_split_counts", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split, count(*) AS n_rows FROM documents GROUP BY 1")
 def s11(spark, d):
     path = scratch(spark, "splits")

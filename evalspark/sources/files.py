@@ -23,9 +23,33 @@ def file_digests(spark: SparkSession, path: str, pattern: str | None = None) ->
     return listed.repartition("path").mapInPandas(hashed, "path string, file_name string, n_bytes bigint, sha256 string")
 
 
-def _file_sha(path: str, block: int = 1 << 20) -> str:
+def open_store(path: str):
+    """The file system a path names, and the place in it; usable on the driver and in tasks."""
     import pyarrow.fs as fs
-    store, place = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+    return (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+
+
+def listed_files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, or of all files below a folder in order of their names; names that begin with _ or . are left out."""
+    import pyarrow.fs as fs
+    store, place = open_store(path)
+    info = store.get_file_info(place)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    prefix = path[:-len(place)] if path.endswith(place) else "file:"
+    below = store.get_file_info(fs.FileSelector(place, recursive=True))
+    return sorted((prefix + f.path, f.size) for f in below if f.type == fs.FileType.File and not any(p[0] in "_." for p in f.path[len(place):].strip("/").split("/")))
+
+
+def remove_below(path: str, names: list[str]) -> None:
+    """Removes folders below ``path``."""
+    store, place = open_store(path)
+    for name in names:
+        store.delete_dir(f"{place.rstrip('/')}/{name}")
+
+
+def _file_sha(path: str, block: int = 1 << 20) -> str:
+    store, place = open_store(path)
     digest = hashlib.sha256()
     with store.open_input_stream(place, compression=None) as stream:
         while piece := stream.read(block):
