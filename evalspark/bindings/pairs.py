@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from evalspark.bindings.base import (
     LIMITS, LONG, MODELS, PAIRS, RESPONSES, SCENARIOS, SETS, SIDES, SIGNS, WIDE, exclusion_sets, query, responses, results_long, shown, spread, table,
 )
-from evalspark.operators import checks, lattice, pairs as P, resample, stats
+from evalspark.operators import checks, idsets, lattice, pairs as P, resample, snapshots, stats
 from evalspark.operators.ranges import attach, with_scalars
 from evalspark.plans import study
 
@@ -110,6 +110,15 @@ def j08(spark, d):
     return P.work_queue(log.select("problem_id").distinct(), "problem_id", ["english", "arabic"], log)
 
 
+@query("j08_work_queue_by_containers", f"""WITH {RESPONSES}, plan AS (SELECT DISTINCT problem_id, l.language FROM responses, (VALUES ('english'), ('arabic')) l(language))
+SELECT problem_id, language FROM plan EXCEPT SELECT problem_id, language FROM responses WHERE status = 'success'""")
+def j08b(spark, d):
+    """The same queue from containers of ids: planned minus successful, by language."""
+    log = responses(spark, d).select("problem_id", "language", "status")
+    plan = log.select("problem_id", F.explode(F.array(F.lit("english"), F.lit("arabic"))).alias("language"))
+    return idsets.ids_without(plan, log.where("status = 'success'"), "problem_id", ["language"]).withColumn("problem_id", F.col("problem_id").cast(log.schema["problem_id"].dataType))
+
+
 DECISIONS = """decisions AS (SELECT doc_id AS problem_id, 'arabic' AS language, quality AS manual_correct FROM labels WHERE quality = 0),
  auto AS (SELECT doc_id AS problem_id, 'arabic' AS language, toxic AS is_correct, (toxic = 1 OR doc_id % 4 = 0)::INT AS flagged FROM labels
   UNION ALL SELECT doc_id, 'english', quality, (doc_id % 6 = 0)::INT FROM labels)"""
@@ -183,7 +192,7 @@ SELECT *, 'only_left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
 def j14(spark, d):
     a = table(spark, d, "labels", ["doc_id", "quality"])
     b = a.withColumn("quality", F.when(F.col("doc_id") % 50 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
-    return checks.row_differences(a, b)
+    return snapshots.row_differences(a, b, ["doc_id"])
 
 
 @query("j15_anchor_check", """WITH now AS (SELECT doc_id, sha256(text || lang) AS h FROM documents WHERE source <> 'src7'),

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from evalspark.bindings.base import LONG, PAIRS, RESPONSES, SETS, exclusion_sets, query, responses, results_long, scratch, shown, spread, table
 from evalspark.bindings.pairs import m1_pairs
-from evalspark.operators import checks, pairs as P, sampling, scores as A
+from evalspark.operators import checks, idsets, pairs as P, sampling, scores as A, snapshots
 from evalspark.plans import scoring
 from evalspark.sources import committed, files, line_ranges, readers, sinks, strict_json
 
@@ -228,10 +228,31 @@ def p06(spark, d):
     return checks.outside_domain(table(spark, d, "events", ["event_type"]), "event_type", ["click", "view"])
 
 
-@query("p07_id_gaps", """WITH a AS (SELECT DISTINCT doc_id AS id FROM labels), e AS (SELECT unnest(range(5, 405)) AS id)
+@query("p07_id_gaps", """WITH a AS (SELECT DISTINCT doc_id AS id FROM labels), e AS (SELECT unnest(range((SELECT min(doc_id) + 5 FROM documents), (SELECT max(doc_id) + 5 FROM documents))) AS id)
 SELECT coalesce(a.id, e.id) AS id, CASE WHEN a.id IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM a FULL JOIN e ON a.id = e.id WHERE a.id IS NULL OR e.id IS NULL""")
 def p07(spark, d):
-    return checks.id_gaps(table(spark, d, "labels", ["doc_id"]), "doc_id", 5, 404)
+    """Labels against the range of the documents' ids, moved a little so that some labels lie outside."""
+    low, high = table(spark, d, "documents", ["doc_id"]).agg(F.min("doc_id"), F.max("doc_id")).first()
+    return checks.id_gaps(table(spark, d, "labels", ["doc_id"]), "doc_id", low + 5, high + 4)
+
+
+@query("p07_sparse_gap_ranges", """WITH a AS (SELECT DISTINCT doc_id * doc_id * 10007 + doc_id % 3 AS id FROM documents WHERE doc_id % 4 < 3), i AS (SELECT id FROM a WHERE id BETWEEN 100 AND 1000000000000),
+ g AS (SELECT id + 1 AS first_id, lead(id, 1, 1000000000001) OVER (ORDER BY id) - 1 AS last_id FROM i UNION ALL SELECT 100, (SELECT coalesce(min(id), 1000000000001) - 1 FROM i))
+SELECT first_id, last_id, last_id - first_id + 1 AS n_ids, 'missing' AS problem FROM g WHERE first_id <= last_id UNION ALL SELECT id, id, 1, 'unexpected' FROM a WHERE id NOT BETWEEN 100 AND 1000000000000""")
+def p07b(spark, d):
+    """A range of 10^12 ids of which few are there."""
+    ids = table(spark, d, "documents", ["doc_id"]).where("doc_id % 4 < 3").select((F.col("doc_id") * F.col("doc_id") * 10007 + F.col("doc_id") % 3).alias("id"))
+    return idsets.id_gap_ranges(ids, "id", 100, 10**12)
+
+
+@query("p07_dense_gap_ranges", """WITH a AS (SELECT DISTINCT event_id AS id FROM events WHERE event_id % 97 > 3 AND event_id % 1000 < 980), b AS (SELECT min(event_id) - 5 AS low, max(event_id) + 5 AS high FROM events),
+ g AS (SELECT id + 1 AS first_id, lead(id, 1, (SELECT high + 1 FROM b)) OVER (ORDER BY id) - 1 AS last_id FROM a UNION ALL SELECT low, (SELECT min(id) - 1 FROM a) FROM b)
+SELECT first_id, last_id, last_id - first_id + 1 AS n_ids, 'missing' AS problem FROM g WHERE first_id <= last_id""")
+def p07c(spark, d):
+    """Bitmaps: most ids are there."""
+    ids = table(spark, d, "events", ["event_id"])
+    low, high = ids.agg(F.min("event_id") - 5, F.max("event_id") + 5).first()
+    return idsets.id_gap_ranges(ids.where("event_id % 97 > 3 AND event_id % 1000 < 980"), "event_id", low, high)
 
 
 @query("p08_grid_gaps", """WITH k AS (SELECT DISTINCT conv_id FROM conversations), r(role) AS (VALUES ('system'), ('user'), ('assistant'))
@@ -327,7 +348,16 @@ SELECT *, 'only_left' AS side FROM (SELECT o_orderkey, o_orderstatus FROM orders
 def u06(spark, d):
     a = table(spark, d, "orders", ["o_orderkey", "o_orderstatus"])
     b = a.where("o_orderstatus <> 'P'").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 1000 == 1, "X").otherwise(F.col("o_orderstatus")))
-    return checks.row_differences(a, b)
+    return snapshots.row_differences(a, b, ["o_orderkey"])
+
+
+@query("u06_digest_tree", """WITH o AS (SELECT count(*) AS n, count_if(o_orderkey = (SELECT min(o_orderkey) FROM orders)) AS m FROM orders)
+SELECT level::INT AS level, n AS rows_left, n + m AS rows_right, 1::BIGINT AS n_unequal FROM o, range(4) t(level)""")
+def u06b(spark, d):
+    """One row repeated: one node a level differs, and so the second scan reads one leaf."""
+    a = table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
+    first = a.agg(F.min("o_orderkey")).scalar()
+    return snapshots.tree_counts(a, a.unionAll(a.where(F.col("o_orderkey") == first)), ["o_orderkey"]).drop("n_nodes")
 
 
 # ------------------------------------------------------------------ counts and order

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators import idsets
+
 
 class CheckFailed(ValueError):
     """A gate found offending rows; nothing was written."""
@@ -64,12 +66,8 @@ def outside_domain(df: DataFrame, column: str, allowed: list) -> DataFrame:
 
 
 def id_gaps(df: DataFrame, key: str, low: int, high: int) -> DataFrame:
-    """Ids missing from low..high and ids outside it (P-07)."""
-    present = df.select(F.col(key).cast("bigint").alias("id")).distinct()
-    expected = df.sparkSession.range(low, high + 1)
-    return expected.withColumn("_e", F.lit(1)).join(present.withColumn("_a", F.lit(1)), "id", "full_outer") \
-        .where(F.col("_e").isNull() | F.col("_a").isNull()) \
-        .select("id", F.when(F.col("_a").isNull(), "missing").otherwise("unexpected").alias("problem"))
+    """Ids missing from low..high and ids outside it, one row each (P-07); ``idsets.id_gap_ranges`` gives ranges."""
+    return idsets.single_ids(idsets.id_gap_ranges(df, key, low, high).drop("n_ids"))
 
 
 def grid_gaps(df: DataFrame, key: str, category: str, categories: list) -> DataFrame:
@@ -158,7 +156,10 @@ def repeated_across_batches(df: DataFrame, key: str, batch: str) -> DataFrame:
 
 
 def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows in one table only, with multiplicity (J-14, U-06)."""
+    """Rows in one table only, with multiplicity (J-14, U-06), in one pass over tables that are still to be computed.
+
+    ``snapshots.row_differences`` reads stored tables twice and exchanges only what differs.
+    """
     right = right.select(*left.columns)
     return left.exceptAll(right).withColumn("side", F.lit("only_left")) \
         .unionByName(right.exceptAll(left).withColumn("side", F.lit("only_right")))

@@ -12,6 +12,7 @@ from evalspark.functions.digests import canonical_digest, normalized_text, table
 from evalspark.functions.spans import apply_rules, fill_template, placed_problem, protected_spans, recheck_problem
 from evalspark.functions.steps import reviewed_steps_to_text, supervision_valid
 from evalspark.functions.text import is_digest, is_filled, is_iso_date
+from evalspark.operators.snapshots import differing_parts
 from evalspark.operators.checks import (
     CheckFailed, coverage_report, first_reason, leaking_groups, repeated_across_batches, require_empty,
     row_differences, staged_problem,
@@ -315,6 +316,7 @@ def corpus_problems(corpus: DataFrame, reviewer: str, expected: dict[str, int],
 
 def revision_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Changed cells between two queue versions (C-22): (key, field, old_value, new_value). Unchanged cells are not emitted."""
+    old, new = differing_parts(old.select(key, *fields), new.select(key, *fields), [key])  # unchanged records are not exchanged
     a = old.select(key, *[F.to_json(F.struct(F.col(f).alias("v"))).alias(f"_a{i}") for i, f in enumerate(fields)], F.lit(1).alias("_ina"))
     b = new.select(key, *[F.to_json(F.struct(F.col(f).alias("v"))).alias(f"_b{i}") for i, f in enumerate(fields)], F.lit(1).alias("_inb"))
     cells = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_a{i}").alias("old_value"), F.col(f"_b{i}").alias("new_value"))
