@@ -103,6 +103,14 @@ def j07(spark, d):
     return table(spark, d, "documents", ["doc_id", "source"]).join(dropped, "doc_id", "left_anti")
 
 
+@query("j02_unpaired_keys", f"""WITH l AS (SELECT user_id, event_type AS side FROM events WHERE event_type IN ('click', 'view', 'error') AND event_id % 3 = 0), k AS (SELECT user_id, count(*) FILTER (side = 'click') AS a, count(*) FILTER (side = 'view') AS b, count(*) AS n FROM l GROUP BY 1)
+SELECT CASE WHEN a > 1 OR b > 1 THEN 'repeated' WHEN a + b = 0 THEN 'neither' WHEN b = 0 THEN 'only_click' WHEN a = 0 THEN 'only_view' END AS problem, count(*) AS n_keys, sum(n)::BIGINT AS n_rows FROM k WHERE a <> 1 OR b <> 1 GROUP BY 1""")
+def j02b(spark, d):
+    """What pairing would refuse or leave out."""
+    log = table(spark, d, "events", ["event_id", "user_id", "event_type"]).where("event_type IN ('click', 'view', 'error') AND event_id % 3 = 0")
+    return P.unpaired_keys(log.withColumnRenamed("event_type", "side"), ["user_id"], "side", "click", "view")
+
+
 @query("j08_work_queue", f"""WITH {RESPONSES}, plan AS (SELECT DISTINCT problem_id, l.language FROM responses, (VALUES ('english'), ('arabic')) l(language))
 SELECT problem_id, language FROM plan EXCEPT SELECT problem_id, language FROM responses WHERE status = 'success'""")
 def j08(spark, d):

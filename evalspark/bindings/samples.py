@@ -60,16 +60,32 @@ def w11(spark, d):
     return S.sample_unused(table(spark, d, "documents", ["doc_id"]), "doc_id", 200, SEED, used)
 
 
-@query("w12_greedy_coverage")
+SIG = """'length:' || CASE WHEN n <= 4 THEN 'short' WHEN n <= 12 THEN 'medium' ELSE 'long' END || '/first_error:' ||
+ CASE WHEN first_error IS NULL THEN 'none' WHEN first_error <= 4 THEN 'early' WHEN first_error <= 12 THEN 'middle' ELSE 'late' END || '/neutral:' || CASE WHEN list_contains(ratings, 0) THEN 'True' ELSE 'False' END"""
+
+
+# The greedy choice step by step: the best head left of the current variant, until none adds a label; then the other variant.
+GREEDY = f"""WITH RECURSIVE {TRAJ}, s AS (SELECT doc_id::VARCHAR AS id, split, variant, string_split({SIG}, '/') AS labels, sha256('{SEED}:' || doc_id) AS priority FROM traj),
+ quotas(split, quota) AS (VALUES ('train', 8), ('dev', 4)), heads AS (SELECT split, variant, labels, min(priority) AS priority, arg_min(id, priority) AS id FROM s GROUP BY ALL),
+ lists AS (SELECT split, quota, list(struct_pack(p := priority, i := id, l := labels)) FILTER (variant = 'correct') AS h0, list(struct_pack(p := priority, i := id, l := labels)) FILTER (variant = 'incorrect') AS h1
+  FROM heads JOIN quotas USING (split) GROUP BY ALL),
+ steps(split, quota, h0, h1, turn, seen, picks, best) AS (SELECT split, quota, h0, h1, 0, []::VARCHAR[], [[], []]::VARCHAR[][], NULL::STRUCT(g BIGINT, p VARCHAR, i VARCHAR, l VARCHAR[]) FROM lists
+  UNION ALL SELECT split, quota, h0, h1, CASE WHEN b IS NULL THEN turn + 1 ELSE turn END, CASE WHEN b IS NULL THEN seen ELSE list_concat(seen, b.l) END,
+   CASE WHEN b IS NULL THEN picks WHEN turn = 0 THEN [list_append(picks[1], b.i), picks[2]] ELSE [picks[1], list_append(picks[2], b.i)] END, b
+  FROM (SELECT *, CASE WHEN len(picks[turn + 1]) < quota THEN list_sort(list_filter(list_transform(CASE WHEN turn = 0 THEN h0 ELSE h1 END,
+    lambda x: struct_pack(g := -len(list_filter(list_distinct(x.l), lambda y: NOT list_contains(seen, y))), p := x.p, i := x.i, l := x.l)), lambda x: x.g < 0))[1] END AS b FROM steps WHERE turn < 2)),
+ done AS (SELECT split, quota, picks FROM steps WHERE turn = 2),
+ firsts AS (SELECT split, id, quota * t + n AS pick_order FROM (SELECT split, quota, t, unnest(picks[t + 1]) AS id, unnest(range(1, len(picks[t + 1]) + 1)) AS n FROM done, (VALUES (0), (1)) v(t))),
+ rests AS (SELECT split, id, variant, quota, len(picks[CASE variant WHEN 'correct' THEN 1 ELSE 2 END]) AS k, row_number() OVER (PARTITION BY split, variant ORDER BY priority) AS rk FROM s JOIN done USING (split) WHERE (split, id) NOT IN (SELECT (split, id) FROM firsts))"""
+
+
+@query("w12_greedy_coverage", f"""{GREEDY} SELECT f.split, f.id, variant, f.pick_order::INT AS pick_order FROM firsts f JOIN s ON s.id = f.id
+UNION ALL SELECT split, id, variant, (rk + k + CASE variant WHEN 'correct' THEN 0 ELSE quota END)::INT FROM rests WHERE rk <= quota - k""")
 def w12(spark, d):
     rows = trajectories(spark, d).withColumn("id", F.col("doc_id").cast("string"))
     return S.greedy_coverage(rows, {"train": 16, "dev": 8}, SEED)
 
 
-SIG = """'length:' || CASE WHEN n <= 4 THEN 'short' WHEN n <= 12 THEN 'medium' ELSE 'long' END || '/first_error:' ||
- CASE WHEN first_error IS NULL THEN 'none' WHEN first_error <= 4 THEN 'early' WHEN first_error <= 12 THEN 'middle' ELSE 'late' END || '/neutral:' || CASE WHEN list_contains(ratings, 0) THEN 'True' ELSE 'False' END"""
-
-
 @query("w12_coverage_candidates", f"""WITH {TRAJ}, s AS (SELECT doc_id, split, variant, {SIG} AS signature FROM traj),
  r AS (SELECT *, row_number() OVER (PARTITION BY split, variant, signature ORDER BY sha256('{SEED}:' || doc_id)) AS rk FROM s) SELECT doc_id, split, variant, signature FROM r WHERE rk <= CASE split WHEN 'train' THEN 8 ELSE 4 END""")
 def w12b(spark, d):

@@ -118,21 +118,36 @@ def _pick_first(df: DataFrame, picks, none_name: str, clean, out: str) -> DataFr
         .drop("_t", *names)
 
 
-def located_matches(text: Column, pieces: Column, pattern: str, label: str, rank: int) -> Column:
-    """Matches of ``pattern`` with their character position: array of (pos, rank, value, label).
+def _scan_pattern() -> str:
+    """Zero-width match wherever a family begins, with one optional group for each family's number.
 
-    Java's ``extract_all`` gives no offsets; they follow from the lengths of the pieces between matches
-    (``pieces`` = the text split by the pattern). Without a match the pattern is not run again.
+    The first letters rule out most places; then any family must match; then each one gets its chance to capture. No family can begin inside its own
+    match, so looking at every place finds what separate scans find.
     """
-    lengths = F.zip_with(F.transform(pieces, lambda x: F.length(x)), F.transform(_all(text, pattern, 0), lambda x: F.length(x)),
-                         lambda p, m: F.struct(p.alias("p"), F.coalesce(m, F.lit(0)).alias("m")))
-    def before(i):
-        return F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda acc, x: acc + x["p"] + x["m"]) \
-            + F.element_at(lengths, i + 1)["p"]
-    found = F.transform(_all(text, pattern, 1), lambda v, i: F.struct(
-        before(i).alias("pos"), F.lit(rank).alias("k"), normalize_decimal(v, drop_percent=True).alias("value"), F.lit(label).alias("label")))
-    return F.when(F.size(pieces) > 1, found).otherwise(
-        F.array().cast("array<struct<pos:int,k:int,value:string,label:string>>"))
+    families = [f"(?iu:{p.removeprefix('(?iu)')})" if p.startswith("(?iu)") else p for _, p in REPARSE_PATTERNS]
+    bare = [p.replace(f"({GROUPED_NUMBER})", f"(?:{GROUPED_NUMBER})") for p in families]
+    return r"(?=[\\FfTtاإ])(?=" + "|".join(bare) + ")" + "".join(f"(?=(?:{p})?)" for p in families)
+
+
+# Marks of the rewritten text: a place, the families' numbers there, the text that goes on.
+PLACE, NEXT, TEXT = "\x01", "\x02", "\x03"
+
+
+def marked_candidates(text: Column) -> tuple[Column, Column]:
+    """(pieces, reader): the text cut before every place where a family begins, in one pass; ``reader`` turns the pieces into candidates (value, label).
+
+    Candidates come in order of place, then of family; equal values of one place count once. Linear in the matches: their order is that of the pieces.
+    """
+    clean = F.translate(text, PLACE + NEXT + TEXT, "\x04\x04\x04")  # no family's match holds such a character
+    numbers = NEXT.join(f"${k}" for k in range(1, len(REPARSE_PATTERNS) + 1))
+    pieces = F.split(F.regexp_replace(clean, F.lit(_scan_pattern()), F.lit(PLACE + numbers + TEXT)), PLACE, -1)
+    labels = F.array(*[F.lit(label) for label, _ in REPARSE_PATTERNS])
+
+    def of_place(piece: Column) -> Column:
+        found = F.filter(F.transform(F.split(F.substring_index(piece, TEXT, 1), NEXT, -1), lambda v, k: F.when(
+            v != "", F.struct(normalize_decimal(v, drop_percent=True).alias("value"), F.get(labels, k).alias("label")))), lambda c: c.isNotNull())
+        return F.when(F.size(found) < 2, found).otherwise(F.filter(found, lambda c, i: ~F.exists(F.slice(found, 1, i), lambda d: d["value"] == c["value"])))
+    return pieces, lambda cut: F.flatten(F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), of_place))
 
 
 def extract_reparsed(df: DataFrame, response: str, out: str = "extracted") -> DataFrame:
@@ -140,15 +155,9 @@ def extract_reparsed(df: DataFrame, response: str, out: str = "extracted") -> Da
 
     Candidates equal in position and value count once; the first wins; different values are flagged.
     """
-    cuts = [f"_s{i}" for i in range(len(REPARSE_PATTERNS))]
-    names = [f"_c{i}" for i in range(len(REPARSE_PATTERNS))]
     df = _prepared(df, response, False)
-    df = df.withColumns({cut: F.split("_t", pattern, -1) for cut, (_, pattern) in zip(cuts, REPARSE_PATTERNS)})
-    df = df.withColumns({name: located_matches(F.col("_t"), F.col(cut), pattern, label, k)
-                         for k, (name, cut, (label, pattern)) in enumerate(zip(names, cuts, REPARSE_PATTERNS))})
-    df = df.withColumn("_r", F.array_sort(F.flatten(F.array(*names)))).withColumn(
-        "_u", F.filter("_r", lambda x, i: ~F.exists(
-            F.slice("_r", 1, i), lambda y: (y["pos"] == x["pos"]) & (y["value"] == x["value"]))))
+    pieces, reader = marked_candidates(F.col("_t"))
+    df = df.withColumn("_s", pieces).withColumn("_u", F.when(F.size("_s") > 1, reader(F.col("_s"))).otherwise(F.array().cast("array<struct<value:string,label:string>>")))
     explicit = F.size("_u") > 0
     df = df.withColumn("_v", F.transform("_u", lambda x: x["value"])).withColumn(
         "_n", F.when(~explicit, normalize_decimal(_last(F.col("_t"), f"({GROUPED_NUMBER})"), drop_percent=True)))
@@ -162,7 +171,7 @@ def extract_reparsed(df: DataFrame, response: str, out: str = "extracted") -> Da
         .when(number, "fallback_extraction").otherwise("no_numeric_answer").alias("reason"),
         F.when(explicit, F.array_join("_v", "|")).otherwise("").alias("all_answers"),
     )
-    return df.withColumn(out, verdict).drop("_t", "_r", "_u", "_v", "_n", *names, *cuts)
+    return df.withColumn(out, verdict).drop("_t", "_s", "_u", "_v", "_n")
 
 
 def flag_truncated(needs_review: Column, reason: Column, finish: Column) -> tuple[Column, Column]:

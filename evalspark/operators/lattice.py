@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.operators.ranges import attach
-from evalspark.session import shuffle_width
+from evalspark.session import cut_lineage, shuffle_width
 
 REACH = 8.6                 # half a window in Hoeffding deviations: 1.7e-16 outside
 FAINT = 60.0
@@ -104,7 +104,7 @@ def bootstrap_interval(df: DataFrame, value: str, step: float = 1.0, by: list[st
     Limits are the smallest means with a probability of at least (1 -+ confidence) / 2 up to them. Null values are left out; a group without values is not
     returned; one with more than ``max_cells`` distinct values has null limits (``resample.paired_bootstrap`` draws for it).
     """
-    return interval_of_counts(value_counts(df, value, step, by), step, by, confidence, max_cells)
+    return interval_of_counts(cut_lineage(value_counts(df, value, step, by)), step, by, confidence, max_cells)
 
 
 def value_counts(df: DataFrame, value: str, step: float = 1.0, by: list[str] | None = None) -> DataFrame:
@@ -257,7 +257,7 @@ def _arrays(held) -> tuple[np.ndarray, np.ndarray]:
 
 def sign_flip_exact(df: DataFrame, value: str, step: float = 1.0, by: list[str] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
     """(by, n, observed_sum, observed, sign_flip_p, log10_p): the randomisation p that all sign assignments give (T-04)."""
-    return signs_of_counts(value_counts(df, value, step, by), step, by, max_cells)
+    return signs_of_counts(cut_lineage(value_counts(df, value, step, by)), step, by, max_cells)
 
 
 def signs_of_counts(counted: DataFrame, step: float = 1.0, by: list[str] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -272,7 +272,7 @@ def signs_of_counts(counted: DataFrame, step: float = 1.0, by: list[str] | None
 
 def gap_difference_exact(wide: DataFrame, value: str = "gap_difference", step: float = 1.0, by: list[str] | None = None, confidence: float = 0.95) -> DataFrame:
     """Interval and randomisation p of the cross-model gap difference, both exact (T-05, A-24, C-16)."""
-    return gap_difference_of_counts(value_counts(wide, value, step, by), step, by, confidence)
+    return gap_difference_of_counts(cut_lineage(value_counts(wide, value, step, by)), step, by, confidence)
 
 
 def gap_difference_of_counts(counted: DataFrame, step: float = 1.0, by: list[str] | None = None, confidence: float = 0.95) -> DataFrame:

@@ -26,11 +26,11 @@ def paired_outcomes(df: DataFrame, key: list[str], side: str, correct: str, a: s
                     on_missing: str = "drop") -> DataFrame:
     """Long results to one row per key: a_correct, b_correct, b_minus_a (J-02). One shuffle, no self-join.
 
-    ``on_missing``: ``drop`` keys without both sides, or ``error``.
+    A key with two rows of one side stops the job: which of them holds is for the caller to resolve (``latest_per_key``). ``on_missing``: ``drop`` keys
+    without both sides (``unpaired_keys`` counts them), or ``error``.
     """
     wide = df.where(F.col(side).isin(a, b)).groupBy(*key).agg(
-        F.max(F.when(F.col(side) == a, F.col(correct))).cast("int").alias("a_correct"),
-        F.max(F.when(F.col(side) == b, F.col(correct))).cast("int").alias("b_correct"))
+        _only(F.col(side) == a, correct, key, a).alias("a_correct"), _only(F.col(side) == b, correct, key, b).alias("b_correct"))
     complete = F.col("a_correct").isNotNull() & F.col("b_correct").isNotNull()
     if on_missing == "error":
         require_empty(wide.where(~complete), "keys without both sides")
@@ -39,16 +39,28 @@ def paired_outcomes(df: DataFrame, key: list[str], side: str, correct: str, a: s
     return wide.where(complete).withColumn("b_minus_a", F.col("b_correct") - F.col("a_correct"))
 
 
+def _only(condition: Column, value: str, key: list[str], name: str) -> Column:
+    """The value of the one row under a condition; an aggregate that refuses two rows."""
+    twice = F.raise_error(F.concat(F.lit(f"repeated rows of {name} for key "), F.to_json(F.struct(*key)))).cast("int")
+    return F.when(F.count_if(condition) > 1, twice).otherwise(F.max(F.when(condition, F.col(value))).cast("int"))
+
+
+def unpaired_keys(df: DataFrame, key: list[str], side: str, a: str, b: str) -> DataFrame:
+    """(problem, n_keys, n_rows): what pairing refuses or leaves out: keys with repeated rows of a side, with one side only, with neither (J-02, J-03)."""
+    n_a, n_b = F.count_if(F.col(side) == a), F.count_if(F.col(side) == b)
+    per = df.groupBy(*key).agg(n_a.alias("_a"), n_b.alias("_b"), F.count(F.lit(1)).alias("_n"))
+    problem = F.when((F.col("_a") > 1) | (F.col("_b") > 1), "repeated").when(F.col("_a") + F.col("_b") == 0, "neither").when(F.col("_b") == 0, f"only_{a}").when(F.col("_a") == 0, f"only_{b}")
+    return per.withColumn("problem", problem).where("problem IS NOT NULL").groupBy("problem").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("_n").alias("n_rows"))
+
+
 def cross_model_outcomes(df: DataFrame, key: str, model: str, side: str, correct: str,
                          models: tuple[str, str], sides: tuple[str, str]) -> DataFrame:
     """Two models and two sides on one row per problem, in one pass (J-03).
 
-    Columns m1_a, m1_b, m2_a, m2_b, gap_1, gap_2, gap_difference; incomplete problems are dropped.
+    Columns m1_a, m1_b, m2_a, m2_b, gap_1, gap_2, gap_difference; incomplete problems are dropped, a cell with two rows stops the job.
     """
     cells = {f"m{i}_{s}": (m, side_name) for i, m in enumerate(models, 1) for s, side_name in zip("ab", sides)}
-    wide = df.groupBy(key).agg(*[
-        F.max(F.when((F.col(model) == m) & (F.col(side) == s), F.col(correct))).cast("int").alias(name)
-        for name, (m, s) in cells.items()])
+    wide = df.groupBy(key).agg(*[_only((F.col(model) == m) & (F.col(side) == s), correct, [key], f"{m}/{s}").alias(name) for name, (m, s) in cells.items()])
     return wide.dropna(subset=list(cells)).withColumn("gap_1", F.col("m1_b") - F.col("m1_a")) \
         .withColumn("gap_2", F.col("m2_b") - F.col("m2_a")) \
         .withColumn("gap_difference", F.col("gap_2") - F.col("gap_1"))
@@ -146,19 +158,32 @@ def compose_exclusions(sets: DataFrame, scenarios: dict[str, list[str]]) -> Data
     return sets.select("id", F.explode(hit).alias("scenario")).distinct()
 
 
+def scenario_outcomes(long: DataFrame, key: str, model: str, side: str, correct: str, sides: tuple[str, str],
+                      scenarios: list[str], exclusions: DataFrame) -> DataFrame:
+    """(scenario, model, a_correct, b_correct, c) from one pairing shuffle and one count per exclusion mask: all that a scenario's row is made of."""
+    pairs = paired_outcomes(long, [key, model], side, correct, *sides)
+    counted = scenario_masks(pairs, key, scenarios, exclusions).groupBy("excluded_by", model, "a_correct", "b_correct").agg(F.count(F.lit(1)).alias("c"))
+    return scenario_totals(counted, scenarios, [model, "a_correct", "b_correct"])
+
+
+def summary_of_outcomes(outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """``paired_summary`` of counted outcomes (by, a_correct, b_correct, c)."""
+    a, b, c = F.col("a_correct"), F.col("b_correct"), F.col("c")
+
+    def total(condition: Column) -> Column:
+        return F.sum(F.when(condition, c).otherwise(0))
+    t = outcomes.groupBy(*by).agg(
+        F.sum(c).alias("n"), total((a == 1) & (b == 1)).alias("both_correct"), total((a == 0) & (b == 0)).alias("both_wrong"), total((a == 0) & (b == 1)).alias("b_only"),
+        total((a == 1) & (b == 0)).alias("a_only"), total(a != b).alias("discordant"), F.sum(a * c).alias("_a"), F.sum(b * c).alias("_b"))
+    gap = (F.col("_b") - F.col("_a")) / F.col("n")
+    return t.select(*by, "n", "both_correct", "both_wrong", "b_only", "a_only", "discordant", (F.col("_a") / F.col("n")).alias("accuracy_a"), (F.col("_b") / F.col("n")).alias("accuracy_b"),
+                    gap.alias("gap"), (gap * 100).alias("gap_pp"), mcnemar_p(F.col("b_only"), F.col("a_only")).alias("mcnemar_p"))
+
+
 def scenario_matrix(long: DataFrame, key: str, model: str, side: str, correct: str, sides: tuple[str, str],
                     scenarios: list[str], exclusions: DataFrame) -> DataFrame:
-    """Paired summary for every (scenario, model) from one pairing shuffle and one count per exclusion mask (A-24)."""
-    pairs = paired_outcomes(long, [key, model], side, correct, *sides)
-    a, b = F.col("a_correct"), F.col("b_correct")
-    counted = scenario_masks(pairs, key, scenarios, exclusions).groupBy("excluded_by", model).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if((a == 1) & (b == 1)).alias("both_correct"), F.count_if((a == 0) & (b == 0)).alias("both_wrong"),
-        F.count_if((a == 0) & (b == 1)).alias("b_only"), F.count_if((a == 1) & (b == 0)).alias("a_only"), F.count_if(a != b).alias("discordant"),
-        F.sum(a).alias("sum_a"), F.sum(b).alias("sum_b"))
-    t = scenario_totals(counted, scenarios, [model])
-    gap = (F.col("sum_b") - F.col("sum_a")) / F.col("n")
-    return t.select("scenario", model, "n", "both_correct", "both_wrong", "b_only", "a_only", "discordant", (F.col("sum_a") / F.col("n")).alias("accuracy_a"),
-                    (F.col("sum_b") / F.col("n")).alias("accuracy_b"), gap.alias("gap"), (gap * 100).alias("gap_pp"), mcnemar_p(F.col("b_only"), F.col("a_only")).alias("mcnemar_p"))
+    """Paired summary for every (scenario, model) (A-24)."""
+    return summary_of_outcomes(scenario_outcomes(long, key, model, side, correct, sides, scenarios, exclusions), ["scenario", model])
 
 
 def overlay(df: DataFrame, decisions: DataFrame, keys: list[str], automatic: str, decided: str,

@@ -8,6 +8,7 @@ from evalspark.functions.digests import seeded
 from evalspark.functions.steps import coverage_labels
 from evalspark.operators.checks import CheckFailed, require_empty
 from evalspark.operators.ranges import digest_ranks, with_scalars
+from evalspark.session import cut_lineage
 
 
 def hash_threshold(fraction: float) -> str:
@@ -131,7 +132,8 @@ def greedy_coverage(df: DataFrame, counts: dict[str, int], seed: int, excluded:
 
     Returns (split, id, variant, pick_order). What a row adds depends on its signature alone, and once a signature is picked it adds nothing
     more. So the picks that add labels come from the first row of each signature (at most SIGNATURE_COUNT of a split and variant, which
-    come to the driver), and the rest of a quota is plain digest order, taken by TakeOrdered.
+    come to the driver), and the rest of a quota is plain digest order, ranked in parts of the digest, so that a quota of any size is never one
+    task. The narrow rows are computed once and kept.
     """
     for name, count in counts.items():
         if count < 2 or count % 2:
@@ -142,11 +144,11 @@ def greedy_coverage(df: DataFrame, counts: dict[str, int], seed: int, excluded:
     if excluded is not None:
         rows = rows.join(excluded.select("id").distinct(), "id", "left_anti")
     labels = coverage_labels(F.size("steps"), F.col("first_error_step"), F.col("source_step_ratings"))
-    signed = rows.select(split, "id", "variant", labels.alias("labels"), seeded(seed, F.col("id")).alias("priority"))
+    signed = cut_lineage(rows.select(split, "id", "variant", labels.alias("labels"), seeded(seed, F.col("id")).alias("priority")))
     heads: dict[tuple[str, str], list] = {}
     for r in signed.groupBy(split, "variant", "labels").agg(F.min(F.struct("priority", "id")).alias("head"), F.count(F.lit(1)).alias("n")).collect():
         heads.setdefault((r[split], r["variant"]), []).append(r)
-    out = None
+    chosen, wanted, base = [], F.lit(0), F.lit(0)
     for name, count in counts.items():
         seen: set[str] = set()
         for turn, variant in enumerate(("correct", "incorrect")):
@@ -161,15 +163,17 @@ def greedy_coverage(df: DataFrame, counts: dict[str, int], seed: int, excluded:
                 seen |= set(best["labels"])
                 left.remove(best)
                 picked.append(best["head"]["id"])
-            mine = signed.where((F.col(split) == name) & (F.col("variant") == variant))
-            place = F.array_position(F.array(*[F.lit(i) for i in picked]), F.col("id")) if picked else F.lit(0)
-            first = mine.where(F.col("id").isin(picked)).withColumn("_turn", place.cast("int"))
-            rest = mine.where(~F.col("id").isin(picked)).orderBy("priority").limit(quota - len(picked)).withColumn("_turn", F.lit(len(picked) + 1))
-            part = first.unionAll(rest).withColumn("_part", F.lit(turn))
-            out = part if out is None else out.unionAll(part)
-    # only the chosen rows, as many as the quotas ask for
-    order = Window.partitionBy(split).orderBy("_part", "_turn", "priority")
-    return out.select(split, "id", "variant", F.row_number().over(order).alias("pick_order"))
+            chosen += [(i, turn * quota + at) for at, i in enumerate(picked, 1)]
+            mine = (F.col(split) == name) & (F.col("variant") == variant)
+            wanted = F.when(mine, quota - len(picked)).otherwise(wanted)
+            base = F.when(mine, turn * quota + len(picked)).otherwise(base)
+    place = F.lit(None).cast("int")
+    if chosen:
+        place = F.try_element_at(F.create_map(*[F.lit(x) for pair in chosen for x in pair]), F.col("id"))
+    placed = signed.select(split, "id", "variant", "priority", place.alias("_place"))
+    first = placed.where("_place IS NOT NULL").select(split, "id", "variant", F.col("_place").alias("pick_order"))
+    rest = digest_ranks(placed.where("_place IS NULL"), "priority", [split, "variant"]).where(F.col("digest_rank") <= wanted)
+    return first.unionAll(rest.select(split, "id", "variant", (F.col("digest_rank") + base).cast("int").alias("pick_order")))
 
 
 def display_order(df: DataFrame, problem: str, side: str, first: str) -> DataFrame:

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from evalspark.functions.steps import logit_to_probability, score_summary
 from evalspark.operators import scores, stats
 from evalspark.operators.lattice import gap_difference_exact, gap_difference_of_counts, interval_of_counts
-from evalspark.operators.pairs import attach_to_one, cross_contingency, cross_model_outcomes, joined_ids, paired_outcomes, scenario_matrix, scenario_value_counts
+from evalspark.operators.pairs import attach_to_one, cross_contingency, cross_model_outcomes, joined_ids, scenario_outcomes, scenario_value_counts, summary_of_outcomes
 from evalspark.operators.ranges import with_scalars
 from evalspark.operators.resample import gap_difference_study
+from evalspark.session import cut_lineage
 
 
 def cross_model_study(long: DataFrame, key: str, model: str, side: str, correct: str, models: tuple[str, str],
@@ -23,11 +24,13 @@ def cross_model_study(long: DataFrame, key: str, model: str, side: str, correct:
 def robustness_matrix(long: DataFrame, key: str, model: str, side: str, correct: str, models: tuple[str, str],
                       sides: tuple[str, str], scenarios: list[str], exclusions: DataFrame) -> DataFrame:
     """Scenario × model rows with exact interval, plus the cross-model gap difference with its interval and randomisation p on one model's rows (C-16, A-24, A-27)."""
-    matrix = scenario_matrix(long, key, model, side, correct, sides, scenarios, exclusions)
-    pairs = paired_outcomes(long, [key, model], side, correct, *sides)
-    interval = interval_of_counts(scenario_value_counts(pairs, key, "b_minus_a", scenarios, exclusions, [model]), by=["scenario", model]).select("scenario", model, "ci_low", "ci_high")
+    # A few counts a scenario and model: kept, for they are read several times.
+    outcomes = cut_lineage(scenario_outcomes(long, key, model, side, correct, sides, scenarios, exclusions))
+    matrix = summary_of_outcomes(outcomes, ["scenario", model])
+    gaps = outcomes.groupBy("scenario", model, (F.col("b_correct") - F.col("a_correct")).cast("bigint").alias("a")).agg(F.sum("c").alias("c"))
+    interval = interval_of_counts(gaps, by=["scenario", model]).select("scenario", model, "ci_low", "ci_high")
     wide = cross_model_outcomes(long, key, model, side, correct, models, sides)
-    cross = gap_difference_of_counts(scenario_value_counts(wide, key, "gap_difference", scenarios, exclusions), by=["scenario"])
+    cross = gap_difference_of_counts(cut_lineage(scenario_value_counts(wide, key, "gap_difference", scenarios, exclusions)), by=["scenario"])
     named = cross.select("scenario", F.lit(models[1]).alias(model), F.col("n").alias("cross_n"), F.col("observed").alias("cross_gap_difference"), F.col("ci_low").alias("cross_ci_low"),
                          F.col("ci_high").alias("cross_ci_high"), F.col("sign_flip_p").alias("cross_randomisation_p"))
     return matrix.join(interval, ["scenario", model], "left").join(named, ["scenario", model], "left")

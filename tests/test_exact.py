@@ -144,3 +144,15 @@ def test_scenarios_from_masks_equal_repeated_rows(spark):
     assert plan.index("explode") < plan.rindex("Aggregate")  # rows are counted below the generator
     with pytest.raises(ValueError):
         pairs.scenario_masks(rows, "id", [str(i) for i in range(64)], drops)
+
+
+def test_pairing_refuses_repeated_rows(spark):
+    rows = [(1, "a", "m", 1), (1, "b", "m", 0), (2, "a", "m", 1), (3, "c", "m", 1), (4, "a", "m", 1), (4, "b", "m", 0), (4, "b", "m", 1), (5, "b", "m", 1)]
+    df = spark.createDataFrame(rows, "p INT, s STRING, m STRING, c INT")
+    assert {r["problem"]: (r["n_keys"], r["n_rows"]) for r in pairs.unpaired_keys(df, ["p"], "s", "a", "b").collect()} == {
+        "repeated": (1, 3), "only_a": (1, 1), "only_b": (1, 1), "neither": (1, 1)}
+    assert pairs.paired_outcomes(df.where("p <> 4"), ["p"], "s", "c", "a", "b").count() == 1
+    with pytest.raises(Exception, match="repeated rows of b"):
+        pairs.paired_outcomes(df, ["p"], "s", "c", "a", "b").collect()
+    with pytest.raises(Exception, match="repeated rows of m/b"):
+        pairs.cross_model_outcomes(df, "p", "m", "s", "c", ("m", "n"), ("a", "b")).collect()

@@ -18,13 +18,11 @@ def duck():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
     problem = compare(QUERIES[name](spark, FOLDER), duck, ORACLES[name])
-    assert problem in (None, "EMPTY RESULT"), problem
+    assert problem is None, problem
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    if name.startswith("w06_anchored"):
-        pytest.skip("needs more groups")
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
