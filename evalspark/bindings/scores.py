@@ -124,7 +124,22 @@ def t06(spark, d):
     return shown(T.paired_t_statistics(users(spark, d), "a", "b", ["category"]).select("category", "n_pairs", "mean_a", "mean_b", "mean_difference", "paired_t", "df"))
 
 
-@query("t06_paired_t_p_values")
+def simpson(f: str, low: str, high: str, m: int = 400) -> str:
+    """SQL of the integral of f, an expression in x, between two expressions."""
+    return f"""(({high}) - ({low})) / {3 * m} * list_sum(list_transform(list_transform(range({m + 1}), lambda i: struct_pack(x := ({low}) + (({high}) - ({low})) * i / {m},
+ w := CASE WHEN i = 0 OR i = {m} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)), lambda s: s.w * ({f.replace("{x}", "s.x")})))"""
+
+
+def t_inside(angle: str, df: str) -> str:
+    """P(|T| <= sqrt(df) tan(angle)) of Student's distribution; in the angle the density is a power of the cosine."""
+    return f"""2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {simpson(f"pow(cos({{x}}), ({df}) - 1)", "0", angle)}"""
+
+
+@query("t06_paired_t_p_values", f"""WITH RECURSIVE {PT}, q AS (SELECT category, n - 1 AS df, md, sd / sqrt(n) AS se, md / (sd / sqrt(n)) AS t FROM m),
+ cut(category, df, low, high, k) AS (SELECT category, df, 0.0::DOUBLE, pi() / 2, 0 FROM q UNION ALL SELECT category, df, CASE WHEN inside < 0.95 THEN mid ELSE low END, CASE WHEN inside < 0.95 THEN high ELSE mid END, k + 1
+  FROM (SELECT *, {t_inside("mid", "df")} AS inside FROM (SELECT *, (low + high) / 2 AS mid FROM cut WHERE k < 50)))
+SELECT q.category, round(t,6) AS paired_t, round(1 - {t_inside("atan(abs(t) / sqrt(q.df))", "q.df")}, 6) + 0.0 AS paired_t_p, round(md - se * sqrt(q.df) * tan(high), 6) AS ci_low, round(md + se * sqrt(q.df) * tan(high), 6) AS ci_high
+FROM q JOIN cut ON cut.category = q.category AND k = 50""")
 def t06p(spark, d):
     return shown(T.paired_t_test(users(spark, d), "a", "b", ["category"]).select("category", "paired_t", "paired_t_p", "ci_low", "ci_high"))
 
@@ -135,9 +150,11 @@ def t07(spark, d):
     return shown(T.welch_statistics(scores(spark, d), "score", F.col("label") == 1).select("n1", "n2", "mean_difference", "welch_t", F.round("df", 4).alias("df")))
 
 
-@query("t07_welch_p_value")
+@query("t07_welch_p_value", f"""WITH {SCORES}, m AS (SELECT count(*) FILTER (label=1) AS n1, count(*) FILTER (label=0) AS n2, avg(score) FILTER (label=1) AS m1, avg(score) FILTER (label=0) AS m2, var_samp(score) FILTER (label=1) AS v1, var_samp(score) FILTER (label=0) AS v2 FROM scores),
+ w AS (SELECT (m1-m2)/sqrt(v1/n1+v2/n2) AS t, (v1/n1+v2/n2)**2/((v1/n1)**2/(n1-1)+(v2/n2)**2/(n2-1)) AS df FROM m)
+SELECT round(t,6) AS welch_t, round(df,4) AS df, round(1 - {t_inside("atan(abs(t) / sqrt(df))", "df")}, 6) + 0.0 AS welch_p FROM w""")
 def t07p(spark, d):
-    return shown(T.welch_test(scores(spark, d), "score", F.col("label") == 1).select("welch_t", "df", "welch_p"))
+    return shown(T.welch_test(scores(spark, d), "score", F.col("label") == 1).select("welch_t", F.round("df", 4).alias("df"), "welch_p"))
 
 
 @query("t08_effect_sizes", f"""WITH {PT}, e AS (SELECT category, md/sd AS dz FROM m) SELECT category, round(dz,6) AS cohens_dz, CASE WHEN abs(dz)<0.2 THEN 'negligible' WHEN abs(dz)<0.5 THEN 'small' WHEN abs(dz)<0.8 THEN 'medium' ELSE 'large' END AS effect FROM e""")
@@ -181,7 +198,11 @@ def t10(spark, d):
     return shown(T.rank_sum_statistics(scores(spark, d), "score", F.col("label") == 1).select("n1", "n2", "mann_whitney_u"))
 
 
-@query("t10_rank_sum_p_value")
+@query("t10_rank_sum_p_value", f"""WITH {SCORES}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM scores),
+ tie AS (SELECT sum(c*c*c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM scores GROUP BY score)),
+ u AS (SELECT sum(label)::DOUBLE AS n1, sum(1-label)::DOUBLE AS n2, sum(rk) FILTER (label=1) - sum(label)*(sum(label)+1)/2 AS u FROM r),
+ z AS (SELECT u, (greatest(u, n1*n2 - u) - n1*n2/2 - 0.5) / sqrt(n1*n2/12 * (n1 + n2 + 1 - t / ((n1+n2) * (n1+n2-1)))) AS z FROM u, tie)
+SELECT round(u,6) AS mann_whitney_u, round(z,6) AS u_z, round(least(1.0, 1 - 2 * {simpson("exp(-{x} * {x} / 2) / sqrt(2 * pi())", "0", "greatest(z, 0)")}), 6) + 0.0 AS mann_whitney_p FROM z""")
 def t10p(spark, d):
     return shown(T.rank_sum_test(scores(spark, d), "score", F.col("label") == 1).select("mann_whitney_u", "u_z", "mann_whitney_p"))
 
@@ -192,7 +213,9 @@ def t11(spark, d):
     return shown(T.anova_statistics(scores(spark, d), "score", "category"))
 
 
-@query("t11_anova_p_value")
+@query("t11_anova_p_value", f"""WITH {SCORES}, g AS (SELECT category, count(*) AS n, avg(score) AS m, var_samp(score) AS v FROM scores GROUP BY 1), t AS (SELECT avg(score) AS gm, count(*) AS nn FROM scores),
+ f AS (SELECT (count(*) - 1)::DOUBLE AS a, (max(nn) - count(*))::DOUBLE AS b, (sum(n*(m-gm)**2)/(count(*)-1))/(sum((n-1)*v)/(max(nn)-count(*))) AS f FROM g, t)
+SELECT round(f,6) AS anova_f, round(2 * exp(lgamma((a+b)/2) - lgamma(a/2) - lgamma(b/2)) * {simpson("pow(cos({x}), b - 1) * pow(sin({x}), a - 1)", "asin(sqrt(a*f / (b + a*f)))", "pi() / 2", 20000)}, 6) + 0.0 AS anova_p FROM f""")
 def t11p(spark, d):
     return shown(T.anova_test(scores(spark, d), "score", "category").select("anova_f", "anova_p"))
 
@@ -204,7 +227,11 @@ def t12(spark, d):
     return shown(T.kruskal_statistics(scores(spark, d), "score", "category", list(CATS)))
 
 
-@query("t12_kruskal_p_value")
+# For an even number of degrees of freedom the upper tail is a finite sum; the table's categories give four.
+@query("t12_kruskal_p_value", f"""WITH {SCORES}, r AS (SELECT category, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM scores),
+ tie AS (SELECT sum(c*c*c - c)::DOUBLE AS t FROM (SELECT count(*)::DOUBLE AS c FROM scores GROUP BY score)), g AS (SELECT count(*) AS n, sum(rk) AS rs FROM r GROUP BY category), n AS (SELECT count(*)::DOUBLE AS n FROM r),
+ h AS (SELECT (SELECT count(*) - 1 FROM g) AS df, (12/(n*(n+1)) * (SELECT sum(rs*rs/g.n) FROM g) - 3*(n+1)) / (1 - t/(n*n*n-n)) AS h FROM n, tie)
+SELECT round(h,6) AS kruskal_h, round(exp(-h/2) * list_sum(list_transform(range(df // 2), lambda j: pow(h/2, j) / gamma(j + 1))), 6) + 0.0 AS kruskal_p FROM h""")
 def t12p(spark, d):
     return shown(T.kruskal_test(scores(spark, d), "score", "category", list(CATS)).select("kruskal_h", "kruskal_p"))
 

@@ -16,26 +16,28 @@ from pyspark.sql import functions as F
 from evalspark.session import cut_lineage, shuffle_width
 
 
-def range_bounds(df: DataFrame, order: str, ranges: int | None = None) -> list[float]:
-    """Cut points of an ordering column from approximate quantiles (bounded by the number of ranges)."""
+def range_bounds(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+    """One row ``bounds``: cut points of an ordering column, from a quantile sketch that tasks merge inside the plan. No job runs before the query does.
+
+    The cuts decide only how evenly the ranges fill, never a result.
+    """
     ranges = ranges or shuffle_width(df.sparkSession)
-    if ranges < 2:
-        return []
-    probs = [i / ranges for i in range(1, ranges)]
-    numeric = df.select(F.col(order).cast("double").alias("v"))
-    return sorted(set(numeric.approxQuantile("v", probs, min(0.01, 0.5 / ranges))))
+    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array().cast("array<double>")
+    value = F.col(order).cast("double")
+    sketch = df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).agg(F.kll_sketch_agg_double("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    return sketch.select(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", probs)).alias("bounds"))
 
 
-def range_of(order: Column, bounds: list[float]) -> Column:
-    """Index of the range a value falls into; a balanced CASE tree, log2(ranges) comparisons per row."""
-    value = order.cast("double")
+def in_ranges(df: DataFrame, order: str, bounds: DataFrame, ranges: int | None = None, out: str = "_range") -> DataFrame:
+    """Rows with the index of the range their value falls into; a balanced CASE tree over the cut points, log2(ranges) comparisons a row."""
+    value, last = F.col(order).cast("double"), (ranges or shuffle_width(df.sparkSession)) - 1
 
     def node(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(value <= bounds[mid], node(lo, mid)).otherwise(node(mid + 1, hi))
-    return node(0, len(bounds))
+        return F.when(value <= F.get("_bounds", F.lit(mid)), node(lo, mid)).otherwise(node(mid + 1, hi))
+    return df.withColumn("_bounds", bounds.scalar()).withColumn(out, node(0, last)).drop("_bounds")
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -61,17 +63,17 @@ def distinct_values(df: DataFrame, by: list[str], value: str, aggs: list[Column]
 
 
 def running_totals(df: DataFrame, order: str, totals: dict[str, str], by: list[str] | None = None,
-                   descending: bool = False, ranges: int | None = None, bounds: list[float] | None = None) -> DataFrame:
+                   descending: bool = False, ranges: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """Add running sums of columns along ``order`` (one row per value and group expected).
 
     ``totals`` maps the new column to the summed column. Sums include the current row.
     """
     by = by or []
     bounds = range_bounds(df, order, ranges) if bounds is None else bounds
-    cut = df.withColumn("_range", range_of(F.col(order), bounds))
+    cut = in_ranges(df, order, bounds, ranges)
     per_range = cut.groupBy(*by, "_range").agg(*[F.sum(src).alias(f"_sum_{out}") for out, src in totals.items()])
     range_key = F.col("_range").desc() if descending else F.col("_range").asc()
-    # At most len(bounds)+1 rows per group key.
+    # At most as many rows per group key as there are ranges.
     carried_over = Window.partitionBy(*(by or [F.lit(0)])).orderBy(range_key).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(*by, "_range", *[
         F.coalesce(F.sum(f"_sum_{out}").over(carried_over), F.lit(0)).alias(f"_off_{out}") for out in totals])

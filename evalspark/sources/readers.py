@@ -101,11 +101,21 @@ def bounded_prefix(lines: DataFrame, max_rows: int, max_bytes: int) -> DataFrame
 
 
 def ordered_prefix(df: DataFrame, order: str, text: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """The same budget on a table with an explicit unique order column."""
-    from evalspark.operators.ranges import running_totals
-    sized = df.withColumn("n_bytes", (F.octet_length(text) + 1).cast("bigint")).withColumn("_one", F.lit(1).cast("bigint"))
-    return bounded_prefix(running_totals(sized, order, {"line_number": "_one", "bytes_through": "n_bytes"}).drop("_one"),
-                          max_rows, max_bytes)
+    """The same budget on a table with an explicit unique order column.
+
+    One pass adds up rows and bytes of each range of the column; only ranges that begin within the budget are then ordered and totalled row by row.
+    """
+    from evalspark.operators.ranges import in_ranges, range_bounds
+    sized = in_ranges(df.withColumn("n_bytes", (F.octet_length(text) + 1).cast("bigint")), order, range_bounds(df, order))
+    totals = sized.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_bytes").alias("_b"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    begins = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"))
+    within = begins.where((F.col("_n0") < max_rows) & (F.col("_b0") < max_bytes))
+    inside = Window.partitionBy("_range").orderBy(order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    lines = sized.join(F.broadcast(within), "_range").select(*df.columns, "n_bytes", (F.row_number().over(inside) + F.col("_n0")).alias("line_number"),
+                                                             (F.sum("n_bytes").over(upto) + F.col("_b0")).alias("bytes_through"))
+    return bounded_prefix(lines, max_rows, max_bytes)
 
 
 def literal_table(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
