@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from evalspark.llm.shared import components, kept
 
 STEPS = (8, 16, 24, 32, 48)
+PIECE = 512                 # vectors a side of what is multiplied at a time
+BLOCKS_PER_PAGE = 256       # neighbouring blocks whose limits travel together
 CORNERS = 6
 
 
@@ -41,6 +43,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """Half the bytes where single precision holds the numbers exactly; the length tells which."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return (small if (small == x).all() else x).tobytes()
+
+
+def _rows(data, rows: int, size: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if len(data) == 4 * rows * size else np.float64).reshape(rows, size).astype(np.float64)
+
+
 def principal_basis(vectors: DataFrame, size: int) -> np.ndarray:
     """Orthogonal basis by falling variance; the second moments are summed in the tasks (size x size numbers each)."""
     def moments(batches):
@@ -76,53 +89,82 @@ def _blocks(nodes: DataFrame, basis: np.ndarray, size: int, block: int) -> DataF
                 y = _unit(raw) @ basis[:, :CORNERS]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([np.asarray(part.column(0)).tolist()], pa.list_(pa.int64())), pa.array([np.asarray(part.column(2)).tolist()], pa.list_(pa.int64())),
-                    pa.array([raw.tobytes()], pa.binary()), pa.array([y.min(0).tolist()]), pa.array([y.max(0).tolist()])],
+                    pa.array([_bytes(raw)], pa.binary()), pa.array([y.min(0).tolist()]), pa.array([y.max(0).tolist()])],
                     ["ids", "counts", "data", "low", "high"])
     rows = ranged.mapInArrow(packed, "ids array<bigint>, counts array<bigint>, data binary, low array<double>, high array<double>")
     return kept(rows.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 
 
 def _tiles(blocks: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of all blocks that can hold a pair: |x - y|**2 = 2 - 2 cos bounds the gap of their limits."""
-    limits = blocks.select("block", "low", "high")
-    order = limits.select(F.struct("block", "low", "high").alias("me"))
-    line = F.sort_array(F.collect_list("me"))  # one row of CORNERS numbers per block, not per vector
-    every = order.agg(line.alias("all")).select(F.posexplode("all").alias("i", "me"), "all")
-    pair = every.select("me", F.explode(F.slice("all", F.col("i") + 1, F.size("all"))).alias("other"))
-    gap = F.aggregate(F.zip_with(F.arrays_zip("me.low", "me.high"), F.arrays_zip("other.low", "other.high"), lambda p, q: F.greatest(
-        p["low"] - q["high"], q["low"] - p["high"], F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    return pair.where(gap <= 2 - 2 * threshold + 1e-9).select(F.col("me.block").alias("a"), F.col("other.block").alias("b"))
+    """(a, b) of all blocks that can hold a pair: |x - y|**2 = 2 - 2 cos bounds the gap of their limits.
+
+    Limits are packed in pages of neighbouring blocks; each block meets the pages from its own on, so the pairs come from as many tasks as there are pages.
+    """
+    limits = blocks.select("block", "low", "high").withColumn("page", F.floor(F.shiftright("block", 33) / BLOCKS_PER_PAGE))
+    pages = limits.groupBy("page").agg(F.collect_list(F.struct(F.col("block").alias("b"), F.col("low").alias("l"), F.col("high").alias("h"))).alias("others"))
+    last = limits.agg(F.max("page")).first()[0] or 0
+    mine = limits.withColumn("page", F.explode(F.sequence(F.col("page"), F.lit(last).cast("bigint")))).join(pages, "page")
+    near = F.filter("others", lambda o: (o["b"] >= F.col("block")) & (F.aggregate(F.zip_with(
+        F.arrays_zip("low", "high"), F.arrays_zip(o["l"].alias("l"), o["h"].alias("h")), lambda p, q: F.greatest(
+            p["low"] - q["h"], q["l"] - p["high"], F.lit(0.0))), F.lit(0.0), lambda t, g: t + g * g) <= 2 - 2 * threshold + 1e-9))
+    return mine.select(F.col("block").alias("a"), F.explode(F.transform(near, lambda o: o["b"])).alias("b"))
+
+
+def _suffix_norms(p: np.ndarray, ends: list[int]) -> list[np.ndarray]:
+    """For each cut the norm of what the dimensions from there on hold."""
+    left = np.cumsum((p.astype(np.float64) ** 2)[:, ::-1], 1)[:, ::-1]
+    return [np.sqrt(left[:, e]).astype(np.float32) if e < p.shape[1] else np.zeros(len(p), np.float32) for e in ends]
+
+
+def _first_cut(px, py, rx, ry, ends: list[int], limit: np.float32) -> int:
+    """The cut that costs least: leading dimensions for all pairs, the others for the share of pairs that a sample of both blocks leaves."""
+    x, y = (np.unique(np.linspace(0, len(p) - 1, 128).astype(np.int64)) for p in (px, py))
+    cost = []
+    for e, a, b in zip(ends, rx, ry):
+        left = (px[x, :e] @ py[y, :e].T + a[x][:, None] * b[y][None, :] >= limit).mean()
+        cost.append(e + 16 * left * (ends[-1] - e) + 64 * left)  # a pair taken alone costs many times one in a product
+    return int(np.argmin(cost))
 
 
 def tile_links(x: np.ndarray, y: np.ndarray, basis: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of x and y with cosine >= threshold; with ``same`` only pairs above the diagonal."""
+    """Index pairs of x and y with cosine >= threshold; with ``same`` only pairs above the diagonal.
+
+    Pieces of PIECE x PIECE stay in the processor's cache. The bound of a piece is one product: the suffix norms stand as one more dimension behind the leading
+    ones. Pairs left go on dimension by dimension alone, unless a piece keeps so many that its whole product is cheaper.
+    """
     ux, uy = _unit(x), _unit(y)
     px, py = (ux @ basis).astype(np.float32), (uy @ basis).astype(np.float32)
     size = px.shape[1]
     ends = [s for s in STEPS if s < size] + [size]
-    slack = np.float32(threshold - 1e-4)  # single precision only rules out; the decision is made in double
+    limit = np.float32(threshold - 1e-4)  # single precision only rules out; the decision is made in double
+    rx, ry = _suffix_norms(px, ends), _suffix_norms(py, ends)
+    cut = _first_cut(px, py, rx, ry, ends, limit)
+    a, b = (np.concatenate([p[:, :ends[cut]], r[cut][:, None]], 1) for p, r in ((px, rx), (py, ry)))
     out_i, out_j = [], []
-    for lo in range(0, len(px), 1024):
-        part = px[lo:lo + 1024]
-        total, rows, cols = part[:, :ends[0]] @ py[:, :ends[0]].T, np.arange(len(part)), np.arange(len(py))
-        done = ends[0]
-        for end in [*ends[1:], None]:
-            rest_x = np.sqrt(np.maximum((part[rows][:, done:] ** 2).sum(1), 0))
-            rest_y = np.sqrt(np.maximum((py[cols][:, done:] ** 2).sum(1), 0))
-            near = total + rest_x[:, None] * rest_y[None, :] >= slack
-            if same:
-                near &= (rows + lo)[:, None] < cols[None, :]
-            keep_r, keep_c = near.any(1), near.any(0)
-            rows, cols = rows[keep_r], cols[keep_c]
-            total, near = total[keep_r][:, keep_c], near[keep_r][:, keep_c]
-            if not len(rows) or end is None or near.sum() < 0.02 * near.size:
-                break
-            total = total + part[rows][:, done:end] @ py[cols][:, done:end].T
-            done = end
-        if len(rows):
-            i, j = np.nonzero(near)
-            i, j = rows[i] + lo, cols[j]
-            cos = np.concatenate([np.einsum("ij,ij->i", ux[i[s:s + 65536]], uy[j[s:s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+
+    def exact(i, j):
+        return np.concatenate([np.einsum("ij,ij->i", ux[i[s:s + 65536]], uy[j[s:s + 65536]]) for s in range(0, len(i), 65536)])
+    for lo in range(0, len(px), PIECE):
+        for at in range(lo if same else 0, len(py), PIECE):
+            i, j = np.nonzero(a[lo:lo + PIECE] @ b[at:at + PIECE].T >= limit)
+            i, j = i + lo, j + at
+            if same and at == lo:
+                i, j = i[i < j], j[i < j]
+            if len(i) > PIECE * PIECE // 16:
+                cos = (ux[lo:lo + PIECE] @ uy[at:at + PIECE].T)[i - lo, j - at]
+                edge = np.flatnonzero(np.abs(cos - threshold) < 1e-12)
+                cos[edge] = exact(i[edge], j[edge]) if len(edge) else 0
+            else:
+                done = ends[cut]
+                total = np.einsum("ij,ij->i", px[i, :done], py[j, :done]) if len(i) else np.zeros(0, np.float32)
+                for k in range(cut + 1, len(ends) - 1):
+                    if not len(i):
+                        break
+                    total = total + np.einsum("ij,ij->i", px[i, done:ends[k]], py[j, done:ends[k]])
+                    done = ends[k]
+                    near = total + rx[k][i] * ry[k][j] >= limit
+                    i, j, total = i[near], j[near], total[near]
+                cos = exact(i, j) if len(i) else np.zeros(0)
             hit = cos >= threshold
             out_i.append(i[hit])
             out_j.append(j[hit])
@@ -175,7 +217,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     same = get("a").as_py() == get("b").as_py()
                     ids = [get(f"ids_{s}").values.to_numpy() for s in "ab"]
                     counts = [get(f"counts_{s}").values.to_numpy() for s in "ab"]
-                    x, y = (np.frombuffer(get(f"data_{s}").as_buffer(), np.float64).reshape(-1, size) for s in "ab")
+                    x, y = (_rows(get(f"data_{s}").as_buffer(), len(i), size) for s, i in zip("ab", ids))
                     i, j = tile_links(x, y, basis, threshold, same)
                     na, nb = np.bincount(i, counts[1][j], len(x)), np.bincount(j, counts[0][i], len(y))
                     wa, wb = np.flatnonzero(na), np.flatnonzero(nb)
