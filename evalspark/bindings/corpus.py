@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from evalspark.bindings.base import TRAJ, query, shown, spread, table, trajectories
-from evalspark.bindings.samples import SEED, SIG, SPLIT
+from evalspark.bindings.samples import CHOICE, SEED, SIG, SPLIT, greedy_sql
 from evalspark.functions.digests import canonical_digest, group_key, table_digest
 from evalspark.functions.spans import to_template
 from evalspark.functions.steps import steps_to_text
@@ -220,6 +220,16 @@ def c03(spark, d):
         F.col("source_record.id").alias("id"), "split", F.col("source_record.variant").alias("variant"), "source_record_sha256")
 
 
+@query("c03_queue_choice", f"""{greedy_sql("n <= 40 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')", 4, 2)}, chosen AS ({CHOICE})
+SELECT id, chosen.split, chosen.variant, 'pending' AS status, 'pending' AS qc_status, false AS training_eligible, n::INT AS n_steps FROM chosen JOIN traj ON doc_id::VARCHAR = id""")
+def c03b(spark, d):
+    """The queue with the splits of its source: excluded records and long ones are never chosen."""
+    used = table(spark, d, "documents", ["doc_id", "lang"]).where("lang = 'fr'").select(F.col("doc_id").cast("string").alias("id"))
+    queue = review.build_queue(staged_docs(spark, d), {"train": 8, "dev": 4}, SEED, used, max_steps=40)
+    return queue.select(F.col("source_record.id").alias("id"), "split", F.col("source_record.variant").alias("variant"), F.col("translation.status").alias("status"),
+                        F.col("qc.status").alias("qc_status"), "training_eligible", F.size("translation.steps").alias("n_steps"))
+
+
 @query("c04_source_lock", f"""WITH {TRAJ} SELECT split, doc_id::VARCHAR AS id, (row_number() OVER (PARTITION BY split ORDER BY doc_id::VARCHAR) - 1)::INT AS index FROM traj""")
 def c04(spark, d):
     return review.freeze(queue_docs(spark, d)).select("split", "id", "index")

@@ -65,8 +65,10 @@ SIG = """'length:' || CASE WHEN n <= 4 THEN 'short' WHEN n <= 12 THEN 'medium' E
 
 
 # The greedy choice step by step: the best head left of the current variant, until none adds a label; then the other variant.
-GREEDY = f"""WITH RECURSIVE {TRAJ}, s AS (SELECT doc_id::VARCHAR AS id, split, variant, string_split({SIG}, '/') AS labels, sha256('{SEED}:' || doc_id) AS priority FROM traj),
- quotas(split, quota) AS (VALUES ('train', 8), ('dev', 4)), heads AS (SELECT split, variant, labels, min(priority) AS priority, arg_min(id, priority) AS id FROM s GROUP BY ALL),
+def greedy_sql(keep: str, train: int, dev: int) -> str:
+    """firsts(split, id, pick_order) and rests(split, id, variant, quota, k, rk) of the rows under a condition, for quotas of a variant."""
+    return f"""WITH RECURSIVE {TRAJ}, s AS (SELECT doc_id::VARCHAR AS id, split, variant, string_split({SIG}, '/') AS labels, sha256('{SEED}:' || doc_id) AS priority FROM traj WHERE {keep}),
+ quotas(split, quota) AS (VALUES ('train', {train}), ('dev', {dev})), heads AS (SELECT split, variant, labels, min(priority) AS priority, arg_min(id, priority) AS id FROM s GROUP BY ALL),
  lists AS (SELECT split, quota, list(struct_pack(p := priority, i := id, l := labels)) FILTER (variant = 'correct') AS h0, list(struct_pack(p := priority, i := id, l := labels)) FILTER (variant = 'incorrect') AS h1
   FROM heads JOIN quotas USING (split) GROUP BY ALL),
  steps(split, quota, h0, h1, turn, seen, picks, best) AS (SELECT split, quota, h0, h1, 0, []::VARCHAR[], [[], []]::VARCHAR[][], NULL::STRUCT(g BIGINT, p VARCHAR, i VARCHAR, l VARCHAR[]) FROM lists
@@ -79,8 +81,11 @@ GREEDY = f"""WITH RECURSIVE {TRAJ}, s AS (SELECT doc_id::VARCHAR AS id, split, v
  rests AS (SELECT split, id, variant, quota, len(picks[CASE variant WHEN 'correct' THEN 1 ELSE 2 END]) AS k, row_number() OVER (PARTITION BY split, variant ORDER BY priority) AS rk FROM s JOIN done USING (split) WHERE (split, id) NOT IN (SELECT (split, id) FROM firsts))"""
 
 
-@query("w12_greedy_coverage", f"""{GREEDY} SELECT f.split, f.id, variant, f.pick_order::INT AS pick_order FROM firsts f JOIN s ON s.id = f.id
-UNION ALL SELECT split, id, variant, (rk + k + CASE variant WHEN 'correct' THEN 0 ELSE quota END)::INT FROM rests WHERE rk <= quota - k""")
+CHOICE = """SELECT f.split, f.id, variant, f.pick_order::INT AS pick_order FROM firsts f JOIN s ON s.id = f.id
+UNION ALL SELECT split, id, variant, (rk + k + CASE variant WHEN 'correct' THEN 0 ELSE quota END)::INT FROM rests WHERE rk <= quota - k"""
+
+
+@query("w12_greedy_coverage", f"{greedy_sql('true', 8, 4)} {CHOICE}")
 def w12(spark, d):
     rows = trajectories(spark, d).withColumn("id", F.col("doc_id").cast("string"))
     return S.greedy_coverage(rows, {"train": 16, "dev": 8}, SEED)

@@ -7,6 +7,7 @@ from evalspark.bindings.pairs import J05_LEFT, matched_input
 from evalspark.bindings.tables import FLAGS, flagged
 from evalspark.operators import pairs as P, scores as A
 from evalspark.plans import benchmark, scoring, study
+from evalspark.sources import readers
 from evalspark.streaming import results, running
 
 SEED = 42
@@ -185,6 +186,21 @@ def c18b(spark, d):
     return shown(study.evaluation_summary(rows, "variant"))
 
 
+@query("c18_reload_check", f"""WITH {STEPS}, s AS (SELECT count(*)::DOUBLE AS n_steps, avg(((p >= 0.5) = (r = 1))::INT) AS step_accuracy, avg(p) FILTER (r = 1) AS mean_valid, avg(p) FILTER (r = -1) AS mean_invalid,
+  avg(p) FILTER (r = 1) - avg(p) FILTER (r = -1) AS step_discrimination FROM pr WHERE r <> 0), t AS (SELECT doc_id, variant, min(p) AS s FROM pr GROUP BY ALL),
+ g AS (SELECT avg(s) FILTER (variant='correct') AS mean_correct, avg(s) FILTER (variant='incorrect') AS mean_incorrect, avg(s) FILTER (variant='correct') - avg(s) FILTER (variant='incorrect') AS trajectory_gap FROM t),
+ m AS (UNPIVOT (SELECT * FROM s, g) ON COLUMNS(*) INTO NAME metric VALUE v)
+SELECT metric, round(v + CASE metric WHEN 'step_accuracy' THEN 0.001 ELSE 0 END, 6) AS baseline, round(v, 6) AS current, round(CASE metric WHEN 'step_accuracy' THEN -0.001 ELSE 0 END, 6) + 0.0::DOUBLE AS difference, metric <> 'step_accuracy' AS within_tolerance FROM m""")
+def c18c(spark, d):
+    """Records stored, reloaded and evaluated again; one stored metric is off by more than the tolerance."""
+    folder, records = scratch(spark, "reload"), step_records(spark, d)
+    stored = A.metric_rows(A.step_metrics(records, "step_probs", "step_labels")).unionByName(A.metric_rows(A.trajectory_gap(records, "variant", "trajectory_score")))
+    stored.withColumn("value", F.col("value") + F.when(F.col("metric") == "step_accuracy", 0.001).otherwise(0.0)).write.parquet(f"{folder}/metrics")
+    fields = records.select("doc_id", "variant", "step_probs", "step_labels", "trajectory_score")
+    fields.write.json(f"{folder}/records")
+    return shown(study.reload_check(readers.read_jsonl(spark, f"{folder}/records", fields.schema), spark.read.parquet(f"{folder}/metrics")))
+
+
 @query("c24_row_replacement", f"""WITH {RESPONSES}, k AS (SELECT problem_id, language, coalesce(generated_response, '') AS response FROM responses)
 SELECT problem_id, language, CASE WHEN response = '' THEN 'FINAL ANSWER: 1' ELSE response END AS response FROM k""")
 def c24(spark, d):

@@ -92,6 +92,37 @@ def s07(spark, d):
     return files.manifest_mismatches(actual, pinned)
 
 
+REGION_FILES = "r AS (SELECT n_regionkey::INT AS k, string_agg(n_name || chr(10), '' ORDER BY n_name) AS t FROM nation GROUP BY 1)"
+
+
+def region_files(spark, d):
+    """A text file a region; returns its folder."""
+    path = scratch(spark, "files")
+    names = table(spark, d, "nation", ["n_name", "n_regionkey"]).select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("value"))
+    names.repartition(1).sortWithinPartitions("k", "value").write.partitionBy("k").text(path)
+    return path
+
+
+def region_digests(spark, path):
+    return files.file_digests(spark, path, "part-*").select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("int").alias("k"), "n_bytes", "sha256")
+
+
+@query("s06_text_digests", f"WITH {REGION_FILES} SELECT k, strlen(t) AS n_bytes, sha256(t) AS sha256 FROM r")
+def s06b(spark, d):
+    return region_digests(spark, region_files(spark, d))
+
+
+@query("s07_text_mismatches", f"""WITH {REGION_FILES}, m AS (SELECT k, CASE WHEN k = 2 THEN sha256('other') ELSE sha256(t) END AS expected FROM r UNION ALL SELECT 9, sha256('gone'))
+SELECT k, expected, sha256(t) AS actual, CASE WHEN t IS NULL THEN 'missing' ELSE 'changed' END AS problem FROM m LEFT JOIN r USING (k) WHERE sha256(t) IS DISTINCT FROM expected""")
+def s07b(spark, d):
+    """A pinned file that differs and one that is not there."""
+    actual = region_digests(spark, region_files(spark, d))
+    names = table(spark, d, "nation", ["n_name", "n_regionkey"]).groupBy(F.col("n_regionkey").cast("int").alias("k")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))  # a few names a region
+    pinned = names.select("k", F.sha2(F.when(F.col("k") == 2, "other").otherwise(F.concat(F.array_join("names", "\n"), F.lit("\n"))), 256).alias("sha256"))
+    pinned = pinned.unionAll(spark.range(1).select(F.lit(9).alias("k"), F.sha2(F.lit("gone"), 256)))
+    return files.manifest_mismatches(actual, pinned, "k")
+
+
 @query("s08_digest_changes", """WITH r AS (SELECT r_regionkey AS k, string_agg(n_name || chr(10), '' ORDER BY n_name) AS was FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
  f AS (SELECT k, was, CASE WHEN k = 1 THEN NULL WHEN k % 2 = 0 THEN replace(was, 'A', 'a') ELSE was END AS now FROM r UNION ALL SELECT 9, NULL, 'late' || chr(10))
 SELECT k::INT AS k, CASE WHEN was IS NULL THEN 'appeared' WHEN now IS NULL THEN 'vanished' ELSE 'changed' END AS problem, sha256(was) AS before, sha256(now) AS after FROM f WHERE was IS DISTINCT FROM now""")

@@ -4,7 +4,6 @@ Checks return tables (offending rows, or one row per check); ``require_empty`` t
 offenders into an error where a job must stop. Each check is one aggregate or one join.
 """
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,10 +54,6 @@ def lenient_int(c: Column, default: int | None = None) -> Column:
     return number if default is None else F.coalesce(number, F.lit(default))
 
 
-def lenient_double(c: Column) -> Column:
-    return c.try_cast("double")
-
-
 def outside_domain(df: DataFrame, column: str, allowed: list) -> DataFrame:
     """Offending values with counts (P-06); null is an offender."""
     return df.where(~F.coalesce(F.col(column).isin(allowed), F.lit(False))).groupBy(column).agg(
@@ -172,15 +167,6 @@ def require_empty(offenders: DataFrame, message: str, show: int = 5) -> None:
         raise CheckFailed(f"{message}: {[r.asDict() for r in sample]}")
 
 
-def require_all(table: DataFrame) -> None:
-    """Stop when a row of an expectation table is not ok."""
-    require_empty(table.where(~F.col("ok")), "expectation failed")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 # Domains of the pilot records.
 PILOT_FIELDS = ("id", "pair_id", "language", "source", "variant", "problem", "response",
                 "step_labels", "first_error_step", "error_type")

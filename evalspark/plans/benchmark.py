@@ -62,9 +62,3 @@ def audit_overlay(results: DataFrame, audit: DataFrame, key: str, default: str =
     out = results.join(audit, key, "left")
     return out.withColumn("audit_status", F.coalesce("audit_status", F.lit(default))) \
         .withColumn("audit_note", F.coalesce("audit_note", F.lit("")))
-
-
-def require_size(df: DataFrame, expected: int, what: str) -> None:
-    found = df.count()
-    if found != expected:
-        raise CheckFailed(f"{what}: expected {expected}, found {found}")

@@ -162,11 +162,6 @@ def decision_template(queue: DataFrame) -> DataFrame:
         "split", F.lit("pending").alias("decision"), F.lit(None).cast("string").alias("reviewed_on"), F.lit("").alias("notes"))
 
 
-def decision_rows(document: DataFrame) -> DataFrame:
-    """A decision document (header and reviews array) as one row per review."""
-    return document.select("review_queue_sha256", "human_review", "reviewer", F.inline("reviews"))
-
-
 def gate(queue: DataFrame, decisions: DataFrame, quarantined: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Every queue row with its decision and the first rule that blocks the export (C-07); null when none does.
 

@@ -41,8 +41,8 @@ def scenario_summary(matrix: DataFrame, exclusions: DataFrame) -> DataFrame:
     return matrix.join(joined_ids(exclusions, ["scenario"], "id"), "scenario", "left").fillna("", ["excluded_ids"])
 
 
-def half_replication(pairs: DataFrame, key: str, half: int) -> DataFrame:
-    """Gap per half of the id range (P-18)."""
+def half_replication(pairs: DataFrame, key: str, half: int | Column) -> DataFrame:
+    """Gap per half of the id range (P-18); ``half`` is the last id of the first one, a number or a scalar subquery."""
     return pairs.withColumn("half", F.when(F.col(key) <= half, "first").otherwise("second")).groupBy("half").agg(
         F.count(F.lit(1)).alias("n"), F.avg("a_correct").alias("accuracy_a"), F.avg("b_correct").alias("accuracy_b"),
         F.avg("b_minus_a").alias("gap"))
@@ -88,7 +88,3 @@ def reload_check(records: DataFrame, baseline: DataFrame, tolerance: float = 1e-
     current = scores.metric_rows(scores.step_metrics(records, "step_probs", "step_labels")).unionByName(
         scores.metric_rows(scores.trajectory_gap(records, "variant", "trajectory_score")))
     return scores.metric_deltas(current, baseline, tolerance)
-
-
-def attach_cross(summary: DataFrame, cross: DataFrame, model: str, name: str) -> DataFrame:
-    return attach_to_one(summary, cross, model, name)

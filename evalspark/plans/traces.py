@@ -204,17 +204,6 @@ def anchor_problems(current: DataFrame, prior: DataFrame) -> DataFrame:
         leaking_groups(prior, "problem_id", "split").select(F.col("problem_id").alias("id"), F.lit("anchor_leak").alias("problem")))
 
 
-def split_lock_table(lock: DataFrame, revision: str) -> DataFrame:
-    """A lock document (source_revision, assignments map) as (problem_id, split) rows, checked."""
-    if lock.where(F.col("source_revision").eqNullSafe(F.lit(revision))).limit(1).count() == 0:
-        raise CheckFailed("split lock belongs to another source revision")
-    rows = lock.select(F.explode("assignments").alias("problem_id", "split"))
-    require_empty(rows.where((F.length("problem_id") != 64) | ~F.col("split").isin("train", "dev")), "invalid split lock")
-    if rows.limit(1).count() == 0:
-        raise CheckFailed("split lock is empty")
-    return rows
-
-
 def sample_groups(lines: DataFrame, groups: int, seed: int, dev_fraction: float, revision: str, source_file: str,
                   source: str = "step_rated_traces", prior: DataFrame | None = None, lock: DataFrame | None = None,
                   unicode_form: bool = True) -> dict[str, DataFrame]:

@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LITERAL_ROWS = 100_000
+
 RESULT_SCHEMA = """problem_id INT, source_index BIGINT, model STRING, language STRING, gold_answer STRING,
  extracted_answer STRING, is_correct INT, extraction_method STRING, needs_manual_review INT, review_reason STRING,
  all_explicit_answers STRING, question STRING, generated_response STRING, input_tokens INT, output_tokens INT,
@@ -121,9 +123,10 @@ def ordered_prefix(df: DataFrame, order: str, text: str, max_rows: int, max_byte
 def literal_table(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
     """Curated side table from code (decisions, exclusions, corrections) (S-14).
 
-    Its size is fixed by the source text, so a broadcast is always safe.
+    Up to LITERAL_ROWS rows it is sent to every task; a longer list is left to the planner, which knows its size.
     """
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= LITERAL_ROWS else table
 
 
 def bilingual_configs(a: DataFrame, b: DataFrame, index: str, question: str, answer: str) -> DataFrame:

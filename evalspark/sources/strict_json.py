@@ -27,10 +27,3 @@ def strict_problem(line: Column) -> Column:
     listed = F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit("]")))
     return F.when(strict_object(line).isNotNull(), None).when(listed.isNotNull() & F.try_parse_json(trimmed).isNotNull()
                                                               & ~trimmed.startswith("{"), "not_object").otherwise("malformed")
-
-
-def split_strict(df: DataFrame, line: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted with VARIANT column ``record``, refused with ``problem``); blank lines are skipped."""
-    filled = df.where(is_filled(F.col(line)))
-    return (filled.withColumn("record", strict_object(F.col(line))).where(F.col("record").isNotNull()),
-            filled.withColumn("problem", strict_problem(F.col(line))).where(F.col("problem").isNotNull()))

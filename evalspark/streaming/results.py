@@ -27,11 +27,11 @@ def append_scored(log: DataFrame, out: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-_COMMITS = "source string, batch_id bigint, version bigint, token string"
+_COMMITS = "source string, batch_id bigint, token string, bucket int, version bigint"
 
 
 def _commits(spark: SparkSession, snapshot: str) -> DataFrame | None:
-    """The commit table: which folder token holds which version, and which batch of which stream made it."""
+    """The commit table: a row for each bucket that a version wrote, with its folder token and the batch of the stream that made it."""
     try:
         return spark.read.schema(_COMMITS).parquet(f"{snapshot}-commits")
     except Exception as error:  # nothing committed yet
@@ -40,11 +40,16 @@ def _commits(spark: SparkSession, snapshot: str) -> DataFrame | None:
         raise
 
 
-def _commit(rows: DataFrame, snapshot: str, source: str, batch_id: int, version: int) -> str:
-    """Writes rows (with bucket) as a new version and then its commit row; without that row nobody reads the folder."""
+def _commit(rows: DataFrame, snapshot: str, source: str, batch_id: int, version: int, buckets: list[int]) -> str:
+    """Writes rows (with bucket) as a new version and then its commit rows; without those nobody reads the folder.
+
+    A version is a folder of its own and is refused where it exists, so of two writers that saw the same log one fails and leaves nothing that is read.
+    """
     token = uuid.uuid4().hex
     rows.withColumn("token", F.lit(token)).write.mode("append").partitionBy("token", "bucket").parquet(snapshot)
-    rows.sparkSession.createDataFrame([(source, batch_id, version, token)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{snapshot}-commits")
+    spark = rows.sparkSession
+    done = [(source, batch_id, token, b) for b in buckets] or [(source, batch_id, token, None)]
+    spark.createDataFrame(done, _COMMITS.rpartition(",")[0]).coalesce(1).write.mode("errorifexists").parquet(f"{snapshot}-commits/version={version}")
     return token
 
 
@@ -73,7 +78,7 @@ def upsert_batch(snapshot: str, keys: list[str] | None = None, buckets: int = 64
             merged = bucketed
             if before is not None:
                 merged = merged.unionByName(before.where(F.col("bucket").isin(touched)), allowMissingColumns=True)
-            _commit(resolve_log(merged, keys + ["bucket"]).drop("n_versions"), snapshot, source, batch_id, last + 1)
+            _commit(resolve_log(merged, keys + ["bucket"]).drop("n_versions"), snapshot, source, batch_id, last + 1, touched)
         finally:
             bucketed.unpersist()
     return write
@@ -84,11 +89,10 @@ def read_snapshot(spark: SparkSession, snapshot: str, keep_bucket: bool = False)
     done = _commits(spark, snapshot)
     if done is None or done.isEmpty():
         return None
-    rows = spark.read.parquet(snapshot)
-    # Partition columns only: answered from folder names, one row per version and bucket.
-    newest = rows.select("token", "bucket").distinct().join(done.select("token", "version"), "token") \
-        .groupBy("bucket").agg(F.max_by("token", "version").alias("token"))
-    current = rows.join(newest, ["bucket", "token"], "left_semi").drop("token")
+    newest = done.where("bucket IS NOT NULL").groupBy("bucket").agg(F.max_by("token", "version").alias("token"))  # from commit rows alone
+    if newest.isEmpty():
+        return None
+    current = spark.read.parquet(snapshot).join(F.broadcast(newest), ["bucket", "token"], "left_semi").drop("token")  # a row a bucket
     return current if keep_bucket else current.drop("bucket")
 
 
@@ -98,7 +102,8 @@ def compact_log(spark: SparkSession, snapshot: str) -> None:
     if rows is None:
         return
     last = done.agg(F.max("version")).first()[0]
-    token = _commit(rows, snapshot, "compaction", last + 1, last + 1)
+    held = [r["bucket"] for r in done.where("bucket IS NOT NULL").select("bucket").distinct().collect()]  # at most as many as there are buckets
+    token = _commit(rows, snapshot, "compaction", last + 1, last + 1, held)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(snapshot)
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in store.listStatus(path):

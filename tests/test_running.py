@@ -59,3 +59,14 @@ def test_groups_must_be_part_of_the_key(spark):
     log = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
         running.corrections(log.withColumn("place", F.lit("x")), KEYS, ["place"])
+
+
+def test_one_of_two_writers_of_a_version_fails(spark, tmp_path):
+    snap = str(tmp_path / "snap")
+    rows = spark.createDataFrame([(1, "a", "m", "success", 1, 0)], "problem_id INT, language STRING, model STRING, status STRING, timestamp_utc INT, bucket INT")
+    results._commit(rows, snap, "one", 0, 0, [0])
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        results._commit(rows.withColumn("status", F.lit("error")), snap, "two", 0, 0, [0])
+    assert [r["status"] for r in results.read_snapshot(spark, snap).collect()] == ["success"]
+    results.upsert_batch(snap, KEYS, buckets=1)(rows.drop("bucket").where("false"), 5)  # an empty batch leaves the rows
+    assert results.read_snapshot(spark, snap).count() == 1
