@@ -145,6 +145,7 @@ def greedy_coverage(df: DataFrame, counts: dict[str, int], seed: int, excluded:
         rows = rows.join(excluded.select("id").distinct(), "id", "left_anti")
     labels = coverage_labels(F.size("steps"), F.col("first_error_step"), F.col("source_step_ratings"))
     signed = cut_lineage(rows.select(split, "id", "variant", labels.alias("labels"), seeded(seed, F.col("id")).alias("priority")))
+    signed = signed.toDF(*signed.columns)  # columns of their own: kept rows would go by those of ``df``, which callers join with
     heads: dict[tuple[str, str], list] = {}
     for r in signed.groupBy(split, "variant", "labels").agg(F.min(F.struct("priority", "id")).alias("head"), F.count(F.lit(1)).alias("n")).collect():
         heads.setdefault((r[split], r["variant"]), []).append(r)
