@@ -8,9 +8,11 @@ a set that has spare parts enough to do without, and kept otherwise; either way
 
 Equal sets count once (their node is a 64-bit digest of the set). The few nodes of a short run of equal signatures (up to ``RUN``) are
 paired and screened by parity bitmaps: two bitmaps differ in at most as many bits as their sets in features, so a pair that differs in more
-than the similarity allows is none. Longer runs are chained in sorted order, never paired; what the chains connect is cut into blocks of
-bounded size by size band and hash, and bitmaps are screened block against block, a task giving back only a spanning forest of the pairs
-left. The components of all screened pairs are candidate groups. They are cut into blocks in the same way, and pairs of blocks are compared
+than the similarity allows is none. Of a longer run only neighbours in sorted order are screened at first. What these pairs connect is a
+group already, and a run inside one group needs no more. In the others a pair not yet found shares several long runs, so they are cut by pairs
+of signatures; short runs of these are paired again, and what is long even then is compared run by run in blocks of bounded size, bitmaps
+block against block, a task giving back only a spanning forest of the pairs left. No run is closed transitively before it is screened.
+The components of all screened pairs are candidate groups. They are cut into blocks in the same way, and pairs of blocks are compared
 exactly on the texts: intersections of all their sets come from one product of incidence matrices, again with a spanning forest of the links
 as result. A last pass of components gives the linked groups.
 
@@ -308,16 +310,48 @@ def runs(sigs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint, long boolean").groupBy("a", "b").agg(F.max("long").alias("long"))
 
 
-def chains(found: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b): neighbours in the long runs, among nodes that have as many signatures in long runs as similar sets share.
+def _common(bands: Bands, tag: str = "tag"):
+    return F.element_at(F.array(*[F.lit(int(x)) for x in bands.common]), F.col(tag) + 1)
 
-    A pair that no short run has shows in long runs only, and then in at least ``Bands.common`` of them; so a node with fewer has no such pair.
-    """
-    rows = found.where("long").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.expr(f"cast(a & {TAGS - 1} AS int)").alias("tag"))
-    least = F.element_at(F.array(*[F.lit(int(x)) for x in bands.common]), F.col("tag") + 1)
-    enough = rows.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("node", "tag")
+
+def of_enough(rows: DataFrame, bands: Bands) -> DataFrame:
+    """Rows (sig, node, tag) of the nodes that have at least as many in their band as similar sets share: only those can have a pair here alone."""
+    enough = rows.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _common(bands)).select("node", "tag")
+    return rows.join(enough, ["node", "tag"])
+
+
+def long_rows(found: DataFrame, bands: Bands) -> DataFrame:
+    """(sig, node, tag): rows of the long runs. A pair that no short run has shows in at least ``Bands.common`` of them."""
+    return of_enough(found.where("long").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.expr(f"cast(a & {TAGS - 1} AS int)").alias("tag")), bands)
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(a, b): nodes next to each other in a run."""
     order = Window.partitionBy("sig").orderBy("node")
-    return rows.join(enough, ["node", "tag"]).select(F.lag("node").over(order).alias("a"), F.col("node").alias("b")).where("a IS NOT NULL AND a <> b").distinct()
+    return rows.select(F.lag("node").over(order).alias("a"), F.col("node").alias("b")).where("a IS NOT NULL AND a <> b").distinct()
+
+
+def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (sig, node, ...) of the runs whose nodes do not all lie in one group; labels: (node, grp), a node without one is its own."""
+    ends = rows.join(labels, "node", "left").groupBy("sig").agg(F.min(F.coalesce("grp", "node")).alias("lo"), F.max(F.coalesce("grp", "node")).alias("hi"))
+    return rows.join(ends.where("lo < hi").select("sig"), "sig")
+
+
+def signature_pairs(rows: DataFrame, bands: Bands) -> DataFrame:
+    """(sig, node): hashes of two signatures of a node at a time, such that similar sets, which share ``Bands.common``, have one in common.
+
+    A band's signatures are dealt to ``common - 1`` classes, one of which holds two shared ones; pairs are made inside a class.
+    """
+    dealt = rows.withColumn("class", F.pmod(F.xxhash64("sig"), _common(bands) - 1))
+    each = dealt.groupBy("node", "tag", "class").agg(F.array_sort(F.collect_set("sig")).alias("s"))
+    both = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.xxhash64(x, y))))
+    return each.select(F.explode(both).alias("sig"), "node")
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups."""
+    at, to = (labels.select(F.col("node").alias(c), F.col("grp").alias(f"grp_{c}")) for c in "ab")
+    return pairs.join(at, "a", "left").join(to, "b", "left").where("coalesce(grp_a, a) <> coalesce(grp_b, b)").select("a", "b")
 
 
 def _forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]]:
@@ -430,13 +464,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_set = sets.where("n > 0 AND id IS NOT NULL")
     nodes = kept(with_set.groupBy("node", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "nodes")
     found = kept(runs(set_signatures(rows, k, num, den)), "runs")
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    paired = found.where("NOT long").select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     bands = Bands(num, den, int(nodes.agg(F.max("n")).first()[0] or 1) * 3)  # the largest sets may sign for the band above theirs
-    chained = components(chains(found, bands)).withColumnRenamed("component", "grp")
-    blocks = tiles_of(nodes.drop("bits").join(chained, "node"), bands, BITMAP_BLOCK).join(nodes.select("node", F.col("bits").alias("content")), "node")
-    candidates = components(screened(paired, num, den).unionAll(screen_blocks(blocks, num, den)))
+
+    def screen(pairs):
+        one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+        return screened(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), num, den)
+    long = kept(long_rows(found, bands), "long")
+    near = kept(screen(found.where("NOT long").select("a", "b").unionAll(neighbours(long))), "near")
+    labels = kept(components(near).withColumnRenamed("component", "grp"), "labels")
+    for _ in range(2):  # a node that loses its last outsiders leaves, which may settle other runs
+        long = kept(of_enough(mixed(long, labels), bands), "long")
+    again = kept(runs(signature_pairs(long, bands)), "runs")
+    dense = mixed(again.where("long").select(F.col("a").alias("sig"), F.col("b").alias("node")), labels)
+    blocks = tiles_of(nodes.drop("bits").join(dense.withColumnRenamed("sig", "grp"), "node"), bands, BITMAP_BLOCK)
+    tried = screen_blocks(blocks.join(nodes.select("node", F.col("bits").alias("content")), "node"), num, den)
+    candidates = components(near.unionAll(screen(across(again.where("NOT long").select("a", "b"), labels))).unionAll(tried))
     nodes = nodes.drop("bits")
     tiles = kept(tiles_of(nodes.join(candidates.withColumnRenamed("component", "grp"), "node"), bands), "tiles")
     few = tiles.count() <= SENT

@@ -33,6 +33,29 @@ def test_a_large_group_of_near_copies(spark):
     assert {r["id"]: r["component"] for r in got} == want
 
 
+def test_documents_that_share_a_passage_are_not_chained(spark, monkeypatch):
+    """One passage in all documents makes their runs long; candidate groups stay as small as the true ones, and no link is lost."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(70)]
+    own = [[f"o{i}_{j}" for j in range(70)] for i in range(300)]
+    rows = [(i, " ".join(passage + words)) for i, words in enumerate(own)]
+    for i in range(40):  # copies of one document, and pairs of others
+        words = passage + own[0 if i < 25 else i]
+        words[int(rng.integers(0, 140))] = f"c{i}"
+        rows.append((1_000 + i, " ".join(words)))
+    want, _ = jaccard_groups(rows, 5, 80, 100)
+    largest = max(sum(c == g for c in want.values()) for g in set(want.values()))
+    sizes, tiles_of = [], jaccard.tiles_of
+
+    def counted(members, *rest):
+        sizes.append(max([r["count"] for r in members.groupBy("grp").count().collect()], default=0))
+        return tiles_of(members, *rest)
+    monkeypatch.setattr(jaccard, "tiles_of", counted)
+    got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS), k=5, num=80, den=100).collect()
+    assert {r["id"]: r["component"] for r in got} == want
+    assert largest == 26 and len(sizes) == 2 and sizes[1] <= 2 * largest
+
+
 def test_near_copies_at_the_upper_end_of_the_top_band(spark):
     """More than a run of near copies that also sign for the band above the table's largest set."""
     low = jaccard.Bands(85, 100, 1000).low
