@@ -9,9 +9,9 @@ a set that has spare parts enough to do without, and kept otherwise; either way
 Equal sets count once (their node is a 64-bit digest of the set). The few nodes of a short run of equal signatures (up to ``RUN``) are
 paired and screened by parity bitmaps: two bitmaps differ in at most as many bits as their sets in features, so a pair that differs in more
 than the similarity allows is none. Of a longer run only neighbours in sorted order are screened at first. What these pairs connect is a
-group already, and a run inside one group needs no more. In the others a pair not yet found shares several long runs, so they are cut by pairs
-of signatures; short runs of these are paired again, and what is long even then is compared run by run in blocks of bounded size, bitmaps
-block against block, a task giving back only a spanning forest of the pairs left. No run is closed transitively before it is screened.
+group already, and a run inside one group needs no more. The others are compared run by run in blocks of bounded size, bitmaps block against
+block, nodes of the run's main group with the rest only; a task gives back a spanning forest of the pairs left. Where that would cost more, a run is
+cut by pairs of signatures first, as a pair not yet found shares several long runs. No run is closed transitively before it is screened.
 The components of all screened pairs are candidate groups. They are cut into blocks in the same way, and pairs of blocks are compared
 exactly on the texts: intersections of all their sets come from one product of incidence matrices, again with a spanning forest of the links
 as result. A last pass of components gives the linked groups.
@@ -33,7 +33,7 @@ from evalspark.llm import textcodes as T
 from evalspark.llm.shared import components, kept
 
 SECOND = 3
-BLOCK, BLOCK_SETS, BITMAP_BLOCK = 150_000, 512, 10**9
+BLOCK, BLOCK_SETS = 150_000, 512
 RARE, RUN, TAGS = 12, 16, 64
 #: Rows of candidates up to which they go to the texts by broadcast (some 80 bytes each); beyond, both sides are shuffled.
 SENT = 600_000
@@ -348,6 +348,48 @@ def signature_pairs(rows: DataFrame, bands: Bands) -> DataFrame:
     return each.select(F.explode(both).alias("sig"), "node")
 
 
+def run_shapes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per run: (sig, home, c, homes, others): its most frequent group, its nodes, and the blocks of those in that group and of the others."""
+    sizes = rows.join(labels, "node", "left").groupBy("sig", F.coalesce("grp", "node").alias("grp")).agg(F.count(F.lit(1)).alias("m"))
+    shape = sizes.groupBy("sig").agg(F.max(F.struct("m", "grp")).alias("top"), F.sum("m").alias("c"))
+    blocks = [F.ceil(x / BLOCK_SETS).cast("int").alias(name) for name, x in (("homes", F.col("top.m")), ("others", F.col("c") - F.col("top.m")))]
+    return shape.select("sig", F.col("top.grp").alias("home"), "c", *blocks)
+
+
+def by_cost(rows: DataFrame, labels: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """Rows (sig, node, tag) of the runs that pairs of signatures cut at less cost than blocks compare them, and rows of the others.
+
+    Any choice by run loses nothing: two similar sets meet in a run compared in blocks, or all the runs that they share are cut.
+    """
+    shape = run_shapes(rows, labels)
+    held = rows.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("held"))
+    pairs = rows.join(held, ["node", "tag"]).groupBy("sig").agg((F.sum(F.col("held") - 1) / 2).alias("pairs"))
+    compared = F.col("c") * (F.col("homes") + F.col("others"))
+    cut = kept(shape.join(pairs, "sig").where((F.col("c") > BLOCK_SETS) & (F.col("others") > 1) & (F.col("pairs") < compared)).select("sig"), "cut")
+    return rows.join(cut, "sig", "left_semi"), rows.join(cut, "sig", "left_anti")
+
+
+def run_tiles(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tile, side, node): blocks of runs to be compared. Nodes of a run's most frequent group meet the others only, not each other."""
+    shape = run_shapes(rows, labels)
+    placed = rows.join(labels, "node", "left").join(shape, "sig").withColumn("at_home", F.coalesce("grp", "node") == F.col("home"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("at_home"), F.col("homes")).otherwise(F.col("others"))).cast("int")
+
+    def tile(i, kind, j):
+        return F.concat_ws(":", F.col("sig").cast("string"), i.cast("string"), F.lit(kind), j.cast("string"))
+
+    def upto(count):
+        return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    mine = F.col("own")
+    homely = F.transform(upto(F.col("others")), lambda i: F.struct(tile(i, "h", mine).alias("tile"), F.lit(1).alias("side")))
+    met = F.transform(upto(F.col("homes")), lambda j: F.struct(tile(mine, "h", j).alias("tile"), F.lit(0).alias("side")))
+    among = F.transform(upto(F.col("others")), lambda j: F.struct(
+        tile(F.least(mine, j), "o", F.greatest(mine, j)).alias("tile"), F.when(j == mine, 2).when(mine < j, 0).otherwise(1).alias("side")))
+    single = F.array(F.struct(F.col("sig").cast("string").alias("tile"), F.lit(2).alias("side")))
+    return placed.withColumn("own", own).select("node", F.inline(
+        F.when(F.col("c") <= BLOCK_SETS, single).when(F.col("at_home"), homely).otherwise(F.concat(met, among))))
+
+
 def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of different groups."""
     at, to = (labels.select(F.col("node").alias(c), F.col("grp").alias(f"grp_{c}")) for c in "ab")
@@ -474,10 +516,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labels = kept(components(near).withColumnRenamed("component", "grp"), "labels")
     for _ in range(2):  # a node that loses its last outsiders leaves, which may settle other runs
         long = kept(of_enough(mixed(long, labels), bands), "long")
-    again = kept(runs(signature_pairs(long, bands)), "runs")
+    cut, direct = by_cost(long, labels, bands)
+    again = kept(runs(signature_pairs(of_enough(cut, bands), bands)), "runs")
     dense = mixed(again.where("long").select(F.col("a").alias("sig"), F.col("b").alias("node")), labels)
-    blocks = tiles_of(nodes.drop("bits").join(dense.withColumnRenamed("sig", "grp"), "node"), bands, BITMAP_BLOCK)
-    tried = screen_blocks(blocks.join(nodes.select("node", F.col("bits").alias("content")), "node"), num, den)
+    blocks = run_tiles(dense.unionAll(direct.select("sig", "node")), labels).join(nodes.select("node", "n", F.col("bits").alias("content")), "node")
+    tried = screen_blocks(blocks, num, den)
     candidates = components(near.unionAll(screen(across(again.where("NOT long").select("a", "b"), labels))).unionAll(tried))
     nodes = nodes.drop("bits")
     tiles = kept(tiles_of(nodes.join(candidates.withColumnRenamed("component", "grp"), "node"), bands), "tiles")

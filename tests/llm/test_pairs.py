@@ -33,8 +33,19 @@ def test_a_large_group_of_near_copies(spark):
     assert {r["id"]: r["component"] for r in got} == want
 
 
-def test_documents_that_share_a_passage_are_not_chained(spark, monkeypatch):
-    """One passage in all documents makes their runs long; candidate groups stay as small as the true ones, and no link is lost."""
+@pytest.mark.parametrize("block", [512, 20])
+def test_documents_that_share_a_passage_are_not_chained(spark, monkeypatch, block):
+    """One passage in all documents makes their runs long; candidate groups stay as small as the true ones, and no link is lost.
+
+    Small blocks make the long runs worth cutting by pairs of signatures.
+    """
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    cuts, signature_pairs = [], jaccard.signature_pairs
+
+    def cut(rows, bands):
+        cuts.append(rows.count())
+        return signature_pairs(rows, bands)
+    monkeypatch.setattr(jaccard, "signature_pairs", cut)
     rng = np.random.default_rng(11)
     passage = [f"p{i}" for i in range(70)]
     own = [[f"o{i}_{j}" for j in range(70)] for i in range(300)]
@@ -53,7 +64,8 @@ def test_documents_that_share_a_passage_are_not_chained(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "tiles_of", counted)
     got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS), k=5, num=80, den=100).collect()
     assert {r["id"]: r["component"] for r in got} == want
-    assert largest == 26 and len(sizes) == 2 and sizes[1] <= 2 * largest
+    assert largest == 26 and len(sizes) == 1 and sizes[0] <= 2 * largest
+    assert len(cuts) == 1 and (cuts[0] > 0) == (block == 20)
 
 
 def test_near_copies_at_the_upper_end_of_the_top_band(spark):
