@@ -4,7 +4,8 @@ A bootstrap mean of outcomes such as -1, 0, 1 and a sum with random signs take v
 characteristic function of a sum is the product of those of its terms, which depends on the distinct values and their counts only. A probability is then a
 sum over N frequencies. N is chosen so that the mass beyond the window of N lattice points is below 2 * exp(-REACH**2 / 2) (Hoeffding's inequality), so the result
 holds to about 1e-15 whatever the number of rows; frequencies whose factor is below exp(-FAINT) are left out, and once a partial product is that small
-the rest of it is not computed.
+the rest of it is not computed. For random signs, blocks of frequencies are left out together where a bound on the factors inside is that small: the
+window grows with the rows, the frequencies that count hardly do.
 
 Spark reduces rows to distinct values with counts on the map side; the frequencies of a group are spread over tasks and their parts summed. A
 group's distinct values are held by one task and must be at most ``max_cells``: a lattice bounds them by its span, not by the rows.
@@ -13,6 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,9 @@ from evalspark.session import cut_lineage, shuffle_width
 REACH = 8.6                 # half a window in Hoeffding deviations: 1.7e-16 outside
 FAINT = 60.0
 MAX_CELLS = 1 << 17         # distinct values of a group
-MAX_FREQUENCIES = 1 << 28
+MAX_FREQUENCIES = 1 << 36
 AT_ONCE = 1 << 14           # frequencies a task works on at a time
-CELLS = "array<struct<a:bigint,c:bigint>>"
+PIECE = 1 << 20             # frequencies of the smallest part worth a task of its own
 
 
 def lattice_position(value: Column, step: float) -> Column:
@@ -47,7 +49,7 @@ def _fields(df: DataFrame, by: list[str]) -> str:
 
 
 def _pieces(total: int, pieces: int) -> int:
-    return max(1, min(pieces, -(-total // AT_ONCE)))
+    return max(1, min(pieces, -(-total // PIECE)))
 
 
 # ---------------------------------------------------------------- bootstrap means
@@ -137,6 +139,11 @@ def interval_of_counts(counted: DataFrame, step: float = 1.0, by: list[str] | No
 
 
 # ---------------------------------------------------------------- random signs
+def _times(k: np.ndarray, m: np.ndarray, size: int) -> np.ndarray:
+    """k * m modulo size, all below 2**38, without leaving 64 bits."""
+    return k * m % size if size < 1 << 31 else ((k * (m >> 20) % size << 20) + k * (m & (1 << 20) - 1)) % size
+
+
 class SignedSum:
     """Upper tail of a sum of sizes ``a`` > 0 (``c`` of each) with fair random signs, from ``x`` on; x > 0 is itself such a sum.
 
@@ -169,17 +176,49 @@ class SignedSum:
     def frequencies(self) -> int:
         return self.size // 2 + 1
 
+    def _audible(self, first: int, end: int, step: np.ndarray, chance: np.ndarray, many: np.ndarray):
+        """Frequencies first <= k < end, some AT_ONCE at a time, without blocks all of whose factors are below exp(-FAINT).
+
+        Inside a block the angle of a size lies within the angle at its middle and half its width; the nearest point to a whole turn bounds the factor. Sizes that
+        turn too far inside a block say nothing about it; blocks that remain are cut into eight, and the last ones are computed frequency by frequency.
+        """
+        for start in range(first, end, AT_ONCE << 10):
+            lows, width = np.arange(start, min(start + AT_ONCE << 10, end), AT_ONCE, dtype=np.int64), AT_ONCE
+            while width > 32 and len(lows):
+                near = np.flatnonzero(np.pi / 2 * step / self.size * width <= 0.6)
+                lows = lows[self._bounds(lows + width // 2, width / 2, step[near], chance[near], many[near]) > -FAINT] if len(near) else lows
+                width //= 8
+                lows = (lows[:, None] + width * np.arange(8, dtype=np.int64)).ravel()
+                lows = lows[lows < end]
+            for s in range(0, len(lows), AT_ONCE // width):
+                k = (lows[s:s + AT_ONCE // width, None] + np.arange(width, dtype=np.int64)).ravel()
+                yield k[k < end]
+
+    def _bounds(self, middle: np.ndarray, reach: float, step: np.ndarray, chance: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Upper bounds on the logarithm of the factor's modulus for all frequencies within ``reach`` of the middles; not finished where it is faint already."""
+        out = np.zeros(len(middle))
+        for lo in range(0, len(middle), AT_ONCE):
+            at = np.arange(lo, min(lo + AT_ONCE, len(middle)))
+            for s in range(0, len(step), 32):
+                half = (np.pi / self.size) * _times(middle[at, None], step[None, s:s + 32], self.size)
+                off = np.maximum(np.minimum(half, np.pi - half) - (np.pi / self.size) * reach * step[None, s:s + 32], 0.0)
+                q = chance[s:s + 32]
+                out[at] += 0.5 * np.log1p(np.maximum(-4 * q * (1 - q) * np.sin(off) ** 2, -1 + 1e-16)) @ many[s:s + 32]
+                at = at[out[at] > -FAINT]
+                if not len(at):
+                    break
+        return out
+
     def part(self, first: int, end: int) -> float:
         """The sum over frequencies first <= k < end; all parts together times exp(log_scale) are the tail."""
         order = np.random.default_rng(0).permutation(len(self.a))  # mixed sizes make a product faint early
         step = (self.a // self.unit % self.size)[order]
         chance, many = self.chance[order], self.c[order]
         out = 0.0
-        for lo in range(first, end, AT_ONCE):
-            k = np.arange(lo, min(lo + AT_ONCE, end), dtype=np.int64)
+        for k in self._audible(first, end, step, chance, many):
             size, turn = np.zeros(len(k)), np.zeros(len(k))
             for s in range(0, len(step), 32):
-                angle = (2 * np.pi / self.size) * ((k[:, None] * step[None, s:s + 32]) % self.size)
+                angle = (2 * np.pi / self.size) * _times(k[:, None], step[None, s:s + 32], self.size)
                 q, n = chance[s:s + 32], many[s:s + 32]
                 # |1 - q + q e^(i v)|^2 = 1 - 4 q (1 - q) sin^2(v / 2)
                 size += 0.5 * np.log1p(np.maximum(-4 * q * (1 - q) * np.sin(angle / 2) ** 2, -1 + 1e-16)) @ n
@@ -192,7 +231,7 @@ class SignedSum:
             if not len(k):
                 continue
             t = 2 * np.pi * k / self.size
-            turn -= 2 * np.pi * ((k * (self.at // self.unit % self.size)) % self.size) / self.size
+            turn -= 2 * np.pi * _times(k, np.int64(self.at // self.unit % self.size), self.size) / self.size
             half = self.size // 2
             z = np.exp(-self.tilt * self.unit - 1j * t)
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -214,35 +253,40 @@ def two_sided_signs(sizes: DataFrame, observed: DataFrame, by: list[str], max_ce
     pieces = 4 * shuffle_width(sizes.sparkSession)
 
     def spread(batches):
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                key = {c: [row[c]] for c in by}
-                if row["cells"] is None or row["x"] == 0:
-                    yield pd.DataFrame(key | {"x": [row["x"]], "cells": [None], "first": [0], "end": [0], "known": [None if row["cells"] is None and pd.notna(row["n"]) else 0.0]})
+        for batch in batches:
+            keys, held_cells, sums, counts = [batch.column(c) for c in by], batch.column("cells"), batch.column("x").to_pylist(), batch.column("n").to_pylist()
+            for i, (x, n) in enumerate(zip(sums, counts)):
+                def row(known=None, first=0, end=0, a=None, c=None):
+                    rest = (pa.array([v], t) for v, t in ((x, pa.int64()), (a, pa.binary()), (c, pa.binary()), (first, pa.int64()), (end, pa.int64()), (known, pa.float64())))
+                    return pa.RecordBatch.from_arrays([*(k.slice(i, 1) for k in keys), *rest], [*by, "x", "a", "c", "first", "end", "known"])
+                if not held_cells[i].is_valid or x == 0:
+                    yield row(None if not held_cells[i].is_valid and n is not None else 0.0)
                     continue
-                s = SignedSum(*_arrays(row["cells"]), int(row["x"]))
+                a, c = (held_cells[i].values.field(f).to_numpy(zero_copy_only=False) for f in "ac")
+                s = SignedSum(a, c, int(x))
                 if s.only_end:
-                    yield pd.DataFrame(key | {"x": [row["x"]], "cells": [None], "first": [0], "end": [0], "known": [(1 - s.c.sum()) * math.log10(2)]})
-                    continue
-                if s.frequencies() > max_frequencies:
-                    yield pd.DataFrame(key | {"x": [row["x"]], "cells": [None], "first": [0], "end": [0], "known": [None]})
-                    continue
-                n = _pieces(s.frequencies(), pieces)
-                cuts = [s.frequencies() * i // n for i in range(n + 1)]
-                for lo, hi in zip(cuts, cuts[1:]):
-                    yield pd.DataFrame(key | {"x": [row["x"]], "cells": [row["cells"]], "first": [lo], "end": [hi], "known": [None]})
+                    yield row((1 - s.c.sum()) * math.log10(2))
+                elif s.frequencies() > max_frequencies:
+                    yield row()
+                else:
+                    m = _pieces(s.frequencies(), pieces)
+                    cuts = [s.frequencies() * j // m for j in range(m + 1)]
+                    for lo, hi in zip(cuts, cuts[1:]):  # a piece at a time; two plain arrays instead of a list of pairs
+                        yield row(None, lo, hi, a.astype("<i8").tobytes(), c.astype("<i8").tobytes())
 
     def add(batches):
-        for pdf in batches:
+        for batch in batches:
             parts, scales = [], []
-            for held_cells, x, lo, hi in zip(pdf["cells"], pdf["x"], pdf["first"], pdf["end"]):
-                s = None if held_cells is None else SignedSum(*_arrays(held_cells), int(x))
-                parts.append(s.part(int(lo), int(hi)) if s else None)
+            for i in range(batch.num_rows):
+                a, c, x, lo, hi = (batch.column(f)[i] for f in ("a", "c", "x", "first", "end"))
+                s = SignedSum(*(np.frombuffer(v.as_buffer(), "<i8") for v in (a, c)), x.as_py()) if a.is_valid else None
+                parts.append(s.part(lo.as_py(), hi.as_py()) if s else None)
                 scales.append(s.log_scale if s else None)
-            yield pdf[[*by, "known"]].assign(part=parts, scale=scales).astype({"known": "float64", "part": "float64", "scale": "float64"})
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in [*by, "known"]), pa.array(parts, pa.float64()), pa.array(scales, pa.float64())], [*by, "known", "part", "scale"])
     fields = _fields(observed, by)
-    pieces_of = held.select(*by, "x", "cells", "n").mapInPandas(spread, fields + f"x bigint, cells {CELLS}, first bigint, end bigint, known double")
-    parts = pieces_of.repartition(*by, "first").mapInPandas(add, fields + "known double, part double, scale double")
+    pieces_of = held.select(*by, "x", "cells", "n").mapInArrow(spread, fields + "x bigint, a binary, c binary, first bigint, end bigint, known double")
+    # The number is given, so that small rows with much work are not put together in few tasks.
+    parts = pieces_of.repartition(pieces, *by, "first").mapInArrow(add, fields + "known double, part double, scale double")
     for c in ("known", "part", "scale"):
         parts = parts.withColumn(c, F.nanvl(c, F.lit(None).cast("double")))
     total = parts.groupBy(*by).agg(F.max("known").alias("known"), F.sum("part").alias("part"), F.max("scale").alias("scale"))
@@ -251,10 +295,6 @@ def two_sided_signs(sizes: DataFrame, observed: DataFrame, by: list[str], max_ce
     return total.withColumn("log10_p", F.when(log10 > 0, 0.0).otherwise(log10)).select(*by, F.pow(F.lit(10.0), F.col("log10_p")).alias("sign_p"), "log10_p")
 
 
-def _arrays(held) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([x["a"] for x in held], dtype=np.int64), np.array([x["c"] for x in held], dtype=np.int64)
-
-
 def sign_flip_exact(df: DataFrame, value: str, step: float = 1.0, by: list[str] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
     """(by, n, observed_sum, observed, sign_flip_p, log10_p): the randomisation p that all sign assignments give (T-04)."""
     return signs_of_counts(cut_lineage(value_counts(df, value, step, by)), step, by, max_cells)

@@ -156,3 +156,31 @@ def test_pairing_refuses_repeated_rows(spark):
         pairs.paired_outcomes(df, ["p"], "s", "c", "a", "b").collect()
     with pytest.raises(Exception, match="repeated rows of m/b"):
         pairs.cross_model_outcomes(df, "p", "m", "s", "c", ("m", "n"), ("a", "b")).collect()
+
+
+def test_signs_of_many_ranks_are_whole_and_ship_plain_arrays(spark):
+    """A window of more than 2**28 frequencies; the sum of 600,000 ranks is normal to about 1e-6."""
+    df = spark.range(60_000).selectExpr("'g' AS g", "20 * id + 11 AS a", "10L AS c")
+    a, c = 20 * np.arange(60_000) + 11, 10
+    spread = math.sqrt(float((a.astype(float) ** 2 * c).sum()))
+    x = 2 * int(0.75 * spread) + int((a * c).sum()) % 2
+    got = lattice.two_sided_signs(df, spark.createDataFrame([("g", x)], "g STRING, x BIGINT"), ["g"]).first()
+    assert got["sign_p"] == pytest.approx(math.erfc(x / spread / math.sqrt(2)), abs=3e-6)
+    sizes = lattice.SignedSum(a, np.full(60_000, c), x)
+    assert sizes.frequencies() > 1 << 28 and sum(len(k) for k in sizes._audible(0, 1 << 24, sizes.a, sizes.chance, sizes.c)) < 1 << 14
+
+
+def test_blocks_of_frequencies_keep_all_that_count():
+    """Sizes that are nearly all even: half a period away the factors are large again."""
+    rng = np.random.default_rng(3)
+    for odd in (1, 3):
+        a, c = np.array([*rng.choice(np.arange(2, 400, 2), 40, replace=False), *[2 * i + 1 for i in range(odd)]]), np.ones(40 + odd, int)
+        chances = np.ones(1)
+        for v in a:
+            wider = np.zeros(len(chances) + 2 * v)
+            wider[:len(chances)] += chances / 2
+            wider[2 * v:] += chances / 2
+            chances = wider
+        total = int(a.sum())
+        for x in (total % 2 + 2, total // 3 // 2 * 2 + total % 2):
+            assert lattice.SignedSum(a, c, x).tail() == pytest.approx(chances[x + total:].sum(), rel=1e-11)
