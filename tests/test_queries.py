@@ -26,6 +26,15 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_collapsed_bootstrap_counts_every_pair(spark, duck):
+    """The counts that its former SQL gave, next to the drawn limits."""
+    from evalspark.bindings.base import PAIRS
+    sql = f"WITH {PAIRS} SELECT round(avg(b - a),6) AS observed, 10000::BIGINT AS n_replicates, count(*) AS n FROM pairs WHERE model = 'm1'"
+    rows = QUERIES["t02_bootstrap_collapsed"](spark, FOLDER)
+    assert compare(rows.select("observed", "n_replicates", "n"), duck, sql) is None
+    assert rows.where("ci_low <= observed AND observed <= ci_high").count() == 1
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
     assert contract.entry(spark).count() == 2
