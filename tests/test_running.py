@@ -55,6 +55,35 @@ def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     assert running._batches(spark, str(tmp_path / "t")) == [1, 2]
 
 
+def test_rows_are_merged_and_a_batch_that_runs_again_sees_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(running, "MERGE_AFTER", 2)
+    rng, folder, rows = random.Random(7), str(tmp_path / "m"), []
+    write = running._keep_rows(folder, KEYS, ["model", "language"], "is_correct", "status", "timestamp_utc")
+    for batch in range(8):
+        part = [(i if i < 11 else None, *rest) for i, *rest in tries(rng, 20, 1000 - 100 * batch if batch % 3 == 2 else 100 * batch)]  # late rows and keys without a value
+        rows += part
+        for _ in range(1 + batch % 2):
+            write(spark.createDataFrame(part, SCHEMA), batch)
+        got = running.read_running_accuracy(spark, folder).collect()
+        assert {(r["model"], r["language"]): (r["n_correct"], r["n_total"], r["accuracy"]) for r in got} == plain(spark, rows)
+    assert len(running._batches(spark, f"{folder}/whole")) <= 2 and len(running._batches(spark, f"{folder}/rows")) <= 6
+
+
+def test_corrections_run_without_python(spark):
+    """A call of Python a key took minutes for a few hundred thousand keys."""
+    plan = running.corrections(spark.createDataFrame([], SCHEMA), KEYS, ["model", "language"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_the_first_of_rows_written_at_once_stays(spark):
+    at = datetime.datetime(2026, 1, 1)
+    rows = [(1, "a", "m1", "success", 0, at), (1, "a", "m1", "success", 1, at), (1, "a", "m1", "error", 1, at + datetime.timedelta(1))]
+    first = running.corrections(spark.createDataFrame(rows, SCHEMA).coalesce(1), KEYS, ["model"])
+    assert [(r["row_correct"], r["n_correct"], r["n_total"]) for r in first.collect()] == [(0, 0, 1)]
+    again = running.corrections(spark.createDataFrame(rows[1:], SCHEMA), KEYS, ["model"], before=first)
+    assert again.count() == 0
+
+
 def test_groups_must_be_part_of_the_key(spark):
     log = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
