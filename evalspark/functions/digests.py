@@ -2,7 +2,6 @@
 import json
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +24,14 @@ def collapse_space(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"[^\S ]\s*| \s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_collapsed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()), na_action="ignore")
+# Plain UDFs get 100 rows at a time, Arrow ones 10,000: whole texts of that many rows would have to fit into each Python worker.
+@F.udf(T.StringType(), useArrow=False)
+def _nfkc_collapsed(text: str | None) -> str | None:
+    return None if text is None else " ".join(unicodedata.normalize("NFKC", text).split())
 
 
 def normalized_text(c: Column) -> Column:
-    """NFKC plus white-space collapse. Pure ASCII texts never leave the JVM: Arrow ships a null for them."""
+    """NFKC plus white-space collapse. Pure ASCII texts never leave the JVM: a null is shipped for them."""
     ascii_only = c.rlike(r"^[\x00-\x1B\x20-\x7F]*$")
     return F.coalesce(F.when(ascii_only, collapse_space(c)), _nfkc_collapsed(F.when(~ascii_only, c)))
 
@@ -67,10 +67,10 @@ def canonical_digest(df: DataFrame, column: str | None = None) -> Column:
     return sha(canonical_json(df, column))
 
 
-@F.pandas_udf(T.StringType())
-def reserialized(lines: pd.Series) -> pd.Series:
+@F.udf(T.StringType(), useArrow=False)
+def reserialized(line: str | None) -> str | None:
     """A raw JSON line with keys sorted and ``", "`` / ``": "`` separators, unknown keys kept (F-20)."""
-    return lines.map(lambda t: json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False), na_action="ignore")
+    return None if line is None else json.dumps(json.loads(line), sort_keys=True, ensure_ascii=False)
 
 
 def raw_row_id(line: Column, prefix: str = "trace_") -> Column:

@@ -145,3 +145,14 @@ def test_step_functions(spark):
     assert (r.l, r.m, r.f, r.i, r.t, r.txt, r.fn) == ([None, 1, 0], [0, 1, 1], 3, [1, 2], [1, 0], "a b\nc", 3)
     assert r.loss == pytest.approx((math.log1p(math.exp(1)) + math.log1p(math.exp(0.5))) / 2)
     assert r.p == pytest.approx(1 / (1 + math.exp(-1)))
+
+
+def test_python_on_texts_takes_few_rows_at_a_time(spark):
+    """Arrow batches of 10,000 whole texts filled the Python workers; plain UDFs get 100 rows."""
+    from evalspark.functions import digests
+    df = spark.createDataFrame([(1, 'ﬁ  {"b": 1, "a": "é"}'), (2, None), (3, '{"b": 1, "a": "é"}')], "i INT, t STRING")
+    out = df.select("i", digests.normalized_text(F.col("t")).alias("n"), digests.raw_row_id(F.when(F.col("i") != 1, F.col("t"))).alias("r"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    want = hashlib.sha256('{"a": "é", "b": 1}'.encode()).hexdigest()
+    assert [tuple(r) for r in out.orderBy("i").collect()] == [(1, 'fi {"b": 1, "a": "é"}', None), (2, None, None), (3, '{"b": 1, "a": "é"}', f"trace_{want}")]
