@@ -11,7 +11,8 @@ paired and screened by parity bitmaps: two bitmaps differ in at most as many bit
 than the similarity allows is none. Of a longer run only neighbours in sorted order are screened at first. What these pairs connect is a
 group already, and a run inside one group needs no more. The others are compared run by run in blocks of bounded size, bitmaps block against
 block, nodes of the run's main group with the rest only; a task gives back a spanning forest of the pairs left. Where that would cost more, a run is
-cut by pairs of signatures first, as a pair not yet found shares several long runs. No run is closed transitively before it is screened.
+cut by pairs of signatures first, as a pair not yet found shares several long runs. For the same reason a node stays out of its longest runs, all but
+one of as many as a pair shares. No run is closed transitively before it is screened.
 The components of all screened pairs are candidate groups. They are cut into blocks in the same way, and pairs of blocks are compared
 exactly on the texts: intersections of all their sets come from one product of incidence matrices, again with a spanning forest of the links
 as result. A last pass of components gives the linked groups.
@@ -35,6 +36,8 @@ from evalspark.llm.shared import components, kept
 SECOND = 3
 BLOCK, BLOCK_SETS = 150_000, 512
 RARE, RUN, TAGS = 12, 16, 64
+#: Bytes of content that a task turns into sets at a time.
+PIECE = 1 << 20
 #: Rows of candidates up to which they go to the texts by broadcast (some 80 bytes each); beyond, both sides are shuffled.
 SENT = 600_000
 
@@ -117,7 +120,7 @@ def _sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return features, offs, digest.view(np.int64)
 
 
-def _pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each, one row at least."""
     column = batch.column(batch.schema.get_field_index("text"))
     _, offs = T.utf8(column)
@@ -225,7 +228,7 @@ def screened_forest(bits: list[np.ndarray], size: np.ndarray, side: np.ndarray,
 def by_tile(tiles: DataFrame, pairs_of) -> DataFrame:
     """Links (a, b) that ``pairs_of(table, cuts)`` gives for tables of whole tiles; cuts: first row of each tile, and the end."""
     def groups(table):
-        key = np.array(table.column("tile").to_pylist())
+        key = table.column("tile").to_numpy()
         return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
 
     def links(table):
@@ -240,9 +243,9 @@ def by_tile(tiles: DataFrame, pairs_of) -> DataFrame:
             cuts = groups(rest)
             whole = int(cuts[-2]) if len(cuts) > 1 else 0
             at = 0
-            while at < whole:  # a few megabytes of complete groups at a time
+            while at < whole:  # some complete groups at a time
                 size = np.cumsum(np.diff(_offsets(rest.column("content")))[at:whole])
-                to = cuts[np.searchsorted(cuts, at + int(np.searchsorted(size, 4 << 20)) + 1)]
+                to = cuts[np.searchsorted(cuts, at + int(np.searchsorted(size, PIECE)) + 1)]
                 to = min(int(to), whole)
                 yield links(rest.slice(at, to - at))
                 at = to
@@ -314,15 +317,25 @@ def _common(bands: Bands, tag: str = "tag"):
     return F.element_at(F.array(*[F.lit(int(x)) for x in bands.common]), F.col(tag) + 1)
 
 
-def of_enough(rows: DataFrame, bands: Bands) -> DataFrame:
-    """Rows (sig, node, tag) of the nodes that have at least as many in their band as similar sets share: only those can have a pair here alone."""
-    enough = rows.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _common(bands)).select("node", "tag")
-    return rows.join(enough, ["node", "tag"])
+def ranked(rows: DataFrame, bands: Bands, *order: str) -> DataFrame:
+    """Rows (sig, node, tag, ...) of the nodes that have at least as many in their band as similar sets share: only those can have a pair here alone.
+
+    ``held`` counts them. ``first`` marks those but the last ``common - 1`` of a node and band, in an order of the signatures that is the same for all
+    nodes: of the signatures that a pair shares, the first has ``common - 1`` shared ones behind it, so each pair has one where both its rows are first.
+    """
+    mine = Window.partitionBy("node", "tag")
+    held = rows.drop("held", "first").withColumn("held", F.count(F.lit(1)).over(mine)).where(F.col("held") >= _common(bands))
+    at = F.row_number().over(mine.orderBy(*order, "sig"))
+    return held.withColumn("first", at <= F.col("held") - _common(bands) + 1)
 
 
 def long_rows(found: DataFrame, bands: Bands) -> DataFrame:
-    """(sig, node, tag): rows of the long runs. A pair that no short run has shows in at least ``Bands.common`` of them."""
-    return of_enough(found.where("long").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.expr(f"cast(a & {TAGS - 1} AS int)").alias("tag")), bands)
+    """(sig, node, tag, run, held, first): rows of the long runs, ``run`` a run's rows, the shortest runs first.
+
+    A pair that no short run has shows in at least ``Bands.common`` of them.
+    """
+    rows = found.where("long").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.expr(f"cast(a & {TAGS - 1} AS int)").alias("tag"))
+    return ranked(rows.join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("run")), "sig"), bands, "run")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -356,17 +369,21 @@ def run_shapes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return shape.select("sig", F.col("top.grp").alias("home"), "c", *blocks)
 
 
-def by_cost(rows: DataFrame, labels: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
-    """Rows (sig, node, tag) of the runs that pairs of signatures cut at less cost than blocks compare them, and rows of the others.
+def costly(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig): runs that pairs of signatures cut at less cost than blocks compare them. rows: as ``ranked`` gives them."""
+    shape = kept(run_shapes(rows, labels).where((F.col("c") > BLOCK_SETS) & (F.col("others") > 1)), "shape")
+    pairs = rows.join(shape.select("sig"), "sig", "left_semi").groupBy("sig").agg((F.sum(F.col("held") - 1) / 2).alias("pairs"))
+    return shape.join(pairs, "sig").where(F.col("pairs") < F.col("c") * (F.col("homes") + F.col("others"))).select("sig")
 
-    Any choice by run loses nothing: two similar sets meet in a run compared in blocks, or all the runs that they share are cut.
+
+def by_cost(rows: DataFrame, cut: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """Rows (sig, node, tag) of the runs to be cut, and those rows of the others that are to be compared.
+
+    The runs to be cut come last in the order, so that a pair that shares any other run has one of those in which both its rows are first. The runs
+    that the pairs left share are all cut.
     """
-    shape = run_shapes(rows, labels)
-    held = rows.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("held"))
-    pairs = rows.join(held, ["node", "tag"]).groupBy("sig").agg((F.sum(F.col("held") - 1) / 2).alias("pairs"))
-    compared = F.col("c") * (F.col("homes") + F.col("others"))
-    cut = kept(shape.join(pairs, "sig").where((F.col("c") > BLOCK_SETS) & (F.col("others") > 1) & (F.col("pairs") < compared)).select("sig"), "cut")
-    return rows.join(cut, "sig", "left_semi"), rows.join(cut, "sig", "left_anti")
+    marked = ranked(rows.join(cut.withColumn("cut", F.lit(1)), "sig", "left").withColumn("cut", F.coalesce("cut", F.lit(0))), bands, "cut", "run")
+    return rows.join(cut, "sig", "left_semi").select("sig", "node", "tag"), marked.where("first AND cut = 0").select("sig", "node", "tag")
 
 
 def run_tiles(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -375,8 +392,8 @@ def run_tiles(rows: DataFrame, labels: DataFrame) -> DataFrame:
     placed = rows.join(labels, "node", "left").join(shape, "sig").withColumn("at_home", F.coalesce("grp", "node") == F.col("home"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("at_home"), F.col("homes")).otherwise(F.col("others"))).cast("int")
 
-    def tile(i, kind, j):
-        return F.concat_ws(":", F.col("sig").cast("string"), i.cast("string"), F.lit(kind), j.cast("string"))
+    def tile(i, kind, j):  # two tiles of one hash would be compared as one
+        return F.xxhash64("sig", i, F.lit(kind), j)
 
     def upto(count):
         return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
@@ -385,7 +402,7 @@ def run_tiles(rows: DataFrame, labels: DataFrame) -> DataFrame:
     met = F.transform(upto(F.col("homes")), lambda j: F.struct(tile(mine, "h", j).alias("tile"), F.lit(0).alias("side")))
     among = F.transform(upto(F.col("others")), lambda j: F.struct(
         tile(F.least(mine, j), "o", F.greatest(mine, j)).alias("tile"), F.when(j == mine, 2).when(mine < j, 0).otherwise(1).alias("side")))
-    single = F.array(F.struct(F.col("sig").cast("string").alias("tile"), F.lit(2).alias("side")))
+    single = F.array(F.struct(F.col("sig").alias("tile"), F.lit(2).alias("side")))
     return placed.withColumn("own", own).select("node", F.inline(
         F.when(F.col("c") <= BLOCK_SETS, single).when(F.col("at_home"), homely).otherwise(F.concat(met, among))))
 
@@ -512,12 +529,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
         return screened(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), num, den)
     long = kept(long_rows(found, bands), "long")
-    near = kept(screen(found.where("NOT long").select("a", "b").unionAll(neighbours(long))), "near")
+    near = kept(screen(found.where("NOT long").select("a", "b").unionAll(neighbours(long.where("first")))), "near")
     labels = kept(components(near).withColumnRenamed("component", "grp"), "labels")
-    for _ in range(2):  # a node that loses its last outsiders leaves, which may settle other runs
-        long = kept(of_enough(mixed(long, labels), bands), "long")
-    cut, direct = by_cost(long, labels, bands)
-    again = kept(runs(signature_pairs(of_enough(cut, bands), bands)), "runs")
+    before = long.count()
+    long = kept(ranked(mixed(long, labels), bands, "run"), "long")
+    if 10 * long.count() < 9 * before:  # a node that loses its last outsiders leaves, which may settle other runs
+        long = kept(ranked(mixed(long, labels), bands, "run"), "long")
+    cut, direct = by_cost(long, kept(costly(long, labels), "cut"), bands)
+    direct = kept(mixed(direct, labels), "direct")
+    again = kept(runs(signature_pairs(ranked(cut, bands), bands)), "runs")
     dense = mixed(again.where("long").select(F.col("a").alias("sig"), F.col("b").alias("node")), labels)
     blocks = run_tiles(dense.unionAll(direct.select("sig", "node")), labels).join(nodes.select("node", "n", F.col("bits").alias("content")), "node")
     tried = screen_blocks(blocks, num, den)

@@ -68,6 +68,53 @@ def test_documents_that_share_a_passage_are_not_chained(spark, monkeypatch, bloc
     assert len(cuts) == 1 and (cuts[0] > 0) == (block == 20)
 
 
+def test_rows_of_long_runs_that_no_pair_needs_are_not_compared(spark, monkeypatch):
+    """Pairs share several long runs, so a node stays out of its longest ones; every pair still meets."""
+    made, compared = [], []
+    long_rows, run_tiles = jaccard.long_rows, jaccard.run_tiles
+
+    def long(found, bands):
+        made.append(long_rows(found, bands).count())
+        return long_rows(found, bands)
+
+    def tiles(rows, labels):
+        compared.append(rows.count())
+        return run_tiles(rows, labels)
+    monkeypatch.setattr(jaccard, "long_rows", long)
+    monkeypatch.setattr(jaccard, "run_tiles", tiles)
+    rng = np.random.default_rng(17)
+    passages = [[f"p{j}_{i}" for i in range(40)] for j in range(5)]
+    rows = [(i, " ".join(sum((passages[j] for j in sorted(rng.choice(5, 3, replace=False))), []) + [f"o{i}_{j}" for j in range(60)])) for i in range(200)]
+    for i in range(60):
+        words = rows[int(rng.integers(0, 100))][1].split()
+        words[int(rng.integers(0, len(words)))] = f"c{i}"
+        rows.append((1_000 + i, " ".join(words)))
+    want, _ = jaccard_groups(rows, 5, 80, 100)
+    got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS), k=5, num=80, den=100).collect()
+    assert {r["id"]: r["component"] for r in got} == want
+    assert len(made) == len(compared) == 1 and 0 < compared[0] < 0.8 * made[0]
+
+
+def test_rows_that_share_signatures_meet_in_first_ones(spark):
+    """Rows of three runs at least in common have one where both are first, of the runs not to be cut if they share one of those."""
+    rng = np.random.default_rng(23)
+    bands = jaccard.Bands(80, 100, 4000)
+    tag = int(np.flatnonzero(bands.common >= 3)[0])
+    common = int(bands.common[tag])
+    has = {n: {int(x) for x in rng.choice(30, int(rng.integers(1, 15)), replace=False)} for n in range(60)}
+    rows = spark.createDataFrame([(s, n, tag, sum(s in x for x in has.values()), len(has[n])) for n in has for s in has[n]], "sig long, node long, tag int, run long, held long")
+    cut = spark.createDataFrame([(s,) for s in range(0, 30, 3)], "sig long")
+    left, direct = (x.collect() for x in jaccard.by_cost(rows, cut, bands))
+    met = {n: {r["sig"] for r in direct if r["node"] == n} for n in has}
+    for a in has:
+        for b in range(a):
+            shared = has[a] & has[b]
+            if len(shared) >= common and any(s % 3 for s in shared):
+                assert met[a] & met[b], (a, b)
+    assert {(r["sig"], r["node"]) for r in left} == {(s, n) for n in has for s in has[n] if s % 3 == 0}
+    assert sum(map(len, met.values())) < sum(sum(s % 3 > 0 for s in x) for x in has.values())
+
+
 def test_near_copies_at_the_upper_end_of_the_top_band(spark):
     """More than a run of near copies that also sign for the band above the table's largest set."""
     low = jaccard.Bands(85, 100, 1000).low
