@@ -151,7 +151,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 _, offs = T.utf8(column)
                 at = 0
                 while at < len(b):
-                    to = max(at + 1, int(np.searchsorted(offs, offs[at] + (4 << 20), side="right")) - 1)
+                    to = max(at + 1, int(np.searchsorted(offs, offs[at] + (1 << 20), side="right")) - 1)
                     h, _, _, starts = T.words(*T.utf8(column.slice(at, to - at)), letters_only=True)
                     got = items.search(h, starts)
                     yield pa.RecordBatch.from_pydict({

@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             _, offs = T.utf8(column)
             at = 0
             while at < len(b):
-                to = max(at + 1, int(np.searchsorted(offs, offs[at] + (3 << 20), side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(offs, offs[at] + (1 << 19), side="right")) - 1)
                 ids, rows = tool.encode(column.slice(at, to - at).fill_null("").to_pylist())
                 out: dict = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
                 for r, doc in enumerate(b.column(0).slice(at, to - at).to_pylist()):

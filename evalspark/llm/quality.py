@@ -33,10 +33,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """Weights of the cells, then the bias."""
     def featured(batches):
         for b in batches:
-            cell, value, rows = H.frequencies(*H.style_groups(b.column(0)))
-            yield pa.RecordBatch.from_arrays([
-                b.column(2), b.column(1), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(cell, pa.int32())),
-                pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(value, pa.float32()))], ["turn", "label", "cell", "value"])
+            for at, part in slices(b.column(0)):
+                cell, value, rows = H.frequencies(*H.style_groups(part))
+                yield pa.RecordBatch.from_arrays([
+                    b.column(2).slice(at, len(part)), b.column(1).slice(at, len(part)),
+                    pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(cell, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(value, pa.float32()))], ["turn", "label", "cell", "value"])
 
     def learned(batches):
         model = H.Ftrl((1 << H.BITS) + 1)
@@ -68,7 +70,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
-def slices(text: pa.Array, limit: int = 2 << 20):
+def slices(text: pa.Array, limit: int = 1 << 20):
     """(first row, slice) with about ``limit`` bytes each, one row at least."""
     _, offs = H.T.utf8(text)
     at = 0
