@@ -101,6 +101,57 @@ def test_ids_are_those_of_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_new_pretokens_share_texts_and_a_table():
+    """A new pre-token costs no text of its own in tokenizers, nor a copy of what is known; the ids stay those of single pre-tokens."""
+    rng = random.Random(5)
+    tool = tokens.Encoder(vocabulary_path())
+    calls, tables, whole = [], [], tool.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return whole.encode_batch_fast(texts, **options)
+
+    tool.tokenizer = Counting()
+    seen = set()
+    for _ in range(60):
+        texts = ["".join(rng.choice([" ", " ", "\n", "", "  ", "!", "'ll", "\xa0"]) + "".join(rng.choices("aeiouéßЖ日12'", k=rng.randrange(1, 9))) for _ in range(40))
+                 for _ in range(30)]
+        ids, offs = tool.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        seen.update(texts)
+        if not tables or tool.ids is not tables[-1]:  # kept, so that no two have one address
+            tables.append(tool.ids)
+    assert sum(calls) < 2_000  # of some 40,000 pre-tokens
+    assert len(tables) <= 16  # doubled, not copied once a call
+    again = len(calls)
+    tool.encode(sorted(seen)[:50])
+    assert len(calls) == again
+
+
+def test_colliding_keys_and_a_full_vocabulary(monkeypatch):
+    tool = tokens.Encoder(vocabulary_path())
+    tool._slots(4)
+    keys = np.array([(15 << 60) + i for i in range(1, 6)] + [3, 4, 5], np.uint64)  # all want the last slot or the first
+    tool._put(keys, np.arange(8, dtype=np.int32))
+    assert tool._find(keys).tolist() == list(range(8)) and tool._find(np.array([(15 << 60) + 9, 7, 1 << 62], np.uint64)).tolist() == [-1] * 3
+    texts = [" ".join(f"w{i * 7 + j}x" for j in range(40)) for i in range(30)]
+    want, offs = tokens.Encoder(vocabulary_path()).encode(texts)
+    monkeypatch.setattr(tokens, "_VOCAB_LIMIT", 100)
+    tool = tokens.Encoder(vocabulary_path())
+    parts = [tool.encode([t])[0] for t in texts]
+    assert (np.concatenate(parts) == want).all() and [len(p) for p in parts] == np.diff(offs).tolist()
+
+
+def test_pretokens_that_do_not_keep_their_ends_are_encoded_apart():
+    tool = tokens.Encoder(vocabulary_path())
+    words = [" ab", "cd", " é", "'s", "12"]
+    want = tool._encode_joined(words)
+    tool.bytes_of = tool.bytes_of + 1  # as if the ids stood for other bytes
+    got = tool._encode_joined(words)
+    assert want[0].tolist() == got[0].tolist() and want[1].tolist() == got[1].tolist()
+
+
 def test_packing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["red", "blau", "été", "x1"]) for _ in range(rng.randrange(1, 900)))) for i in range(150)]
