@@ -197,3 +197,30 @@ def test_embeddings_match_brute_force(spark):
     assert empty.count() == 0
     none = near_embeddings.embedding_links(spark.createDataFrame([(None, [1.0]), (5, None)], "vec_id bigint, embedding array<double>")).collect()
     assert sorted(((r["id"], r["n_links"], r["component"], r["kept"]) for r in none), key=str) == [(5, 0, 5, True), (None, 0, None, False)]
+
+
+@pytest.mark.parametrize("full,held", [(1 << 20, 128 << 20), (30, 1)])
+def test_blocks_of_vectors_are_not_shuffled_for_their_tiles(spark, monkeypatch, full, held):
+    """Many blocks in many groups: every pair of blocks meets once, without a shuffle or broadcast of their vectors."""
+    plans, kept = [], near_embeddings.kept
+
+    def seen(df, name):
+        if name == "found":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+    monkeypatch.setattr(near_embeddings, "kept", seen)
+    for name, value in (("GROUP", 1), ("FULL", full), ("HELD", held)):
+        monkeypatch.setattr(near_embeddings, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 5))
+    vectors = np.concatenate([base[rng.integers(0, 30, 260)] + rng.normal(size=(260, 5)) * 0.2, base])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1_000 + i, vectors[i % 7].tolist()) for i in range(20)] + [(1_000, vectors[0].tolist())]
+    unit = {i: np.array(v) / np.sqrt(np.dot(v, v)) for i, v in rows}
+    links = [(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.9]
+    want, count = groups(unit, links), {i: 0 for i in unit}
+    for e in links:
+        for i in e:
+            count[i] += 1
+    got = near_embeddings.embedding_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=16).collect()
+    assert len(got) == len(rows) and {r["id"]: (r["n_links"], r["component"], r["kept"]) for r in got} == {i: (count[i], want[i], want[i] == i) for i in unit}
+    assert len(plans) == 1 and "Exchange" not in plans[0]
