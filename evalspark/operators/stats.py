@@ -5,7 +5,7 @@ Every test is one or two distributed aggregates followed by arithmetic on one ro
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.operators.lattice import two_sided_signs
+from evalspark.operators.lattice import MAX_CELLS, signs_in_chunks, two_sided_signs
 from evalspark.operators.ranges import attach, average_ranks
 from evalspark.operators.tails import tail
 
@@ -102,12 +102,12 @@ def _rank_sums(df: DataFrame, a: str, b: str, by: list[str], ranked: DataFrame)
     return attach(sums, zeros, by).withColumn("wilcoxon_w", F.least("w_plus", "w_minus"))
 
 
-def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str] | None = None, method: str = "auto") -> DataFrame:
+def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str] | None = None, method: str = "auto", max_cells: int = MAX_CELLS) -> DataFrame:
     """T-09 with p and the method it was taken by.
 
     ``exact`` is the distribution of the rank sum under random signs, ties and any number of differences included (zeros are dropped): a sum of doubled average
-    ranks with random signs is a sum on a lattice. It is null for a group with more different sizes than a lattice operator holds; ``auto`` takes ``normal`` there,
-    which corrects for ties. ``published`` is the rule behind published tables: exact for up to PUBLISHED_EXACT_RANKS differences without ties and zeros, else normal.
+    ranks with random signs is a sum on a lattice. A group with more than ``max_cells`` different sizes is summed in chunks. ``auto`` is the same. ``normal`` corrects
+    for ties; ``published`` is the rule behind published tables: exact for up to PUBLISHED_EXACT_RANKS differences without ties and zeros, else normal.
     """
     if method not in ("auto", "exact", "normal", "published"):
         raise ValueError(f"unknown method: {method}")
@@ -117,12 +117,9 @@ def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str] | None = None,
         s = _rank_sums(df, a, b, by, ranked)
         sizes = ranked.select(*by, (F.col("avg_rank") * 2).cast("bigint").alias("a"), F.col("ties").alias("c"))
         seen = s.where("n_nonzero > 0").select(*by, ((F.col("w_plus") - F.col("w_minus")) * 2).cast("bigint").alias("x"))
-        s = attach(s, two_sided_signs(sizes, seen, by).select(*by, F.col("sign_p").alias("_exact")), by)
-        n = F.col("n_nonzero").cast("double")
-        z = (F.col("wilcoxon_w") - n * (n + 1) / 4) / F.nullif(F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48), F.lit(0.0))
-        other = tail("normal", F.when(F.col("_exact").isNull(), z)) if method == "auto" else F.lit(None).cast("double")
-        return s.withColumn("_normal", other).withColumn("wilcoxon_p", F.coalesce("_exact", "_normal")) \
-            .withColumn("method", F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_normal").isNotNull(), "normal")).drop("_exact", "_normal", "n_zero")
+        s = attach(s, two_sided_signs(sizes, seen, by, max_cells).select(*by, F.col("sign_p").alias("_held")), by)
+        s = attach(s, signs_in_chunks(sizes, seen, by, max_cells).select(*by, F.col("sign_p").alias("_chunked")), by)
+        return s.withColumn("wilcoxon_p", F.coalesce("_held", "_chunked")).withColumn("method", F.when(F.col("wilcoxon_p").isNotNull(), "exact")).drop("_held", "_chunked", "n_zero")
     s = signed_rank_statistics(df, a, b, by)
     n = F.col("n_nonzero").cast("double")
     z = (F.col("wilcoxon_w") - n * (n + 1) / 4) / F.nullif(F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48), F.lit(0.0))

@@ -184,3 +184,35 @@ def test_blocks_of_frequencies_keep_all_that_count():
         total = int(a.sum())
         for x in (total % 2 + 2, total // 3 // 2 * 2 + total % 2):
             assert lattice.SignedSum(a, c, x).tail() == pytest.approx(chances[x + total:].sum(), rel=1e-11)
+
+
+@pytest.mark.parametrize("method", ["exact", "auto"])
+def test_signed_ranks_with_more_sizes_than_a_task_holds(spark, method):
+    """Groups above and below the limit, ties, zeros, one with every sign alike; none falls back on the normal distribution or is left without p."""
+    rng = np.random.default_rng(4)
+    groups = {g: np.round(rng.normal(0.15, 1, n) * scale) for g, (n, scale) in enumerate([(30, 2), (150, 40), (400, 3), (90, 1000)])}
+    groups[4] = np.arange(1.0, 13.0)
+    df = spark.createDataFrame([(g, float(x), 0.0) for g, d in groups.items() for x in d], "g INT, a DOUBLE, b DOUBLE")
+    got = {r["g"]: r for r in stats.signed_rank_test(df, "a", "b", ["g"], method, max_cells=9).collect()}
+    assert sum(len(set(np.abs(d[d != 0]))) > 9 for d in groups.values()) == 3
+    for g, d in groups.items():
+        assert got[g]["method"] == "exact" and got[g]["wilcoxon_p"] == pytest.approx(rank_p(d), rel=1e-9)
+    whole = stats.signed_rank_test(df.where("g = 1"), "a", "b", method=method, max_cells=9).first()
+    assert whole["method"] == "exact" and whole["wilcoxon_p"] == pytest.approx(rank_p(groups[1]), rel=1e-9)
+    even = spark.createDataFrame([(float(x), 0.0) for x in (3, -2, -1)], "a DOUBLE, b DOUBLE")
+    assert stats.signed_rank_test(even, "a", "b", method=method, max_cells=2).first()["wilcoxon_p"] == 1.0
+
+
+def test_windows_of_any_size():
+    """2**45 and more frequencies: products modulo the window are right, and blocks left out keep the search short."""
+    rng = np.random.default_rng(6)
+    for size in (1 << 30, (1 << 38) + 7, (1 << 49) + 3, (1 << 57) + 1):
+        k, m = rng.integers(0, size, (50, 1)), rng.integers(0, size, (1, 40))
+        assert (lattice._times(k, m, size) == (k.astype(object) * m % size).astype(np.int64)).all()
+    a, c = np.array([70_001, 150_003, 290_001, 510_007, 900_001]) * 1_000 + 3, np.full(5, 10**8)
+    spread = math.sqrt(float((a.astype(float) ** 2 * c).sum()))
+    x = 2 * int(0.35 * spread) + int((a * c).sum()) % 2
+    s = lattice.SignedSum(a, c, x)
+    assert s.frequencies() > 1 << 40
+    near = np.concatenate(list(s._audible(0, 1 << 32, s.a, s.chance, s.c)))
+    assert 0 < len(near) < 1 << 14 and near[0] == 0
