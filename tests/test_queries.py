@@ -35,6 +35,24 @@ def test_collapsed_bootstrap_counts_every_pair(spark, duck):
     assert rows.where("ci_low <= observed AND observed <= ci_high").count() == 1
 
 
+def test_collapsed_bootstrap_does_the_whole_job_of_its_former_sql(spark, duck):
+    """All columns of that SQL, and the limits, which SQL cannot draw again, beside them."""
+    from evalspark.bindings.base import PAIRS
+    sql = f"WITH {PAIRS} SELECT round(avg(b - a),6) AS observed, 10000::BIGINT AS n_replicates, count(*) AS n, true AS as_expected FROM pairs WHERE model = 'm1'"
+    rows = QUERIES["t02_bootstrap_collapsed"](spark, FOLDER)
+    assert compare(rows.select("observed", "n_replicates", "n", "as_expected"), duck, sql) is None
+    exact = QUERIES["t02_exact_interval"](spark, FOLDER).where("model = 'm1'").first()
+    drawn = rows.first()
+    assert drawn["n"] == exact["n"] and all(abs(drawn[c] - exact[c]) <= 2 / exact["n"] + 1e-6 for c in ("ci_low", "ci_high"))
+
+
+def test_limits_that_draws_do_not_give_are_told(spark):
+    from evalspark.bindings.pairs import near_normal
+    rows = [(0.1, -0.096, 0.296, 100, 0.1), (0.1, 0.2, 0.3, 100, 0.1), (0.1, 0.05, 0.15, 100, 0.1), (0.1, -0.4, 0.6, 100, 0.1), (None, None, None, 0, None)]
+    df = spark.createDataFrame(rows, "observed DOUBLE, ci_low DOUBLE, ci_high DOUBLE, n LONG, se DOUBLE")
+    assert [r["as_expected"] for r in near_normal(df, "se").collect()] == [True, False, False, False, False]
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
     assert contract.entry(spark).count() == 2
