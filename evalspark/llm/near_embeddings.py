@@ -83,14 +83,14 @@ def _sides(df: DataFrame) -> int:
     return 2 * math.isqrt(df.sparkSession.sparkContext.defaultParallelism) + 2
 
 
-def _groups(nodes: DataFrame, basis: np.ndarray, size: int, block: int) -> Kept:
-    """(grp, ids, counts, data, low, high): ranges of the first component, a few blocks of ``block`` vectors each."""
+def _groups(nodes: DataFrame, n: int, basis: np.ndarray, size: int, block: int) -> Kept:
+    """(grp, ids, counts, data, low, high) of ``n`` nodes: ranges of the first component, a few blocks of ``block`` vectors each."""
     def turned(batches):
         for b in batches:
             if len(b):
                 first = (_unit(_matrix(b.column(1))) @ basis[:, 0]).tolist()
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first)], ["node", "v", "copies", "c"])
-    blocks = max(1, -(-nodes.count() // block))
+    blocks = max(1, -(-n // block))
     most = max(1, min(8, GROUP // (8 * size * block), blocks // _sides(nodes))) * block
     spread = nodes.mapInArrow(turned, f"node bigint, v {nodes.schema['v'].dataType.simpleString()}, copies bigint, c double")
     ranged = spread.repartitionByRange(max(1, -(-blocks * block // most)), "c", "node").sortWithinPartitions("c", "node")
@@ -263,14 +263,14 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     # a node is a distinct vector, named by the smallest id that has it and, for ids with several vectors, told apart by its hash
     hashed = good.select("id", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"))
-    owners = hashed.select("id", "h", "g").distinct().groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    stored = Kept(owners.join(hashed.groupBy("h", "g").agg(F.first("v").alias("v")), ["h", "g"]).select(F.xxhash64("h", "g").alias("node"), "id", "copies", "v"), "nodes")
-    nodes = kept(stored.df.select("node", "id", "copies"), "node-ids")
+    owners = hashed.select("id", "h", "g", F.size("v").alias("s")).distinct().groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("s").alias("s"))
+    nodes = kept(owners.select(F.xxhash64("h", "g").alias("node"), "id", "copies", "h", "g", "s"), "nodes")
     results, read = [], []
-    for size in [r[0] for r in stored.df.select(F.size("v").alias("s")).distinct().orderBy("s").collect()]:
-        own = stored.df.where(F.size("v") == size)
+    for size, n in [tuple(r) for r in nodes.groupBy("s").count().orderBy("s").collect()]:
+        own = hashed.where(F.size("v") == size)
         basis = principal_basis(own.select("v"), size)
-        written = _groups(own.select("node", "v", "copies"), basis, size, block)
+        distinct = own.groupBy("h", "g").agg(F.first("v").alias("v")).join(nodes.select("h", "g", "node", "copies"), ["h", "g"])
+        written = _groups(distinct.select("node", "v", "copies"), n, basis, size, block)
         read.append(written)
 
         def compare(batches, size=size, basis=basis):
@@ -316,7 +316,6 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         found = results[0]
         for more in results[1:]:
             found = found.unionAll(more)
-        stored.drop()
         found = kept(found, "found")
         for table in read:
             table.drop()
